@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality_rules, secret_scan, sharding, tokens, url_filter
+from . import decontaminate, packing, quality_rules, secret_scan, sharding, suffix_dedup, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op4_url_filter, op5_decontamination, op6_quality_rules, op7_secret_scan, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_token_counts, op4_url_filter, op5_decontamination, op6_quality_rules, op7_secret_scan, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
