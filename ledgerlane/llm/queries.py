@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, tokens, url_filter
+from . import decontaminate, html_extract, jaccard_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,12 +56,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_articles(_table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_token_counts, op4_url_filter, op5_decontamination, op6_quality_rules, op7_secret_scan, op8_jaccard_join, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_token_counts, op4_url_filter, op5_decontamination, op6_quality_rules, op7_secret_scan, op8_jaccard_join, op9_html_extraction, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
