@@ -4,12 +4,16 @@ A document's set is its distinct word shingles. Equal sets are one class. For a
 link if it shares a token among the first n - ceil(t * n) + 1 of each, in every global order of the tokens; so
 candidates must share prefix tokens under each of ``orders`` orders, and the filters are intersected:
 
-1. A sketch of fixed size counts tokens over all documents; each order puts tokens that are frequent by the sketch
-   last and mixes the others by its own hash. (The counts only shape the order: any order gives whole results.)
-2. For every order, the classes with a prefix token in common have a hub, the one of least rank among them. A class
-   gets the hubs of its prefix tokens; tokens of one class alone drop out.
-3. A group is the classes with the same hub under the first and the same hub under the second order (and so on).
-   Each linking pair is together in a group; a chance hit under one order finds no partner under the other.
+1. The tokens whose hash is below a fixed share come first in every order; only these are counted. Each batch of
+   documents sends its distinct tokens of that kind, as blocks of numbers, to the task of their hash range and gets
+   back in how many batches' documents they occur, where that is more than one. No token is a row, and one that is
+   in a third of all documents is one number a batch.
+2. An order puts tokens by that count, rare ones first, and then by a hash of the order's own; tokens outside the
+   counted share (needed by short texts only) follow by hash. Tokens met once have no partner, so a document whose
+   prefix is full of them is done; all others send the prefix tokens that others have, too.
+3. For every order, the classes with a prefix token in common have a hub, the one with the most such tokens. A group
+   is the classes with the same hub under the first and the same hub under the second order (and so on): each linking
+   pair is together in a group, and a chance hit under one order finds no partner under the other.
 4. Sets are sent once to each of a class's groups, and pairs there are verified exactly. Groups of more than
    ``block`` classes are dealt into blocks, and each two blocks meet in a task of their own. A task returns links
    that join what its verified pairs join, not all pairs.
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,98 +66,169 @@ def set_id(tokens: np.ndarray) -> int:
     return int((splitmix(np.add.reduce(mixed, keepdims=True)) ^ np.bitwise_xor.reduce(splitmix(mixed ^ U64(0x5851F42D4C957F2D)), keepdims=True)).view(np.int64)[0])
 
 
-class Orders:
-    """Global token orders: frequent tokens (by the sketch) last, the rest by a hash of the order's own."""
-
-    def __init__(self, sketch: np.ndarray, orders: int):
-        self.mask = U64(len(sketch) - 1)
-        usual = float(np.median(sketch)) if len(sketch) else 0.0
-        above = np.maximum(sketch - usual - 6 * np.sqrt(usual + 1), 0)
-        self.level = np.minimum(np.ceil(np.log2(above + 1)), 63).astype(U64)  # 0: not above what chance gives
-        self.orders = orders
-
-    def prefix(self, tokens: np.ndarray, order: int, size: int) -> np.ndarray:
-        """The first ``size`` tokens of a set in an order."""
-        rank = (splitmix(tokens ^ U64(0xA0761D6478BD642F * (order + 1) % (1 << 64))) >> U64(6)) | (self.level[(splitmix(tokens) & self.mask).astype(np.int64)] << U64(58))
-        return tokens[np.argpartition(rank, size - 1)[:size]] if size < len(tokens) else tokens
-
-
 def prefix_size(n: int, percent: int) -> int:
     """n - ceil(percent / 100 * n) + 1."""
     return n - -(-percent * n // 100) + 1
 
 
-def token_sketch(docs: DataFrame, shingle: int, cells: int, slices: int = 32) -> np.ndarray:
-    """Token counts in ``cells`` cells over all documents; summed slice by slice in two levels, ``cells`` numbers to the driver."""
-    width = cells // slices
+def counted_share(percent: int) -> np.uint64:
+    """Hashes below this are counted: 1.6 times the share of tokens that a prefix takes."""
+    return U64(min(0.9, 1.6 * (1 - percent / 100)) * 2**64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.int64)
-        for batch in batches:
-            sets = [shingle_set(data, shingle) for data in utf8(batch)]
-            total += np.bincount((splitmix(np.concatenate(sets)) & U64(cells - 1)).astype(np.int64), minlength=cells)
-        if total.any():
-            salt = TaskContext.get().partitionId() % 64
-            yield columns(part=pa.array(range(slices), pa.int32()), salt=pa.array([salt] * slices, pa.int32()), counts=pa.array([total[k * width : (k + 1) * width].astype(np.int64).tobytes() for k in range(slices)], pa.binary()))
-
-    def add(keys: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[tuple, np.ndarray] = {}
-            for batch in batches:
-                for *key, counts in zip(*(batch.column(c).to_pylist() for c in [*keys, "counts"]), strict=True):
-                    own = sums.setdefault(tuple(key), np.zeros(width, dtype=np.int64))
-                    own += np.frombuffer(counts, dtype=np.int64)
-            if sums:
-                yield columns(**{k: pa.array([s[i] for s in sums], pa.int32()) for i, k in enumerate(keys)}, counts=pa.array([v.tobytes() for v in sums.values()], pa.binary()))
-
-        return run
-
-    parts = docs.select("text").mapInArrow(count, "part int, salt int, counts binary")
-    first = parts.repartition("part", "salt").mapInArrow(add(["part", "salt"]), "part int, salt int, counts binary")
-    total = np.zeros(cells, dtype=np.int64)
-    for r in first.repartition("part").mapInArrow(add(["part"]), "part int, counts binary").toLocalIterator():
-        total[r.part * width : (r.part + 1) * width] += np.frombuffer(r.counts, dtype=np.int64)
-    return total
-
-
-def prefix_tokens(docs: DataFrame, orders: Broadcast, shingle: int, percent: int) -> DataFrame:
-    """One row per document: doc_id, cid, n, and its prefix tokens under each order."""
 
-    def make():
-        own: Orders = orders.value
+def place(tokens: np.ndarray) -> np.ndarray:
+    """The hash by which tokens are in or out of the counted share."""
+    return splitmix(tokens ^ U64(0x2545F4914F6CDD1D))
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cids, sizes, parts = [], [], [[] for _ in range(own.orders)]
+
+def token_blocks(docs: DataFrame, shingle: int, percent: int, ranges: int) -> DataFrame:
+    """Two kinds of rows. A batch's documents (part -1): ids, keys, classes, set sizes, and their tokens in blocks.
+    A batch's distinct counted tokens of a hash range (part 0 and up), with how many of its classes have each."""
+    share = counted_share(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(batches):
+            number = (TaskContext.get().partitionId() << 32) + k
+            cids, sizes, held, counted = [], [], [], {}
             for data in utf8(batch):
                 tokens = shingle_set(data, shingle)
                 n = len(tokens)
+                cid = set_id(tokens) if n else 0
+                cids.append(cid)
                 sizes.append(n)
-                cids.append(set_id(tokens) if n else 0)
-                size = prefix_size(n, percent) if n else 0
-                for k, part in enumerate(parts):
-                    part.append(own.prefix(tokens, k, size).view(np.int64) if n else np.zeros(0, dtype=np.int64))
-            lists = {f"p{k}": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32), pa.array(np.concatenate(part))) for k, part in enumerate(parts)}
-            return columns(doc_id=batch.column("doc_id"), row_key=batch.column("row_key"), cid=pa.array(cids, pa.int64()), n=pa.array(sizes, pa.int64()), **lists)
-
-        return step
-
-    schema = "doc_id long, row_key long, cid long, n long" + "".join(f", p{k} array<long>" for k in range(orders.value.orders))
-    return map_batches(docs, make, schema)
+                if not n or cid in counted:
+                    held.append(tokens[:0])
+                    continue
+                at = place(tokens)
+                inside = at < share
+                counted[cid] = tokens[inside]
+                short = prefix_size(n, percent) - int(inside.sum())
+                if short > 0:
+                    outside = np.flatnonzero(~inside)
+                    inside[outside[np.argsort(at[outside], kind="stable")[:short]]] = True
+                held.append(tokens[inside])
+            yield columns(
+                batch=pa.array([number], pa.int64()), part=pa.array([-1], pa.int32()), doc_ids=pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                row_keys=pa.array([batch.column("row_key").to_pylist()], pa.list_(pa.int64())), cids=pa.array([cids], pa.list_(pa.int64())), sizes=pa.array([sizes], pa.list_(pa.int64())),
+                kept=pa.array([np.array([len(h) for h in held], dtype=np.int32).tobytes()], pa.binary()), tokens=pa.array([np.concatenate(held).tobytes()], pa.binary()),
+            )
+            every = np.concatenate([*counted.values(), np.zeros(0, dtype=U64)])
+            if not len(every):
+                continue
+            distinct, counts = np.unique(every, return_counts=True)
+            of = (splitmix(distinct ^ U64(0x9E6C63D0876A9A35)) % U64(ranges)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=ranges))
+            parts = [(r, order[(ends[r - 1] if r else 0) : ends[r]]) for r in range(ranges)]
+            parts = [(r, p) for r, p in parts if len(p)]
+            none = lambda kind: pa.array([None] * len(parts), kind)
+            yield columns(
+                batch=pa.array([number] * len(parts), pa.int64()), part=pa.array([r for r, _ in parts], pa.int32()), doc_ids=none(pa.list_(pa.int64())), row_keys=none(pa.list_(pa.int64())),
+                cids=none(pa.list_(pa.int64())), sizes=none(pa.list_(pa.int64())), kept=pa.array([np.minimum(counts[p], 255).astype(np.uint8).tobytes() for _, p in parts], pa.binary()),
+                tokens=pa.array([distinct[p].tobytes() for _, p in parts], pa.binary()),
+            )
+
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "batch long, part int, doc_ids array<long>, row_keys array<long>, cids array<long>, sizes array<long>, kept binary, tokens binary")
+
+
+def shared_tokens(blocks: DataFrame, ranges: int) -> DataFrame:
+    """batch, tokens and levels (the logarithm of the count) of tokens that occur more than once, for each batch that has them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("batch", "kept", "tokens")), strict=True)]
+        if not rows:
+            return
+        tokens = np.concatenate([np.frombuffer(t, dtype=U64) for _, _, t in rows])
+        counts = np.concatenate([np.frombuffer(c, dtype=np.uint8) for _, c, _ in rows]).astype(np.int64)
+        order = np.argsort(tokens)
+        ordered = tokens[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        totals = np.add.reduceat(counts[order], first)
+        level = np.empty(len(tokens), dtype=np.uint8)
+        level[order] = np.repeat(np.ceil(np.log2(totals)).astype(np.uint8), np.diff(np.append(first, len(tokens))))
+        at = 0
+        for number, _, block in rows:
+            end = at + len(block) // 8
+            chosen = np.flatnonzero(level[at:end]) + at
+            if len(chosen):
+                yield columns(batch=pa.array([number], pa.int64()), tokens=pa.array([tokens[chosen].tobytes()], pa.binary()), levels=pa.array([level[chosen].tobytes()], pa.binary()))
+            at = end
+
+    return blocks.filter("part >= 0").select("batch", "part", "kept", "tokens").repartition(ranges, "part").mapInArrow(run, "batch long, tokens binary, levels binary")
+
+
+def prefix_rows(blocks: DataFrame, shared: DataFrame, percent: int, orders: int) -> DataFrame:
+    """cid, order, token and weight (the class's number of such tokens): prefix tokens that other documents have as well."""
+    share = counted_share(percent)
 
-def hubs(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """cid and hub for one order: the least ranked class of each shared prefix token."""
-    tokens = rows.select("cid", F.explode(column).alias("token"))
-    rank = F.struct(F.xxhash64("cid").alias("rank"), F.col("cid").alias("cid"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known = None, []
+
+        def finish(row: tuple) -> pa.RecordBatch | None:
+            cids, sizes, kept, block = row
+            have = np.concatenate([t for t, _ in known]) if known else np.zeros(0, dtype=U64)
+            levels = np.concatenate([v for _, v in known]) if known else np.zeros(0, dtype=np.uint8)
+            by = np.argsort(have)
+            have, levels = have[by], levels[by]
+            tokens = np.frombuffer(block, dtype=U64)
+            level = np.zeros(len(tokens), dtype=np.uint8)
+            if len(have):
+                at = np.minimum(np.searchsorted(have, tokens), len(have) - 1)
+                level = np.where(have[at] == tokens, levels[at], 0).astype(np.uint8)
+            outside = place(tokens) >= share
+            level[outside] = 64
+            ranks = []
+            for k in range(orders):
+                mixed = splitmix(tokens ^ U64(0xA0761D6478BD642F * (k + 1) % (1 << 64)))
+                ranks.append((np.where(outside, place(tokens), mixed) >> U64(8)) | (level.astype(U64) << U64(56)))
+            ends = np.cumsum(np.frombuffer(kept, dtype=np.int32))
+            out: list[tuple] = []
+            for cid, n, end, count in zip(cids, sizes, ends.tolist(), np.frombuffer(kept, dtype=np.int32).tolist(), strict=True):
+                if not count:
+                    continue
+                start, size = end - count, min(prefix_size(n, percent), count)
+                found = []
+                for rank in ranks:
+                    own = rank[start:end]
+                    chosen = np.argpartition(own, size - 1)[:size] + start if size < count else np.arange(start, end)
+                    found.append(chosen[level[chosen] > 0])
+                if all(len(f) for f in found):
+                    out += [(cid, k, tokens[f].view(np.int64), len(found[0])) for k, f in enumerate(found)]
+            if not out:
+                return None
+            sizes_out = [len(t) for _, _, t, _ in out]
+            spread = lambda values, kind: np.repeat(np.array(values, dtype=kind), sizes_out)
+            return columns(cid=spread([o[0] for o in out], np.int64), order=spread([o[1] for o in out], np.int32), token=np.concatenate([o[2] for o in out]), weight=spread([o[3] for o in out], np.int32))
+
+        # Within a batch the shared tokens come first and the documents' row last.
+        for batch in batches:
+            for number, last, cids, sizes, kept, tokens, levels in zip(*(batch.column(c).to_pylist() for c in ("batch", "last", "cids", "sizes", "kept", "tokens", "levels")), strict=True):
+                if number != current:
+                    current, known = number, []
+                if not last:
+                    known.append((np.frombuffer(tokens, dtype=U64), np.frombuffer(levels, dtype=np.uint8)))
+                elif (found := finish((cids, sizes, kept, tokens))) is not None:
+                    yield found
+
+    none = F.lit(None)
+    docs = blocks.filter("part < 0").select("batch", F.lit(True).alias("last"), "cids", "sizes", "kept", "tokens", none.cast("binary").alias("levels"))
+    back = shared.select("batch", F.lit(False).alias("last"), none.cast("array<long>").alias("cids"), none.cast("array<long>").alias("sizes"), none.cast("binary").alias("kept"), "tokens", "levels")
+    return docs.unionByName(back).repartition("batch").sortWithinPartitions("batch", "last").mapInArrow(run, "cid long, order int, token long, weight int")
+
+
+def hubs(rows: DataFrame, order: int, name: str) -> DataFrame:
+    """cid and hub for one order: of each prefix token that several classes share, the class with the most such tokens."""
+    tokens = rows.filter(F.col("order") == order).select("token", "cid", "weight").distinct()
+    rank = F.struct((-F.col("weight")).alias("less"), F.xxhash64("cid").alias("mixed"), F.col("cid").alias("cid"))
     shared = tokens.groupBy("token").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).filter("low.cid != high.cid").select("token", F.col("low.cid").alias(name))
     return tokens.join(shared, "token").select("cid", name).distinct()
 
 
 def candidate_groups(rows: DataFrame, orders: int, block: int) -> DataFrame:
     """cid and the groups (k: key, i and j: blocks) where it meets its candidates."""
-    found = hubs(rows, "p0", "h0")
+    found = hubs(rows, 0, "h0")
     for k in range(1, orders):
-        found = found.join(hubs(rows, f"p{k}", f"h{k}"), "cid")
+        found = found.join(hubs(rows, k, f"h{k}"), "cid")
     keys = [f"h{k}" for k in range(orders)]
     sizes = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     found = found.join(sizes, keys).withColumn("k", F.xxhash64(*keys))
@@ -244,14 +319,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def jaccard_components(
     docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
-    orders: int = 2, cells: int = 1 << 20, block: int = 2048,
+    orders: int = 2, ranges: int | None = None, block: int = 2048,
 ) -> DataFrame:
     """One row per document: doc_id, row_key, n_shingles, cid (its class; 0 for an empty set) and component_id."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(Orders(token_sketch(own, shingle, cells), orders))
-    rows = materialize(prefix_tokens(own, shared, shingle, percent), "prefixes")
+    # Hash ranges of some two million tokens, were every document of usual length.
+    ranges = ranges or max(8, own.count() // 40_000)
+    blocks = materialize(token_blocks(own, shingle, percent, ranges), "blocks")
+    rows = blocks.filter("part < 0").select(F.explode(F.arrays_zip("doc_ids", "row_keys", "cids", "sizes")).alias("d"))
+    rows = rows.select(F.col("d.doc_ids").alias("doc_id"), F.col("d.row_keys").alias("row_key"), F.col("d.cids").alias("cid"), F.col("d.sizes").alias("n"))
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("first"), F.min("doc_id").alias("least"))
-    groups = materialize(candidate_groups(rows.filter("n > 0"), orders, block), "groups")
+    prefixes = materialize(prefix_rows(blocks, shared_tokens(blocks, ranges), percent, orders), "prefixes")
+    groups = materialize(candidate_groups(prefixes, orders, block), "groups")
     # The sets of the candidates are made anew from one text of each class.
     met = groups.groupBy("cid").agg(F.collect_list(F.struct("k", "i", "j")).alias("groups"))
     chosen = classes.join(met, "cid").select(F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("row_key"), "cid", "groups").alias("r")
