@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries
+from . import queries, records
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries"]
+__all__ = ["ORACLES", "QUERIES", "queries", "records"]
