@@ -1,48 +1,34 @@
-"""Shared helpers of the corpus operators: shared scratch tables, Arrow map passes and scalable row ranks."""
+"""Shared helpers of the corpus operators: Arrow map passes and scalable row ranks; scratch tables come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one is set only where none is."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        own = tempfile.mkdtemp(prefix="ledgerlane-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own
 
+#: Rows that a map step holds as Python objects at once.
+SLICE = 1024
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts lineage so that a lost executor costs only the tasks since then, and it lets a table that is
-    used twice be computed once. The files go to a folder of their own and stay until the folder is cleaned.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerlane/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def sliced(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A record batch in parts of at most ``rows`` rows, without copying."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function built once per task: ``make()`` gives the function from batch to batch."""
+    """mapInArrow with a function built once per task: ``make()`` gives the function from batch to batch of some rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for part in sliced(batch):
+                yield step(part)
 
     return df.mapInArrow(run, schema)
 
@@ -91,3 +77,6 @@ def slots(df: DataFrame, keys: list[str], order: list[Column], name: str, rows_p
     out = rows.withColumn("_inside", inside)
     out = out.join(base, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys] + [F.col("_bucket") == F.col("_b_bucket")])
     return out.withColumn(name, F.col("_base") + F.col("_inside")).select(*df.columns, name)
+
+
+__all__ = ["columns", "map_batches", "materialize", "shared_dir", "sliced", "slots", "texts", "utf8"]

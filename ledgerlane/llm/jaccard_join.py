@@ -6,8 +6,8 @@ candidates must share prefix tokens under each of ``orders`` orders, and the fil
 
 1. The tokens whose hash is below a fixed share come first in every order; only these are counted. Each batch of
    documents sends its distinct tokens of that kind, as blocks of numbers, to the task of their hash range and gets
-   back in how many batches' documents they occur, where that is more than one. No token is a row, and one that is
-   in a third of all documents is one number a batch.
+   back how often they occur, where more than one class has them. No token is a row, and one that is in a third of
+   all documents is one number a batch.
 2. An order puts tokens by that count, rare ones first, and then by a hash of the order's own; tokens outside the
    counted share (needed by short texts only) follow by hash. Tokens met once have no partner, so a document whose
    prefix is full of them is done; all others send the prefix tokens that others have, too.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import U64, fold, prefix_sums, range_hash, spans, splitmix
-from .common import columns, map_batches, materialize, utf8
+from .common import columns, map_batches, materialize, sliced, utf8
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _IS_WORD = np.ones(256, dtype=bool)
@@ -87,7 +87,7 @@ def token_blocks(docs: DataFrame, shingle: int, percent: int, ranges: int) -> Da
     share = counted_share(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(part for batch in batches for part in sliced(batch)):
             number = (TaskContext.get().partitionId() << 32) + k
             cids, sizes, held, counted = [], [], [], {}
             for data in utf8(batch):
@@ -115,7 +115,10 @@ def token_blocks(docs: DataFrame, shingle: int, percent: int, ranges: int) -> Da
             every = np.concatenate([*counted.values(), np.zeros(0, dtype=U64)])
             if not len(every):
                 continue
-            distinct, counts = np.unique(every, return_counts=True)
+            distinct, first, counts = np.unique(every, return_index=True, return_counts=True)
+            # A token of one class is sent with a hash of the class: copies of it elsewhere don't make it shared.
+            owner = np.repeat(np.array(list(counted), dtype=np.int64).view(U64) & U64(0xFFFFFFFE), [len(t) for t in counted.values()])[first].astype(np.uint32)
+            owner[counts > 1] = 1
             of = (splitmix(distinct ^ U64(0x9E6C63D0876A9A35)) % U64(ranges)).astype(np.int64)
             order = np.argsort(of, kind="stable")
             ends = np.cumsum(np.bincount(of, minlength=ranges))
@@ -124,7 +127,7 @@ def token_blocks(docs: DataFrame, shingle: int, percent: int, ranges: int) -> Da
             none = lambda kind: pa.array([None] * len(parts), kind)
             yield columns(
                 batch=pa.array([number] * len(parts), pa.int64()), part=pa.array([r for r, _ in parts], pa.int32()), doc_ids=none(pa.list_(pa.int64())), row_keys=none(pa.list_(pa.int64())),
-                cids=none(pa.list_(pa.int64())), sizes=none(pa.list_(pa.int64())), kept=pa.array([np.minimum(counts[p], 255).astype(np.uint8).tobytes() for _, p in parts], pa.binary()),
+                cids=none(pa.list_(pa.int64())), sizes=none(pa.list_(pa.int64())), kept=pa.array([np.minimum(counts[p], 255).astype(np.uint8).tobytes() + owner[p].tobytes() for _, p in parts], pa.binary()),
                 tokens=pa.array([distinct[p].tobytes() for _, p in parts], pa.binary()),
             )
 
@@ -139,13 +142,17 @@ def shared_tokens(blocks: DataFrame, ranges: int) -> DataFrame:
         if not rows:
             return
         tokens = np.concatenate([np.frombuffer(t, dtype=U64) for _, _, t in rows])
-        counts = np.concatenate([np.frombuffer(c, dtype=np.uint8) for _, c, _ in rows]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(c, dtype=np.uint8, count=len(t) // 8) for _, c, t in rows]).astype(np.int64)
+        owners = np.concatenate([np.frombuffer(c, dtype=np.uint32, offset=len(t) // 8) for _, c, t in rows])
         order = np.argsort(tokens)
         ordered = tokens[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         totals = np.add.reduceat(counts[order], first)
+        # Owner 1 stands for several classes in a batch; else two different owners make a token shared.
+        low, high = np.minimum.reduceat(owners[order], first), np.maximum.reduceat(owners[order], first)
+        levels = np.where((low == 1) | (low != high), np.maximum(np.ceil(np.log2(totals)), 1), 0).astype(np.uint8)
         level = np.empty(len(tokens), dtype=np.uint8)
-        level[order] = np.repeat(np.ceil(np.log2(totals)).astype(np.uint8), np.diff(np.append(first, len(tokens))))
+        level[order] = np.repeat(levels, np.diff(np.append(first, len(tokens))))
         at = 0
         for number, _, block in rows:
             end = at + len(block) // 8
@@ -218,7 +225,8 @@ def prefix_rows(blocks: DataFrame, shared: DataFrame, percent: int, orders: int)
 
 def hubs(rows: DataFrame, order: int, name: str) -> DataFrame:
     """cid and hub for one order: of each prefix token that several classes share, the class with the most such tokens."""
-    tokens = rows.filter(F.col("order") == order).select("token", "cid", "weight").distinct()
+    # One exchange by token serves both the grouping and the join.
+    tokens = rows.filter(F.col("order") == order).select("token", "cid", "weight").repartition("token")
     rank = F.struct((-F.col("weight")).alias("less"), F.xxhash64("cid").alias("mixed"), F.col("cid").alias("cid"))
     shared = tokens.groupBy("token").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).filter("low.cid != high.cid").select("token", F.col("low.cid").alias(name))
     return tokens.join(shared, "token").select("cid", name).distinct()
@@ -286,7 +294,7 @@ def links_in_groups(members: DataFrame, percent: int) -> DataFrame:
             cids = np.array(sorted(held), dtype=np.int64)
             return verified_links(cids, [np.frombuffer(held[int(c)], dtype=U64) for c in cids], percent)
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in sliced(batch)):
             out: list[tuple[int, int]] = []
             for *own, cid, tokens in zip(*(batch.column(c).to_pylist() for c in ("k", "i", "j", "cid", "tokens")), strict=True):
                 if own != key:

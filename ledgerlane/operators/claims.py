@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..schemas import EVIDENCE_TIER, Policy
+from ..scratch import materialize
 from .decisions import check
 
 
@@ -104,4 +105,7 @@ def apply_aggregations(results: DataFrame, found: DataFrame) -> DataFrame:
 
 def process_batch(results: DataFrame, settlements: DataFrame, policy: Policy) -> DataFrame:
     """Decided records after both passes: sums first, then claims."""
-    return resolve_claims(apply_aggregations(results, aggregated_settlements(results, settlements, policy)))
+    # Each pass reads the decisions several times, so they are a table first.
+    results = materialize(results, "decisions")
+    revised = materialize(apply_aggregations(results, aggregated_settlements(results, settlements, policy)), "revised")
+    return resolve_claims(revised)
