@@ -86,11 +86,10 @@ def count_tokens(
     frequent = frequent_pretokens(docs, text_col, table_size, sample_rows, sample_chars)
     own = load_tokenizer(tokenizer)
     lengths = [len(e.ids) for e in own.encode_batch_fast(frequent, add_special_tokens=False)] if frequent else []
-    shared = spark.sparkContext.broadcast(("\x00".join(frequent), bytes(min(255, n) for n in lengths)))
+    shared = spark.sparkContext.broadcast(dict(zip(frequent, lengths, strict=True)))
 
     def make():
-        packed, sizes = shared.value
-        table = {p: n for p, n in zip(packed.split("\x00"), sizes, strict=False) if n < 255}
+        table: dict[str, int] = shared.value
         cache = _CACHE.setdefault(tokenizer, {})
         split, library = _splitter(), load_tokenizer(tokenizer)
         specials = special_strings(tokenizer)
