@@ -14,7 +14,7 @@ candidates must share prefix tokens under each of ``orders`` orders, and the fil
 3. For every order, the classes with a prefix token in common have a hub, the one with the most such tokens. A group
    is the classes with the same hub under the first and the same hub under the second order (and so on): each linking
    pair is together in a group, and a chance hit under one order finds no partner under the other.
-4. Sets are sent once to each of a class's groups, and pairs there are verified exactly. Groups of more than
+4. One text of each class is sent, packed, to each of the class's groups; sets are made there and pairs verified exactly. Groups of more than
    ``block`` classes are dealt into blocks, and each two blocks meet in a task of their own. A task returns links
    that join what its verified pairs join, not all pairs.
 5. Components come from joins of labels along the links, with tables written in between.
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -282,25 +283,40 @@ def verified_links(cids: np.ndarray, sets: list[np.ndarray], percent: int) -> li
     return [(int(cids[label[k]]), int(cids[k])) for k in np.flatnonzero(label != np.arange(count))]
 
 
-def links_in_groups(members: DataFrame, percent: int) -> DataFrame:
-    """Links of each group; members has k, i, j, cid and tokens (binary), and a group is at most two blocks."""
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key and the text as compressed UTF-8: hashes of a set don't compress, the words do."""
+
+    def make():
+        pack = zstandard.ZstdCompressor(level=3).compress
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return columns(doc_id=batch.column("doc_id"), row_key=batch.column("row_key"), packed=pa.array([pack(d) for d in utf8(batch)], pa.binary()))
+
+        return step
+
+    return map_batches(docs.select("doc_id", "row_key", "text"), make, "doc_id long, row_key long, packed binary")
+
+
+def links_in_groups(members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of each group; members has k, i, j, cid and a packed text, and a group is at most two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def flush() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
             cids = np.array(sorted(held), dtype=np.int64)
-            return verified_links(cids, [np.frombuffer(held[int(c)], dtype=U64) for c in cids], percent)
+            return verified_links(cids, [held[int(c)] for c in cids], percent)
 
         for batch in (part for batch in batches for part in sliced(batch)):
             out: list[tuple[int, int]] = []
-            for *own, cid, tokens in zip(*(batch.column(c).to_pylist() for c in ("k", "i", "j", "cid", "tokens")), strict=True):
+            for *own, cid, packed in zip(*(batch.column(c).to_pylist() for c in ("k", "i", "j", "cid", "packed")), strict=True):
                 if own != key:
                     out += flush()
                     key, held = own, {}
-                held[cid] = tokens
+                held[cid] = shingle_set(unpack(packed), shingle)
             if out:
                 yield columns(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
         if out := flush():
@@ -311,7 +327,7 @@ def links_in_groups(members: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node and label (the least node that it is joined to), by turns of neighbour minima and label jumps until nothing changes."""
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = materialize(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.*").distinct(), "links")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -339,21 +355,11 @@ def jaccard_components(
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("first"), F.min("doc_id").alias("least"))
     prefixes = materialize(prefix_rows(blocks, shared_tokens(blocks, ranges), percent, orders), "prefixes")
     groups = materialize(candidate_groups(prefixes, orders, block), "groups")
-    # The sets of the candidates are made anew from one text of each class.
     met = groups.groupBy("cid").agg(F.collect_list(F.struct("k", "i", "j")).alias("groups"))
     chosen = classes.join(met, "cid").select(F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("row_key"), "cid", "groups").alias("r")
     same = [F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), F.col("l.row_key") == F.col("r.row_key")]
-    members = own.alias("l").join(chosen, same).select("r.cid", "l.text", "r.groups")
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return columns(cid=batch.column("cid"), groups=batch.column("groups"), tokens=pa.array([shingle_set(d, shingle).tobytes() for d in utf8(batch)], pa.binary()))
-
-        return step
-
-    members = map_batches(members, make, "cid long, groups array<struct<k:long,i:int,j:int>>, tokens binary")
-    members = members.select("cid", "tokens", F.explode("groups").alias("g")).select("cid", "tokens", "g.*")
-    found = components(links_in_groups(members, percent))
+    members = packed_texts(own).alias("l").join(chosen, same).select("r.cid", "l.packed", F.explode("r.groups").alias("g")).select("cid", "packed", "g.*")
+    found = components(links_in_groups(members, shingle, percent))
     labelled = classes.select("cid", "least").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = labelled.join(least, "label").select("cid", "component_id")
