@@ -376,10 +376,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str =
     kept = found.filter("n_shingles > 0").groupBy(label.alias("label")).agg(F.min(rank).alias("kept")).select("kept.doc_id", "kept.row_key")
     empty = found.filter("n_shingles = 0").select("doc_id", "row_key").distinct().withColumn("every", F.lit(True))
     chosen = kept.withColumn("every", F.lit(False)).unionByName(empty).alias("r")
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).alias("l")
-    out = keyed.join(chosen, [F.col("l._id").eqNullSafe(F.col("r.doc_id")), F.col("l._key") == F.col("r.row_key")]).select("l.*", F.col("r.every").alias("_every"))
-    every = out.filter("_every")
-    once = out.filter("NOT _every").dropDuplicates(["_id", "_key"])
-    return every.unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
+    # The row stays in one struct, so that no name of the caller's clashes with ours.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(row, F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("own_key"))
+    out = keyed.join(chosen, [F.col("own_id").eqNullSafe(F.col("r.doc_id")), F.col("own_key") == F.col("r.row_key")]).select("doc", "own_id", "own_key", "every")
+    once = out.filter("NOT every").dropDuplicates(["own_id", "own_key"])
+    return out.filter("every").unionByName(once).select("doc.*")
