@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import fold, prefix_sums, range_hash, spans
+from .bytehash import fold, prefix_sums, range_hash
 from .common import columns, map_batches, materialize, utf8
 from .suffix_array import common_prefixes, suffix_array
 
@@ -98,55 +98,69 @@ def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     return range_hash(prefix_sums(data), at, at + length)
 
 
-def repeats_in_shard(pieces: list[np.ndarray], tags: list[int], length: int, apart: bool) -> list[np.ndarray]:
-    """For each piece, which of its windows repeat. ``tags``: 0 for a piece with several places, else the id of its document.
+def runs_of(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True values; no run goes past a place where ``first`` is True."""
+    begin = mask.copy()
+    begin[1:] &= first[1:] | ~mask[:-1]
+    stop = mask.copy()
+    stop[:-1] &= first[1:] | ~mask[1:]
+    return np.flatnonzero(begin), np.flatnonzero(stop) + 1
+
+
+def ranges_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The integers of the ranges start, start + 1, ..., start + size - 1, one range after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def repeats_in_shard(pieces: list[bytes], tags: list[int], length: int, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal ranges of repeating windows: piece, first window and end window. ``tags``: 0 for a piece with several places, else the id of its document.
 
     With ``apart`` the places must be in different documents.
     """
-    counts = [len(p) - length + 1 for p in pieces]
-    hashes = np.concatenate([window_hashes(p, length) for p in pieces])
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    twin = np.zeros(len(hashes), dtype=bool)
-    equal = ordered[1:] == ordered[:-1]
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    counts = np.array([len(p) - length + 1 for p in pieces], dtype=np.int64)
+    base = np.cumsum(counts) - counts
+    tag = np.array(tags, dtype=np.int64)
+    # Window w of piece k has number base[k] + w, and starts at that number plus k * (length - 1) in the data.
+    piece = np.repeat(np.arange(len(pieces)), counts)
+    at = np.arange(len(piece)) + piece * (length - 1)
+    hashes = range_hash(prefix_sums(data), at, at + length)
+    first = np.zeros(len(piece), dtype=bool)
+    first[base] = True
+    order = np.argsort(hashes)
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    twin = np.zeros(len(piece), dtype=bool)
     twin[order[1:][equal]] = True
     twin[order[:-1][equal]] = True
-    # Strings of the windows that have a twin; window w of string s is at position ``where``.
-    strings, owner, where, at, base = [], [], [], 0, 0
-    out = [np.zeros(c, dtype=bool) for c in counts]
-    for k, (piece, count) in enumerate(zip(pieces, counts, strict=True)):
-        if tags[k] == 0:
-            out[k][:] = True
-        for a, b in zip(*spans(twin[base : base + count]), strict=True):
-            strings += [piece[a : b - 1 + length]]
-            owner.append(np.full(b - a, k))
-            where.append(np.stack((np.arange(at, at + b - a), np.arange(a, b))))
-            at += b - a - 1 + length
-        base += count
-    if not strings:
-        return out
-    text = np.concatenate(strings)
-    owners, places = np.concatenate(owner), np.concatenate(where, axis=1)
-    sa = suffix_array(text)
-    prefix = common_prefixes(text, sa)
-    window = np.full(len(text), -1, dtype=np.int64)
-    window[places[0]] = np.arange(len(owners))
-    # Neighbours with a common prefix of a window's length form groups; places across string ends drop out.
-    group = np.cumsum(prefix[sa] < length)
-    number = window[sa]
-    group, number = group[number >= 0], number[number >= 0]
-    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    sizes = np.diff(np.append(first, len(group)))
-    tag = np.array(tags, dtype=np.int64)[owners[number]]
-    several = np.logical_or.reduceat(tag == 0, first)
-    if apart:
-        several |= np.minimum.reduceat(tag, first) != np.maximum.reduceat(tag, first)
-    else:
-        several |= sizes > 1
-    hit = number[np.repeat(several, sizes)]
-    for k, w in zip(owners[hit].tolist(), places[1][hit].tolist(), strict=True):
-        out[k][w] = True
-    return out
+    out = np.repeat(tag == 0, counts)
+    # The suffix array is of the strings of windows that have a twin.
+    starts, ends = runs_of(twin, first)
+    if len(starts):
+        sizes = ends - starts
+        bytes_each = sizes + length - 1
+        text = data[ranges_of(at[starts], bytes_each)]
+        number = ranges_of(starts, sizes)
+        window = np.full(len(text), -1, dtype=np.int64)
+        window[ranges_of(np.cumsum(bytes_each) - bytes_each, sizes)] = number
+        sa = suffix_array(text)
+        prefix = common_prefixes(text, sa)
+        # Neighbours with a common prefix of a window's length form groups; places across string ends drop out.
+        group = np.cumsum(prefix[sa] < length)
+        number = window[sa]
+        group, number = group[number >= 0], number[number >= 0]
+        head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        sizes = np.diff(np.append(head, len(group)))
+        own = tag[piece[number]]
+        several = np.logical_or.reduceat(own == 0, head)
+        if apart:
+            several |= np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head)
+        else:
+            several |= sizes > 1
+        out[number[np.repeat(several, sizes)]] = True
+    starts, ends = runs_of(out, first)
+    k = piece[starts]
+    return k, starts - base[k], ends - base[k]
 
 
 def search_shards(reps: DataFrame, length: int, apart: bool, shard_bytes: int) -> DataFrame:
@@ -157,11 +171,11 @@ def search_shards(reps: DataFrame, length: int, apart: bool, shard_bytes: int) -
         size = 0
 
         def flush() -> pa.RecordBatch:
-            found = repeats_in_shard([np.frombuffer(h[3], dtype=np.uint8) for h in held], [h[2] for h in held], length, apart)
-            runs = [spans(f) for f in found]
+            piece, starts, ends = repeats_in_shard([h[3] for h in held], [h[2] for h in held], length, apart)
+            offsets = pa.array(np.searchsorted(piece, np.arange(len(held) + 1)).astype(np.int32))
             return columns(
                 key=pa.array([h[0] for h in held], pa.int64()), seg_hash=pa.array([h[1] for h in held], pa.int64()),
-                starts=pa.array([r[0].tolist() for r in runs], pa.list_(pa.int32())), ends=pa.array([r[1].tolist() for r in runs], pa.list_(pa.int32())),
+                starts=pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32))), ends=pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32))),
             )
 
         for batch in batches:
