@@ -2,11 +2,13 @@
 
 1. One scan of the markup gives blocks of text. Elements that are never the article (menus, footers, asides, forms,
    adverts, notices, comments, scripts and the like, by tag, role, class or id) are set apart; blocks inside an
-   article or main element are the article.
-2. Outside of these, structure doesn't tell. There the page's token stream - all its blocks outside the article - is
-   searched per host: a suffix array over the streams' parts (sharded by content, so a host may have any number of
-   pages) finds long substrings that repeat across distinct pages. Tokens they cover are boilerplate; the unique runs
-   in undecided blocks are kept. Pages with an article element keep it whole, also where articles quote each other.
+   article or main element are article blocks, all others are undecided.
+2. The token stream of each page - all its blocks - is searched per host: a suffix array over the streams' parts
+   (sharded by content, so a host may have any number of pages) finds long substrings that repeat across distinct
+   pages. In undecided blocks, tokens they cover are boilerplate.
+3. Articles may quote each other. In article blocks, tokens are boilerplate only where each byte string of the searched
+   length is on many distinct pages of the host (``many``, or half of a small host's pages, but three at least). An
+   article with nothing else is a copy, and stays.
 
 Cases: null html is an empty page with empty text; a null url counts as its own host; empty tables give empty
 results; repeated rows are pages of their own (two equal pages without an article are each other's repeats only if
@@ -18,15 +20,18 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, map_batches, materialize, texts
-from .suffix_dedup import repeated_ranges
+from .suffix_dedup import repeated_ranges, window_hashes
 from .url_filter import split_url
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -138,36 +143,33 @@ def blocks(page: str) -> list[Block]:
 
 
 def _parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, row_key, url, host, the article (or null), the stream outside of it, and where undecided blocks are in it (in bytes)."""
+    """page_id, row_key, url, host, the stream of all blocks, and where those that are not apart are in it (in bytes), with ``inside`` for article blocks."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, streams, places = [], [], []
+            streams, places = [], []
             for page in texts(batch, "html"):
-                own = blocks(page)
-                inside = [b.text for b in own if b.article and not b.apart]
                 stream, marks, size = [], [], 0
-                for b in own:
-                    if b.apart or not b.article:
-                        data = b.text.encode()
-                        if not b.apart:
-                            marks.append((size, size + len(data)))
-                        stream.append(data)
-                        size += len(data) + 1
-                found.append(" ".join(inside) if inside else None)
+                for b in blocks(page):
+                    data = b.text.encode()
+                    if not b.apart:
+                        marks.append((size, size + len(data), b.article))
+                    stream.append(data)
+                    size += len(data) + 1
                 streams.append(b"\n".join(stream).decode())
-                places.append(marks if not inside else [])
+                places.append(marks)
             return columns(
                 page_id=batch.column("page_id"), row_key=batch.column("row_key"), url=batch.column("url"),
-                host=pa.array([split_url(u)[0] for u in batch.column("url").to_pylist()], pa.string()), article=pa.array(found, pa.string()), stream=pa.array(streams, pa.string()),
-                starts=pa.array([[a for a, _ in p] for p in places], pa.list_(pa.int32())), ends=pa.array([[b for _, b in p] for p in places], pa.list_(pa.int32())),
+                host=pa.array([split_url(u)[0] or "" for u in batch.column("url").to_pylist()], pa.string()), stream=pa.array(streams, pa.string()),
+                starts=pa.array([[a for a, _, _ in p] for p in places], pa.list_(pa.int32())), ends=pa.array([[b for _, b, _ in p] for p in places], pa.list_(pa.int32())),
+                inside=pa.array([[i for _, _, i in p] for p in places], pa.list_(pa.bool_())),
             )
 
         return step
 
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), key.alias("row_key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return map_batches(chosen, make, "page_id long, row_key long, url string, host string, article string, stream string, starts array<int>, ends array<int>")
+    return map_batches(chosen, make, "page_id long, row_key long, url string, host string, stream string, starts array<int>, ends array<int>, inside array<boolean>")
 
 
 def unique_tokens(data: bytes, places: list[tuple[int, int]], covered: list[tuple[int, int]]) -> Iterator[str]:
@@ -188,24 +190,82 @@ def unique_tokens(data: bytes, places: list[tuple[int, int]], covered: list[tupl
                 yield m[0].decode()
 
 
-def extract_articles(pages: DataFrame, length: int = 48, gram: int = 24, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _same_page(left: str, right: str) -> list:
+    return [F.col(f"{left}.page_id").eqNullSafe(F.col(f"{right}.page_id")), F.col(f"{left}.row_key") == F.col(f"{right}.row_key")]
+
+
+def frequent_windows(parsed: DataFrame, ranges: DataFrame, length: int, many: int) -> DataFrame:
+    """page_id, row_key and ``often``: the windows, of those that repeat, on many distinct pages of the host; for keys met in article blocks."""
+
+    def asked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys: set[int] = set()
+        for starts, ends, inside, own in zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "inside", "ranges")), strict=True):
+            places = [(a, b) for a, b, i in zip(starts, ends, inside, strict=True) if i]
+            firsts = [a for a, _ in places]
+            for r in own:
+                # The last article block that starts before the range's end.
+                k = bisect_left(firsts, r["b"] - 1 + length) - 1
+                if k >= 0 and places[k][1] > r["a"]:
+                    keys.add(r["key"])
+        return columns(key=pa.array(list(keys), pa.int64()))
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, keys, owns, ats = [], [], [], []
+        for k, (stream, own) in enumerate(zip(batch.column("stream").to_pylist(), batch.column("ranges").to_pylist(), strict=True)):
+            hashes = window_hashes(np.frombuffer(stream.encode(), dtype=np.uint8), length)
+            for r in own:
+                rows += [k] * (r["b"] - r["a"])
+                keys += [r["key"]] * (r["b"] - r["a"])
+                owns.append(hashes[r["a"] : r["b"]])
+                ats += range(r["a"], r["b"])
+        at = pa.array(rows, pa.int64())
+        return columns(
+            page_id=batch.column("page_id").take(at), row_key=batch.column("row_key").take(at), need=batch.column("need").take(at), key=pa.array(keys, pa.int64()),
+            own=pa.array(np.concatenate([*owns, np.zeros(0, dtype=np.uint64)]).view(np.int64)), at=pa.array(ats, pa.int32()),
+        )
+
+    def with_ranges(some: DataFrame) -> DataFrame:
+        by_page = some.groupBy("page_id", "row_key").agg(F.collect_list(F.struct("key", "a", "b")).alias("ranges"))
+        return parsed.alias("l").join(by_page.alias("r"), _same_page("l", "r")).select("l.*", "r.ranges")
+
+    keys = map_batches(with_ranges(ranges).select("starts", "ends", "inside", "ranges"), lambda: asked, "key long").distinct()
+    chosen = with_ranges(ranges.join(keys, "key", "left_semi")).select("page_id", "row_key", "host", "stream", "ranges").dropDuplicates(["page_id", "row_key"])
+    sizes = parsed.select("host", "page_id", "row_key").distinct().groupBy("host").agg(F.greatest(F.lit(3), F.least(F.lit(many), F.ceil(F.count(F.lit(1)) / 2))).alias("need"))
+    chosen = chosen.join(sizes, "host").select("page_id", "row_key", "stream", "ranges", F.col("need").cast("long").alias("need"))
+    rows = materialize(map_batches(chosen, lambda: windows, "page_id long, row_key long, need long, key long, own long, at int").distinct(), "windows")
+    pages = rows.select("key", "own", "page_id", "row_key", "need").distinct()
+    often = pages.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need").select("key", "own")
+    return rows.join(often, ["key", "own"], "left_semi").groupBy("page_id", "row_key").agg(F.collect_list("at").alias("often"))
+
+
+def extract_articles(pages: DataFrame, length: int = 48, gram: int = 24, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = 10) -> DataFrame:
     """One row per page: its id, url, main text and the text's code points. Substrings of ``length`` bytes count as long."""
     parsed = materialize(_parse(pages, id_col, url_col, html_col), "pages")
-    streams = parsed.select(F.col("page_id").alias("doc_id"), "row_key", F.col("stream").alias("text"), F.coalesce("host", F.lit("")).alias("host"))
+    streams = parsed.select(F.col("page_id").alias("doc_id"), "row_key", F.col("stream").alias("text"), "host")
     _, ranges = repeated_ranges(streams, length, gram, scope=F.col("host"), apart=True)
-    ranges = ranges.groupBy("doc_id", "row_key").agg(F.collect_list("r").alias("ranges")).alias("r")
-    undecided = parsed.filter("article IS NULL AND size(starts) > 0").alias("l")
-    joined = undecided.join(ranges, [F.col("l.page_id").eqNullSafe(F.col("r.doc_id")), F.col("l.row_key") == F.col("r.row_key")], "left")
+    # Repeated rows are found once each; what they cover is the same.
+    ranges = materialize(ranges.select(F.col("doc_id").alias("page_id"), "row_key", "key", "r.*").distinct(), "ranges")
+    often = frequent_windows(parsed, ranges, length, many)
+    covered = ranges.groupBy("page_id", "row_key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    joined = parsed.alias("l").join(covered.alias("r"), _same_page("l", "r"), "left").join(often.alias("o"), _same_page("l", "o"), "left")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for stream, starts, ends, own in zip(*(batch.column(c).to_pylist() for c in ("stream", "starts", "ends", "ranges")), strict=True):
-                out.append(" ".join(unique_tokens(stream.encode(), list(zip(starts, ends, strict=True)), [(r["a"], r["b"] - 1 + length) for r in own or ()])))
+            for stream, starts, ends, inside, own, often in zip(*(batch.column(c).to_pylist() for c in ("stream", "starts", "ends", "inside", "ranges", "often")), strict=True):
+                data = stream.encode()
+                repeats = [(r["a"], r["b"] - 1 + length) for r in own or ()]
+                frequent = [(a, a + length) for a in often or ()]
+                places = [(a, b) for a, b, i in zip(starts, ends, inside, strict=True) if i]
+                if frequent and next(unique_tokens(data, places, frequent), None) is None:
+                    frequent = []
+                found = []
+                for article, group in groupby(zip(starts, ends, inside, strict=True), key=lambda p: p[2]):
+                    found += unique_tokens(data, [(a, b) for a, b, _ in group], frequent if article else repeats)
+                out.append(" ".join(found))
             return columns(page_id=batch.column("page_id"), url=batch.column("url"), text=pa.array(out, pa.string()))
 
         return step
 
-    kept = map_batches(joined.select("l.page_id", "l.url", "l.stream", "l.starts", "l.ends", "r.ranges"), make, "page_id long, url string, text string")
-    decided = parsed.filter("article IS NOT NULL OR size(starts) = 0").select("page_id", "url", F.coalesce("article", F.lit("")).alias("text"))
-    return decided.unionByName(kept).withColumn("n_chars", F.char_length("text").cast("long"))
+    kept = map_batches(joined.select("l.page_id", "l.url", "l.stream", "l.starts", "l.ends", "l.inside", "r.ranges", "o.often"), make, "page_id long, url string, text string")
+    return kept.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -252,7 +252,7 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, scope: Column | Non
     whole = plain.select("key", "seg_hash", F.array(F.lit(0)).alias("starts"), F.array((F.col("place.b") - F.col("place.a")).cast("int")).alias("ends"))
     found = cool.unionByName(hot).unionByName(whole)
     found = materialize(found.filter(F.size("starts") > 0), "found")
-    ranges = rows.join(found, ["key", "seg_hash"]).select("doc_id", "row_key", F.explode(F.arrays_zip(F.transform("starts", lambda x: x + F.col("a")).alias("a"), F.transform("ends", lambda x: x + F.col("a")).alias("b"))).alias("r"))
+    ranges = rows.join(found, ["key", "seg_hash"]).select("doc_id", "row_key", "key", F.explode(F.arrays_zip(F.transform("starts", lambda x: x + F.col("a")).alias("a"), F.transform("ends", lambda x: x + F.col("a")).alias("b"))).alias("r"))
     return held, ranges
 
 

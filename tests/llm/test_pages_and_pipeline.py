@@ -78,3 +78,16 @@ def test_pipeline_stages(spark, docs, fixture_rows):
     assert sorted(map(key, packing.pack_documents(out).collect())) == sorted(map(key, packed.collect()))
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs.limit(0), sf).count()
+
+
+def test_articles_are_searched_for_what_their_host_repeats(spark):
+    box = "Get our weekly letter with the best of the site in your inbox, for free and without adverts."
+    quote = "A sentence that just two of the articles quote from each other, word for word and at length."
+    pages = [(k, f"http://a.com/{k}", f"<article><p>Story {k} begins with words {k * 7919}.</p><p>{box}</p><p>{k * 31 + 5} ends it.</p>{f'<p>{quote}</p>' if k < 2 else ''}</article>") for k in range(12)]
+    pages += [(20, "http://b.com/1", "<article>A card</article><div>The body stands in plain boxes here.</div>"), (21, "http://b.com/2", "<article>Other card</article><div>And one more body of text.</div>")]
+    pages += [(30 + k, f"http://c.com/{k}", f"<article>{box}</article>") for k in range(12)]
+    found = {r.page_id: r.text for r in html_extract.extract_articles(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    for k in range(12):
+        assert found[k] == f"Story {k} begins with words {k * 7919}. {k * 31 + 5} ends it." + (f" {quote}" if k < 2 else "")
+        assert found[30 + k] == box
+    assert found[20] == "A card The body stands in plain boxes here." and found[21] == "Other card And one more body of text."
