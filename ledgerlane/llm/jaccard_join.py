@@ -325,20 +325,26 @@ def links_in_groups(members: DataFrame, shingle: int, percent: int) -> DataFrame
     return members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and label (the least node that it is joined to), by turns of neighbour minima and label jumps until nothing changes."""
+def components(links: DataFrame) -> DataFrame:
+    """node and label (the least node that it is joined to), by turns until nothing changes.
+
+    A label is a node of the same component, none greater than the node. In a turn a node takes the least label of its
+    neighbours, its label's node is hooked to the least label that its nodes met, and labels jump to their labels'
+    labels, so that trees of labels merge and get flat together; turns grow with the logarithm of a component's size.
+    """
     both = materialize(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.*").distinct(), "links")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = labels.join(near, "node").join(jump, "label", "left").select("node", F.least("label", "near", "far").alias("new"), F.col("label").alias("old"))
-        new = materialize(new, "labels")
-        changed = new.filter("new != old").limit(1).count()
+        met = materialize(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("near")), "met")
+        hook = met.groupBy("label").agg(F.min("near").alias("hook")).withColumnRenamed("label", "node")
+        hooked = met.join(hook, "node", "left").select("node", "label", F.least("near", F.coalesce("hook", "near")).alias("new"))
+        hooked = materialize(hooked, "hooked")
+        jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("far"))
+        new = materialize(hooked.join(jump, "new").select("node", F.least("new", "far").alias("new"), F.col("label").alias("old")), "labels")
         labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
-            break
-    return labels
+        if not new.filter("new != old").limit(1).count():
+            return labels
 
 
 def jaccard_components(

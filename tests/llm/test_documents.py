@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import struct
 import zlib
@@ -133,6 +134,18 @@ def test_jaccard_components(docs, fixture_rows, shingle, percent, block):
     same(jaccard_join.jaccard_components(docs, shingle, percent, block=block), want, ["doc_id", "n_shingles", "component_id"])
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(5)
+    names = list(range(1, 1201))
+    rng.shuffle(names)
+    # A shuffled chain; one whose territories around local minima the least node has to cross; a pair.
+    hard = [5000 + (k if k % 2 else 3000 + k) for k in range(600)]
+    links = list(zip(names, names[1:])) + list(zip(hard, hard[1:])) + [(9001, 9002)]
+    rng.shuffle(links)
+    got = {r.node: r.label for r in jaccard_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(names, 1) | dict.fromkeys(hard, min(hard)) | {9001: 9001, 9002: 9001}
+
+
 def test_keep_one(docs, fixture_rows):
     components = brute_components([r[:2] for r in fixture_rows], 5, 80)
     want = {c for _, n, c in components if n} | {k for k, n, _ in components if not n}
