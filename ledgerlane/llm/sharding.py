@@ -1,11 +1,13 @@
 """Sharding by balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
-Documents with equal texts are linked. A group's documents start on shards dealt by a hash, and in each round a Spark
-join tells every (group, shard) bundle the shard where most of its neighbours are; bundles move there in a fixed
-order as long as the shard's quota of documents lasts (the last one in part). Bundles, not documents, are the rows of
-the rounds, so a group with a third of all documents is eight rows. Documents without a link have no edge to cut and
-fill up the shards at the end, so that counts are at most one apart (the law ``rows``). Only per-shard totals reach
-the driver.
+Documents with equal texts are linked, and a group's documents start dealt over the shards by a hash. A group too large
+for any shard first gets whole shards (there are fewer such groups than shards), and what is left of it goes to one
+shard where one has the room: split, it would cut more than small groups do. In each round every other open group asks for the shard where most of its documents are, of those that still have room for all of it; groups move there as
+a whole, in a fixed order, as long as the room lasts. Rounds go on until no open group has a shard with room for it;
+only whole moves are made, so that each lowers the cut. Groups that fit nowhere, and then documents without a link, which have no edge to cut, fill up
+the shards one after the other, so that counts are at most one apart (the law ``rows``) and fewer of these groups
+than there are shards are cut. Groups, not documents, are the rows of the rounds. Only per-shard totals and the
+oversize groups reach the driver.
 
 Cases: null text counts as empty, with size 1; empty tables give empty results; repeated rows and repeated or null
 ids are documents of their own, told apart only by their position; long texts are only hashed; with fewer documents
@@ -28,25 +30,39 @@ def _lookup(values: dict[int, int], key: Column) -> Column:
     return F.coalesce(F.element_at(F.array(*[F.lit(values.get(s, 0)).cast("long") for s in range(max(values) + 1)]), (key + 1).cast("int")), F.lit(0))
 
 
-def propagate(bundles: DataFrame, shards: int, quota: dict[int, int], rounds: int) -> DataFrame:
-    """Rounds of label propagation over (group, shard, c); no shard's linked documents grow past its quota."""
-    for _ in range(rounds):
-        loads = {r.shard: r.c for r in bundles.groupBy("shard").agg(F.sum("c").alias("c")).collect()}
-        free = {s: max(0, quota[s] - loads.get(s, 0)) for s in range(shards)}
-        turn = F.pmod(F.col("text_hash") + F.col("shard"), F.lit(shards))
-        goal = bundles.groupBy(*GROUP).agg(F.max_by("shard", F.struct("c", turn)).alias("goal"))
-        asked = bundles.join(goal, GROUP).filter(F.col("goal") != F.col("shard"))
-        placed = slots(asked, ["goal"], [F.col(k) for k in [*GROUP, "shard"]], "at", weight=F.col("c"))
-        placed = materialize(placed.withColumn("moved", F.least(F.col("c"), F.greatest(F.lit(0), _lookup(free, F.col("goal")) - F.col("at")))), "moves")
-        if not placed.agg(F.sum("moved")).first()[0]:
-            break
-        moves = placed.filter("moved > 0")
-        changed = moves.select(*GROUP, F.col("goal").alias("shard"), F.col("moved").alias("c")).unionByName(moves.select(*GROUP, "shard", (-F.col("moved")).alias("c")))
-        bundles = materialize(bundles.unionByName(changed).groupBy(*GROUP, "shard").agg(F.sum("c").alias("c")).filter("c > 0"), "bundles")
-    return bundles
-
-
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def propagate(groups: DataFrame, shards: int, free: dict[int, int]) -> tuple[list[DataFrame], list[DataFrame], dict[int, int]]:
+    """Rounds of label propagation over groups (with n): those placed whole (with shard and c), those with no shard that has room (with c), and the room left."""
+    placed, left = [], []
+    while True:
+        # Document k of a group starts on shard (hash + k) mod shards.
+        dealt = lambda s: F.floor(F.col("n") / shards) + (F.pmod(F.lit(s) - F.pmod("text_hash", F.lit(shards)), F.lit(shards)) < F.col("n") % shards).cast("long")
+        turn = lambda s: F.pmod(F.pmod("text_hash", F.lit(shards)) + s, F.lit(shards))
+        choices = F.array(*[F.when(F.col("n") <= free[s], F.struct(dealt(s).alias("c"), turn(s).alias("turn"), F.lit(s).alias("shard"))) for s in range(shards)])
+        asked = materialize(groups.withColumn("goal", F.array_max(choices).shard), "asked")
+        left.append(asked.filter("goal IS NULL").select(*GROUP, F.col("n").alias("c")))
+        ranked = slots(asked.filter("goal IS NOT NULL"), ["goal"], [F.col(k) for k in GROUP], "at", weight=F.col("n"))
+        ranked = materialize(ranked.withColumn("fits", F.col("at") + F.col("n") <= _lookup(free, F.col("goal"))), "moves")
+        moved = {r.goal: r.n for r in ranked.filter("fits").groupBy("goal").agg(F.sum("n").alias("n")).collect()}
+        if not moved:
+            return placed, left, free
+        placed.append(ranked.filter("fits").select(*GROUP, F.col("goal").alias("shard"), F.col("n").alias("c")))
+        free = {s: free[s] - moved.get(s, 0) for s in range(shards)}
+        groups = ranked.filter("NOT fits").select(*GROUP, "n")
+
+
+def place_oversize(sizes: list[int], free: dict[int, int]) -> tuple[list[list[tuple[int, int]]], list[int], dict[int, int]]:
+    """Whole shards (shard, c) for each oversize group, largest first; what is left of each; and the room left."""
+    free, whole, rest = dict(free), [[] for _ in sizes], list(sizes)
+    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+        for s in sorted(free, key=lambda s: (-free[s], s)):
+            if 0 < free[s] <= rest[k]:
+                whole[k].append((s, free[s]))
+                rest[k] -= free[s]
+                free[s] = 0
+    return whole, rest, free
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: size, checksum, law, shard, slot (gapless from 0 in its shard) and grown_shard (null)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
@@ -54,29 +70,44 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: s
     groups = materialize(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")), "groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     quota = {s: total // shards + (s < total % shards) for s in range(shards)}
+    most = max(quota.values())
+
+    # Groups over a shard's quota are fewer than shards, unless no two documents share a shard: then nothing can be kept together.
+    large = groups.filter(F.col("n") > most).orderBy("n", *GROUP).collect()
+    whole, rest, free = place_oversize([g.n for g in large], quota)
+    fixed = [(g.text_hash, g.text_crc32, g.size, s, c) for g, own in zip(large, whole, strict=True) for s, c in own]
+    ends = []
+    for g, n in zip(large, rest, strict=True):
+        room = min(((f, s) for s, f in free.items() if f >= n > 0), default=None)
+        if room:
+            fixed.append((g.text_hash, g.text_crc32, g.size, room[1], n))
+            free[room[1]] -= n
+        elif n:
+            ends.append((g.text_hash, g.text_crc32, g.size, n))
+    placed, left, free = propagate(groups.filter((F.col("n") > 1) & (F.col("n") <= most)), shards, free)
+    key = "text_hash long, text_crc32 long, size long"
+    spark = docs.sparkSession
+    kept = spark.createDataFrame(fixed, f"{key}, shard int, c long")
+    for part in placed:
+        kept = kept.unionByName(part)
 
-    # Linked groups start evenly over the shards: document k of a group is on shard (hash + k) mod shards.
-    first = F.explode(F.sequence(F.lit(0), (F.least(F.col("n"), F.lit(shards)) - 1).cast("int"))).alias("k")
-    bundles = groups.filter("n > 1").select(*GROUP, "n", first)
-    bundles = bundles.select(
-        *GROUP, F.pmod(F.col("text_hash") + F.col("k"), F.lit(shards)).cast("int").alias("shard"), (F.floor(F.col("n") / shards) + (F.col("k") < F.col("n") % shards).cast("long")).alias("c")
-    )
-    bundles = propagate(bundles, shards, quota, rounds)
-
-    # Linked documents over a shard's quota, and all documents without a link, fill the room that is left.
-    over = slots(bundles, ["shard"], [F.col(k) for k in GROUP], "at", weight=F.col("c"))
-    kept = F.greatest(F.lit(0), F.least(F.col("c"), _lookup(quota, F.col("shard")) - F.col("at")))
-    over = materialize(over.withColumn("kept", kept), "kept")
-    loads = {r.shard: r.c for r in over.groupBy("shard").agg(F.sum("kept").alias("c")).collect()}
-    loose = over.filter("c > kept").select(*GROUP, (F.col("c") - F.col("kept")).alias("c")).unionByName(groups.filter("n = 1").select(*GROUP, F.col("n").alias("c")))
-    loose = slots(loose, [], [F.col(k) for k in [*GROUP, "c"]], "at", weight=F.col("c"))
+    # What fits in no shard, and then all documents without a link, fill the room that is left, the largest room first.
+    cut = spark.createDataFrame(ends, f"{key}, c long")
+    for part in left:
+        cut = cut.unionByName(part)
+    cut = materialize(cut, "cut")
+    before = cut.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    order = [F.col(k) for k in [*GROUP, "c"]]
+    loose = slots(cut, [], order, "at", weight=F.col("c"))
+    single = slots(groups.filter("n = 1").select(*GROUP, F.col("n").alias("c")), [], order, "at", weight=F.col("c"))
+    loose = loose.unionByName(single.withColumn("at", F.col("at") + before))
     room, start = [], 0
-    for s in range(shards):
-        end = start + quota[s] - loads.get(s, 0)
+    for s in sorted(free, key=lambda s: (-free[s], s)):
+        end = start + free[s]
         room.append(F.struct(F.lit(s).alias("shard"), F.greatest(F.col("at"), F.lit(start)).alias("a"), F.least(F.col("at") + F.col("c"), F.lit(end)).alias("b")))
         start = end
     filled = loose.select(*GROUP, F.explode(F.filter(F.array(*room), lambda x: x.a < x.b)).alias("p")).select(*GROUP, "p.shard", (F.col("p.b") - F.col("p.a")).alias("c"))
-    shares = over.filter("kept > 0").select(*GROUP, "shard", F.col("kept").alias("c")).unionByName(filled).groupBy(*GROUP, "shard").agg(F.sum("c").alias("c"))
+    shares = kept.unionByName(filled).groupBy(*GROUP, "shard").agg(F.sum("c").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*GROUP).orderBy("shard"))
     shares = shares.withColumn("upto", upto).groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("shares"))
 

@@ -276,6 +276,19 @@ def test_sharding(docs, fixture_rows):
     assert sum(len(s) > 1 for s in groups.values()) <= 1
 
 
+@pytest.mark.parametrize("alone", [0, 40])
+def test_sharding_keeps_groups_whole_beside_a_hot_one(spark, alone):
+    texts = ["hot"] * 400 + [f"group {k}" for k in range(200) for _ in range(2 + k % 5)] + [f"alone {k}" for k in range(alone)]
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    sizes, found = Counter(r.shard for r in rows), defaultdict(set)
+    for r in rows:
+        found[texts[r.doc_id]].add(r.shard)
+    assert len(rows) == len(texts) and set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+    # 400 of 1200 or 1240 documents take two whole shards and a part; the rest cut a few groups at most, none if there are single ones.
+    assert len(found.pop("hot")) == 3
+    assert sum(len(s) > 1 for s in found.values()) <= (0 if alone else 7)
+
+
 def test_empty_tables(no_docs):
     for found in (packing.pack_documents, suffix_dedup.remove_repeats, tokens.count_tokens, quality_rules.quality_report, quality_rules.clean_documents, secret_scan.scan_secrets, secret_scan.redact_documents, jaccard_join.jaccard_components, jaccard_join.keep_one, sharding.shard_documents):
         assert found(no_docs).count() == 0
