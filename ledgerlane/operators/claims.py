@@ -60,20 +60,19 @@ def unclaimed(settlements: DataFrame, results: DataFrame) -> DataFrame:
     return settlements.join(taken, "payment_id", "left_anti")
 
 
-def aggregated_settlements(results: DataFrame, settlements: DataFrame, policy: Policy) -> DataFrame:
+def aggregated_settlements(results: DataFrame, settlements: DataFrame, policy: Policy, batch: str | None = None) -> DataFrame:
     """payment_id, pop_seq, record_ids of unclaimed settlements that are the sum of one pair or triple of unmatched records only.
 
     Meaningful, and done, only where 2 to ``max_aggregation_candidates`` records are unmatched in all; the guard is a count in
-    the plan, so the combinations are of a list of bounded size.
+    the plan, so the combinations are of a list of bounded size. With ``batch``, a column of both tables, each batch is apart.
     """
     cap = policy.max_aggregation_candidates
-    left = unmatched(results).select("seq", "record_id", "amount_minor", "order_date")
-    # The head of the list is enough to know whether it is too long, and bounds what is combined.
-    few = left.orderBy("seq").limit(cap + 1)
-    size = few.agg(F.count(F.lit(1)).alias("n_unmatched"))
-    pool = few.join(F.broadcast(size), how="cross").filter((F.col("n_unmatched") >= 2) & (F.col("n_unmatched") <= cap)).drop("n_unmatched")
-    members = F.broadcast(pool.agg(F.array_sort(F.collect_list(F.struct("seq", "record_id", "amount_minor", "order_date"))).alias("pool")))
-    rows = unclaimed(settlements, results).select("pop_seq", "payment_id", "gross_amount_minor", F.col("order_date").alias("s_date")).join(members, how="cross")
+    of = F.col(batch) if batch else F.lit(0)
+    left = unmatched(results).select(of.alias("batch"), "seq", "record_id", "amount_minor", "order_date")
+    # Only batches within the guard are collected to lists.
+    size = left.groupBy("batch").agg(F.count(F.lit(1)).alias("n_unmatched")).filter((F.col("n_unmatched") >= 2) & (F.col("n_unmatched") <= cap)).select("batch")
+    members = left.join(size, "batch").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("seq", "record_id", "amount_minor", "order_date"))).alias("pool"))
+    rows = unclaimed(settlements, results).select(of.alias("batch"), "pop_seq", "payment_id", "gross_amount_minor", F.col("order_date").alias("s_date")).join(members, "batch").drop("batch")
     fits = F.filter("pool", lambda r: (r.amount_minor < F.col("gross_amount_minor")) & (values.days_between(r.order_date, F.col("s_date")) <= policy.candidate_search_window_days))
     rows = rows.withColumn("pool", fits).filter(F.size("pool") >= 2)
     one = rows.select("pop_seq", "payment_id", "gross_amount_minor", F.posexplode("pool").alias("i", "a"), "pool")

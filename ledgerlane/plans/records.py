@@ -162,6 +162,33 @@ def aggregated_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.aggregated_settlements(small, sums, Policy()).select("payment_id", F.array_join("members", ",").alias("members"))
 
 
+# All orders, dealt into batches of thirty keys; each batch has three such settlements.
+
+_DEALT = "SELECT o_orderkey AS seq, o_orderkey // 30 AS batch, o_orderkey % 30 AS place, 'R' || CAST(o_orderkey AS VARCHAR) AS record_id, CAST(round(o_totalprice * 100) AS BIGINT) AS amount_minor FROM orders"
+_DEALT_SUMS = """SELECT batch * 3 + n AS pop_seq, batch, 'sum_' || CAST(batch * 3 + n AS VARCHAR) AS payment_id, sum(amount_minor) + CASE n WHEN 2 THEN 1 ELSE 0 END AS gross
+    FROM (SELECT *, CASE WHEN place IN (3, 11) THEN 0 WHEN place IN (5, 17, 23) THEN 1 WHEN place IN (20, 29) THEN 2 END AS n FROM small) WHERE n IS NOT NULL GROUP BY batch, n"""
+
+
+@query(
+    f"""WITH small AS ({_DEALT}), sums AS ({_DEALT_SUMS}), combos AS (
+        SELECT a.batch, a.record_id || ',' || b.record_id AS members, a.amount_minor + b.amount_minor AS total, greatest(a.amount_minor, b.amount_minor) AS top FROM small a JOIN small b ON a.batch = b.batch AND a.seq < b.seq
+        UNION ALL SELECT a.batch, a.record_id || ',' || b.record_id || ',' || c.record_id, a.amount_minor + b.amount_minor + c.amount_minor, greatest(a.amount_minor, b.amount_minor, c.amount_minor)
+        FROM small a JOIN small b ON a.batch = b.batch AND a.seq < b.seq JOIN small c ON b.batch = c.batch AND b.seq < c.seq)
+        SELECT payment_id, min(members) AS members FROM sums s JOIN combos c ON s.batch = c.batch AND abs(total - gross) <= 2 AND top < gross GROUP BY payment_id HAVING count(*) = 1"""
+)
+def aggregated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    day = F.lit("2026-03-01").cast("timestamp")
+    small = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        k.alias("seq"), F.floor(k / 30).alias("batch"), (k % 30).alias("place"), F.concat(F.lit("R"), k.cast("string")).alias("record_id"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("amount_minor"),
+        day.alias("order_date"), F.lit("EXCEPTION").alias("outcome"), F.lit(None).cast("string").alias("matched_payment_id"),
+    )
+    n = F.when(F.col("place").isin(3, 11), 0).when(F.col("place").isin(5, 17, 23), 1).when(F.col("place").isin(20, 29), 2)
+    sums = small.withColumn("n", n).filter("n IS NOT NULL").groupBy("batch", "n").agg((F.sum("amount_minor") + F.when(F.col("n") == 2, 1).otherwise(0)).alias("gross_amount_minor"))
+    sums = sums.withColumn("pop_seq", F.col("batch") * 3 + F.col("n")).select("batch", "pop_seq", F.concat(F.lit("sum_"), F.col("pop_seq").cast("string")).alias("payment_id"), "gross_amount_minor", day.alias("order_date"))
+    return claims.aggregated_settlements(small, sums, Policy(), batch="batch").select("payment_id", F.array_join("members", ",").alias("members"))
+
+
 # Reading and mapping exports.
 
 _AMOUNT_TEXT = "CASE o_orderkey % 6 WHEN 0 THEN CAST(CAST(o_totalprice AS BIGINT) AS {0}) || '.50' WHEN 1 THEN '₹' || CAST(CAST(o_totalprice AS BIGINT) AS {0}) WHEN 2 THEN '(' || CAST(CAST(o_totalprice AS BIGINT) AS {0}) || '.25)' WHEN 3 THEN '-' || CAST(CAST(o_totalprice AS BIGINT) AS {0}) WHEN 4 THEN 'n/a' ELSE CAST(o_orderkey AS {0}) || ',000.75 Cr' END"

@@ -1,11 +1,15 @@
 """Outcomes of small planted populations, and properties of the whole batch."""
 
+from collections import Counter
+
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlane.operators import audit, claims, decisions, metrics, review, trace
 from ledgerlane.operators.verdicts import CallableVerifier
+from ledgerlane.plans.catalogue import ORACLES, QUERIES
 from ledgerlane.plans.population import populations
 from ledgerlane.schemas import LEDGER, SETTLEMENT, Policy
 from ledgerlane.sinks import store
@@ -100,6 +104,32 @@ def test_sums_are_proposed_only_when_unique(spark):
     assert {r.record_id: r.exception_type for r in done.collect()} == {"O0": "AGGREGATED_SETTLEMENT", "O1": "AGGREGATED_SETTLEMENT", "O2": "MISSING_SETTLEMENT"}
 
 
+@pytest.mark.parametrize("name", ["aggregated_batches", "pending_all", "aggregated_settlements", "pending"])
+def test_whole_table_queries_agree_with_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    want = Counter(db.execute(ORACLES[name]).fetchall())
+    got = Counter(tuple(bool(x) if k == "pending" else x for k, x in r.asDict().items()) for r in QUERIES[name](spark, sf).collect())
+    assert got == want and want
+    if name == "aggregated_batches":
+        n = db.execute("SELECT count(DISTINCT o_orderkey // 30) FROM orders").fetchone()[0]
+        assert n > 10 and len(want) > n
+    if name == "pending_all":
+        assert sum(want.values()) == db.execute("SELECT count(*) FROM orders").fetchone()[0] and len({p for _, p in want}) == 2
+
+
+def test_sums_of_batches_are_guarded_apart(spark):
+    day = DAY.to_pydatetime()
+    rows = [(k, b, f"R{k}", 1000 + k * k * 7, day, "EXCEPTION", None) for k, b in [(1, 1), (2, 1), (4, 1), *[(100 + k, 2) for k in range(41)], (300, 3)]]
+    left = spark.createDataFrame(rows, "seq long, batch long, record_id string, amount_minor long, order_date timestamp, outcome string, matched_payment_id string")
+    total = lambda *of: sum(r[3] for r in rows if r[0] in of)
+    right = spark.createDataFrame([(1, 1, "s1", total(1, 4), day), (2, 2, "s2", total(100, 140), day), (3, 3, "s3", total(1, 4), day)], "pop_seq long, batch long, payment_id string, gross_amount_minor long, order_date timestamp")
+    found = claims.aggregated_settlements(left, right, Policy(), batch="batch").collect()
+    assert [(r.payment_id, r.members) for r in found] == [("s1", ["R1", "R4"])]
+    assert claims.aggregated_settlements(left, right, Policy()).count() == 0
+
+
 def test_empty_sides(spark):
     none = settlements(spark, {}).limit(0)
     rows = decisions.decide(decisions.prepare(ledger(spark, {}), none))
