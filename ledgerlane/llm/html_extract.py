@@ -5,10 +5,12 @@
    article or main element are article blocks, all others are undecided.
 2. The token stream of each page - all its blocks - is searched per host: a suffix array over the streams' parts
    (sharded by content, so a host may have any number of pages) finds long substrings that repeat across distinct
-   pages. In undecided blocks, tokens they cover are boilerplate.
-3. Articles may quote each other. In article blocks, tokens are boilerplate only where each byte string of the searched
-   length is on many distinct pages of the host (``many``, or half of a small host's pages, but three at least). An
-   article with nothing else is a copy, and stays.
+   pages. In undecided blocks, tokens they cover are boilerplate. Most parts of a stream have a key that no other page
+   of the host has: batches of pages first send their distinct keys, as blocks of numbers, to the tasks of their hash
+   ranges and get back those that others have as well, so that only their parts become rows.
+3. Articles may quote each other. In article blocks, tokens are boilerplate only where they are in strings of the
+   searched length that are part of the host's template: on a share of ``many`` of the host's pages (half of them), and
+   on four at least. An article with nothing else is a copy, and stays.
 
 Cases: null html is an empty page with empty text; a null url counts as its own host; empty tables give empty
 results; repeated rows are pages of their own (two equal pages without an article are each other's repeats only if
@@ -18,20 +20,23 @@ are passed by.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_batches, materialize, texts
-from .suffix_dedup import repeated_ranges, window_hashes
+from .bytehash import fold, splitmix
+from .common import columns, map_batches, materialize, sliced, texts
+from .suffix_dedup import counted_ranges, segments
 from .url_filter import split_url
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -58,6 +63,10 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: Kinds of blocks in a stream.
+APART_BLOCK, OPEN_BLOCK, ARTICLE_BLOCK = 0, 1, 2
+
+
 @dataclass
 class Block:
     text: str
@@ -143,33 +152,162 @@ def blocks(page: str) -> list[Block]:
 
 
 def _parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, row_key, url, host, the stream of all blocks, and where those that are not apart are in it (in bytes), with ``inside`` for article blocks."""
+    """batch, page_id, row_key, url, scope (of the host), the stream of all blocks (packed), and of each block where it is in it (in bytes) and its kind."""
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for k, batch in enumerate(part for batch in batches for part in sliced(batch)):
             streams, places = [], []
             for page in texts(batch, "html"):
                 stream, marks, size = [], [], 0
                 for b in blocks(page):
                     data = b.text.encode()
-                    if not b.apart:
-                        marks.append((size, size + len(data), b.article))
+                    marks.append((size, size + len(data), APART_BLOCK if b.apart else ARTICLE_BLOCK if b.article else OPEN_BLOCK))
                     stream.append(data)
                     size += len(data) + 1
-                streams.append(b"\n".join(stream).decode())
+                streams.append(pack(b"\n".join(stream)))
                 places.append(marks)
-            return columns(
-                page_id=batch.column("page_id"), row_key=batch.column("row_key"), url=batch.column("url"),
-                host=pa.array([split_url(u)[0] or "" for u in batch.column("url").to_pylist()], pa.string()), stream=pa.array(streams, pa.string()),
+            number = (TaskContext.get().partitionId() << 32) + k
+            hosts = [split_url(u)[0] or "" for u in batch.column("url").to_pylist()]
+            yield columns(
+                batch=pa.array([number] * len(hosts), pa.int64()), page_id=batch.column("page_id"), row_key=batch.column("row_key"), url=batch.column("url"),
+                scope=pa.array([int.from_bytes(hashlib.blake2b(h.encode(), digest_size=8).digest(), "big", signed=True) for h in hosts], pa.int64()), stream=pa.array(streams, pa.binary()),
                 starts=pa.array([[a for a, _, _ in p] for p in places], pa.list_(pa.int32())), ends=pa.array([[b for _, b, _ in p] for p in places], pa.list_(pa.int32())),
-                inside=pa.array([[i for _, _, i in p] for p in places], pa.list_(pa.bool_())),
+                kinds=pa.array([[i for _, _, i in p] for p in places], pa.list_(pa.int8())),
             )
 
-        return step
-
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), key.alias("row_key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return map_batches(chosen, make, "page_id long, row_key long, url string, host string, stream string, starts array<int>, ends array<int>, inside array<boolean>")
+    return chosen.mapInArrow(run, "batch long, page_id long, row_key long, url string, scope long, stream binary, starts array<int>, ends array<int>, kinds array<tinyint>")
+
+
+def _segments(data: bytes, scope: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The segments of a stream, with keys of their host's own."""
+    key, *rest = segments(np.frombuffer(data, dtype=np.uint8), length, gram)
+    if len(key):
+        key = fold([key.view(np.uint64), np.full(len(key), np.int64(scope)).view(np.uint64)]).view(np.int64)
+    return key, *rest
+
+
+def _touched(a: np.ndarray, b: np.ndarray, length: int, starts: list[int], ends: list[int], kinds: list[int]) -> np.ndarray:
+    """For each segment the kinds of its blocks, as bits: 1 for open ones, 2 for article ones."""
+    start, end, kind = (np.array(x, dtype=np.int64) for x in (starts, ends, kinds))
+    bits = np.zeros(len(a), dtype=np.uint8)
+    for bit in (OPEN_BLOCK, ARTICLE_BLOCK):
+        first, last = start[kind == bit], end[kind == bit]
+        bits |= np.where(np.searchsorted(first, b - 1 + length, side="left") > np.searchsorted(last, a, side="right"), bit, 0).astype(np.uint8)
+    return bits
+
+
+def key_blocks(parsed: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
+    """batch, part, and the distinct keys of a batch in a hash range with, of each, its number of pages and the kinds of blocks it is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        number, held = None, []
+
+        def flush() -> pa.RecordBatch | None:
+            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, dtype=np.int64)
+            if not len(keys):
+                return None
+            order = np.argsort(keys, kind="stable")
+            keys, bits = keys[order], np.concatenate([b for _, b in held])[order]
+            head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            counts, bits, keys = np.diff(np.append(head, len(keys))).astype(np.uint16), np.bitwise_or.reduceat(bits, head), keys[head]
+            of = (splitmix(keys.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            parts = [p for p in np.split(order, np.cumsum(np.bincount(of, minlength=ranges))[:-1]) if len(p)]
+            return columns(
+                batch=pa.array([number] * len(parts), pa.int64()), part=pa.array([int(of[p[0]]) for p in parts], pa.int32()), keys=pa.array([keys[p].tobytes() for p in parts], pa.binary()),
+                counts=pa.array([counts[p].tobytes() for p in parts], pa.binary()), bits=pa.array([bits[p].tobytes() for p in parts], pa.binary()),
+            )
+
+        # Rows of a batch are written, and so read, one after the other; where a split parts them, each part counts.
+        for batch in batches:
+            for own, scope, stream, starts, ends, kinds in zip(*(batch.column(c).to_pylist() for c in ("batch", "scope", "stream", "starts", "ends", "kinds")), strict=True):
+                if own != number:
+                    if (out := flush()) is not None:
+                        yield out
+                    number, held = own, []
+                key, _, a, b, _ = _segments(unpack(stream), scope, length, gram)
+                order = np.argsort(key, kind="stable")
+                key, bits = key[order], _touched(a, b, length, starts, ends, kinds)[order]
+                if len(key):
+                    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                    held.append((key[head], np.bitwise_or.reduceat(bits, head)))
+        if (out := flush()) is not None:
+            yield out
+
+    return parsed.select("batch", "scope", "stream", "starts", "ends", "kinds").mapInArrow(run, "batch long, part int, keys binary, counts binary, bits binary")
+
+
+def shared_keys(blocks_of: DataFrame, ranges: int) -> DataFrame:
+    """batch, keys, counts and bits: the keys of a batch that two pages have, one of them outside what is apart, with the pages of all batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("batch", "keys", "counts", "bits")), strict=True)]
+        if not rows:
+            return
+        keys = np.concatenate([np.frombuffer(k, dtype=np.int64) for _, k, _, _ in rows])
+        found, at = np.unique(keys, return_inverse=True)
+        totals = np.zeros(len(found), dtype=np.int64)
+        np.add.at(totals, at, np.concatenate([np.frombuffer(c, dtype=np.uint16) for _, _, c, _ in rows]))
+        bits = np.zeros(len(found), dtype=np.uint8)
+        np.bitwise_or.at(bits, at, np.concatenate([np.frombuffer(b, dtype=np.uint8) for _, _, _, b in rows]))
+        wanted = ((totals > 1) & (bits > 0))[at]
+        start = 0
+        for number, block, _, _ in rows:
+            end = start + len(block) // 8
+            chosen = np.flatnonzero(wanted[start:end]) + start
+            if len(chosen):
+                yield columns(
+                    batch=pa.array([number], pa.int64()), keys=pa.array([keys[chosen].tobytes()], pa.binary()), counts=pa.array([totals[at[chosen]].astype(np.uint32).tobytes()], pa.binary()),
+                    bits=pa.array([bits[at[chosen]].tobytes()], pa.binary()),
+                )
+            start = end
+
+    return blocks_of.repartition(ranges, "part").mapInArrow(run, "batch long, keys binary, counts binary, bits binary")
+
+
+def shared_segments(parsed: DataFrame, shared: DataFrame, needs: DataFrame, length: int, gram: int) -> DataFrame:
+    """The segments of all pages whose key open blocks share, or article blocks on as many pages as their host needs; with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        number, need_of, known, table = None, {}, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            names = ("batch", "kind", "scopes", "needs", "keys", "counts", "bits", "page_id", "row_key", "scope", "stream")
+            for own, kind, scopes, need, keys, counts, bits, page_id, row_key, scope, stream in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if own != number:
+                    number, need_of, known, table = own, {}, [], None
+                if kind == 0:
+                    need_of = dict(zip(scopes, need, strict=True))
+                elif kind == 1:
+                    known.append((np.frombuffer(keys, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32), np.frombuffer(bits, dtype=np.uint8)))
+                elif known:
+                    if table is None:
+                        joined = [np.concatenate(x) for x in zip(*known, strict=True)]
+                        order = np.argsort(joined[0])
+                        table = [x[order] for x in joined]
+                    data = unpack(stream)
+                    key, seg_hash, a, b, again = _segments(data, scope, length, gram)
+                    at = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
+                    hit = (table[0][at] == key) & ((table[2][at] & OPEN_BLOCK > 0) | (table[1][at] >= need_of[scope]))
+                    for k in np.flatnonzero(hit).tolist():
+                        out.append((page_id, row_key, int(key[k]), int(seg_hash[k]), int(a[k]), int(b[k]), bool(again[k]), need_of[scope], data[a[k] : b[k] - 1 + length]))
+            types = {"doc_id": pa.int64(), "row_key": pa.int64(), "key": pa.int64(), "seg_hash": pa.int64(), "a": pa.int32(), "b": pa.int32(), "self": pa.bool_(), "need": pa.int64(), "piece": pa.binary()}
+            yield columns(**{c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(types.items())})
+
+    names = {"scopes": "array<long>", "needs": "array<long>", "keys": "binary", "counts": "binary", "bits": "binary", "page_id": "long", "row_key": "long", "scope": "long", "stream": "binary"}
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        return df.select("batch", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in names.items()])
+
+    # Pages of batches without a shared key stay where they are; of the others, what is known of the batch comes first.
+    pages = parsed.join(shared.select("batch").distinct(), "batch", "left_semi")
+    every = rows(needs, 0).unionByName(rows(shared, 1)).unionByName(rows(pages, 2))
+    return every.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, "doc_id long, row_key long, key long, seg_hash long, a int, b int, self boolean, need long, piece binary")
 
 
 def unique_tokens(data: bytes, places: list[tuple[int, int]], covered: list[tuple[int, int]]) -> Iterator[str]:
@@ -194,78 +332,43 @@ def _same_page(left: str, right: str) -> list:
     return [F.col(f"{left}.page_id").eqNullSafe(F.col(f"{right}.page_id")), F.col(f"{left}.row_key") == F.col(f"{right}.row_key")]
 
 
-def frequent_windows(parsed: DataFrame, ranges: DataFrame, length: int, many: int) -> DataFrame:
-    """page_id, row_key and ``often``: the windows, of those that repeat, on many distinct pages of the host; for keys met in article blocks."""
-
-    def asked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys: set[int] = set()
-        for starts, ends, inside, own in zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "inside", "ranges")), strict=True):
-            places = [(a, b) for a, b, i in zip(starts, ends, inside, strict=True) if i]
-            firsts = [a for a, _ in places]
-            for r in own:
-                # The last article block that starts before the range's end.
-                k = bisect_left(firsts, r["b"] - 1 + length) - 1
-                if k >= 0 and places[k][1] > r["a"]:
-                    keys.add(r["key"])
-        return columns(key=pa.array(list(keys), pa.int64()))
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, keys, owns, ats = [], [], [], []
-        for k, (stream, own) in enumerate(zip(batch.column("stream").to_pylist(), batch.column("ranges").to_pylist(), strict=True)):
-            hashes = window_hashes(np.frombuffer(stream.encode(), dtype=np.uint8), length)
-            for r in own:
-                rows += [k] * (r["b"] - r["a"])
-                keys += [r["key"]] * (r["b"] - r["a"])
-                owns.append(hashes[r["a"] : r["b"]])
-                ats += range(r["a"], r["b"])
-        at = pa.array(rows, pa.int64())
-        return columns(
-            page_id=batch.column("page_id").take(at), row_key=batch.column("row_key").take(at), need=batch.column("need").take(at), key=pa.array(keys, pa.int64()),
-            own=pa.array(np.concatenate([*owns, np.zeros(0, dtype=np.uint64)]).view(np.int64)), at=pa.array(ats, pa.int32()),
-        )
-
-    def with_ranges(some: DataFrame) -> DataFrame:
-        by_page = some.groupBy("page_id", "row_key").agg(F.collect_list(F.struct("key", "a", "b")).alias("ranges"))
-        return parsed.alias("l").join(by_page.alias("r"), _same_page("l", "r")).select("l.*", "r.ranges")
-
-    keys = map_batches(with_ranges(ranges).select("starts", "ends", "inside", "ranges"), lambda: asked, "key long").distinct()
-    chosen = with_ranges(ranges.join(keys, "key", "left_semi")).select("page_id", "row_key", "host", "stream", "ranges").dropDuplicates(["page_id", "row_key"])
-    sizes = parsed.select("host", "page_id", "row_key").distinct().groupBy("host").agg(F.greatest(F.lit(3), F.least(F.lit(many), F.ceil(F.count(F.lit(1)) / 2))).alias("need"))
-    chosen = chosen.join(sizes, "host").select("page_id", "row_key", "stream", "ranges", F.col("need").cast("long").alias("need"))
-    rows = materialize(map_batches(chosen, lambda: windows, "page_id long, row_key long, need long, key long, own long, at int").distinct(), "windows")
-    pages = rows.select("key", "own", "page_id", "row_key", "need").distinct()
-    often = pages.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need").select("key", "own")
-    return rows.join(often, ["key", "own"], "left_semi").groupBy("page_id", "row_key").agg(F.collect_list("at").alias("often"))
-
-
-def extract_articles(pages: DataFrame, length: int = 48, gram: int = 24, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = 10) -> DataFrame:
+def extract_articles(
+    pages: DataFrame, length: int = 64, gram: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: float = 0.5, least_pages: int = 4, ranges: int | None = None,
+) -> DataFrame:
     """One row per page: its id, url, main text and the text's code points. Substrings of ``length`` bytes count as long."""
     parsed = materialize(_parse(pages, id_col, url_col, html_col), "pages")
-    streams = parsed.select(F.col("page_id").alias("doc_id"), "row_key", F.col("stream").alias("text"), "host")
-    _, ranges = repeated_ranges(streams, length, gram, scope=F.col("host"), apart=True)
+    # Hash ranges of some two million keys.
+    ranges = ranges or max(8, parsed.count() // 40_000)
+    shared = materialize(shared_keys(key_blocks(parsed, length, gram, ranges), ranges), "shared")
+    sizes = parsed.select("scope", "page_id", "row_key").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    need = sizes.select("scope", F.greatest(F.lit(least_pages), F.ceil(F.col("n") * many)).cast("long").alias("need"))
+    needs = parsed.select("batch", "scope").distinct().join(need, "scope").groupBy("batch").agg(F.collect_list(F.struct("scope", "need")).alias("n"))
+    needs = needs.select("batch", F.col("n.scope").alias("scopes"), F.col("n.need").alias("needs"))
+    rows = materialize(shared_segments(parsed, shared, needs, length, gram), "segments")
     # Repeated rows are found once each; what they cover is the same.
-    ranges = materialize(ranges.select(F.col("doc_id").alias("page_id"), "row_key", "key", "r.*").distinct(), "ranges")
-    often = frequent_windows(parsed, ranges, length, many)
-    covered = ranges.groupBy("page_id", "row_key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = parsed.alias("l").join(covered.alias("r"), _same_page("l", "r"), "left").join(often.alias("o"), _same_page("l", "o"), "left")
+    only = lambda often: F.collect_set(F.when(F.col("r.often") == often, F.struct("r.a", "r.b")))
+    covered = counted_ranges(rows, length).groupBy(F.col("doc_id").alias("page_id"), "row_key").agg(only(False).alias("ranges"), only(True).alias("often"))
+    joined = parsed.alias("l").join(covered.alias("r"), _same_page("l", "r"), "left")
 
     def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for stream, starts, ends, inside, own, often in zip(*(batch.column(c).to_pylist() for c in ("stream", "starts", "ends", "inside", "ranges", "often")), strict=True):
-                data = stream.encode()
-                repeats = [(r["a"], r["b"] - 1 + length) for r in own or ()]
-                frequent = [(a, a + length) for a in often or ()]
-                places = [(a, b) for a, b, i in zip(starts, ends, inside, strict=True) if i]
+            for stream, starts, ends, kinds, own, often in zip(*(batch.column(c).to_pylist() for c in ("stream", "starts", "ends", "kinds", "ranges", "often")), strict=True):
+                data = unpack(stream)
+                repeats, frequent = ([(r["a"], r["b"] - 1 + length) for r in some or ()] for some in (own, often))
+                marks = [p for p in zip(starts, ends, kinds, strict=True) if p[2] != APART_BLOCK]
+                places = [(a, b) for a, b, kind in marks if kind == ARTICLE_BLOCK]
                 if frequent and next(unique_tokens(data, places, frequent), None) is None:
                     frequent = []
                 found = []
-                for article, group in groupby(zip(starts, ends, inside, strict=True), key=lambda p: p[2]):
-                    found += unique_tokens(data, [(a, b) for a, b, _ in group], frequent if article else repeats)
+                for kind, group in groupby(marks, key=lambda p: p[2]):
+                    found += unique_tokens(data, [(a, b) for a, b, _ in group], frequent if kind == ARTICLE_BLOCK else repeats)
                 out.append(" ".join(found))
             return columns(page_id=batch.column("page_id"), url=batch.column("url"), text=pa.array(out, pa.string()))
 
         return step
 
-    kept = map_batches(joined.select("l.page_id", "l.url", "l.stream", "l.starts", "l.ends", "l.inside", "r.ranges", "o.often"), make, "page_id long, url string, text string")
+    kept = map_batches(joined.select("l.page_id", "l.url", "l.stream", "l.starts", "l.ends", "l.kinds", "r.ranges", "r.often"), make, "page_id long, url string, text string")
     return kept.withColumn("n_chars", F.char_length("text").cast("long"))

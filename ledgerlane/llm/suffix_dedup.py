@@ -8,12 +8,13 @@
 3. The other representatives are joined per shard (some ``shard_bytes`` of them), windows whose hash no other window
    has are left out, and a suffix array of the rest is induced; permuted common prefixes of ``length`` or more join
    neighbours into groups of equal windows, which repeat if the group has two places.
-4. The windows found go back to every place of their representative, and per document to byte ranges.
-   A key whose representatives alone would overfill a shard (a passage in very many different contexts) is split
-   further by the windows' own hashes, which again brings equal windows together.
+4. A key whose representatives alone would overfill a shard (a passage in very many different contexts) is split
+   before: windows whose hash is met once go, and each run of the others is sent to the sub-shards of its windows'
+   hashes. Equal windows have equal hashes, so all places of a window meet in its sub-shard, which is searched as above.
+5. The windows found go back to every place of their representative, and per document to byte ranges.
 
-Only totals reach the driver. Hashes never decide that two windows are equal inside a shard; that two whole segments
-are equal is taken from two 64-bit hashes and their length.
+Only totals reach the driver. Hashes only tell windows apart, and bring equal ones together; that two windows are equal
+is decided on bytes, in a suffix array. That two whole segments are equal is taken from two 64-bit hashes and their length.
 
 Cases: null text counts as empty; texts shorter than ``length`` have no windows; repeated rows are places of their
 own; null ids are kept; empty tables give empty results; other columns are passed by; long texts are taken whole.
@@ -35,6 +36,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SEGMENTS = "doc_id long, row_key long, key long, seg_hash long, a int, b int, self boolean"
+FOUND = "key long, seg_hash long, starts array<int>, ends array<int>, often_starts array<int>, often_ends array<int>"
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,29 +70,25 @@ def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
     return low[start].view(np.int64), range_hash(sums, start, end - 1 + length).view(np.int64), start, end, end - 1 > first
 
 
-def find_segments(docs: DataFrame, length: int, gram: int, scope: Column | None) -> DataFrame:
-    """All segments of all documents (doc_id, row_key, text[, scope])."""
+def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """All segments of all documents (doc_id, row_key, text)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             parts: list[list[np.ndarray]] = [[] for _ in range(5)]
             sizes = []
-            scopes = batch.column("scope").to_pylist()
-            for data, salt in zip(utf8(batch), scopes, strict=True):
+            for data in utf8(batch):
                 found = segments(np.frombuffer(data, dtype=np.uint8), length, gram)
                 sizes.append(len(found[0]))
                 for part, values in zip(parts, found, strict=True):
                     part.append(values)
-                if salt and len(found[0]):
-                    parts[0][-1] = fold([found[0].view(np.uint64), np.full(len(found[0]), np.int64(salt)).view(np.uint64)]).view(np.int64)
             rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             key, seg_hash, a, b, own = (np.concatenate(p) for p in parts)
             return columns(doc_id=batch.column("doc_id").take(rows), row_key=batch.column("row_key").take(rows), key=key, seg_hash=seg_hash, a=pa.array(a.astype(np.int32)), b=pa.array(b.astype(np.int32)), self=own)
 
         return step
 
-    salted = docs.select("doc_id", "row_key", "text", (F.xxhash64(scope) if scope is not None else F.lit(0)).cast("long").alias("scope"))
-    return map_batches(salted, make, SEGMENTS)
+    return map_batches(docs.select("doc_id", "row_key", "text"), make, SEGMENTS)
 
 
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -113,15 +111,30 @@ def ranges_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-def repeats_in_shard(pieces: list[bytes], tags: list[int], length: int, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The maximal ranges of repeating windows: piece, first window and end window. ``tags``: 0 for a piece with several places, else the id of its document.
+def supports(group: np.ndarray, tag: np.ndarray, weight: np.ndarray, n_groups: int) -> np.ndarray:
+    """For each group number from 0: its distinct single documents, or the documents of its widest piece if they are more."""
+    single = tag != 0
+    pairs = np.unique(np.stack((group[single], tag[single])), axis=1)[0] if single.any() else group[:0]
+    total = np.bincount(pairs, minlength=n_groups)
+    np.maximum.at(total, group[~single], weight[~single])
+    return total
 
-    With ``apart`` the places must be in different documents.
+
+def repeats_in_shard(
+    pieces: list[bytes], tags: list[int], length: int, apart: bool, weights: list[int] | None = None, needs: list[int] | None = None
+) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The maximal ranges (piece, first window, end window) of windows that repeat, and of those that do so often.
+
+    ``tags``: 0 for a piece with several places, else the id of its document; with ``apart`` the places must be in
+    different documents. ``weights``: how many documents have a piece; a window is frequent if ``needs`` documents (0:
+    none is) have a piece with it, and no document is counted twice: see :func:`supports`.
     """
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     counts = np.array([len(p) - length + 1 for p in pieces], dtype=np.int64)
     base = np.cumsum(counts) - counts
     tag = np.array(tags, dtype=np.int64)
+    weight = np.array(weights if weights is not None else [1] * len(pieces), dtype=np.int64)
+    need = np.array(needs if needs is not None else [0] * len(pieces), dtype=np.int64)
     # Window w of piece k has number base[k] + w, and starts at that number plus k * (length - 1) in the data.
     piece = np.repeat(np.arange(len(pieces)), counts)
     at = np.arange(len(piece)) + piece * (length - 1)
@@ -134,6 +147,7 @@ def repeats_in_shard(pieces: list[bytes], tags: list[int], length: int, apart: b
     twin[order[1:][equal]] = True
     twin[order[:-1][equal]] = True
     out = np.repeat(tag == 0, counts)
+    often = np.repeat((need > 0) & (weight >= need), counts)
     # The suffix array is of the strings of windows that have a twin.
     starts, ends = runs_of(twin, first)
     if len(starts):
@@ -158,78 +172,144 @@ def repeats_in_shard(pieces: list[bytes], tags: list[int], length: int, apart: b
         else:
             several |= sizes > 1
         out[number[np.repeat(several, sizes)]] = True
-    starts, ends = runs_of(out, first)
-    k = piece[starts]
-    return k, starts - base[k], ends - base[k]
+        if need.any():
+            total = supports(np.repeat(np.arange(len(head)), sizes), own, weight[piece[number]], len(head))
+            needed = need[piece[number[head]]]
+            often[number[np.repeat((needed > 0) & (total >= needed), sizes)]] = True
+
+    def ranges(mask: np.ndarray) -> tuple[np.ndarray, ...]:
+        begin, stop = runs_of(mask, first)
+        k = piece[begin]
+        return k, begin - base[k], stop - base[k]
+
+    return ranges(out), ranges(often)
 
 
-def search_shards(reps: DataFrame, length: int, apart: bool, shard_bytes: int) -> DataFrame:
-    """key, seg_hash and the ranges of repeating windows of representatives (key, seg_hash, tag, piece)."""
+def search_shards(pieces: DataFrame, length: int, apart: bool, shard_bytes: int, total: int) -> DataFrame:
+    """key, seg_hash and the ranges of repeating and of frequent windows of pieces (shard, key, seg_hash, base, tag, weight, need, piece).
+
+    ``base`` is the piece's first window in its segment; some ``total`` bytes are expected.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            piece, starts, ends = repeats_in_shard([h[3] for h in held], [h[2] for h in held], length, apart)
-            offsets = pa.array(np.searchsorted(piece, np.arange(len(held) + 1)).astype(np.int32))
-            return columns(
-                key=pa.array([h[0] for h in held], pa.int64()), seg_hash=pa.array([h[1] for h in held], pa.int64()),
-                starts=pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32))), ends=pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32))),
-            )
+            _, keys, hashes, bases, tags, weights, needs, own = zip(*held, strict=True)
+            base = np.array(bases, dtype=np.int64)
+            lists = []
+            for piece, starts, ends in repeats_in_shard(list(own), list(tags), length, apart, list(weights), list(needs)):
+                offsets = pa.array(np.searchsorted(piece, np.arange(len(held) + 1)).astype(np.int32))
+                lists += [pa.ListArray.from_arrays(offsets, pa.array((x + base[piece]).astype(np.int32))) for x in (starts, ends)]
+            return columns(key=pa.array(keys, pa.int64()), seg_hash=pa.array(hashes, pa.int64()), starts=lists[0], ends=lists[1], often_starts=lists[2], often_ends=lists[3])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "seg_hash", "tag", "piece")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "seg_hash", "base", "tag", "weight", "need", "piece")), strict=True):
                 if size >= shard_bytes and row[0] != held[-1][0]:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[-1])
         if held:
             yield flush()
 
-    total = reps.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
     parts = max(1, -(-total // shard_bytes))
-    return reps.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, seg_hash long, starts array<int>, ends array<int>")
+    return pieces.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
 
 
-def search_windows(reps: DataFrame, length: int, apart: bool) -> DataFrame:
-    """The same for keys with too many representatives: windows are brought together by their own hashes."""
+def split_hot(reps: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """The pieces of hot keys for their sub-shards: the runs of windows with a hash that others have, once for each of their sub-shards."""
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces = batch.column("piece").to_pylist()
-        hashes = [window_hashes(np.frombuffer(p, dtype=np.uint8), length) for p in pieces]
+        hashes = [window_hashes(np.frombuffer(p, dtype=np.uint8), length) for p in batch.column("piece").to_pylist()]
         sizes = [len(h) for h in hashes]
         rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
         return columns(
-            key=batch.column("key").take(rows), seg_hash=batch.column("seg_hash").take(rows), tag=batch.column("tag").take(rows),
-            own=np.concatenate(hashes).view(np.int64), at=pa.array(np.concatenate([np.arange(s) for s in sizes]).astype(np.int32)),
-        )
+            key=batch.column("key").take(rows), seg_hash=batch.column("seg_hash").take(rows), own=np.concatenate(hashes).view(np.int64), at=pa.array(ranges_of(np.zeros(len(sizes), dtype=np.int64), np.array(sizes)).astype(np.int32))
+        )
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, shards, bases, parts = [], [], [], []
+        for k, (key, n_bytes, piece, ats, owns) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "n_bytes", "piece", "ats", "owns")), strict=True)):
+            at = np.array(ats, dtype=np.int64)
+            order = np.argsort(at)
+            at, own = at[order], np.array(owns, dtype=np.int64)[order].view(np.uint64) % np.uint64(-(-n_bytes // shard_bytes))
+            edges = np.flatnonzero(np.diff(at) != 1) + 1
+            for a, part in zip((r[0] for r in np.split(at, edges)), np.split(own, edges), strict=True):
+                for bucket in np.unique(part):
+                    rows.append(k)
+                    shards.append(int(fold([np.array([key], dtype=np.int64).view(np.uint64), np.array([bucket], dtype=np.uint64)]).view(np.int64)[0]))
+                    bases.append(int(a))
+                    parts.append(piece[a : a + len(part) - 1 + length])
+        take = pa.array(rows, pa.int64())
+        kept = {c: batch.column(c).take(take) for c in ("key", "seg_hash", "tag", "weight", "need")}
+        return columns(shard=pa.array(shards, pa.int64()), base=pa.array(bases, pa.int32()), piece=pa.array(parts, pa.binary()), **kept)
+
+    windows = map_batches(reps.select("key", "seg_hash", "piece"), lambda: explode, "key long, seg_hash long, own long, at int")
+    shared = windows.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "own")
+    kept = windows.join(shared, ["key", "own"], "left_semi").groupBy("key", "seg_hash").agg(F.collect_list(F.struct("at", "own")).alias("w"))
+    asked = reps.join(kept, ["key", "seg_hash"]).select(*reps.columns, F.col("w.at").alias("ats"), F.col("w.own").alias("owns"))
+    return map_batches(asked, lambda: cut, "shard long, base int, piece binary, key long, seg_hash long, tag long, weight long, need long")
+
+
+def classes_of(rows: DataFrame, length: int) -> DataFrame:
+    """Equal segments as classes: those of keys that are met again, or repeat inside.
+
+    ``rows`` are segments, with a ``need`` and their bytes as ``piece`` where documents are counted; then a class has a
+    weight, the number of its documents, and is ``several`` only if it has two.
+    """
+    if "need" not in rows.columns:
+        place = F.min(F.struct("doc_id", "row_key", "a", "b")).alias("place")
+        grouped = rows.groupBy("key", "seg_hash").agg(F.count(F.lit(1)).alias("n"), place, F.max("self").alias("self"), F.lit(0).cast("long").alias("weight"), F.lit(0).cast("long").alias("need"))
+        grouped = grouped.withColumn("several", F.col("n") > 1)
+    else:
+        once = rows.groupBy("key", "seg_hash", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "piece")).alias("at"), F.max("self").alias("self"), F.max("need").alias("need"))
+        place = F.min(F.struct("doc_id", "row_key", F.col("at.a").alias("a"), F.col("at.b").alias("b"), F.col("at.piece").alias("piece"))).alias("place")
+        grouped = once.groupBy("key", "seg_hash").agg(F.sum("n").alias("n"), place, F.max("self").alias("self"), F.count(F.lit(1)).alias("weight"), F.max("need").alias("need"))
+        grouped = grouped.withColumn("several", F.col("weight") > 1)
+    size = F.col("place.b") - F.col("place.a") - 1 + length
+    keys = grouped.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("mixed"), F.max("self").alias("inside"), F.sum("n").alias("n_key"), F.sum(size).alias("n_bytes")).filter("n_key > 1 OR inside")
+    return materialize(grouped.drop("self").join(keys, "key").filter("mixed OR inside OR several"), "classes")
+
 
-    rows = map_batches(reps.select("key", "seg_hash", "tag", "piece"), lambda: explode, "key long, seg_hash long, tag long, own long, at int")
-    several = F.min("tag") != F.max("tag") if apart else F.count(F.lit(1)) > 1
-    groups = rows.groupBy("key", "own").agg((several | (F.min(F.abs("tag")) == 0)).alias("several")).filter("several").select("key", "own")
-    hit = rows.join(groups, ["key", "own"], "left_semi")
-    found = hit.groupBy("key", "seg_hash").agg(F.sort_array(F.collect_list("at")).alias("starts"))
-    return found.select("key", "seg_hash", "starts", F.transform("starts", lambda x: x + 1).alias("ends"))
+def _tag() -> Column:
+    return F.when(F.col("several"), F.lit(0)).otherwise(F.xxhash64("doc_id", "row_key"))
 
 
-def repeated_ranges(docs: DataFrame, length: int, gram: int, scope: Column | None = None, apart: bool = False, shard_bytes: int = 4_000_000, hot_bytes: int = 16_000_000) -> tuple[DataFrame, DataFrame]:
+def ranges_in(rows: DataFrame, classes: DataFrame, reps: DataFrame, length: int, apart: bool, shard_bytes: int) -> DataFrame:
+    """doc_id, row_key and the ranges r (a, b, often) of repeating windows, of segments ``rows``.
+
+    ``reps`` has a piece for each class whose key is mixed or repeats inside (key, seg_hash, tag, weight, need, n_bytes, piece).
+    """
+    hot = reps.filter(F.col("n_bytes") > shard_bytes)
+    cool = reps.filter(F.col("n_bytes") <= shard_bytes).select("*", F.col("key").alias("shard"), F.lit(0).alias("base"))
+    total = reps.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
+    searched = search_shards(cool.drop("n_bytes").unionByName(split_hot(hot, length, shard_bytes)), length, apart, shard_bytes, total)
+    # Segments that repeat as a whole, of keys that are not searched or were split.
+    none = F.array().cast("array<int>")
+    whole = classes.filter("NOT mixed AND NOT inside").select("key", "seg_hash", "several", "weight", "need", (F.col("place.b") - F.col("place.a")).alias("n"))
+    whole = whole.unionByName(hot.select("key", "seg_hash", (F.col("tag") == 0).alias("several"), "weight", "need", (F.octet_length("piece") - length + 1).alias("n"))).filter("several")
+    frequent = (F.col("need") > 0) & (F.col("weight") >= F.col("need"))
+    every = F.array(F.col("n").cast("int"))
+    zero = F.array(F.lit(0))
+    whole = whole.select("key", "seg_hash", zero.alias("starts"), every.alias("ends"), F.when(frequent, zero).otherwise(none).alias("often_starts"), F.when(frequent, every).otherwise(none).alias("often_ends"))
+    found = materialize(searched.unionByName(whole).filter(F.size("starts") > 0), "found")
+    moved = lambda c: F.transform(c, lambda x: x + F.col("a"))
+    listed = lambda a, b, often: F.transform(F.arrays_zip(moved(a).alias("a"), moved(b).alias("b")), lambda r: F.struct(r.a.alias("a"), r.b.alias("b"), F.lit(often).alias("often")))
+    own = rows.select("doc_id", "row_key", "key", "seg_hash", "a")
+    return own.join(found, ["key", "seg_hash"]).select("doc_id", "row_key", F.explode(F.concat(listed("starts", "ends", False), listed("often_starts", "often_ends", True))).alias("r"))
+
+
+def repeated_ranges(docs: DataFrame, length: int, gram: int, shard_bytes: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """Two tables by (doc_id, row_key): the documents that may hold repeats, with text; and their repeating window ranges.
 
     ``docs`` has doc_id, row_key (which tells texts apart) and text. Range (a, b) means windows a to b - 1.
     """
-    rows = materialize(find_segments(docs, length, gram, scope), "segments")
-    place = F.struct("doc_id", "row_key", "a", "b")
-    several = (F.min(F.struct("doc_id", "row_key")) != F.max(F.struct("doc_id", "row_key"))) if apart else F.count(F.lit(1)) > 1
-    classes = rows.groupBy("key", "seg_hash").agg(F.count(F.lit(1)).alias("n"), several.alias("several"), F.min(place).alias("place"), F.max("self").alias("self"))
-    keys = rows.groupBy("key").agg((F.min("seg_hash") != F.max("seg_hash")).alias("mixed"), F.max("self").alias("inside"), F.count(F.lit(1)).alias("n_key"), F.sum(F.col("b") - F.col("a") + length).alias("n_bytes"))
-    keys = keys.filter("n_key > 1 OR inside")
+    rows = materialize(find_segments(docs, length, gram), "segments")
     # Equal segments only: no search is needed. Else each class sends one representative to its key's shard.
-    classes = materialize(classes.drop("self").join(keys, "key").filter("mixed OR inside OR several"), "classes")
-    plain = classes.filter("NOT mixed AND NOT inside")
-    searched = classes.filter("mixed OR inside")
-    wanted = searched.select("key", "seg_hash", "several", "n_bytes", "place.*").withColumn("tag", F.when(F.col("several"), F.lit(0)).otherwise(F.xxhash64("doc_id", "row_key")))
+    classes = classes_of(rows, length)
+    wanted = classes.filter("mixed OR inside").select("key", "seg_hash", "several", "n_bytes", "place.*").withColumn("tag", _tag())
     per_doc = wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("key", "seg_hash", "tag", "a", "b", "n_bytes")).alias("wanted"))
     affected = rows.join(classes.select("key").distinct(), "key", "left_semi").select("doc_id", "row_key").distinct()
     same = [F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), F.col("l.row_key") == F.col("r.row_key")]
@@ -240,20 +320,23 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, scope: Column | Non
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for data, own in zip(utf8(batch), batch.column("wanted").to_pylist(), strict=True):
-            out += [(w["key"], w["seg_hash"], w["tag"], w["n_bytes"], data[w["a"] : w["b"] - 1 + length]) for w in own or ()]
-        types = {"key": pa.int64(), "seg_hash": pa.int64(), "tag": pa.int64(), "n_bytes": pa.int64(), "piece": pa.binary()}
+            out += [(w["key"], w["seg_hash"], w["tag"], 0, 0, w["n_bytes"], data[w["a"] : w["b"] - 1 + length]) for w in own or ()]
+        types = {"key": pa.int64(), "seg_hash": pa.int64(), "tag": pa.int64(), "weight": pa.int64(), "need": pa.int64(), "n_bytes": pa.int64(), "piece": pa.binary()}
         return columns(**{c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(types.items())})
 
     # A repeated row would give its representatives twice; one of each is kept.
     once = held.filter("wanted IS NOT NULL").dropDuplicates(["doc_id", "row_key"])
-    reps = materialize(map_batches(once, lambda: extract, "key long, seg_hash long, tag long, n_bytes long, piece binary"), "pieces")
-    cool = search_shards(reps.filter(F.col("n_bytes") <= hot_bytes), length, apart, shard_bytes)
-    hot = search_windows(reps.filter(F.col("n_bytes") > hot_bytes), length, apart)
-    whole = plain.select("key", "seg_hash", F.array(F.lit(0)).alias("starts"), F.array((F.col("place.b") - F.col("place.a")).cast("int")).alias("ends"))
-    found = cool.unionByName(hot).unionByName(whole)
-    found = materialize(found.filter(F.size("starts") > 0), "found")
-    ranges = rows.join(found, ["key", "seg_hash"]).select("doc_id", "row_key", "key", F.explode(F.arrays_zip(F.transform("starts", lambda x: x + F.col("a")).alias("a"), F.transform("ends", lambda x: x + F.col("a")).alias("b"))).alias("r"))
-    return held, ranges
+    reps = materialize(map_batches(once, lambda: extract, "key long, seg_hash long, tag long, weight long, need long, n_bytes long, piece binary"), "pieces")
+    return held, ranges_in(rows, classes, reps, length, False, shard_bytes)
+
+
+def counted_ranges(rows: DataFrame, length: int, shard_bytes: int = 4_000_000) -> DataFrame:
+    """The ranges of segments (with need and piece) that repeat in different documents, and of those that do so often:
+    windows in ``need`` documents, with one segment around them or each with its own."""
+    classes = classes_of(rows, length)
+    reps = classes.filter("mixed OR inside").select("key", "seg_hash", "several", "weight", "need", "n_bytes", "place.doc_id", "place.row_key", "place.piece")
+    reps = reps.select("key", "seg_hash", _tag().alias("tag"), "weight", "need", "n_bytes", "piece")
+    return ranges_in(rows, classes, reps, length, True, shard_bytes)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -264,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, id_col:
     """One row per document: bytes, bytes removed, removed runs and a digest of the bytes left (``with_kept`` adds those bytes)."""
     own = keyed(docs, id_col, text_col)
     held, ranges = repeated_ranges(own, length, gram)
-    ranges = ranges.groupBy("doc_id", "row_key").agg(F.collect_list("r").alias("ranges"))
+    ranges = ranges.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("r.a", "r.b")).alias("ranges"))
     same = [F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), F.col("l.row_key") == F.col("r.row_key")]
     rows = held.select("doc_id", "row_key", "text").alias("l").join(ranges.alias("r"), same, "left").select("l.*", "r.ranges")
     rest = own.alias("l").join(held.select("doc_id", "row_key").distinct().alias("r"), same, "left_anti").select("l.*", F.lit(None).cast("array<struct<a:int,b:int>>").alias("ranges"))

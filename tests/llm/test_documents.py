@@ -96,7 +96,7 @@ def test_suffix_dedup(docs, fixture_rows, length, gram):
 def test_suffix_dedup_splits_hot_keys(docs, fixture_rows):
     own = suffix_dedup.keyed(docs, "doc_id", "text")
     plain = suffix_dedup.repeated_ranges(own, 60, 16)[1]
-    split = suffix_dedup.repeated_ranges(own, 60, 16, shard_bytes=500, hot_bytes=0)[1]
+    split = suffix_dedup.repeated_ranges(own, 60, 16, shard_bytes=500)[1]
 
     def windows(ranges):
         return {(r.doc_id, r.row_key, w) for r in ranges.select("doc_id", "row_key", "r.*").collect() for w in range(r.a, r.b)}
