@@ -65,6 +65,9 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Kinds of blocks in a stream.
 APART_BLOCK, OPEN_BLOCK, ARTICLE_BLOCK = 0, 1, 2
+_LONGS = pa.list_(pa.int64())
+BLOCK_TYPES = {"batch": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "places": pa.binary(), "bits": pa.binary(), "page_ids": _LONGS, "row_keys": _LONGS, "scopes": _LONGS}
+SEGMENT_TYPES = {"doc_id": pa.int64(), "row_key": pa.int64(), "key": pa.int64(), "seg_hash": pa.int64(), "a": pa.int32(), "b": pa.int32(), "self": pa.bool_(), "need": pa.int64(), "piece": pa.binary()}
 
 
 @dataclass
@@ -152,11 +155,12 @@ def blocks(page: str) -> list[Block]:
 
 
 def _parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """batch, page_id, row_key, url, scope (of the host), the stream of all blocks (packed), and of each block where it is in it (in bytes) and its kind."""
+    """page_id, row_key, url, scope (of the host), the stream of all blocks (packed), and of each block where it is in it (in bytes) and its kind."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         pack = zstandard.ZstdCompressor(level=3).compress
-        for k, batch in enumerate(part for batch in batches for part in sliced(batch)):
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             streams, places = [], []
             for page in texts(batch, "html"):
                 stream, marks, size = [], [], 0
@@ -167,18 +171,19 @@ def _parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
                     size += len(data) + 1
                 streams.append(pack(b"\n".join(stream)))
                 places.append(marks)
-            number = (TaskContext.get().partitionId() << 32) + k
             hosts = [split_url(u)[0] or "" for u in batch.column("url").to_pylist()]
-            yield columns(
-                batch=pa.array([number] * len(hosts), pa.int64()), page_id=batch.column("page_id"), row_key=batch.column("row_key"), url=batch.column("url"),
+            return columns(
+                page_id=batch.column("page_id"), row_key=batch.column("row_key"), url=batch.column("url"),
                 scope=pa.array([int.from_bytes(hashlib.blake2b(h.encode(), digest_size=8).digest(), "big", signed=True) for h in hosts], pa.int64()), stream=pa.array(streams, pa.binary()),
                 starts=pa.array([[a for a, _, _ in p] for p in places], pa.list_(pa.int32())), ends=pa.array([[b for _, b, _ in p] for p in places], pa.list_(pa.int32())),
                 kinds=pa.array([[i for _, _, i in p] for p in places], pa.list_(pa.int8())),
             )
 
+        return step
+
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), key.alias("row_key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return chosen.mapInArrow(run, "batch long, page_id long, row_key long, url string, scope long, stream binary, starts array<int>, ends array<int>, kinds array<tinyint>")
+    return map_batches(chosen, make, "page_id long, row_key long, url string, scope long, stream binary, starts array<int>, ends array<int>, kinds array<tinyint>")
 
 
 def _segments(data: bytes, scope: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -200,114 +205,133 @@ def _touched(a: np.ndarray, b: np.ndarray, length: int, starts: list[int], ends:
 
 
 def key_blocks(parsed: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
-    """batch, part, and the distinct keys of a batch in a hash range with, of each, its number of pages and the kinds of blocks it is in."""
+    """For each batch the hash ranges' keys, of each its page's place in the batch and the kinds of blocks it is in; and the pages (part -1)."""
+    names = ("page_id", "row_key", "scope", "stream", "starts", "ends", "kinds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        number, held = None, []
-
-        def flush() -> pa.RecordBatch | None:
-            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, dtype=np.int64)
-            if not len(keys):
-                return None
-            order = np.argsort(keys, kind="stable")
-            keys, bits = keys[order], np.concatenate([b for _, b in held])[order]
-            head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            counts, bits, keys = np.diff(np.append(head, len(keys))).astype(np.uint16), np.bitwise_or.reduceat(bits, head), keys[head]
-            of = (splitmix(keys.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            parts = [p for p in np.split(order, np.cumsum(np.bincount(of, minlength=ranges))[:-1]) if len(p)]
-            return columns(
-                batch=pa.array([number] * len(parts), pa.int64()), part=pa.array([int(of[p[0]]) for p in parts], pa.int32()), keys=pa.array([keys[p].tobytes() for p in parts], pa.binary()),
-                counts=pa.array([counts[p].tobytes() for p in parts], pa.binary()), bits=pa.array([bits[p].tobytes() for p in parts], pa.binary()),
-            )
-
-        # Rows of a batch are written, and so read, one after the other; where a split parts them, each part counts.
-        for batch in batches:
-            for own, scope, stream, starts, ends, kinds in zip(*(batch.column(c).to_pylist() for c in ("batch", "scope", "stream", "starts", "ends", "kinds")), strict=True):
-                if own != number:
-                    if (out := flush()) is not None:
-                        yield out
-                    number, held = own, []
+        for k, batch in enumerate(part for batch in batches for part in sliced(batch)):
+            number = (TaskContext.get().partitionId() << 32) + k
+            keys, places, bits = ([np.zeros(0, dtype=t)] for t in (np.int64, np.uint16, np.uint8))
+            for at, (scope, stream, starts, ends, kinds) in enumerate(zip(*(batch.column(c).to_pylist() for c in names[2:]), strict=True)):
                 key, _, a, b, _ = _segments(unpack(stream), scope, length, gram)
-                order = np.argsort(key, kind="stable")
-                key, bits = key[order], _touched(a, b, length, starts, ends, kinds)[order]
                 if len(key):
+                    order = np.argsort(key, kind="stable")
+                    key, touched = key[order], _touched(a, b, length, starts, ends, kinds)[order]
                     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                    held.append((key[head], np.bitwise_or.reduceat(bits, head)))
-        if (out := flush()) is not None:
-            yield out
+                    keys.append(key[head])
+                    places.append(np.full(len(head), at, dtype=np.uint16))
+                    bits.append(np.bitwise_or.reduceat(touched, head))
+            out: list[tuple] = [(number, -1, None, None, None, *(batch.column(c).to_pylist() for c in names[:3]))]
+            key, place, bit = np.concatenate(keys), np.concatenate(places), np.concatenate(bits)
+            of = (splitmix(key.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+            for part in np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=ranges))[:-1]):
+                if len(part):
+                    out.append((number, int(of[part[0]]), key[part].tobytes(), place[part].tobytes(), bit[part].tobytes(), None, None, None))
+            yield columns(**{c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(BLOCK_TYPES.items())})
 
-    return parsed.select("batch", "scope", "stream", "starts", "ends", "kinds").mapInArrow(run, "batch long, part int, keys binary, counts binary, bits binary")
+    return parsed.select(*names).mapInArrow(run, "batch long, part int, keys binary, places binary, bits binary, page_ids array<long>, row_keys array<long>, scopes array<long>")
 
 
 def shared_keys(blocks_of: DataFrame, ranges: int) -> DataFrame:
-    """batch, keys, counts and bits: the keys of a batch that two pages have, one of them outside what is apart, with the pages of all batches."""
+    """batch, keys, places, counts and bits: the keys that two pages have, one of them outside what is apart, with the number of their pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("batch", "keys", "counts", "bits")), strict=True)]
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("batch", "keys", "places", "bits")), strict=True)]
         if not rows:
             return
         keys = np.concatenate([np.frombuffer(k, dtype=np.int64) for _, k, _, _ in rows])
-        found, at = np.unique(keys, return_inverse=True)
-        totals = np.zeros(len(found), dtype=np.int64)
-        np.add.at(totals, at, np.concatenate([np.frombuffer(c, dtype=np.uint16) for _, _, c, _ in rows]))
-        bits = np.zeros(len(found), dtype=np.uint8)
-        np.bitwise_or.at(bits, at, np.concatenate([np.frombuffer(b, dtype=np.uint8) for _, _, _, b in rows]))
-        wanted = ((totals > 1) & (bits > 0))[at]
+        bits = np.concatenate([np.frombuffer(b, dtype=np.uint8) for _, _, _, b in rows])
+        order = np.argsort(keys)
+        ordered = keys[order]
+        head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        sizes = np.diff(np.append(head, len(keys)))
+        total, every = np.empty(len(keys), dtype=np.uint32), np.empty(len(keys), dtype=np.uint8)
+        total[order], every[order] = np.repeat(sizes, sizes), np.repeat(np.bitwise_or.reduceat(bits[order], head), sizes)
+        wanted = (total > 1) & (every > 0)
         start = 0
-        for number, block, _, _ in rows:
+        for number, block, places, _ in rows:
             end = start + len(block) // 8
-            chosen = np.flatnonzero(wanted[start:end]) + start
+            chosen = np.flatnonzero(wanted[start:end])
             if len(chosen):
+                at = chosen + start
                 yield columns(
-                    batch=pa.array([number], pa.int64()), keys=pa.array([keys[chosen].tobytes()], pa.binary()), counts=pa.array([totals[at[chosen]].astype(np.uint32).tobytes()], pa.binary()),
-                    bits=pa.array([bits[at[chosen]].tobytes()], pa.binary()),
+                    batch=pa.array([number], pa.int64()), keys=pa.array([keys[at].tobytes()], pa.binary()), places=pa.array([np.frombuffer(places, dtype=np.uint16)[chosen].tobytes()], pa.binary()),
+                    counts=pa.array([total[at].tobytes()], pa.binary()), bits=pa.array([every[at].tobytes()], pa.binary()),
                 )
             start = end
 
-    return blocks_of.repartition(ranges, "part").mapInArrow(run, "batch long, keys binary, counts binary, bits binary")
+    return blocks_of.filter("part >= 0").select("batch", "part", "keys", "places", "bits").repartition(ranges, "part").mapInArrow(run, "batch long, keys binary, places binary, counts binary, bits binary")
 
 
-def shared_segments(parsed: DataFrame, shared: DataFrame, needs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The segments of all pages whose key open blocks share, or article blocks on as many pages as their host needs; with their bytes."""
+def wanted_keys(blocks_of: DataFrame, shared: DataFrame, needs: DataFrame) -> DataFrame:
+    """page_id, row_key, need and keys of the pages with keys that open blocks share, or article blocks on as many pages as their host needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        number, need_of, known, table = None, {}, [], None
+        number, need_of, infos, known = None, {}, (), []
+
+        def flush() -> pa.RecordBatch | None:
+            if not known:
+                return None
+            key, place, count, bit = (np.concatenate(x) for x in zip(*known, strict=True))
+            need = np.array([need_of[s] for s in infos[2]], dtype=np.int64)
+            kept = np.flatnonzero((bit & OPEN_BLOCK > 0) | (count >= need[place]))
+            kept = kept[np.argsort(place[kept], kind="stable")]
+            pages, head = np.unique(place[kept], return_index=True)
+            parts = np.split(key[kept], head[1:]) if len(head) else []
+            return columns(
+                page_id=pa.array([infos[0][p] for p in pages], pa.int64()), row_key=pa.array([infos[1][p] for p in pages], pa.int64()), need=pa.array(need[pages], pa.int64()),
+                keys=pa.array([np.sort(p).tobytes() for p in parts], pa.binary()),
+            )
+
+        # Of a batch the needs of its hosts come first, then its pages, then its keys.
         for batch in batches:
-            out: list[tuple] = []
-            names = ("batch", "kind", "scopes", "needs", "keys", "counts", "bits", "page_id", "row_key", "scope", "stream")
-            for own, kind, scopes, need, keys, counts, bits, page_id, row_key, scope, stream in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for own, kind, scopes, need, page_ids, row_keys, keys, places, counts, bits in zip(*(batch.column(c).to_pylist() for c in ("batch", "kind", *names)), strict=True):
                 if own != number:
-                    number, need_of, known, table = own, {}, [], None
+                    if (out := flush()) is not None:
+                        yield out
+                    number, need_of, infos, known = own, {}, (), []
                 if kind == 0:
                     need_of = dict(zip(scopes, need, strict=True))
                 elif kind == 1:
-                    known.append((np.frombuffer(keys, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32), np.frombuffer(bits, dtype=np.uint8)))
-                elif known:
-                    if table is None:
-                        joined = [np.concatenate(x) for x in zip(*known, strict=True)]
-                        order = np.argsort(joined[0])
-                        table = [x[order] for x in joined]
-                    data = unpack(stream)
-                    key, seg_hash, a, b, again = _segments(data, scope, length, gram)
-                    at = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
-                    hit = (table[0][at] == key) & ((table[2][at] & OPEN_BLOCK > 0) | (table[1][at] >= need_of[scope]))
-                    for k in np.flatnonzero(hit).tolist():
-                        out.append((page_id, row_key, int(key[k]), int(seg_hash[k]), int(a[k]), int(b[k]), bool(again[k]), need_of[scope], data[a[k] : b[k] - 1 + length]))
-            types = {"doc_id": pa.int64(), "row_key": pa.int64(), "key": pa.int64(), "seg_hash": pa.int64(), "a": pa.int32(), "b": pa.int32(), "self": pa.bool_(), "need": pa.int64(), "piece": pa.binary()}
-            yield columns(**{c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(types.items())})
-
-    names = {"scopes": "array<long>", "needs": "array<long>", "keys": "binary", "counts": "binary", "bits": "binary", "page_id": "long", "row_key": "long", "scope": "long", "stream": "binary"}
+                    infos = page_ids, row_keys, scopes
+                else:
+                    known.append((np.frombuffer(keys, dtype=np.int64), np.frombuffer(places, dtype=np.uint16), np.frombuffer(counts, dtype=np.uint32), np.frombuffer(bits, dtype=np.uint8)))
+        if (out := flush()) is not None:
+            yield out
+
+    names = {"scopes": "array<long>", "needs": "array<long>", "page_ids": "array<long>", "row_keys": "array<long>", "keys": "binary", "places": "binary", "counts": "binary", "bits": "binary"}
 
     def rows(df: DataFrame, kind: int) -> DataFrame:
         return df.select("batch", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in names.items()])
 
-    # Pages of batches without a shared key stay where they are; of the others, what is known of the batch comes first.
-    pages = parsed.join(shared.select("batch").distinct(), "batch", "left_semi")
-    every = rows(needs, 0).unionByName(rows(shared, 1)).unionByName(rows(pages, 2))
-    return every.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, "doc_id long, row_key long, key long, seg_hash long, a int, b int, self boolean, need long, piece binary")
+    pages = blocks_of.filter("part < 0")
+    by_batch = pages.select("batch", F.explode(F.array_distinct("scopes")).alias("scope")).join(needs, "scope").groupBy("batch").agg(F.collect_list(F.struct("scope", "need")).alias("n"))
+    by_batch = by_batch.select("batch", F.col("n.scope").alias("scopes"), F.col("n.need").alias("needs"))
+    every = rows(by_batch, 0).unionByName(rows(pages.select("batch", "page_ids", "row_keys", "scopes"), 1)).unionByName(rows(shared, 2))
+    return every.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, "page_id long, row_key long, need long, keys binary")
+
+
+def shared_segments(parsed: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """The segments of all pages with a wanted key, and their bytes."""
+
+    def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[tuple] = []
+            for page_id, row_key, scope, stream, need, keys in zip(*(batch.column(c).to_pylist() for c in ("page_id", "row_key", "scope", "stream", "need", "keys")), strict=True):
+                data = unpack(stream)
+                key, seg_hash, a, b, again = _segments(data, scope, length, gram)
+                for k in np.flatnonzero(np.isin(key, np.frombuffer(keys, dtype=np.int64))).tolist():
+                    out.append((page_id, row_key, int(key[k]), int(seg_hash[k]), int(a[k]), int(b[k]), bool(again[k]), need, data[a[k] : b[k] - 1 + length]))
+            return columns(**{c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(SEGMENT_TYPES.items())})
+
+        return step
+
+    # The table of wanted keys is written before, so that Spark knows its size: a small one is broadcast, and no page shuffled.
+    chosen = parsed.alias("l").join(wanted.dropDuplicates(["page_id", "row_key"]).alias("r"), _same_page("l", "r")).select("l.page_id", "l.row_key", "l.scope", "l.stream", "r.need", "r.keys")
+    return map_batches(chosen, make, "doc_id long, row_key long, key long, seg_hash long, a int, b int, self boolean, need long, piece binary")
 
 
 def unique_tokens(data: bytes, places: list[tuple[int, int]], covered: list[tuple[int, int]]) -> Iterator[str]:
@@ -339,15 +363,16 @@ def extract_articles(
     parsed = materialize(_parse(pages, id_col, url_col, html_col), "pages")
     # Hash ranges of some two million keys.
     ranges = ranges or max(8, parsed.count() // 40_000)
-    shared = materialize(shared_keys(key_blocks(parsed, length, gram, ranges), ranges), "shared")
+    blocks_of = materialize(key_blocks(parsed, length, gram, ranges), "blocks")
+    shared = materialize(shared_keys(blocks_of, ranges), "shared")
     sizes = parsed.select("scope", "page_id", "row_key").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
-    need = sizes.select("scope", F.greatest(F.lit(least_pages), F.ceil(F.col("n") * many)).cast("long").alias("need"))
-    needs = parsed.select("batch", "scope").distinct().join(need, "scope").groupBy("batch").agg(F.collect_list(F.struct("scope", "need")).alias("n"))
-    needs = needs.select("batch", F.col("n.scope").alias("scopes"), F.col("n.need").alias("needs"))
-    rows = materialize(shared_segments(parsed, shared, needs, length, gram), "segments")
+    needs = sizes.select("scope", F.greatest(F.lit(least_pages), F.ceil(F.col("n") * many)).cast("long").alias("need"))
+    wanted = materialize(wanted_keys(blocks_of, shared, needs), "wanted")
+    rows = materialize(shared_segments(parsed, wanted, length, gram), "segments")
     # Repeated rows are found once each; what they cover is the same.
     only = lambda often: F.collect_set(F.when(F.col("r.often") == often, F.struct("r.a", "r.b")))
     covered = counted_ranges(rows, length).groupBy(F.col("doc_id").alias("page_id"), "row_key").agg(only(False).alias("ranges"), only(True).alias("often"))
+    covered = materialize(covered, "covered")
     joined = parsed.alias("l").join(covered.alias("r"), _same_page("l", "r"), "left")
 
     def make():
@@ -364,7 +389,8 @@ def extract_articles(
                     frequent = []
                 found = []
                 for kind, group in groupby(marks, key=lambda p: p[2]):
-                    found += unique_tokens(data, [(a, b) for a, b, _ in group], frequent if kind == ARTICLE_BLOCK else repeats)
+                    covers = frequent if kind == ARTICLE_BLOCK else repeats
+                    found += unique_tokens(data, [(a, b) for a, b, _ in group], covers) if covers else (data[a:b].decode() for a, b, _ in group)
                 out.append(" ".join(found))
             return columns(page_id=batch.column("page_id"), url=batch.column("url"), text=pa.array(out, pa.string()))
 
