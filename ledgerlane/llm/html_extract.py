@@ -25,7 +25,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +65,6 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Kinds of blocks in a stream.
 APART_BLOCK, OPEN_BLOCK, ARTICLE_BLOCK = 0, 1, 2
-_LONGS = pa.list_(pa.int64())
-BLOCK_TYPES = {"batch": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "places": pa.binary(), "bits": pa.binary(), "page_ids": _LONGS, "row_keys": _LONGS, "scopes": _LONGS}
 SEGMENT_TYPES = {"doc_id": pa.int64(), "row_key": pa.int64(), "key": pa.int64(), "seg_hash": pa.int64(), "a": pa.int32(), "b": pa.int32(), "self": pa.bool_(), "need": pa.int64(), "piece": pa.binary()}
 
 
@@ -155,10 +153,11 @@ def blocks(page: str) -> list[Block]:
 
 
 def _parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, row_key, url, scope (of the host), the stream of all blocks (packed), and of each block where it is in it (in bytes) and its kind."""
+    """batch and place (of a page in it), page_id, row_key, url, scope (of the host), the stream of all blocks (packed), and of each block where it is in it (in bytes) and its kind."""
 
     def make():
         pack = zstandard.ZstdCompressor(level=3).compress
+        numbers = count(TaskContext.get().partitionId() << 32)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             streams, places = [], []
@@ -173,7 +172,7 @@ def _parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
                 places.append(marks)
             hosts = [split_url(u)[0] or "" for u in batch.column("url").to_pylist()]
             return columns(
-                page_id=batch.column("page_id"), row_key=batch.column("row_key"), url=batch.column("url"),
+                batch=pa.array([next(numbers)] * len(hosts), pa.int64()), place=pa.array(range(len(hosts)), pa.int32()), page_id=batch.column("page_id"), row_key=batch.column("row_key"), url=batch.column("url"),
                 scope=pa.array([int.from_bytes(hashlib.blake2b(h.encode(), digest_size=8).digest(), "big", signed=True) for h in hosts], pa.int64()), stream=pa.array(streams, pa.binary()),
                 starts=pa.array([[a for a, _, _ in p] for p in places], pa.list_(pa.int32())), ends=pa.array([[b for _, b, _ in p] for p in places], pa.list_(pa.int32())),
                 kinds=pa.array([[i for _, _, i in p] for p in places], pa.list_(pa.int8())),
@@ -183,7 +182,7 @@ def _parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), key.alias("row_key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return map_batches(chosen, make, "page_id long, row_key long, url string, scope long, stream binary, starts array<int>, ends array<int>, kinds array<tinyint>")
+    return map_batches(chosen, make, "batch long, place int, page_id long, row_key long, url string, scope long, stream binary, starts array<int>, ends array<int>, kinds array<tinyint>")
 
 
 def _segments(data: bytes, scope: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -205,32 +204,35 @@ def _touched(a: np.ndarray, b: np.ndarray, length: int, starts: list[int], ends:
 
 
 def key_blocks(parsed: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
-    """For each batch the hash ranges' keys, of each its page's place in the batch and the kinds of blocks it is in; and the pages (part -1)."""
-    names = ("page_id", "row_key", "scope", "stream", "starts", "ends", "kinds")
+    """For each batch and hash range the keys, and of each its page's place in the batch and the kinds of blocks it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for k, batch in enumerate(part for batch in batches for part in sliced(batch)):
-            number = (TaskContext.get().partitionId() << 32) + k
-            keys, places, bits = ([np.zeros(0, dtype=t)] for t in (np.int64, np.uint16, np.uint8))
-            for at, (scope, stream, starts, ends, kinds) in enumerate(zip(*(batch.column(c).to_pylist() for c in names[2:]), strict=True)):
+        number, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                key, place, bit = (np.concatenate(x) for x in zip(*held, strict=True))
+                of = (splitmix(key.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+                parts = [p for p in np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=ranges))[:-1]) if len(p)]
+                packed = lambda x: pa.array([x[p].tobytes() for p in parts], pa.binary())
+                yield columns(batch=pa.array([number] * len(parts), pa.int64()), part=pa.array([int(of[p[0]]) for p in parts], pa.int32()), keys=packed(key), places=packed(place), bits=packed(bit))
+
+        # The rows of a batch follow each other; where a split of the scan parts them, each part is sent by itself.
+        for batch in batches:
+            for own, at, scope, stream, starts, ends, kinds in zip(*(batch.column(c).to_pylist() for c in ("batch", "place", "scope", "stream", "starts", "ends", "kinds")), strict=True):
+                if own != number:
+                    yield from flush()
+                    number, held = own, []
                 key, _, a, b, _ = _segments(unpack(stream), scope, length, gram)
                 if len(key):
                     order = np.argsort(key, kind="stable")
                     key, touched = key[order], _touched(a, b, length, starts, ends, kinds)[order]
                     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                    keys.append(key[head])
-                    places.append(np.full(len(head), at, dtype=np.uint16))
-                    bits.append(np.bitwise_or.reduceat(touched, head))
-            out: list[tuple] = [(number, -1, None, None, None, *(batch.column(c).to_pylist() for c in names[:3]))]
-            key, place, bit = np.concatenate(keys), np.concatenate(places), np.concatenate(bits)
-            of = (splitmix(key.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
-            for part in np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=ranges))[:-1]):
-                if len(part):
-                    out.append((number, int(of[part[0]]), key[part].tobytes(), place[part].tobytes(), bit[part].tobytes(), None, None, None))
-            yield columns(**{c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(BLOCK_TYPES.items())})
+                    held.append((key[head], np.full(len(head), at, dtype=np.uint16), np.bitwise_or.reduceat(touched, head)))
+        yield from flush()
 
-    return parsed.select(*names).mapInArrow(run, "batch long, part int, keys binary, places binary, bits binary, page_ids array<long>, row_keys array<long>, scopes array<long>")
+    return parsed.select("batch", "place", "scope", "stream", "starts", "ends", "kinds").mapInArrow(run, "batch long, part int, keys binary, places binary, bits binary")
 
 
 def shared_keys(blocks_of: DataFrame, ranges: int) -> DataFrame:
@@ -261,10 +263,10 @@ def shared_keys(blocks_of: DataFrame, ranges: int) -> DataFrame:
                 )
             start = end
 
-    return blocks_of.filter("part >= 0").select("batch", "part", "keys", "places", "bits").repartition(ranges, "part").mapInArrow(run, "batch long, keys binary, places binary, counts binary, bits binary")
+    return blocks_of.repartition(ranges, "part").mapInArrow(run, "batch long, keys binary, places binary, counts binary, bits binary")
 
 
-def wanted_keys(blocks_of: DataFrame, shared: DataFrame, needs: DataFrame) -> DataFrame:
+def wanted_keys(parsed: DataFrame, shared: DataFrame, needs: DataFrame) -> DataFrame:
     """page_id, row_key, need and keys of the pages with keys that open blocks share, or article blocks on as many pages as their host needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +275,9 @@ def wanted_keys(blocks_of: DataFrame, shared: DataFrame, needs: DataFrame) -> Da
         def flush() -> pa.RecordBatch | None:
             if not known:
                 return None
-            key, place, count, bit = (np.concatenate(x) for x in zip(*known, strict=True))
+            key, place, total, bit = (np.concatenate(x) for x in zip(*known, strict=True))
             need = np.array([need_of[s] for s in infos[2]], dtype=np.int64)
-            kept = np.flatnonzero((bit & OPEN_BLOCK > 0) | (count >= need[place]))
+            kept = np.flatnonzero((bit & OPEN_BLOCK > 0) | (total >= need[place]))
             kept = kept[np.argsort(place[kept], kind="stable")]
             pages, head = np.unique(place[kept], return_index=True)
             parts = np.split(key[kept], head[1:]) if len(head) else []
@@ -305,10 +307,11 @@ def wanted_keys(blocks_of: DataFrame, shared: DataFrame, needs: DataFrame) -> Da
     def rows(df: DataFrame, kind: int) -> DataFrame:
         return df.select("batch", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in names.items()])
 
-    pages = blocks_of.filter("part < 0")
+    pages = parsed.join(shared.select("batch").distinct(), "batch", "left_semi").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("place", "page_id", "row_key", "scope"))).alias("p"))
+    pages = pages.select("batch", F.col("p.page_id").alias("page_ids"), F.col("p.row_key").alias("row_keys"), F.col("p.scope").alias("scopes"))
     by_batch = pages.select("batch", F.explode(F.array_distinct("scopes")).alias("scope")).join(needs, "scope").groupBy("batch").agg(F.collect_list(F.struct("scope", "need")).alias("n"))
     by_batch = by_batch.select("batch", F.col("n.scope").alias("scopes"), F.col("n.need").alias("needs"))
-    every = rows(by_batch, 0).unionByName(rows(pages.select("batch", "page_ids", "row_keys", "scopes"), 1)).unionByName(rows(shared, 2))
+    every = rows(by_batch, 0).unionByName(rows(pages, 1)).unionByName(rows(shared, 2))
     return every.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, "page_id long, row_key long, need long, keys binary")
 
 
@@ -363,11 +366,10 @@ def extract_articles(
     parsed = materialize(_parse(pages, id_col, url_col, html_col), "pages")
     # Hash ranges of some two million keys.
     ranges = ranges or max(8, parsed.count() // 40_000)
-    blocks_of = materialize(key_blocks(parsed, length, gram, ranges), "blocks")
-    shared = materialize(shared_keys(blocks_of, ranges), "shared")
+    shared = materialize(shared_keys(key_blocks(parsed, length, gram, ranges), ranges), "shared")
     sizes = parsed.select("scope", "page_id", "row_key").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     needs = sizes.select("scope", F.greatest(F.lit(least_pages), F.ceil(F.col("n") * many)).cast("long").alias("need"))
-    wanted = materialize(wanted_keys(blocks_of, shared, needs), "wanted")
+    wanted = materialize(wanted_keys(parsed, shared, needs), "wanted")
     rows = materialize(shared_segments(parsed, wanted, length, gram), "segments")
     # Repeated rows are found once each; what they cover is the same.
     only = lambda often: F.collect_set(F.when(F.col("r.often") == often, F.struct("r.a", "r.b")))
