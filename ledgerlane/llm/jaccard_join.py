@@ -14,9 +14,11 @@ candidates must share prefix tokens under each of ``orders`` orders, and the fil
 3. For every order, the classes with a prefix token in common have a hub, the one with the most such tokens. A group
    is the classes with the same hub under the first and the same hub under the second order (and so on): each linking
    pair is together in a group, and a chance hit under one order finds no partner under the other.
-4. One text of each class is sent, packed, to each of the class's groups; sets are made there and pairs verified exactly. Groups of more than
-   ``block`` classes are dealt into blocks, and each two blocks meet in a task of their own. A task returns links
-   that join what its verified pairs join, not all pairs.
+4. One text of each class is sent, packed, to each of the class's groups; sets are made there and pairs verified exactly.
+   A group beyond ``block`` classes or ``block_tokens`` tokens is dealt into blocks, each with the group's hub. First every
+   block is searched by itself. What a block's members join to the hub is one component over all blocks, so only the
+   members left out of it are then sent to the other blocks: a group of near copies is verified in linear time. A task
+   returns links that join what its verified pairs join, not all pairs.
 5. Components come from joins of labels along the links, with tables written in between.
 
 Classes are told apart by 64-bit hashes of their sorted token hashes.
@@ -166,7 +168,7 @@ def shared_tokens(blocks: DataFrame, ranges: int) -> DataFrame:
 
 
 def prefix_rows(blocks: DataFrame, shared: DataFrame, percent: int, orders: int) -> DataFrame:
-    """cid, order, token and weight (the class's number of such tokens): prefix tokens that other documents have as well."""
+    """cid, order, token, weight (the class's number of such tokens) and n (its set's size): prefix tokens that other documents have as well."""
     share = counted_share(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +203,12 @@ def prefix_rows(blocks: DataFrame, shared: DataFrame, percent: int, orders: int)
                     chosen = np.argpartition(own, size - 1)[:size] + start if size < count else np.arange(start, end)
                     found.append(chosen[level[chosen] > 0])
                 if all(len(f) for f in found):
-                    out += [(cid, k, tokens[f].view(np.int64), len(found[0])) for k, f in enumerate(found)]
+                    out += [(cid, k, tokens[f].view(np.int64), len(found[0]), n) for k, f in enumerate(found)]
             if not out:
                 return None
-            sizes_out = [len(t) for _, _, t, _ in out]
+            sizes_out = [len(o[2]) for o in out]
             spread = lambda values, kind: np.repeat(np.array(values, dtype=kind), sizes_out)
-            return columns(cid=spread([o[0] for o in out], np.int64), order=spread([o[1] for o in out], np.int32), token=np.concatenate([o[2] for o in out]), weight=spread([o[3] for o in out], np.int32))
+            return columns(cid=spread([o[0] for o in out], np.int64), order=spread([o[1] for o in out], np.int32), token=np.concatenate([o[2] for o in out]), weight=spread([o[3] for o in out], np.int32), n=spread([o[4] for o in out], np.int64))
 
         # Within a batch the shared tokens come first and the documents' row last.
         for batch in batches:
@@ -221,34 +223,56 @@ def prefix_rows(blocks: DataFrame, shared: DataFrame, percent: int, orders: int)
     none = F.lit(None)
     docs = blocks.filter("part < 0").select("batch", F.lit(True).alias("last"), "cids", "sizes", "kept", "tokens", none.cast("binary").alias("levels"))
     back = shared.select("batch", F.lit(False).alias("last"), none.cast("array<long>").alias("cids"), none.cast("array<long>").alias("sizes"), none.cast("binary").alias("kept"), "tokens", "levels")
-    return docs.unionByName(back).repartition("batch").sortWithinPartitions("batch", "last").mapInArrow(run, "cid long, order int, token long, weight int")
+    return docs.unionByName(back).repartition("batch").sortWithinPartitions("batch", "last").mapInArrow(run, "cid long, order int, token long, weight int, n long")
 
 
 def hubs(rows: DataFrame, order: int, name: str) -> DataFrame:
-    """cid and hub for one order: of each prefix token that several classes share, the class with the most such tokens."""
-    # One exchange by token serves both the grouping and the join.
-    tokens = rows.filter(F.col("order") == order).select("token", "cid", "weight").repartition("token")
+    """cid and hub for one order: of each prefix token that several classes share, the class with the most such tokens.
+
+    Tokens are aggregated before they are shuffled; the rows of a frequent one meet its hub in several tasks (a skewed join).
+    """
+    tokens = rows.filter(F.col("order") == order).select("token", "cid", "weight")
     rank = F.struct((-F.col("weight")).alias("less"), F.xxhash64("cid").alias("mixed"), F.col("cid").alias("cid"))
     shared = tokens.groupBy("token").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).filter("low.cid != high.cid").select("token", F.col("low.cid").alias(name))
-    return tokens.join(shared, "token").select("cid", name).distinct()
+    return tokens.select("token", "cid").join(shared, "token").select("cid", name).distinct()
 
 
-def candidate_groups(rows: DataFrame, orders: int, block: int) -> DataFrame:
-    """cid and the groups (k: key, i and j: blocks) where it meets its candidates."""
+def candidate_groups(rows: DataFrame, orders: int, block: int, block_tokens: int) -> DataFrame:
+    """cid and the groups (k: key) where it meets its candidates: its block i of ``blocks``, and whether it is the group's hub.
+
+    The hub is in each of its group's blocks.
+    """
     found = hubs(rows, 0, "h0")
     for k in range(1, orders):
         found = found.join(hubs(rows, k, f"h{k}"), "cid")
     keys = [f"h{k}" for k in range(orders)]
-    sizes = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    found = found.join(rows.filter("order = 0").groupBy("cid").agg(F.max("n").alias("n")), "cid")
+    sizes = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), F.min(F.struct(F.col("cid") != F.col("h0"), F.col("cid"))).alias("first")).filter("size > 1")
     found = found.join(sizes, keys).withColumn("k", F.xxhash64(*keys))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("cid", "k"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    return found.select("cid", "k", F.explode(pairs).alias("b")).select("cid", "k", "b.i", "b.j")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("tokens") / block_tokens)).cast("int")
+    found = found.select("cid", "k", "n", blocks.alias("blocks"), (F.col("cid") == F.col("first.cid")).alias("hub"))
+    own = F.array(F.pmod(F.xxhash64("cid", "k"), F.col("blocks")).cast("int"))
+    return found.select("cid", "k", "n", "blocks", "hub", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("i"))
 
 
-def verified_links(cids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (from the least member) that join the sets of a group as all its verified pairs do."""
+def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels (the least member of each component) once the given pairs are joined too."""
+    while True:
+        a, b = label[left], label[right]
+        apart = a != b
+        if not apart.any():
+            return label
+        left, right = left[apart], right[apart]
+        low, high = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+        root = np.arange(len(label))
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+        label = root[label]
+
+
+def verified_labels(sets: list[np.ndarray], percent: int, asking: np.ndarray | None = None) -> np.ndarray:
+    """The least member that each set of a group is joined to by its verified pairs; with ``asking`` only pairs with one of these sets count."""
     count = len(sets)
     sizes = np.array([len(s) for s in sets])
     label = np.arange(count)
@@ -260,27 +284,29 @@ def verified_links(cids: np.ndarray, sets: list[np.ndarray], percent: int) -> li
     at, rows = number[at[keep]], rows[keep]
     n_common = int(common.sum())
     step, wide = 512, 8192
-    matrix_rows = [(a, min(count, a + step)) for a in range(0, count, step)]
+    tiles = [(a, min(count, a + step)) for a in range(0, count, step)]
 
     def dense(a: int, b: int, lo: int, hi: int) -> np.ndarray:
         out = np.zeros((b - a, hi - lo), dtype=np.float32)
-        chosen = (rows >= a) & (rows < b) & (at >= lo) & (at < hi)
+        first, last = np.searchsorted(rows, (a, b))
+        part = at[first:last]
+        chosen = np.flatnonzero((part >= lo) & (part < hi)) + first
         out[rows[chosen] - a, at[chosen] - lo] = 1
         return out
 
-    for p, (a, b) in enumerate(matrix_rows):
-        for c, d in matrix_rows[p:]:
+    for p, (a, b) in enumerate(tiles):
+        for c, d in tiles[p:]:
+            if asking is not None and not (asking[a:b].any() or asking[c:d].any()):
+                continue
             overlap = np.zeros((b - a, d - c), dtype=np.float64)
             for lo in range(0, n_common, wide):
                 hi = min(n_common, lo + wide)
                 left = dense(a, b, lo, hi)
                 overlap += left @ (left if a == c else dense(c, d, lo, hi)).T
             union = sizes[a:b, None] + sizes[None, c:d] - overlap
-            for x, y in zip(*np.nonzero(100 * overlap >= percent * union), strict=True):
-                u, v = label[a + x], label[c + y]
-                if u != v:
-                    label[label == max(u, v)] = min(u, v)
-    return [(int(cids[label[k]]), int(cids[k])) for k in np.flatnonzero(label != np.arange(count))]
+            x, y = np.nonzero(100 * overlap >= percent * union)
+            label = merge(label, x + a, y + c)
+    return label
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -298,31 +324,77 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def links_in_groups(members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links of each group; members has k, i, j, cid and a packed text, and a group is at most two blocks."""
+    """Links (a, b) of the members of each (k, i, j); members have cid, hub, asks and a packed text.
+
+    A row with b null is a member of a group of several blocks that its own block doesn't join to the hub. Where a
+    member asks, only pairs with one that asks are verified.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def flush() -> list[tuple[int, int]]:
-            if len(held) < 2:
+        def flush() -> list[tuple]:
+            if not held:
                 return []
             cids = np.array(sorted(held), dtype=np.int64)
-            return verified_links(cids, [held[int(c)] for c in cids], percent)
+            own = [held[int(c)] for c in cids]
+            asking = np.array([asks for _, _, asks, _ in own])
+            label = verified_labels([s for s, _, _, _ in own], percent, asking if asking.any() else None) if len(own) > 1 else np.zeros(1, dtype=np.int64)
+            out = [(key[0], key[1], int(cids[label[x]]), int(cids[x])) for x in np.flatnonzero(label != np.arange(len(label)))]
+            top = [label[x] for x, (_, hub, _, _) in enumerate(own) if hub]
+            if own[0][3] > 1 and top:
+                out += [(key[0], key[1], int(cids[x]), None) for x in np.flatnonzero(label != top[0])]
+            return out
+
+        def send(out: list[tuple]) -> pa.RecordBatch:
+            return columns(**{c: pa.array([r[x] for r in out], t) for x, (c, t) in enumerate({"k": pa.int64(), "i": pa.int32(), "a": pa.int64(), "b": pa.int64()}.items())})
 
         for batch in (part for batch in batches for part in sliced(batch)):
-            out: list[tuple[int, int]] = []
-            for *own, cid, packed in zip(*(batch.column(c).to_pylist() for c in ("k", "i", "j", "cid", "packed")), strict=True):
+            out: list[tuple] = []
+            for *own, cid, hub, asks, blocks, packed in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if own != key:
                     out += flush()
                     key, held = own, {}
-                held[cid] = shingle_set(unpack(packed), shingle)
+                held[cid] = shingle_set(unpack(packed), shingle), hub, asks, blocks
             if out:
-                yield columns(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
+                yield send(out)
         if out := flush():
-            yield columns(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
+            yield send(out)
+
+    names = ("k", "i", "j", "cid", "hub", "asks", "blocks", "packed")
+    return members.select(*names).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "k long, i int, a long, b long")
 
-    return members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "a long, b long")
+
+def group_links(groups: DataFrame, classes: DataFrame, own: DataFrame, shingle: int, percent: int, block: int, block_tokens: int) -> DataFrame:
+    """The links (a, b) of all groups, in two rounds: each block by itself, then what isn't joined to its hub against the other blocks."""
+    same = [F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), F.col("l.row_key") == F.col("r.row_key")]
+    names = ("k", "i", "j", "blocks", "hub", "asks")
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        met = rows.groupBy("cid").agg(F.collect_list(F.struct(*names)).alias("groups"))
+        return classes.join(met, "cid").select(F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("row_key"), "cid", "groups")
+
+    once = groups.withColumns({"j": F.lit(-1), "asks": F.lit(False)})
+    texts_of = packed_texts(own).alias("l").join(chosen(once).alias("r"), same).select("r.cid", "l.packed", F.explode("r.groups").alias("g"))
+    first = materialize(links_in_groups(texts_of.select("cid", "packed", "g.*"), shingle, percent), "block-links")
+    links = first.filter("b IS NOT NULL").select("a", "b")
+    left = first.filter("b IS NULL").select("k", F.col("i").alias("home"), F.col("a").alias("cid"))
+    if not left.limit(1).count():
+        return links
+    # What is left of a group is dealt into parts of a block's size; each part meets each block but its members' own.
+    left = materialize(left.join(groups.filter("NOT hub").select("k", "cid", "blocks", "n"), ["k", "cid"]), "left")
+    parts = left.groupBy("k").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_tokens)).cast("int").alias("parts"))
+    dealt = left.join(parts, "k").withColumn("j", F.pmod(F.xxhash64("cid", "k"), F.col("parts")).cast("int"))
+    asking = dealt.select("cid", "k", "j", "blocks", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).filter("i <> home")
+    met = asking.select("k", "i", "j").distinct()
+    asked = groups.join(met, ["k", "i"]).select("cid", "k", "i", "j", "blocks", F.lit(False).alias("asks"))
+    every = asking.select("cid", "k", "i", "j", "blocks", F.lit(True).alias("asks")).unionByName(asked).withColumn("hub", F.lit(False))
+    again = materialize(chosen(every), "asking")
+    texts_of = own.alias("l").join(again.alias("r"), same).select(F.col("r.cid").alias("doc_id"), F.lit(0).cast("long").alias("row_key"), "l.text", "r.groups")
+    sets = packed_texts(texts_of.select("doc_id", "row_key", "text").dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("cid"), "packed")
+    spread = again.select("cid", F.explode("groups").alias("g")).select("cid", "g.*").join(sets, "cid")
+    return links.unionByName(links_in_groups(spread, shingle, percent).filter("b IS NOT NULL").select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,23 +421,19 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_components(
     docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
-    orders: int = 2, ranges: int | None = None, block: int = 2048,
+    orders: int = 2, ranges: int | None = None, block: int = 2048, block_tokens: int = 4_000_000,
 ) -> DataFrame:
     """One row per document: doc_id, row_key, n_shingles, cid (its class; 0 for an empty set) and component_id."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # Hash ranges of some two million tokens, were every document of usual length.
-    ranges = ranges or max(8, own.count() // 40_000)
+    # Hash ranges of some two million counted tokens at most: a token and its space have two bytes or more, mostly six.
+    ranges = ranges or max(8, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 40_000_000)
     blocks = materialize(token_blocks(own, shingle, percent, ranges), "blocks")
     rows = blocks.filter("part < 0").select(F.explode(F.arrays_zip("doc_ids", "row_keys", "cids", "sizes")).alias("d"))
     rows = rows.select(F.col("d.doc_ids").alias("doc_id"), F.col("d.row_keys").alias("row_key"), F.col("d.cids").alias("cid"), F.col("d.sizes").alias("n"))
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("first"), F.min("doc_id").alias("least"))
     prefixes = materialize(prefix_rows(blocks, shared_tokens(blocks, ranges), percent, orders), "prefixes")
-    groups = materialize(candidate_groups(prefixes, orders, block), "groups")
-    met = groups.groupBy("cid").agg(F.collect_list(F.struct("k", "i", "j")).alias("groups"))
-    chosen = classes.join(met, "cid").select(F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("row_key"), "cid", "groups").alias("r")
-    same = [F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), F.col("l.row_key") == F.col("r.row_key")]
-    members = packed_texts(own).alias("l").join(chosen, same).select("r.cid", "l.packed", F.explode("r.groups").alias("g")).select("cid", "packed", "g.*")
-    found = components(links_in_groups(members, shingle, percent))
+    groups = materialize(candidate_groups(prefixes, orders, block, block_tokens), "groups")
+    found = components(group_links(groups, classes, own, shingle, percent, block, block_tokens))
     labelled = classes.select("cid", "least").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = labelled.join(least, "label").select("cid", "component_id")

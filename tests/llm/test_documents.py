@@ -134,6 +134,23 @@ def test_jaccard_components(docs, fixture_rows, shingle, percent, block):
     same(jaccard_join.jaccard_components(docs, shingle, percent, block=block), want, ["doc_id", "n_shingles", "component_id"])
 
 
+def test_hot_group_of_near_copies_in_blocks(spark):
+    """A group that fills many blocks: near copies of one text, a few that only link to each other, and chance members."""
+    rng = random.Random(11)
+    words = [f"word{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        w = list(words)
+        w[rng.randrange(120)] = f"own{k}"
+        rows.append((k, " ".join(w)))
+    other = words[:60] + [f"else{k}" for k in range(60)]
+    rows += [(1000 + k, " ".join(other[:100] + [f"z{k}"] + other[101:])) for k in range(9)]
+    rows += [(2000 + k, " ".join(words[:30] + [f"q{k}x{i}" for i in range(90)])) for k in range(20)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    same(jaccard_join.jaccard_components(own, 3, 90, block=8), brute_components(rows, 3, 90), ["doc_id", "n_shingles", "component_id"])
+    same(jaccard_join.jaccard_components(own, 3, 90, block_tokens=900), brute_components(rows, 3, 90), ["doc_id", "n_shingles", "component_id"])
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(5)
     names = list(range(1, 1201))
