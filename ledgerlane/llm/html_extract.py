@@ -315,6 +315,18 @@ def wanted_keys(parsed: DataFrame, shared: DataFrame, needs: DataFrame) -> DataF
     return every.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, "page_id long, row_key long, need long, keys binary")
 
 
+def own_hashes(key: np.ndarray, seg_hash: np.ndarray, *page: int | None) -> np.ndarray:
+    """The segments' hashes; those of a key with different segments on this page become the page's own."""
+    order = np.lexsort((seg_hash, key))
+    same_key = key[order[1:]] == key[order[:-1]]
+    mixed = key[order[1:]][same_key & (seg_hash[order[1:]] != seg_hash[order[:-1]])]
+    if not len(mixed):
+        return seg_hash
+    mark = np.array([x or 0 for x in page], dtype=np.int64).view(np.uint64)
+    own = fold([seg_hash.view(np.uint64), *(np.full(len(key), m) for m in mark)]).view(np.int64)
+    return np.where(np.isin(key, mixed), own, seg_hash)
+
+
 def shared_segments(parsed: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """The segments of all pages with a wanted key, and their bytes."""
 
@@ -326,6 +338,7 @@ def shared_segments(parsed: DataFrame, wanted: DataFrame, length: int, gram: int
             for page_id, row_key, scope, stream, need, keys in zip(*(batch.column(c).to_pylist() for c in ("page_id", "row_key", "scope", "stream", "need", "keys")), strict=True):
                 data = unpack(stream)
                 key, seg_hash, a, b, again = _segments(data, scope, length, gram)
+                seg_hash = own_hashes(key, seg_hash, row_key, page_id)
                 for k in np.flatnonzero(np.isin(key, np.frombuffer(keys, dtype=np.int64))).tolist():
                     out.append((page_id, row_key, int(key[k]), int(seg_hash[k]), int(a[k]), int(b[k]), bool(again[k]), need, data[a[k] : b[k] - 1 + length]))
             return columns(**{c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(SEGMENT_TYPES.items())})

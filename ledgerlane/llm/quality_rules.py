@@ -2,7 +2,7 @@
 
 Line rules, on every line that has a word:
 navigation (parts between ``|``), symbols (too many marks among the characters), shouting (nearly all letters
-upper case), boilerplate (a rights, licence, cookie or menu phrase makes up the short line), repetition (a few
+upper case), boilerplate (a rights, licence, cookie or menu phrase, in one of four languages, is in a short line), repetition (a few
 words make up a long line) and punctuation (a short line without any sentence end).
 Document rules come first and only from the text itself: too few words, or too many words in repeated windows.
 
@@ -37,6 +37,15 @@ BOILERPLATE = re.compile(
     rb"cookie|javascript|subscribe|sign (?:in|up)|log ?in\b|click here|read more|share this|lorem ipsum|powered by",
     re.IGNORECASE,
 )
+# The same in German, French and Spanish, in lower case.
+BOILERPLATE_PHRASES = tuple(
+    phrase.encode()
+    for phrase in (
+        "alle rechte vorbehalten", "urheberrecht", "lizenziert unter", "nutzungsbedingungen", "datenschutz", "impressum", "hier klicken", "weiterlesen", "jetzt anmelden", "newsletter",
+        "tous droits réservés", "droit d'auteur", "sous licence", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "cliquez ici", "lire la suite", "abonnez-vous", "se connecter",
+        "todos los derechos reservados", "derechos de autor", "bajo licencia", "condiciones de uso", "política de privacidad", "aviso legal", "haga clic aquí", "haz clic aquí", "leer más", "suscríbete", "iniciar sesión",
+    )
+)
 SENTENCE_END = re.compile(rb"[.!?;:](?:[\"')\]]|\xe2\x80[\x99\x9d])*(?:\s|$)|\xe2\x80\xa6|[\xe3][\x80][\x82]|\xef\xbc[\x81\x9f]|\xd8\x9f|\xe0\xa5\xa4")
 ACCENTED_UPPER = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
 ACCENTED = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]")
@@ -102,8 +111,10 @@ def line_fails(line: bytes, limits: Limits) -> bool:
     letters = len(re.findall(rb"[A-Za-z]", line)) + len(accented)
     if letters >= limits.min_letters and upper > limits.max_upper * letters:
         return True
-    if len(words) <= limits.boilerplate_words and BOILERPLATE.search(line):
-        return True
+    if len(words) <= limits.boilerplate_words:
+        lower = line.lower()
+        if BOILERPLATE.search(line) or any(phrase in lower for phrase in BOILERPLATE_PHRASES):
+            return True
     if len(words) >= limits.repeat_words and len(set(words)) < limits.min_distinct * len(words):
         return True
     return len(words) < limits.short_words and not SENTENCE_END.search(line)

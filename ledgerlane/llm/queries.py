@@ -69,7 +69,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": URL_SQL}
+    """The operators that SQL can express; tests hold the others against plain versions."""
+    return {"op2_suffix_dedup": REPEATS_SQL, "op4_url_filter": URL_SQL, "op5_decontamination": WINDOWS_SQL, "op8_jaccard_join": LINKS_SQL}
 
 
 URL_SQL = r"""
@@ -88,3 +89,72 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM fits QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Windows of 400 bytes (as hexadecimal digits) that start at two places.
+REPEATS_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT r, unnest(range(0, greatest(length(h) // 2 - 399, 0))) AS a FROM texts
+), windows AS (
+  SELECT s.r, s.a, md5(substr(t.h, 2 * s.a + 1, 800)) AS w FROM starts s JOIN texts t USING (r)
+), repeated AS (
+  SELECT r, a, lag(a) OVER (PARTITION BY r ORDER BY a) AS before FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), numbered AS (
+  -- Windows whose bytes overlap or touch are one removed run.
+  SELECT r, a, sum(CASE WHEN before IS NULL OR a > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY a) AS run FROM repeated
+), runs AS (
+  SELECT r, run, min(a) AS a, max(a) + 400 AS b FROM numbered GROUP BY r, run
+), kept AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS rest_from FROM runs
+), pieces AS (
+  SELECT k.r, string_agg(substr(t.h, 2 * k.rest_from + 1, 2 * (k.a - k.rest_from)), '' ORDER BY k.a) AS head, max(k.b) AS rest, sum(k.b - k.a) AS n_removed, count(*) AS n_spans FROM kept k JOIN texts t USING (r) GROUP BY k.r
+)
+SELECT t.doc_id, length(t.h) // 2 AS n_bytes, coalesce(p.n_removed, 0)::BIGINT AS n_removed, coalesce(p.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(p.head || substr(t.h, 2 * p.rest + 1), t.h))) AS kept_sha256
+FROM texts t LEFT JOIN pieces p USING (r)
+"""
+
+WINDOWS_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[k + 1 : k + 10], ' ') AS w
+  FROM (SELECT *, unnest(range(0, greatest(len(words) - 9, 1))) AS k FROM items WHERE len(words) > 0)
+), places AS (
+  SELECT d.r, s.size, k, array_to_string(d.words[k + 1 : k + s.size], ' ') AS w
+  FROM docs d, (SELECT DISTINCT size FROM windows) s, unnest(range(0, greatest(len(d.words) - s.size + 1, 0))) u(k)
+), found AS (
+  SELECT p.r, p.k, p.size, w.item_id FROM places p JOIN windows w USING (size, w)
+), hit AS (
+  SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + size)) AS place FROM found) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h USING (r) LEFT JOIN named n USING (r)
+"""
+
+LINKS_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT r, md5(array_to_string(words[k + 1 : k + 3], ' ')) AS s FROM (SELECT *, unnest(range(0, greatest(len(words) - 2, 1))) AS k FROM docs WHERE len(words) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n FROM shingles GROUP BY r
+), both_have AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT x, y FROM both_have c JOIN sizes a ON a.r = c.x JOIN sizes b ON b.r = c.y WHERE 100 * c.n >= 90 * (a.n + b.n - c.n)
+), edges AS MATERIALIZED (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach AS (
+  SELECT r AS x, r AS y FROM docs UNION SELECT reach.x, e.y FROM reach JOIN edges e ON reach.y = e.x
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.component_id
+FROM docs d LEFT JOIN sizes s USING (r) JOIN (SELECT reach.x AS r, min(o.doc_id) AS component_id FROM reach JOIN docs o ON o.r = reach.y GROUP BY reach.x) m USING (r)
+"""

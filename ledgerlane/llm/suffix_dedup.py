@@ -111,28 +111,35 @@ def ranges_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-def supports(group: np.ndarray, tag: np.ndarray, weight: np.ndarray, n_groups: int) -> np.ndarray:
-    """For each group number from 0: its distinct single documents, or the documents of its widest piece if they are more."""
+def supports(group: np.ndarray, tag: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_groups: int) -> np.ndarray:
+    """For each group number from 0, the documents of its members: each single one once, and each class's once."""
+
+    def total(chosen: np.ndarray, by: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        if not chosen.any():
+            return np.zeros(n_groups, dtype=np.int64)
+        order = np.lexsort((by[chosen], group[chosen]))
+        g, names = group[chosen][order], by[chosen][order]
+        new = np.concatenate(([True], (g[1:] != g[:-1]) | (names[1:] != names[:-1])))
+        return np.bincount(g[new], weights=weights[chosen][order][new].astype(np.float64), minlength=n_groups).astype(np.int64)
+
     single = tag != 0
-    pairs = np.unique(np.stack((group[single], tag[single])), axis=1)[0] if single.any() else group[:0]
-    total = np.bincount(pairs, minlength=n_groups)
-    np.maximum.at(total, group[~single], weight[~single])
-    return total
+    return total(single, tag, np.ones(len(tag))) + total(~single, owner, weight)
 
 
 def repeats_in_shard(
-    pieces: list[bytes], tags: list[int], length: int, apart: bool, weights: list[int] | None = None, needs: list[int] | None = None
+    pieces: list[bytes], tags: list[int], length: int, apart: bool, shards: list[int] | None = None, owners: list[int] | None = None, weights: list[int] | None = None, needs: list[int] | None = None,
 ) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """The maximal ranges (piece, first window, end window) of windows that repeat, and of those that do so often.
 
     ``tags``: 0 for a piece with several places, else the id of its document; with ``apart`` the places must be in
-    different documents. ``weights``: how many documents have a piece; a window is frequent if ``needs`` documents (0:
-    none is) have a piece with it, and no document is counted twice: see :func:`supports`.
+    different documents. Pieces of different ``shards`` aren't compared. ``owners`` and ``weights``: a piece's class, and how many documents have it (no document may have
+    two classes, but as single places); a window is frequent if ``needs`` documents (0: none is) have it.
     """
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     counts = np.array([len(p) - length + 1 for p in pieces], dtype=np.int64)
     base = np.cumsum(counts) - counts
     tag = np.array(tags, dtype=np.int64)
+    owner = np.array(owners if owners is not None else range(len(pieces)), dtype=np.int64)
     weight = np.array(weights if weights is not None else [1] * len(pieces), dtype=np.int64)
     need = np.array(needs if needs is not None else [0] * len(pieces), dtype=np.int64)
     # Window w of piece k has number base[k] + w, and starts at that number plus k * (length - 1) in the data.
@@ -163,6 +170,10 @@ def repeats_in_shard(
         group = np.cumsum(prefix[sa] < length)
         number = window[sa]
         group, number = group[number >= 0], number[number >= 0]
+        if shards is not None:
+            apart_by = np.unique(np.array(shards, dtype=np.int64), return_inverse=True)[1][piece[number]]
+            order = np.lexsort((apart_by, group))
+            group, number = group[order] * np.int64(len(pieces)) + apart_by[order], number[order]
         head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         sizes = np.diff(np.append(head, len(group)))
         own = tag[piece[number]]
@@ -173,7 +184,7 @@ def repeats_in_shard(
             several |= sizes > 1
         out[number[np.repeat(several, sizes)]] = True
         if need.any():
-            total = supports(np.repeat(np.arange(len(head)), sizes), own, weight[piece[number]], len(head))
+            total = supports(np.repeat(np.arange(len(head)), sizes), own, owner[piece[number]], weight[piece[number]], len(head))
             needed = need[piece[number[head]]]
             often[number[np.repeat((needed > 0) & (total >= needed), sizes)]] = True
 
@@ -196,10 +207,10 @@ def search_shards(pieces: DataFrame, length: int, apart: bool, shard_bytes: int,
         size = 0
 
         def flush() -> pa.RecordBatch:
-            _, keys, hashes, bases, tags, weights, needs, own = zip(*held, strict=True)
+            shards, keys, hashes, bases, tags, weights, needs, own = zip(*held, strict=True)
             base = np.array(bases, dtype=np.int64)
             lists = []
-            for piece, starts, ends in repeats_in_shard(list(own), list(tags), length, apart, list(weights), list(needs)):
+            for piece, starts, ends in repeats_in_shard(list(own), list(tags), length, apart, list(shards), list(hashes), list(weights), list(needs)):
                 offsets = pa.array(np.searchsorted(piece, np.arange(len(held) + 1)).astype(np.int32))
                 lists += [pa.ListArray.from_arrays(offsets, pa.array((x + base[piece]).astype(np.int32))) for x in (starts, ends)]
             return columns(key=pa.array(keys, pa.int64()), seg_hash=pa.array(hashes, pa.int64()), starts=lists[0], ends=lists[1], often_starts=lists[2], often_ends=lists[3])
@@ -331,8 +342,11 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, shard_bytes: int =
 
 
 def counted_ranges(rows: DataFrame, length: int, shard_bytes: int = 4_000_000) -> DataFrame:
-    """The ranges of segments (with need and piece) that repeat in different documents, and of those that do so often:
-    windows in ``need`` documents, with one segment around them or each with its own."""
+    """The ranges of segments (with need and piece) that repeat in different documents, and of those that do so often: windows in ``need`` documents.
+
+    Segments of one document with one key must have a ``seg_hash`` of the document's own where they differ, so that no
+    document is counted twice.
+    """
     classes = classes_of(rows, length)
     reps = classes.filter("mixed OR inside").select("key", "seg_hash", "several", "weight", "need", "n_bytes", "place.doc_id", "place.row_key", "place.piece")
     reps = reps.select("key", "seg_hash", _tag().alias("tag"), "weight", "need", "n_bytes", "piece")

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -250,6 +251,70 @@ def test_labels_agree_with_the_quality_rules(spark):
     assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(r.kept for r in bad) <= 0.03 * len(bad)
 
 
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def plain_run(text, at, allowed):
+    while at < len(text) and text[at] in allowed:
+        at += 1
+    return at
+
+
+def plain_secrets(text):
+    """The base spans, character by character."""
+    out, at = [], 0
+    while at < len(text):
+        lower = ascii_lower(text[at : at + 8])
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if lower.startswith(w)), None)
+        end = -1
+        if word:
+            k = at + len(word)
+            k += text[k : k + 1] in ('"', "'") and k < len(text)
+            k = plain_run(text, k, " ")
+            if text[k : k + 1] and text[k] in ":=":
+                k = plain_run(text, k + 1, " ")
+                k += text[k : k + 1] in ('"', "'") and k < len(text)
+                end = plain_run(text, k, ALNUM + "+/_.=-")
+                if end - k >= 8:
+                    out.append((at, "assign", end))
+                end = end if end > k else -1
+        at = max(at + 1, end)
+    for kind, start, allowed, least in (("access", "AKIA", ALNUM[:26] + ALNUM[52:], 16), ("hex", "", "0123456789abcdef", 32)):
+        at = 0
+        while at < len(text):
+            end = plain_run(text, at + len(start), allowed) if text.startswith(start, at) else at
+            if end > at + len(start) and end - at >= least:
+                out.append((at, kind, end))
+            at = max(at + 1, end if end > at + len(start) else 0)
+    order = ("assign", "access", "hex")
+    return sorted(out, key=lambda s: (s[0], order.index(s[1])))
+
+
+def test_base_secrets_equal_a_plain_scan():
+    rng = random.Random(21)
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "apikey", "api", "AKIA", "AKIAAKIA", "ABCDEF0123456789", "0123456789abcdef", "deadbeef" * 4, "=", ":", " ", "  ", '"', "'", "é", "\n", "x", "12345678", "a.b-c_d=", "-"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        got = sorted(secret_scan.base_spans(text), key=lambda s: (s[0], secret_scan.KINDS.index(s[2])))
+        assert [(a, kind, b) for a, b, kind in got] == plain_secrets(text), text
+
+
+def test_secrets_in_very_long_texts_and_key_structures():
+    began = time.time()
+    for piece in ("eyJ", "eyJ.", "AKIA", "a.", "A" * 63 + "=", "-----BEGIN A-----", "password="):
+        secret_scan.confirmed_spans(piece * (1_000_000 // len(piece)))
+        secret_scan.base_spans(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 60
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    private = b"abcdabcd" + field(b"ssh-ed25519") + field(bytes(32)) + bytes(range(1, 8))
+    whole = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(private)
+    assert secret_scan.is_private_key(whole)
+    assert not secret_scan.is_private_key(whole[:-1]) and not secret_scan.is_private_key(whole.replace(b"abcdabcd", b"abcdabce")) and not secret_scan.is_private_key(b"openssh-key-v1\0" + bytes(16))
+    pkcs8 = lambda inner: bytes([0x30, 3 + 7 + 2 + len(inner), 2, 1, 0, 0x30, 5, 6, 3, 0x2B, 0x65, 0x70, 4, len(inner)]) + inner
+    assert secret_scan.is_private_key(pkcs8(bytes([4, 32, *range(32)]))) and not secret_scan.is_private_key(pkcs8(bytes([4, 33, *range(32)])))
+
+
 def test_secrets(spark):
     head = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0."  # {"alg":"HS256"}.{"sub":"1"}
     sec1 = bytes([0x30, 0x25, 2, 1, 1, 4, 32, *range(32)])

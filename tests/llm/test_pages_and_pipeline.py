@@ -91,3 +91,61 @@ def test_articles_are_searched_for_what_their_host_repeats(spark):
         assert found[k] == f"Story {k} begins with words {k * 7919}. {k * 31 + 5} ends it." + (f" {quote}" if k < 2 else "")
         assert found[30 + k] == box
     assert found[20] == "A card The body stands in plain boxes here." and found[21] == "Other card And one more body of text."
+
+
+def plain_articles(pages, length=64, least=4):
+    """The same by comparing every window of every page with all pages of the host."""
+    parsed = []
+    for page_id, url, page in pages:
+        found = html_extract.blocks(page or "")
+        parsed.append((page_id, url_filter.split_url(url)[0], found, b"\n".join(b.text.encode() for b in found)))
+    out = {}
+    for page_id, host, found, stream in parsed:
+        own = [s for _, h, _, s in parsed if h == host]
+        need = max(least, -(-len(own) // 2))
+        count = [sum(stream[k : k + length] in s for s in own) for k in range(len(stream) - length + 1)]
+        runs = lambda n: [c >= n for c in count]  # noqa: E731, B023
+
+        def covered(a, b, n):
+            cover = [False] * len(stream)
+            for k, hit in enumerate(runs(n)):
+                if hit:
+                    cover[k : k + length] = [True] * length
+            return all(cover[a:b])
+
+        words, at, article = [], 0, []
+        for block in found:
+            for word in block.text.encode().split():
+                at = stream.index(word, at)
+                if not block.apart:
+                    (article if block.article else words).append((at, word, block.article))
+                at += len(word)
+        keep_all = article and all(covered(a, a + len(w), need) for a, w, _ in article)
+        every = sorted(words + article)
+        out[page_id] = b" ".join(w for a, w, inside in every if (inside and keep_all) or not covered(a, a + len(w), need if inside else 2)).decode()
+    return out
+
+
+def test_articles_equal_a_plain_search(spark):
+    rng = random.Random(17)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    shared = [prose(12) for _ in range(6)]
+    pages = []
+    for k in range(40):
+        host = f"h{k % 3}.com" if k < 36 else "small.com"
+        boxes = [f"<div>{rng.choice(shared)}</div>" if rng.random() < 0.5 else f"<p>{prose(rng.randrange(1, 20))}</p>" for _ in range(5)]
+        body = "".join(boxes[:2]) + f"<article><p>{prose(30)}</p>{boxes[2]}<p>{shared[0] if k % 3 == 0 else prose(9)} é</p></article>" + "".join(boxes[3:]) if k % 4 else "".join(boxes)
+        pages.append((k, f"http://{host}/{k}", f"<body><nav>{shared[5]}</nav>{body}<footer>{prose(4)}</footer>"))
+    rows = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id int, url string, html string, scope string, batch int").repartition(3)
+    want = plain_articles(pages)
+    for ranges in (None, 3):
+        got = {r.page_id: r.text for r in html_extract.extract_articles(rows, ranges=ranges).collect()}
+        wrong = [k for k in got if got[k] != want[k]]
+        assert len(got) == 40 and not wrong, (wrong, got[wrong[0]], want[wrong[0]])
+
+
+def test_long_and_repeated_pages(spark):
+    body = " ".join(f"word{k}" for k in range(60_000))
+    pages = [(1, "http://a.com/1", f"<article><p>{body}</p></article>"), (2, "http://a.com/2", "<p>only once said</p>"), (2, "http://a.com/2", "<p>only once said</p>")]
+    got = html_extract.extract_articles(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(1, body), (2, "only once said"), (2, "only once said")]
