@@ -6,30 +6,72 @@ import zipfile
 from pathlib import Path
 from xml.sax.saxutils import escape
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.review import carry_review_state
 
 
-def save_records(results: DataFrame, path: str, batch_id: str) -> None:
-    """Replace a batch's decisions, carrying over the review states set before. Other batches aren't touched."""
-    spark = results.sparkSession
-    new = results.withColumns({"batch_id": F.lit(batch_id), "review_state": F.lit("OPEN"), "processed_at": F.current_timestamp()})
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        old = spark.read.parquet(path).filter(F.col("batch_id") == batch_id).select("batch_id", "record_id", "review_state")
-        # Read before it is replaced.
-        old = spark.createDataFrame(old.toPandas(), old.schema) if old.count() < 10_000 else old.checkpoint()
-    except Exception as missing:  # noqa: BLE001
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
+        return None
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version of each batch, from the log of finished writes."""
+    log = _read_if_there(spark, f"{path}/versions")
+    return None if log is None else log.groupBy("batch_id").agg(F.max("version").alias("version"))
+
+
+def save_records(results: DataFrame, path: str, batch_id: str) -> None:
+    """Replace a batch's decisions, carrying over the review states set before. Other batches aren't touched.
+
+    A save is a new version of the batch: its rows are written first, and then one row to the log of versions, which
+    makes it current. What was read before stays there, and a save that is cut off changes nothing. One writer a batch.
+    """
+    spark = results.sparkSession
+    new = results.withColumns({"batch_id": F.lit(batch_id), "review_state": F.lit("OPEN"), "processed_at": F.current_timestamp()})
+    known = _versions(spark, path)
+    last = None if known is None else known.filter(F.col("batch_id") == batch_id).first()
+    if last is None:
         old = spark.createDataFrame([], "batch_id string, record_id string, review_state string")
-    carry_review_state(new, old).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    else:
+        old = read_records(spark, path, batch_id).select("batch_id", "record_id", "review_state")
+    write_version(carry_review_state(new, old), path, batch_id, 1 if last is None else last.version + 1)
+
+
+def write_version(rows: DataFrame, path: str, batch_id: str, version: int) -> None:
+    rows.withColumns({"batch_id": F.lit(batch_id), "version": F.lit(version).cast("long")}).write.mode("append").partitionBy("batch_id", "version").parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(batch_id, version)], "batch_id string, version long").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def save_review_states(records: DataFrame, path: str, batch_id: str) -> None:
+    """Store a batch's records with the review states that they have now, as its next version."""
+    last = _versions(records.sparkSession, path).filter(F.col("batch_id") == batch_id).first()
+    write_version(records, path, batch_id, last.version + 1)
 
 
 def read_records(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
-    rows = spark.read.option("mergeSchema", True).parquet(path)
-    return rows.filter(F.col("batch_id") == batch_id) if batch_id else rows
+    """The current rows of all batches, or of one."""
+    versions = _versions(spark, path)
+    if versions is None:
+        raise FileNotFoundError(f"no records at {path}")
+    # The rows' folders are named by text, which Spark may read as numbers.
+    rows = spark.read.option("mergeSchema", True).parquet(f"{path}/rows").withColumn("batch_id", F.col("batch_id").cast("string"))
+    if batch_id:
+        versions = versions.filter(F.col("batch_id") == batch_id)
+        rows = rows.filter(F.col("batch_id") == batch_id)
+    return rows.join(versions, ["batch_id", "version"], "left_semi").drop("version")
+
+
+def current_or_none(spark: SparkSession, path: str, batch_id: str) -> DataFrame | None:
+    """The current rows of a batch, where something is stored."""
+    return None if _versions(spark, path) is None else read_records(spark, path, batch_id)
 
 
 def export_rows(results: DataFrame) -> DataFrame:

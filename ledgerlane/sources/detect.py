@@ -8,25 +8,85 @@ from datetime import datetime, timezone
 
 SAMPLE_ROWS = 50
 
+# Header patterns of a debit/credit pair.
+DEBIT = (r"^withdrawal(s)?$", r"^debit(s)?$", r"^paid[_\s-]*out$", r"^money[_\s-]*out$", r"^dr$")
+CREDIT = (r"^deposit(s)?$", r"^credit(s)?$", r"^paid[_\s-]*in$", r"^money[_\s-]*in$", r"^cr$")
 # Header patterns per canonical field, in order; a pair carries its own confidence.
-S = r"[_\s-]*"
-DEBIT = (r"^withdrawal(s)?$", r"^debit(s)?$", rf"^paid{S}out$", rf"^money{S}out$", r"^dr$")
-CREDIT = (r"^deposit(s)?$", r"^credit(s)?$", rf"^paid{S}in$", rf"^money{S}in$", r"^cr$")
 HEADERS: dict[str, tuple] = {
-    "settlement_date": (rf"settle(ment)?{S}date", rf"payout{S}date", rf"value{S}date", rf"credit(ed)?{S}date"),
-    "transaction_id": (rf"^(payment|txn|transaction|payout|entry){S}(id|no|number)?$", r"^id$", rf"^payment{S}id$", rf"^razorpay{S}payment{S}id$", (rf"^order{S}(id|no|number)$", 0.70)),
-    "reference": (rf"^(invoice|bill|receipt){S}(ref(erence)?|no|id|number)?$", rf"(order|invoice|merchant|external|bill){S}(id|ref(erence)?|no|number)", rf"^ref(erence)?{S}(no|id|num(ber)?)?$", rf"^order{S}reference$", r"^utr$", r"^rrn$", rf"^cheque{S}(no|number)$"),
-    "amount": (rf"^(gross{S})?amount$", rf"amount{S}(inr|usd|minor|paise|cents)?$", rf"^(debit|credit|value|total|txn{S}amount)$", r"^amt$"),
-    "net_amount": (rf"^net({S}amount)?$", rf"^settled{S}amount$", rf"^payout{S}amount$", rf"^amount{S}settled$"),
-    "fee": (r"^fee(s)?$", r"commission", r"mdr", r"charge(s)?"),
-    "tax": (r"^tax$", r"^gst$", r"^vat$"),
-    "refund_amount": (rf"refund{S}(amount|amt|value)?$", rf"^reversal{S}amount$"),
-    "currency": (r"^curr(ency)?$", r"^ccy$"),
-    "date": (rf"^(transaction|txn|order|payment|posting|created|booking){S}(date|at|time|on)$", r"^date$", r"^timestamp$", rf"^created{S}at$"),
-    "description": (r"^(description|narration|particulars|details|remarks|memo|note(s)?|narrative)$", rf"transaction{S}(description|details)", r"^label$"),
-    "status": (r"^status$", r"^state$", rf"payment{S}status"),
-    "counterparty": (rf"^(customer|merchant|payee|payer|vendor|beneficiary|counterparty)({S}name)?$", r"^name$"),
-}
+    "settlement_date": (
+        r"settle(ment)?[_\s-]*date",
+        r"payout[_\s-]*date",
+        r"value[_\s-]*date",
+        r"credit(ed)?[_\s-]*date",
+    ),
+    "transaction_id": (
+        r"^(payment|txn|transaction|payout|entry)[_\s-]*(id|no|number)?$",
+        r"^id$",
+        r"^payment[_\s-]*id$",
+        r"^razorpay[_\s-]*payment[_\s-]*id$",
+        (r"^order[_\s-]*(id|no|number)$", 0.7),
+    ),
+    "reference": (
+        r"^(invoice|bill|receipt)[_\s-]*(ref(erence)?|no|id|number)?$",
+        r"(order|invoice|merchant|external|bill)[_\s-]*(id|ref(erence)?|no|number)",
+        r"^ref(erence)?[_\s-]*(no|id|num(ber)?)?$",
+        r"^order[_\s-]*reference$",
+        r"^utr$",
+        r"^rrn$",
+        r"^cheque[_\s-]*(no|number)$",
+    ),
+    "amount": (
+        r"^(gross[_\s-]*)?amount$",
+        r"amount[_\s-]*(inr|usd|minor|paise|cents)?$",
+        r"^(debit|credit|value|total|txn[_\s-]*amount)$",
+        r"^amt$",
+    ),
+    "net_amount": (
+        r"^net([_\s-]*amount)?$",
+        r"^settled[_\s-]*amount$",
+        r"^payout[_\s-]*amount$",
+        r"^amount[_\s-]*settled$",
+    ),
+    "fee": (
+        r"^fee(s)?$",
+        r"commission",
+        r"mdr",
+        r"charge(s)?",
+    ),
+    "tax": (
+        r"^tax$",
+        r"^gst$",
+        r"^vat$",
+    ),
+    "refund_amount": (
+        r"refund[_\s-]*(amount|amt|value)?$",
+        r"^reversal[_\s-]*amount$",
+    ),
+    "currency": (
+        r"^curr(ency)?$",
+        r"^ccy$",
+    ),
+    "date": (
+        r"^(transaction|txn|order|payment|posting|created|booking)[_\s-]*(date|at|time|on)$",
+        r"^date$",
+        r"^timestamp$",
+        r"^created[_\s-]*at$",
+    ),
+    "description": (
+        r"^(description|narration|particulars|details|remarks|memo|note(s)?|narrative)$",
+        r"transaction[_\s-]*(description|details)",
+        r"^label$",
+    ),
+    "status": (
+        r"^status$",
+        r"^state$",
+        r"payment[_\s-]*status",
+    ),
+    "counterparty": (
+        r"^(customer|merchant|payee|payer|vendor|beneficiary|counterparty)([_\s-]*name)?$",
+        r"^name$",
+    ),
+}
 REQUIRED = ("amount", "date")
 LAYOUTS = ("%Y-%m-%d", "%Y/%m/%d", "%d-%m-%Y", "%d/%m/%Y", "%m/%d/%Y", "%d-%b-%Y", "%d %b %Y", "%b %d, %Y", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M")
 

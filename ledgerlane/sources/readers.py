@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -80,16 +80,57 @@ def find_header_row(rows: list[list[str]], scan: int = 30) -> int:
     return 0
 
 
-def read_delimited(spark: SparkSession, path: str, head_bytes: int = 65_536) -> tuple[DataFrame, list[str]]:
-    """A delimited file as string columns. Only its head reaches the driver, to find the delimiter and the header."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head_bytes).alias("head")).first()
-    text = decode(bytes(first.head) if first else b"")
+HEAD_LINES = 20
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as they are in the files, undecoded: Spark splits the files, so any size is read in parallel."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("line"), F.col("value"), F.col("_metadata.file_path").alias("file"))
+
+
+def file_traits(spark: SparkSession, path: str) -> DataFrame:
+    """file, utf8 and spanning: whether all of a file is UTF-8, and whether some line has an odd number of quotes (so that records may span lines)."""
+    quotes = F.length(F.col("line")) - F.length(F.replace(F.decode("line", "ISO-8859-1"), F.lit('"')))
+    return _lines(spark, path).groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("spanning"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``_row``: each row's number in its file, from 1, by counting the rows of the file's splits before it."""
+    split = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}
+    known = rows.withColumns(split)
+    # Ids follow each other inside a split; only how many rows each split has is joined back.
+    sizes = known.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).drop("_n")
+    return known.join(sizes, ["_file", "_start"]).withColumn("_row", F.col("_id") - F.col("_first") + F.col("_before") + 1).select(*rows.columns, "_row")
+
+
+def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """A delimited file, or several with one layout, as string columns.
+
+    Encoding and line spans are decided over whole files (one pass in parallel; a row for each file reaches the driver).
+    Files whose records don't span lines are split. Delimiter and header are found in the first lines of the first file.
+    """
+    traits = sorted(file_traits(spark, path).collect(), key=lambda r: r.file)
+    if not traits:
+        return spark.createDataFrame([], "column_1 string, _row bigint"), []
+    head = b"\n".join(bytes(r.line) for r in _lines(spark, path).filter(F.col("file") == traits[0].file).limit(HEAD_LINES).collect())
+    text = head.decode("utf-8-sig" if traits[0].utf8 else "latin-1", "replace")
     sep = sniff_delimiter(text)
     names = header_names(next(csv.reader(io.StringIO(text), delimiter=sep), []))
-    encoding = "UTF-8" if text == (bytes(first.head).decode("utf-8-sig", "ignore") if first else "") else "ISO-8859-1"
-    rows = spark.read.csv(path, sep=sep, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=True, encoding=encoding, escape='"', schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True)
-    # A file read with multiLine is one partition, so ids count its rows.
-    return rows.withColumn("_row", F.monotonically_increasing_id() + 1), []
+    kinds: dict[tuple[bool, bool], list[str]] = {}
+    for r in traits:
+        kinds.setdefault((r.utf8, r.spanning), []).append(r.file)
+    out, notes = None, []
+    for (utf8, spanning), files in kinds.items():
+        rows = spark.read.csv(
+            files, sep=sep, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=spanning, encoding="UTF-8" if utf8 else "ISO-8859-1", escape='"',
+            schema=", ".join(f"`{n.replace('`', '``')}` string" for n in names), enforceSchema=True,
+        )
+        part = numbered(rows)
+        out = part if out is None else out.unionByName(part)
+        notes += [] if utf8 else [f"read as Latin-1: {f.rsplit('/', 1)[-1]}" for f in files]
+    return out, notes
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -199,9 +240,9 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, max_
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[DataFrame, list[str]]:
     """Any supported file as string rows with ``_row``, and notes."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8).alias("head")).first()
+    row = _lines(spark, path).select(F.substring("line", 1, 8).alias("head")).first()
     if row is None:
-        raise UnreadableFile(f"no file at {path}")
+        raise UnreadableFile(f"nothing at {path}")
     kind, notes = detect_format(path, bytes(row.head))
     rows, more = read_workbook(spark, path, sheet) if kind == "xlsx" else read_delimited(spark, path)
     return rows, notes + more
@@ -209,8 +250,9 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> tupl
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Typed JSON lines: good rows, and malformed lines as text."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").cache()
-    return rows.filter("_corrupt IS NULL").drop("_corrupt"), rows.filter("_corrupt IS NOT NULL").select("_corrupt")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
+    return parsed.filter("j._corrupt IS NULL").select("j.*").drop("_corrupt"), parsed.filter("j._corrupt IS NOT NULL").select(F.col("value").alias("_corrupt"))
 
 
 def tabular_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,8 +270,6 @@ def upload_guard(spark: SparkSession, folder: str, file_bytes: int = 33_554_432,
 
 def by_content(spark: SparkSession, folder: str) -> DataFrame:
     """path, content_hash and whether an earlier file (by name) has the same bytes."""
-    from pyspark.sql import Window
-
     files = spark.read.format("binaryFile").load(folder).select("path", F.sha2("content", 256).alias("content_hash"))
     first = F.first("path").over(Window.partitionBy("content_hash").orderBy("path"))
     return files.withColumn("duplicate_of", F.when(first != F.col("path"), first))

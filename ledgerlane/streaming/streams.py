@@ -19,13 +19,10 @@ def upsert_decisions(decisions: DataFrame, path: str, batch_id: str, checkpoint:
     """Write each micro-batch of decisions over the stored ones; run again, it changes nothing and keeps review states."""
 
     def write(rows: DataFrame, _: int) -> None:
-        spark = rows.sparkSession
-        try:
-            old = store.read_records(spark, path, batch_id).drop("batch_id", "review_state", "processed_at")
-            rows = rows.unionByName(old.join(rows.select("record_id"), "record_id", "left_anti"), allowMissingColumns=True).checkpoint()
-        except Exception as missing:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
+        old = store.current_or_none(rows.sparkSession, path, batch_id)
+        if old is not None:
+            old = old.drop("batch_id", "review_state", "processed_at")
+            rows = rows.unionByName(old.join(rows.select("record_id"), "record_id", "left_anti"), allowMissingColumns=True)
         store.save_records(rows, path, batch_id)
 
     return decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

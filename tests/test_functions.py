@@ -17,7 +17,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     "shown, expected",
-    [("1234.56", 1234.56), ("1,234.56", 1234.56), ("₹1,234.56", 1234.56), ("(45.00)", -45.0), ("-45.00", -45.0), ("0", 0.0), ("", None), ("abc", None), (None, None), ("3,125.00 Cr", 3125.0), ("1e5", 15.0), ("12-5", None)],
+    [("87.5", 87.5), ("9,870.01", 9870.01), ("₹ 60,500", 60500.0), ("(7.25)", -7.25), ("-310", -310.0), ("0.00", 0.0), (" ", None), ("n/a", None), (None, None), ("3,125.00 Cr", 3125.0), ("1e5", 15.0), ("12-5", None)],
 )
 def test_parse_amount(spark, shown, expected):
     assert one(spark, values.parse_amount(F.lit(shown).cast("string"))) == expected

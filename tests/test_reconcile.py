@@ -13,7 +13,7 @@ from ledgerlane.plans.catalogue import ORACLES, QUERIES
 from ledgerlane.plans.population import populations
 from ledgerlane.schemas import LEDGER, SETTLEMENT, Policy
 from ledgerlane.sinks import store
-from ledgerlane.sources import readers
+from ledgerlane.sources import classify, readers
 from ledgerlane.sources.detect import detect
 from ledgerlane.sources.mapping import combine, map_rows
 from ledgerlane.streaming import streams
@@ -159,7 +159,7 @@ def test_review_actions_and_rerun(spark, tmp_path):
     assert {r.record_id: r.status for r in verdicts.collect()} == {"O1": 200, "O0": 400, "X": 404}
     assert {r.record_id: r.review_state for r in after.collect()} == {"O0": "OPEN", "O1": "REJECTED"}
     assert "APPROVE_MATCH" not in saved.filter("record_id = 'O1'").select(review.available_actions().alias("a")).first().a
-    spark.createDataFrame(after.toPandas(), after.schema).write.mode("overwrite").partitionBy("batch_id").parquet(path)
+    store.save_review_states(after, path, "b1")
     store.save_records(rows, path, "b1")
     assert {r.record_id: r.review_state for r in store.read_records(spark, path, "b1").collect()} == {"O0": "OPEN", "O1": "REJECTED"}
     assert [r.record_id for r in review.review_queue(saved).collect()] == ["O1"]
@@ -192,6 +192,47 @@ def test_files_map_to_both_sides(spark, tmp_path):
     assert combine([mapped, side], "SETTLEMENT").count() == 2
 
 
+def test_encodings_are_those_of_whole_files(spark, tmp_path):
+    head, row = "order_id,amount,note\n", "A{0},{0}.50,plain\n"
+    body = head + "".join(row.format(k) for k in range(3000))
+    cut = body.encode()[: 65_535 - 7]
+    across = cut[: cut.rindex(b"\n") + 1]
+    across += b"X1,1.00," + b"n" * (65_535 - len(across) - 8) + "é\n".encode() + b"X2,2.00,after\n"
+    assert across[65_535:65_537] == "é".encode()
+    late = body.encode() + "L1,3.00,caf\u00e9\n".encode("latin-1")
+    quoted = (head + 'Q1,1.00,"two\nlines, one cell"\nQ2,2.00,""\n').encode()
+    for name, raw in (("a.csv", across), ("b.csv", late), ("c.csv", quoted)):
+        (tmp_path / name).write_bytes(raw)
+    rows, notes = readers.read_delimited(spark, str(tmp_path))
+    got = {r.order_id: r for r in rows.filter("order_id RLIKE '^[XLQ]'").collect()}
+    assert got["X1"].note.endswith("né") and got["X2"].note == "after" and got["L1"].note == "caf\u00e9" and got["Q1"].note == "two\nlines, one cell"
+    assert (got["Q1"]._row, got["Q2"]._row, got["L1"]._row) == (1, 2, 3001) and notes == ["read as Latin-1: b.csv"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows, _ = readers.read_delimited(spark, str(tmp_path / "b.csv"))
+        assert rows.rdd.getNumPartitions() > 1
+        assert [r._row for r in rows.filter("order_id LIKE 'A%'").orderBy(rows._row).collect()] == list(range(1, 3001))
+        assert all(int(r.order_id[1:]) == r._row - 1 for r in rows.filter("order_id LIKE 'A%'").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_file_names_name_banks_and_providers():
+    found = classify.filename_evidence("HDFC_statement_jan.csv")
+    assert ("BANK_STATEMENT", "HDFC Bank") in {(t, who) for _, _, t, who, _ in found} and any(t == "BANK_STATEMENT" and who is None for _, _, t, who, _ in found)
+    assert [who for _, _, _, who, _ in classify.filename_evidence("my-shop_ify.csv")] == ["Shopify"] and classify.filename_evidence("x.csv") == []
+
+
+def test_a_reader_opened_before_a_rewrite_still_works(spark, tmp_path):
+    rows = decided(spark, [{}], [{}])
+    path = str(tmp_path / "records")
+    store.save_records(rows, path, "7")
+    before = store.read_records(spark, path)
+    store.save_records(rows, path, "7")
+    store.save_records(rows, path, "8")
+    assert before.count() == 1 and before.first().batch_id == "7" and store.read_records(spark, path).count() == 2
+
+
 def test_workbooks_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("2026-03-01", "a<b", "10.50"), ("2026-03-02", "c", "7")], "Date string, Note string, Amount string")
     path = str(tmp_path / "out.xlsx")
