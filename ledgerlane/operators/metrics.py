@@ -47,3 +47,22 @@ def tier_ablation(runs: dict[str, DataFrame]) -> DataFrame:
         row = evaluation(rows).withColumn("tier", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def presence(rows: DataFrame, by: str) -> DataFrame:
+    """Per value of ``by``: records, share judged well, matches to a wrong settlement, and outcomes, over truth and true_payment_id.
+
+    Present ones are to be reconciled with their own settlement, absent ones reported missing, pending ones sent to a person
+    or reported as pending, ambiguous ones sent to a person.
+    """
+    c = F.col
+    typed = lambda kind: (c("outcome") == "EXCEPTION") & c("exception_type").eqNullSafe(kind)
+    fits = (
+        F.when(c("truth") == "present", c("outcome") == "RECONCILED").when(c("truth") == "absent", typed("MISSING_SETTLEMENT"))
+        .when(c("truth") == "pending", (c("outcome") == "HUMAN_REVIEW") | typed("PENDING_SETTLEMENT")).when(c("truth") == "ambiguous", c("outcome") == "HUMAN_REVIEW").otherwise(F.lit(False))
+    )
+    wrong = F.when(c("truth") == "present", fits & ~c("matched_payment_id").eqNullSafe(c("true_payment_id"))).when(c("truth").isin("absent", "pending"), c("matched_payment_id").isNotNull()).otherwise(F.lit(False))
+    well = fits & ~wrong
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), _share(F.count_if(well), F.count(F.lit(1))).alias("accuracy"), F.count_if(wrong).alias("wrong_matches"), *[F.count_if(c("outcome") == o).alias(o.lower()) for o in OUTCOMES]
+    )

@@ -96,3 +96,60 @@ def carry_review_state(new: DataFrame, old: DataFrame) -> DataFrame:
     kept = old.select("batch_id", "record_id", F.col("review_state").alias("_state"))
     joined = last.join(kept, ["batch_id", "record_id"], "left")
     return joined.withColumn("review_state", F.coalesce("_state", F.lit("OPEN"))).drop("_state")
+
+
+def record_page(records: DataFrame, batch_id: str, limit: int = 200, offset: int = 0, outcome: str | None = None) -> DataFrame:
+    """A page of a batch's records in their order."""
+    rows = records.filter(F.col("batch_id") == batch_id)
+    return (rows.filter(F.col("outcome") == outcome) if outcome else rows).orderBy("seq").offset(offset).limit(limit)
+
+
+def recent_batches(batches: DataFrame, now: Column, limit: int = 20, drafts: bool = True) -> DataFrame:
+    """The newest runs with their derived state (by batch_id at one time); drafts are left out after the limit, not before."""
+    rows = batches.withColumn("state", derived_status(now)).orderBy(F.desc("started_at"), "batch_id").limit(limit)
+    return rows if drafts else rows.filter("state <> 'DRAFT'")
+
+
+def default_review_batch(batches: DataFrame, now: Column) -> DataFrame:
+    """The newest of the last 25 runs that has records, else the newest run: one row, or none without runs."""
+    last = recent_batches(batches, now, 25)
+    executed = (F.col("state") != "DRAFT") & (F.coalesce("total_records", F.lit(0)) > 0)
+    return last.orderBy(F.when(executed, 0).otherwise(1), F.desc("started_at"), "batch_id").limit(1)
+
+
+def search(records: DataFrame, said: str, columns: list[str]) -> DataFrame:
+    """Records whose columns, joined by spaces, hold the text in either case."""
+    return records.filter(F.lower(F.concat_ws(" ", *columns)).contains(said.lower()))
+
+
+def reject_negative(rows: DataFrame, amounts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows without a negative amount, and the others with the columns at fault."""
+    bad = F.filter(F.array(*[F.when(F.col(a) < 0, F.lit(a)) for a in amounts]), lambda a: a.isNotNull())
+    marked = rows.withColumn("_bad", bad)
+    return marked.filter(F.size("_bad") == 0).drop("_bad"), marked.filter(F.size("_bad") > 0).withColumnRenamed("_bad", "negative")
+
+
+def top_exceptions(records: DataFrame, n: int = 3) -> DataFrame:
+    """The most frequent exception types of what waits for a person, with their amounts."""
+    rows = records.filter(F.col("outcome").isin(*OPEN_OUTCOMES) & (F.col("review_state") == "OPEN"))
+    counts = rows.groupBy(F.coalesce("exception_type", F.lit("UNCLASSIFIED")).alias("exception_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("amount_minor"))
+    return counts.orderBy(F.desc("n"), "exception_type").limit(n)
+
+
+def export_queue(records: DataFrame, state: str = "OPEN") -> DataFrame:
+    """The whole review queue as an operator's worklist: 20 columns, in the queue's order; nulls are empty text."""
+    rows = review_queue(records, state, None)
+    origin = lambda side, name: F.coalesce(F.col(f"provenance.{side}.{name}").cast("string"), F.lit("")) if "provenance" in records.columns else F.lit("")
+    text = lambda name: F.coalesce(name, F.lit("")).alias(name)
+    refused = F.transform(F.filter("considered_candidates", lambda c: ~c.admissible), lambda c: F.concat(c.payment_id, F.lit(" ("), F.coalesce(c.admissibility_reason, F.lit("")), F.lit(")")))
+    return rows.select(
+        "record_id", text("severity"), text("exception_type"), text("outcome"), F.coalesce("review_state", F.lit("OPEN")).alias("review_state"), "amount_minor", "currency", F.coalesce("reference_id", F.lit("")).alias("reference"), text("matched_payment_id"),
+        text("reason"), text("explanation"), text("recommended_action"), F.when(F.col("ai_invoked"), "yes").otherwise("no").alias("ai_invoked"), F.coalesce(F.size("considered_candidates"), F.lit(0)).alias("candidates_considered"),
+        F.coalesce(F.array_join(refused, "; "), F.lit("")).alias("candidates_refused"), origin("ledger", "filename").alias("ledger_source_file"), origin("ledger", "file_row").alias("ledger_source_row"),
+        origin("settlement", "filename").alias("settlement_source_file"), origin("settlement", "file_row").alias("settlement_source_row"), F.array_join(available_actions(), "; ").alias("available_actions"),
+    )
+
+
+def record_origins(records: DataFrame) -> DataFrame:
+    """What the map of sources needs of each record, so that the scan reads no other column."""
+    return records.select("batch_id", "record_id", "outcome", "matched_payment_id", *[c for c in ("provenance",) if c in records.columns])

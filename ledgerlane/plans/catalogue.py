@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries, records
+from . import investigations, queries, records
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries", "records"]
+__all__ = ["ORACLES", "QUERIES", "investigations", "queries", "records"]

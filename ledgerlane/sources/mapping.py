@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
@@ -100,3 +100,20 @@ def combine(sources: list[Mapped], role: str) -> DataFrame | None:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def amount_scales(rows: DataFrame, source: str, number: str, amount: str, sample: int = 50) -> DataFrame:
+    """source, scale of each source's amount column, from its first ``sample`` filled values: ``minor`` only where all that can be read are whole and none has a point."""
+    filled = rows.filter(F.coalesce(amount, F.lit("")) != "").select(source, number, amount)
+    first = filled.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy(number))).filter(F.col("_n") <= sample)
+    value = values.parse_amount(F.col(amount))
+    whole = F.bool_and(F.when(value.isNotNull(), value == F.floor(value)))
+    judged = first.groupBy(source).agg((~F.bool_or(F.col(amount).contains(".")) & F.coalesce(whole, F.lit(False))).alias("minor"))
+    every = rows.select(source).distinct().join(judged, source, "left")
+    return every.select(source, F.when(F.coalesce("minor", F.lit(False)), "minor").otherwise("major").alias("scale"))
+
+
+def normalize_status(said: Column, role: str) -> Column:
+    """The canonical state of a status word of one side; an unknown or missing word is the side's plain state."""
+    table, plain = (LEDGER_STATUS, "captured") if role == "LEDGER" else (SETTLEMENT_STATUS, "settled")
+    return lookup(table, F.lower(F.trim(F.coalesce(said, F.lit("")))), plain)
