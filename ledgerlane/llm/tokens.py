@@ -2,8 +2,9 @@
 
 ``count_tokens`` looks pre-token lengths up on the map side in two tiers: a broadcast table of frequent pre-tokens,
 whose size is bounded by ``table_size``, and a cache in each Python worker (emptied when it holds ``cache_size``
-entries) that misses fill from the tokenizer itself. No pre-token is ever shuffled. The table is fitted on a bounded
-sample (``sample_rows`` rows, ``sample_chars`` characters of each); it only saves time, never changes a count.
+entries) that misses fill from the tokenizer itself. The table's pre-tokens are counted over all whole texts, in a
+bounded number of counters a task; only each task's most frequent ones are summed up over tasks, the texts' own
+pre-tokens are never shuffled. The table only saves time, it never changes a count.
 
 Cases: null text counts as empty (0 tokens); empty tables give empty results; texts of any length are counted whole;
 special strings inside a text are one token each, as the library treats them by default; repeated rows and nulls in
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_batches, texts
+from .common import columns, map_batches, sliced, texts
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _LOADED: dict[str, object] = {}
@@ -61,29 +62,45 @@ def special_strings(name: str) -> list[str]:
     return [t.content for t in load_tokenizer(name).get_added_tokens_decoder().values() if t.special]
 
 
-def frequent_pretokens(docs: DataFrame, text_col: str, table_size: int, sample_rows: int, sample_chars: int) -> list[str]:
-    """The most frequent pre-tokens of a bounded sample; at most ``table_size`` of them reach the driver."""
+def lowered(seen: Counter, counters: int) -> Counter:
+    """At most ``counters`` counts: all are lowered by the largest one beyond them, and those at nothing go.
+
+    At least ``counters`` + 1 counts lose that much each time, so that a piece loses at most 1 / ``counters`` of all
+    that was counted, however often this is done.
+    """
+    if len(seen) <= counters:
+        return seen
+    least = seen.most_common(counters + 1)[-1][1]
+    return Counter({k: v - least for k, v in seen.items() if v > least})
+
+
+def frequent_pretokens(docs: DataFrame, text_col: str, table_size: int, counters: int) -> list[str]:
+    """The most frequent pre-tokens of all whole texts: each task sends its ``table_size`` most frequent ones at most, and so many reach the driver.
+
+    A task holds up to twice ``counters`` counts between texts.
+    """
 
     def count(batches):
         split, seen = _splitter(), Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             for text in texts(batch):
                 seen.update(split.findall(text))
+                if len(seen) > 2 * counters:
+                    seen = lowered(seen, counters)
         kept = seen.most_common(table_size)
         yield columns(piece=pa.array([k for k, _ in kept], pa.string()), n=pa.array([v for _, v in kept], pa.int64()))
 
-    sample = docs.select(F.substring(F.col(text_col), 1, sample_chars).alias("text")).limit(sample_rows).repartition(8)
-    found = sample.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r.piece for r in found.orderBy(F.desc("n"), "piece").limit(table_size).collect()]
 
 
 def count_tokens(
     docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text",
-    table_size: int = 20_000, cache_size: int = 400_000, sample_rows: int = 1_000, sample_chars: int = 5_000,
+    table_size: int = 20_000, cache_size: int = 400_000, counters: int = 80_000,
 ) -> DataFrame:
     """One row per document: UTF-8 bytes, tokens, and whether there are more than ``limit``."""
     spark = docs.sparkSession
-    frequent = frequent_pretokens(docs, text_col, table_size, sample_rows, sample_chars)
+    frequent = frequent_pretokens(docs, text_col, table_size, counters)
     own = load_tokenizer(tokenizer)
     lengths = [len(e.ids) for e in own.encode_batch_fast(frequent, add_special_tokens=False)] if frequent else []
     shared = spark.sparkContext.broadcast(dict(zip(frequent, lengths, strict=True)))

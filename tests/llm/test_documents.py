@@ -31,6 +31,29 @@ def test_token_counts(docs, fixture_rows, library):
     same(tokens.count_tokens(docs, table_size=50, cache_size=20), want, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
+def test_frequent_pretokens_cover_all_whole_texts(spark, docs, fixture_rows):
+    import public_tokenizers
+    import regex
+
+    split = regex.compile(public_tokenizers.PATTERN)
+    want = Counter(w for r in fixture_rows for w in split.findall(r[1] or ""))
+    assert tokens.frequent_pretokens(docs, "text", len(want), len(want)) == sorted(want, key=lambda w: (-want[w], w))
+    # A word that only comes late in the last text still makes the table, with few counters.
+    late = spark.createDataFrame([(" ".join(f"w{k}" for k in range(c, c + 300)),) for c in range(0, 3000, 300)] + [("x" * 9000 + " late" * 5000,)], "text string").coalesce(1)
+    assert tokens.frequent_pretokens(late, "text", 1, 20) == [" late"]
+
+
+def test_lowered_counts_lose_at_most_their_share():
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(1))}" for _ in range(5000)]
+    seen, true = Counter(), Counter(words)
+    for k, w in enumerate(words):
+        seen[w] += 1
+        if len(seen) > 40:
+            seen = tokens.lowered(seen, 20)
+    assert all(true[w] - len(words) / 20 <= seen[w] <= true[w] for w in true)
+
+
 def test_special_strings_and_odd_code_points_count_as_the_library_does(spark, library):
     texts = ["a<|endoftext|>b", "<|endoftext|>", "\u2028x\u0085 y", "  \n\n  z", "don't I'LL", "日本語 ٣٤ ½", "\U0001f600\u200d", "e\u0301 \ufeff"]
     got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
