@@ -14,6 +14,7 @@ the id pass through; other columns are passed by.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import Counter
 
@@ -27,6 +28,8 @@ from .common import columns, map_batches, sliced, texts
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _LOADED: dict[str, object] = {}
 _CACHE: dict[str, dict[str, int]] = {}
+#: A space between two other characters always starts a pre-token, so runs from one to the next can be split alone.
+_SINGLE_SPACE = re.compile(r" (?<=\S )(?=\S)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,16 +80,28 @@ def lowered(seen: Counter, counters: int) -> Counter:
 def frequent_pretokens(docs: DataFrame, text_col: str, table_size: int, counters: int) -> list[str]:
     """The most frequent pre-tokens of all whole texts: each task sends its ``table_size`` most frequent ones at most, and so many reach the driver.
 
-    A task holds up to twice ``counters`` counts between texts.
+    A task counts runs between single spaces, splits each distinct run once, and holds up to ``counters`` runs and
+    pre-tokens between texts.
     """
 
     def count(batches):
-        split, seen = _splitter(), Counter()
+        split, seen, runs = _splitter(), Counter(), Counter()
+
+        def fold() -> Counter:
+            for run, n in runs.items():
+                for piece in split.findall(run):
+                    seen[piece] += n
+            runs.clear()
+            return lowered(seen, counters)
+
         for batch in (part for whole in batches for part in sliced(whole)):
             for text in texts(batch):
-                seen.update(split.findall(text))
-                if len(seen) > 2 * counters:
-                    seen = lowered(seen, counters)
+                first, *more = _SINGLE_SPACE.split(text)
+                runs[first] += 1
+                runs.update(map(" ".__add__, more))
+                if len(runs) > counters:
+                    seen = fold()
+        seen = fold()
         kept = seen.most_common(table_size)
         yield columns(piece=pa.array([k for k, _ in kept], pa.string()), n=pa.array([v for _, v in kept], pa.int64()))
 
@@ -115,8 +130,6 @@ def count_tokens(
             """Pre-tokens, and the number of special strings, which the library takes out first."""
             if not any(s in text for s in specials):
                 return split.findall(text), 0
-            import re
-
             parts = re.split("|".join(map(re.escape, sorted(specials, key=len, reverse=True))), text)
             return [w for part in parts for w in split.findall(part)], len(parts) - 1
 
