@@ -43,18 +43,6 @@ def test_frequent_pretokens_cover_all_whole_texts(spark, docs, fixture_rows):
     assert tokens.frequent_pretokens(late, "text", 1, 20) == [" late"]
 
 
-def test_runs_between_single_spaces_split_as_the_whole_text_does():
-    import public_tokenizers
-    import regex
-
-    split, rng = regex.compile(public_tokenizers.PATTERN), random.Random(1)
-    signs = " " * 6 + "\n\t\r\x1c\x1f\x85\xa0\u2028\u3000\u200baZé1٣.'s,t!日\U0001f600\u0301"
-    for _ in range(20000):
-        text = "".join(rng.choice(signs) for _ in range(rng.randrange(14)))
-        first, *more = tokens._SINGLE_SPACE.split(text)
-        assert [w for run in [first, *(" " + x for x in more)] for w in split.findall(run)] == split.findall(text)
-
-
 def test_lowered_counts_lose_at_most_their_share():
     rng = random.Random(3)
     words = [f"w{int(rng.paretovariate(1))}" for _ in range(5000)]
