@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,19 @@ def sliced(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]
         yield batch.slice(at, rows)
 
 
+def weighed(batch: pa.RecordBatch, name: str, most: int = 1 << 22, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A record batch in parts of at most ``rows`` rows whose values of ``name`` (strings, bytes or lists) hold some ``most`` bytes or elements; a longer value is a part of its own."""
+    column = batch.column(name)
+    measure = pc.list_value_length if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.binary_length
+    ends = np.cumsum(pc.fill_null(measure(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(max(int(np.searchsorted(ends, before + most, side="right")), at + 1), at + rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function built once per task: ``make()`` gives the function from batch to batch of some rows."""
 
@@ -79,4 +94,4 @@ def slots(df: DataFrame, keys: list[str], order: list[Column], name: str, rows_p
     return out.withColumn(name, F.col("_base") + F.col("_inside")).select(*df.columns, name)
 
 
-__all__ = ["columns", "map_batches", "materialize", "shared_dir", "sliced", "slots", "texts", "utf8"]
+__all__ = ["columns", "map_batches", "materialize", "shared_dir", "sliced", "slots", "texts", "utf8", "weighed"]

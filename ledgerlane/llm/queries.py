@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, tokens, url_filter
+from . import alignment, decontaminate, hard_negatives, html_extract, jaccard_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, tokens, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,13 +65,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_token_counts, op4_url_filter, op5_decontamination, op6_quality_rules, op7_secret_scan, op8_jaccard_join, op9_html_extraction, op10_sharding)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The operators that SQL can express; tests hold the others against plain versions."""
-    return {"op2_suffix_dedup": REPEATS_SQL, "op4_url_filter": URL_SQL, "op5_decontamination": WINDOWS_SQL, "op8_jaccard_join": LINKS_SQL}
+    return {"op2_suffix_dedup": REPEATS_SQL, "op4_url_filter": URL_SQL, "op5_decontamination": WINDOWS_SQL, "op8_jaccard_join": LINKS_SQL, "op12_hard_negatives": NEGATIVES_SQL}
 
 
 URL_SQL = r"""
@@ -158,3 +172,21 @@ WITH RECURSIVE docs AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.component_id
 FROM docs d LEFT JOIN sizes s USING (r) JOIN (SELECT reach.x AS r, min(o.doc_id) AS component_id FROM reach JOIN docs o ON o.r = reach.y GROUP BY reach.x) m USING (r)
 """
+
+NEGATIVES_SQL = r"""
+WITH usable AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor, anchor_id, other AS positive, other_id AS positive_id, score AS positive_score
+  FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id NULLS LAST, other) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.other_id NULLS LAST, s.other)::INTEGER AS rank,
+       s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
