@@ -252,14 +252,14 @@ def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = prepared(spark, sf_dir)
     gone = decisions.Prepared(data.ledger.filter("seq % 100 BETWEEN 82 AND 86"), data.settlements.filter("pop_seq < 0"), data.frequencies.filter("df < 0"), 0)
     found = decisions.decide(gone, POLICY, as_of="2001-06-01 00:00:00")
-    return found.select("record_id", (F.col("exception_type") == "PENDING_SETTLEMENT").alias("pending"))
+    return found.select("record_id", F.col("exception_type").eqNullSafe("PENDING_SETTLEMENT").alias("pending"))
 
 
 @query(chain.sql("resolved", "SELECT record_id, v.pop_seq IS NULL AND v.classification IN ('NO_CANDIDATES', 'NO_ADMISSIBLE_CANDIDATE', 'ALL_CANDIDATES_REJECTED') AND TIMESTAMP '2001-06-01' < l.order_date + INTERVAL 2 DAY AS pending FROM ledger l JOIN resolved v USING (seq)"))
 def pending_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records against all settlements, seen from an earlier day: those without one and not due yet are pending."""
     found = decisions.decide(prepared(spark, sf_dir), POLICY, as_of="2001-06-01 00:00:00")
-    return found.select("record_id", (F.col("exception_type") == "PENDING_SETTLEMENT").alias("pending"))
+    return found.select("record_id", F.col("exception_type").eqNullSafe("PENDING_SETTLEMENT").alias("pending"))
 
 
 @query(chain.sql("decided", "SELECT payment_id, count(*) AS n, string_agg(record_id, ',' ORDER BY record_id) AS record_ids FROM decided WHERE payment_id IS NOT NULL GROUP BY payment_id HAVING count(*) > 1"))

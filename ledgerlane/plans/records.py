@@ -402,13 +402,13 @@ def money_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams, run to their end over the events.
 
 
-@query()
+@query("SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts by type of the events, read as a stream."""
+    """Daily counts by type of the events, read as a stream, the last day included."""
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     events = streams.tail(spark, f"{sf_dir}/events.parquet*", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema)).withColumn("ts", F.col("ts").cast("timestamp"))
     folder = f"{shared_dir(spark)}/ledgerlane/stream-{uuid.uuid4().hex}"
-    run = streams.event_counts(events).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(f"{folder}/out")
+    streams.write_changes(streams.event_counts(events), f"{folder}/out", f"{folder}/log").awaitTermination()
+    groups = streams.current_groups(spark, f"{folder}/out", ["start", "event_type"], "start timestamp, event_type string, n bigint, total double")
+    return groups.withColumn("total", F.round("total", 4))
 

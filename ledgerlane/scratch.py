@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where none is."""
+    """The folder of spark.checkpoint.dir; a local one is set only where none is and driver and executors are one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="ledgerlane-")
         spark.sparkContext.setCheckpointDir(own)
     return own

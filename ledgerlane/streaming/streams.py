@@ -33,6 +33,25 @@ def event_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes",
     return events.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("w.start", "event_type", "n", "total")
 
 
+def write_changes(aggregated: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the groups that each micro-batch changed, with the batch's number: windows that are still open are there too.
+
+    A batch that is run again after a failure replaces its own folder.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return aggregated.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_groups(spark: SparkSession, path: str, keys: list[str], schema: str) -> DataFrame:
+    """The latest row of each group that ``write_changes`` left; the watermark's state forgets closed windows, the table keeps them."""
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+
 def await_settlements(ledger: DataFrame, settlements: DataFrame, days: int = 21) -> DataFrame:
     """Ledger rows with their settlement by reference, or without one once ``days`` have passed, as a stream-stream join."""
     left = ledger.withColumn("ref_norm", text.normalize_reference(F.col("reference_id"))).withWatermark("order_date", "1 day").alias("l")
