@@ -1,13 +1,13 @@
 """Alignment of two tokenizers over the same bytes: groups of tokens between shared ends, and how often ids are linked.
 
-``align`` encodes each text twice (A: a byte-level vocabulary over a space and the text; B: a piece vocabulary over the
+``encode`` encodes each text twice (A: a byte-level vocabulary over a space and the text; B: a piece vocabulary over the
 text, which adds the space itself) and cuts the bytes at the union of both tokenizers' ends. Each elementary interval
 has one owner on either side, found by binary search; an end that both share closes a group. ``link_counts`` counts for
 each pair of ids in how many documents the two are linked, that is, stand in one group; ``link_statistics`` gives each
 document its links with their corpus-wide counts.
 
-A task works on some megabytes of text at once, in numpy. The tokens go to a table in the shared folder, so that each
-text is encoded once; pairs are counted in the tasks before they are shuffled. The counts reach the documents in two
+A task works on some megabytes of text at once, in numpy. Stretches between spaces are encoded once for a process, which
+keeps a bounded number of them. The tokens go to a table in the shared folder, so that each text is encoded once; pairs are counted in the tasks before they are shuffled. The counts reach the documents in two
 tiers: a broadcast table of the pairs with the highest counts, at most ``table_pairs`` of 13 bytes, and a join by pair
 for the others; where the table holds all pairs of two documents and more, a pair that it lacks has the count 1.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ LARGE = 64
 #: Distinct pairs that a task counts before it sends them on.
 PAIRS = 1 << 21
 
-TOKENS = "row_key long, doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+TOKENS = "row_key long, doc_id long, a_ids binary, b_ids binary, a_sizes binary, b_sizes binary"
 STATISTICS = "row_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, rare array<struct<pair: long, times: long>>"
 _LOADED: dict[str, object] = {}
 
@@ -72,11 +73,13 @@ class PieceSide:
         import sentencepiece
 
         self.coder = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
+        self.space = self.coder.piece_to_id("▁")
         pieces = [self.coder.id_to_piece(k) for k in range(self.coder.vocab_size())]
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.coder.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
 
     def encode(self, values: list[str]) -> list[list[int]]:
-        return self.coder.encode(values, num_threads=1)
+        """Each text's ids; an empty text still has the space that the library adds to all others."""
+        return [ids or [self.space] for ids in self.coder.encode(values, num_threads=1)]
 
 
 def side(name: str) -> ByteSide | PieceSide:
@@ -86,8 +89,22 @@ def side(name: str) -> ByteSide | PieceSide:
     return _LOADED[name]
 
 
-def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of small numbers as bytes: the width of a number, then the numbers; a third of the size of lists of integers."""
+    ends = np.cumsum(sizes).tolist()
+    out = []
+    for end, n in zip(ends, sizes.tolist(), strict=True):
+        own = values[end - n : end]
+        most = own.max(initial=0)
+        kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+        out.append(bytes([np.dtype(kind).itemsize]) + own.astype(kind).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a packed column, and how many each row has."""
+    rows = [np.frombuffer(raw, f"u{raw[0]}", offset=1) for raw in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.array([len(r) for r in rows], np.int64)
 
 
 def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,40 +119,117 @@ def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.diff(owner_a[closes], prepend=-1), np.diff(owner_b[closes], prepend=-1), ends[closes]
 
 
-def align_texts(values: list[str], a: ByteSide | PieceSide, b: ByteSide | PieceSide) -> dict[str, pa.Array]:
-    """Ids of both sides and the tokens a group, for each text."""
-    ids_a, ids_b = a.encode(values), b.encode(values)
-    sizes = np.zeros(len(values), np.int64)
-    for k, text in enumerate(values):
-        raw = b" " + text.encode()
-        if text and b"".join(map(a.bytes_of.__getitem__, ids_a[k])) == raw == b"".join(map(b.bytes_of.__getitem__, ids_b[k])):
-            sizes[k] = len(raw)
-        else:
-            ids_a[k], ids_b[k] = [], []
-    flat_a, flat_b = (np.array([i for ids in side_ids for i in ids], np.int64) for side_ids in (ids_a, ids_b))
-    # Texts stand behind each other, so that one search serves all; a text's end is shared and closes its last group.
-    ends_a, ends_b = (np.cumsum(np.array([len(t) for t in own.bytes_of], np.int64)[flat]) for own, flat in ((a, flat_a), (b, flat_b)))
-    in_a, in_b, ends = groups_of(ends_a, ends_b)
-    text_of = np.searchsorted(np.cumsum(sizes), ends)
-    n_groups = np.bincount(text_of, minlength=len(values))
-    return {
-        "a_ids": lists(flat_a, np.array([len(x) for x in ids_a])), "b_ids": lists(flat_b, np.array([len(x) for x in ids_b])),
-        "a_sizes": lists(in_a, n_groups), "b_sizes": lists(in_b, n_groups),
-    }
-
-
-def align(docs: DataFrame, tokenizer_a: str = "byte_bpe_50k.json", tokenizer_b: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the ids of both sides, and how many of each stand in each group; row_key is any unique number."""
+class Units:
+    """The tokens of short stretches of text, kept between texts: a stretch is some spaces and what follows up to the next.
+
+    A byte-level vocabulary cuts texts before a space that follows something else, and a piece vocabulary of which no piece
+    has a space after something else can't join over it, so both sides encode such stretches by themselves, and their ends
+    are shared. Only a run of white space that goes on with two spaces or more isn't cut (the pattern takes it as one).
+    Vocabularies that aren't so encode whole texts. What is kept is emptied beyond ``most`` stretches or 32 times as many characters.
+    """
+
+    STRETCH = re.compile(r" +[^ ]*(?:(?<=\s) {2,}[^ ]*)*")
+
+    def __init__(self, name_a: str, name_b: str, most: int = 200_000) -> None:
+        self.a, self.b, self.most = side(name_a), side(name_b), most
+        self.cuts = isinstance(self.a, ByteSide) and isinstance(self.b, PieceSide) and not any(re.search(b"[^ ] ", t) for t in self.b.bytes_of)
+        self.lengths = [np.array([len(t) for t in own.bytes_of], np.int64) for own in (self.a, self.b)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.characters = 0
+        #: ids and group sizes of all stretches behind each other, for A and B, and where each stretch begins
+        self.flat = [np.zeros(0, np.int64) for _ in range(4)]
+        self.starts = [np.zeros(1, np.int64) for _ in range(4)]
+        self.right = np.zeros(0, bool)
+
+    def add(self, stretches: list[str]) -> None:
+        raw = [s.encode() for s in stretches]
+        whole, sizes = b"".join(raw), np.array([len(r) for r in raw], np.int64)
+        right = np.ones(len(stretches), bool)
+        ids = [self.a.encode([s[1:] for s in stretches]), self.b.encode([s[1:] for s in stretches])]
+        for side_ids, own, length in zip(ids, (self.a, self.b), self.lengths, strict=True):
+            flat = [i for x in side_ids for i in x]
+            ends = np.cumsum(np.array([len(x) for x in side_ids]))
+            measured = np.diff(np.concatenate([[0], np.cumsum(length[flat])])[ends], prepend=0)
+            if b"".join(map(own.bytes_of.__getitem__, flat)) != whole or (measured != sizes).any():
+                right &= [b"".join(map(own.bytes_of.__getitem__, x)) == r for x, r in zip(side_ids, raw, strict=True)]
+        ids_a, ids_b = ([x if ok else [] for x, ok in zip(side_ids, right.tolist(), strict=True)] for side_ids in ids)
+        flat = [np.array([i for x in own for i in x], np.int64) for own in (ids_a, ids_b)]
+        # Stretches stand behind each other, so that one search serves all; an end of a stretch is shared and closes a group.
+        ends = [np.cumsum(length[ids]) for length, ids in zip(self.lengths, flat, strict=True)]
+        in_a, in_b, closed = groups_of(*ends)
+        counts = [np.array([len(x) for x in own], np.int64) for own in (ids_a, ids_b)]
+        own_end = np.concatenate([[0], ends[0]])[np.cumsum(counts[0])]
+        n_groups = np.diff(np.searchsorted(closed, own_end, side="right"), prepend=0)
+        for k, (values, n) in enumerate(((flat[0], counts[0]), (flat[1], counts[1]), (in_a, n_groups), (in_b, n_groups))):
+            self.flat[k] = np.concatenate([self.flat[k], values])
+            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(n)])
+        self.right = np.concatenate([self.right, right])
+        for stretch in stretches:
+            self.number[stretch] = len(self.number)
+            self.characters += len(stretch)
+
+    def align(self, values: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A, of B, and tokens a group of A, of B: each as one array and how many of it each text has."""
+        if len(self.number) > self.most or self.characters > 32 * self.most:
+            self.clear()
+        cut = [(self.STRETCH.findall(" " + t) if self.cuts else [" " + t]) if t else [] for t in values]
+        words = [w for own in cut for w in own]
+        known = list(map(self.number.get, words))
+        if None in known:
+            self.add(list(dict.fromkeys(w for w, k in zip(words, known, strict=True) if k is None)))
+            known = list(map(self.number.__getitem__, words))
+        at = np.array(known, np.int64)
+        text = np.repeat(np.arange(len(cut)), [len(own) for own in cut])
+        good = np.ones(len(cut), bool)
+        good[text[~self.right[at]]] = False
+        at, text = at[good[text]], text[good[text]]
+        out = []
+        for flat, starts in zip(self.flat, self.starts, strict=True):
+            n = starts[at + 1] - starts[at]
+            place = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((flat[place], np.bincount(text, n, len(cut)).astype(np.int64)))
+        return out
+
+
+def units(name_a: str, name_b: str) -> Units:
+    """The stretches of two tokenizers, kept in the process."""
+    key = f"{name_a} {name_b}"
+    if key not in _LOADED:
+        _LOADED[key] = Units(name_a, name_b)
+    return _LOADED[key]
+
+
+def tokens_of(values: list[str], name_a: str = "byte_bpe_50k.json", name_b: str = "piece_bpe_32k.model") -> dict[str, pa.Array]:
+    """Packed ids of both sides and tokens a group, for each text."""
+    return {name: packed(*pair) for name, pair in zip(("a_ids", "b_ids", "a_sizes", "b_sizes"), units(name_a, name_b).align(values), strict=True)}
+
+
+def encode(docs: DataFrame, tokenizer_a: str = "byte_bpe_50k.json", tokenizer_b: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, packed: the ids of both sides, and how many of each stand in each group; row_key is any unique number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = side(tokenizer_a), side(tokenizer_b)
         for batch in batches:
-            for part in weighed(batch, "text", 1 << 21):
-                yield columns(row_key=part.column("row_key"), doc_id=part.column("doc_id"), **align_texts(texts(part), a, b))
+            for part in weighed(batch, "text", 1 << 20):
+                yield columns(row_key=part.column("row_key"), doc_id=part.column("doc_id"), **tokens_of(texts(part), tokenizer_a, tokenizer_b))
 
     return docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, TOKENS)
 
 
+def align(docs: DataFrame, **names: str) -> DataFrame:
+    """One row per document: the ids of both sides (a_ids, b_ids), and how many of each stand in each group (a_sizes, b_sizes), as lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in weighed(batch, "a_ids", 1 << 20):
+                lists = {c: pa.array([np.frombuffer(raw, f"u{raw[0]}", offset=1).tolist() for raw in part.column(c).to_pylist()], pa.list_(pa.int32())) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")}
+                yield columns(doc_id=part.column("doc_id"), **lists)
+
+    return encode(docs, **names).mapInArrow(run, "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>")
+
+
 def spelled(highest: int) -> np.ndarray:
     """At 3 * id + k: the id's decimals with the k-th of the separators , | ;"""
     have = _LOADED.get("spelled")
@@ -148,13 +242,8 @@ class Flat:
     """The tokens and groups of some documents in plain arrays."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
-        self.ids: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        for s in "ab":
-            self.ids.append(batch.column(f"{s}_ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            self.sizes.append(batch.column(f"{s}_sizes").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-        lengths = [np.array(batch.column(c).value_lengths()).astype(np.int64) for c in ("a_ids", "b_ids", "a_sizes")]
-        self.n_a, self.n_b, self.n_groups = lengths
+        (a, self.n_a), (b, self.n_b), (in_a, self.n_groups), (in_b, _) = (unpacked(batch.column(c)) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
+        self.ids, self.sizes = [a, b], [in_a, in_b]
         self.rows = batch.num_rows
         self.doc_of_group = np.repeat(np.arange(self.rows), self.n_groups)
 
@@ -228,7 +317,7 @@ def link_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
         for batch in batches:
-            for part in weighed(batch, "a_ids", 1 << 19):
+            for part in weighed(batch, "a_ids", 1 << 20):
                 for doc, pair, _ in Flat(part).links():
                     once = np.unique(doc << 2 * BITS | pair) & ((1 << 2 * BITS) - 1)
                     found, n = np.unique(once, return_counts=True)
@@ -260,7 +349,7 @@ def table_floor(counts: DataFrame, table_pairs: int) -> int:
 
 
 def link_statistics(tokens: DataFrame, table_pairs: int = 2_000_000) -> DataFrame:
-    """One row per document of ``align``'s table, which is read twice: its numbers of tokens, groups and links, and the links' corpus-wide counts.
+    """One row per document of ``encode``'s table, which is read twice: its numbers of tokens, groups and links, and the links' corpus-wide counts.
 
     n_best counts the links whose pair has its A id's highest count, count_sum sums the counts over links.
     """
@@ -281,7 +370,7 @@ def link_statistics(tokens: DataFrame, table_pairs: int = 2_000_000) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, table_n, highest_n = shared.value
         for batch in batches:
-            for part in weighed(batch, "a_ids", 1 << 19):
+            for part in weighed(batch, "a_ids", 1 << 20):
                 flat = Flat(part)
                 n_best, count_sum = np.zeros(flat.rows, np.int64), np.zeros(flat.rows, np.int64)
                 rare_doc, rare_pair, rare_times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -329,5 +418,5 @@ def with_rare(statistics: DataFrame, counts: DataFrame, highest: DataFrame) -> D
 
 
 def aligned_documents(docs: DataFrame, table_pairs: int = 2_000_000, **names: str) -> DataFrame:
-    """``link_statistics`` of ``align``, whose table goes to the shared folder."""
-    return link_statistics(materialize(align(docs, **names), "aligned-tokens"), table_pairs)
+    """``link_statistics`` of ``encode``, whose table goes to the shared folder."""
+    return link_statistics(materialize(encode(docs, **names), "aligned-tokens"), table_pairs)

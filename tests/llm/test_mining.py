@@ -67,10 +67,9 @@ def test_alignment_of_long_runs_without_shared_ends(spark):
     """Groups of thousands of tokens a side: the links are made of distinct ids, in small parts."""
     rng = random.Random(5)
     texts = ["".join(rng.choice("abc1漢́") for _ in range(3000)), "ab" * 4000, "x" * 3000 + " y " + "x" * 3000, " ".join("z" * k for k in range(120))]
-    sides = alignment.side("byte_bpe_50k.json"), alignment.side("piece_bpe_32k.model")
     import pyarrow as pa
 
-    flat = alignment.Flat(pa.RecordBatch.from_pydict(alignment.align_texts(texts, *sides)))
+    flat = alignment.Flat(pa.RecordBatch.from_pydict(alignment.tokens_of(texts)))
     want = Counter()
     for k, t in enumerate(texts):
         for g in plain_groups(t):
@@ -87,6 +86,24 @@ def test_alignment_of_long_runs_without_shared_ends(spark):
     assert max(len(x) for x in parts) < sum(want.values()) or len(parts) == 1
 
 
+def test_stretches_encode_as_whole_texts_do(spark):
+    """Random mixes of letters, white space of all kinds, marks and signs; ids against the libraries on the whole text."""
+    rng = random.Random(9)
+    signs = ["a", "B", "é", "e\u0301", "ß", "1", "٣", "'s", "'", "!", "…", "漢", "\U0001f600", "\u200d", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2028", "\u3000", "\x85", "\x1c", "\x00", "_", "<s>", "Å", "ﬁ"]
+    values = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    a, b = alignment.side("byte_bpe_50k.json"), alignment.side("piece_bpe_32k.model")
+    own = alignment.Units("byte_bpe_50k.json", "piece_bpe_32k.model", most=500)
+    assert own.cuts
+    for k in range(0, len(values), 100):
+        part = values[k : k + 100]
+        (ids_a, n_a), (ids_b, n_b), _, _ = own.align(part)
+        want = [(x, y) if b"".join(b.bytes_of[i] for i in y) == (" " + t).encode() else ([], []) for t, x, y in zip(part, a.encode(part), b.encode(part))]
+        assert [x.tolist() for x in np.split(ids_a, np.cumsum(n_a)[:-1])] == [w[0] for w in want]
+        assert [x.tolist() for x in np.split(ids_b, np.cumsum(n_b)[:-1])] == [w[1] for w in want]
+    rows = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.a_ids, sum(r.a_sizes), sum(r.b_sizes)) for r in alignment.align(rows).collect()} == {1: (a.encode(["one two"])[0], 2, 2), 2: ([], 0, 0)}
+
+
 def test_alignment_of_an_empty_table(no_docs):
     assert alignment.aligned_documents(no_docs).collect() == []
 
