@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,12 +44,25 @@ def parse_amount(text: Column) -> Column:
     return F.when(F.regexp_count(digits, F.lit("[0-9]")) == 0, F.lit(None)).when(bracketed, -F.abs(number)).otherwise(number)
 
 
+#: What the letters of a layout stand for, longest first.
+_LETTERS = (("yyyy", "[0-9]{4}"), ("SSS", "[0-9]{3}"), ("MMM", "[A-Za-z]+"), ("XXX", "(Z|[+-][0-9]{2}:[0-9]{2})"), ("MM", "[0-9]{2}"), ("dd", "[0-9]{2}"), ("HH", "[0-9]{2}"), ("mm", "[0-9]{2}"), ("ss", "[0-9]{2}"), ("M", "[0-9]{1,2}"), ("d", "[0-9]{1,2}"), ("H", "[0-9]{1,2}"))
+
+
+def shape_of(layout: str) -> str:
+    """A pattern that all texts of a date layout match, so that a layout is only tried on texts that look like it."""
+    out, rest = "", layout.replace("'", "")
+    while rest:
+        letters, pattern = next(((k, p) for k, p in _LETTERS if rest.startswith(k)), (rest[0], re.escape(rest[0])))
+        out, rest = out + pattern, rest[len(letters) :]
+    return f"^{out}$"
+
+
 def parse_date(text: Column) -> Column:
     """A timestamp (UTC where no offset is given) from ISO forms, then the listed layouts, then ten-digit epoch seconds."""
     raw = F.nullif(F.trim(text), F.lit(""))
-    tries = [F.try_to_timestamp(raw, F.lit(p)) for p in (*ISO_LAYOUTS, *DATE_LAYOUTS)]
+    tries = [F.when(raw.rlike(shape_of(p)), F.try_to_timestamp(raw, F.lit(p))) for p in (*ISO_LAYOUTS, *DATE_LAYOUTS)]
     epoch = F.when(raw.rlike("^[0-9]{10}$"), F.timestamp_seconds(raw.try_cast("bigint")))
-    return F.when(raw.rlike("^[0-9]{10}$"), epoch).otherwise(F.coalesce(*tries))
+    return F.coalesce(epoch, *tries)
 
 
 def money(minor: Column, currency: Column) -> Column:

@@ -208,7 +208,9 @@ def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("o_orderkey") % 8 == 7, F.lit("last tuesday"))
     for k, layout in enumerate(layouts):
         shown = shown.when(F.col("o_orderkey") % 8 == k, F.date_format("o_orderdate", layout))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", values.parse_date(shown).alias("parsed"))
+    # The text is made once, by a generator, instead of inside each of the layouts' tries.
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.inline(F.array(F.struct(shown.alias("shown")))))
+    return orders.select("o_orderkey", values.parse_date(F.col("shown")).alias("parsed"))
 
 
 _ORDERS_FILE = Detected(
@@ -254,16 +256,17 @@ def range_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def header_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical field and column of the rendered export, detected from its head."""
-    rows = _rendered(spark, sf_dir).drop("_row")
-    found = detect(rows.columns, [r.asDict() for r in rows.limit(50).collect()])
+    """Canonical field and column of the rendered export, detected from its head (the first 50 rows of the file are the feature)."""
+    rows = _rendered(spark, sf_dir)
+    found = detect(rows.drop("_row").columns, classify.first_rows(rows, 50))
     return spark.createDataFrame([(k, v, float(found.confidence[v])) for k, v in sorted(found.mapping.items())], "canonical string, column string, confidence double")
 
 
 @query()
 def classify_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rendered(spark, sf_dir).drop("_row")
-    found = classify.classify("web_orders.csv", detect(rows.columns, [r.asDict() for r in rows.limit(50).collect()]), rows)
+    rows = _rendered(spark, sf_dir)
+    sample = classify.first_rows(rows, classify.VALUE_ROWS)
+    found = classify.classify("web_orders.csv", detect(rows.drop("_row").columns, sample), sample)
     return spark.createDataFrame([(k, round(v, 6), found.source_type, round(found.confidence, 6), found.stage) for k, v in found.scores.items()], "type string, score double, source_type string, confidence double, stage string")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,52 +37,88 @@ class Mapped:
     rejected: DataFrame
 
 
-def map_rows(rows: DataFrame, found: Detected, source_type: str, source_id: str, filename: str = "", row_number: str = "_row", header_offset: int = 1) -> Mapped:
-    """``rows`` are all strings, with their number in the file (from 1) in ``row_number``."""
-    role = role_of(source_type)
-    raw = lambda column: F.nullif(F.col(f"`{column}`").cast("string"), F.lit(""))
-    field = lambda name: raw(found.mapping[name]) if name in found.mapping else F.lit(None).cast("string")
-    minor = lambda amount: F.rint(amount).cast("bigint") if found.scale == "minor" else values.to_minor(amount)
-    if found.debit and found.credit:
-        credit, debit = values.parse_amount(raw(found.credit)), values.parse_amount(raw(found.debit))
-        signed = F.when(credit != 0, credit).when(debit != 0, -debit)
-    else:
-        signed = values.parse_amount(field("amount"))
-    when = values.parse_date(field("date"))
-    number = F.col(row_number).cast("bigint")
-    base = rows.withColumns(
-        {
-            "_signed": signed, "_when": when, "_amount": minor(F.abs(signed)), "_refund": F.coalesce(minor(values.parse_amount(field("refund_amount"))), F.lit(0)),
-            "_error": F.when(signed.isNull(), "amount is missing or not a number").when(when.isNull(), "date is missing or not readable"),
-        }
-    )
+@dataclass
+class Reading:
+    """How the raw rows of one or many files are read, as expressions on them: a field's text (null where empty), the amount with its sign, its minor units, and where a row comes from."""
+
+    field: Callable[[str], Column]
+    signed: Column
+    minor: Callable[[Column], Column]
+    number: Column
+    file_row: Column
+    source_id: Column
+    filename: Column
+    source_type: Column
+    raw: Column
+
+
+def signed_amount(credit: Column, debit: Column) -> Column:
+    """Money in is positive, money out negative; nothing where both are empty or nothing."""
+    return F.when(credit != 0, credit).when(debit != 0, -debit)
+
+
+def read_amounts(rows: DataFrame, how: Reading) -> DataFrame:
+    """The rows with _signed, _when, _amount, _refund and _error.
+
+    They come out of a generator, which filters aren't pushed through: else each date would be parsed for the filter on _error and again for its column.
+    """
+    refund = F.coalesce(how.minor(values.parse_amount(how.field("refund_amount"))), F.lit(0))
+    parsed = F.struct(how.signed.alias("_signed"), values.parse_date(how.field("date")).alias("_when"), refund.alias("_stated"))
+    base = rows.select("*", F.inline(F.array(parsed)))
+    error = F.when(F.col("_signed").isNull(), "amount is missing or not a number").when(F.col("_when").isNull(), "date is missing or not readable")
+    base = base.withColumns({"_amount": how.minor(F.abs("_signed")), "_error": error})
+    stated = F.when((F.col("_signed") < 0) & (F.col("_stated") == 0), F.col("_amount")).otherwise(F.col("_stated"))
+    return base.withColumn("_refund", F.least(stated, F.col("_amount"))).drop("_stated")
+
+
+def canonical(base: DataFrame, how: Reading, role: str) -> DataFrame:
+    """The canonical records of the readable rows of ``read_amounts``, all of one side, with their provenance."""
+    c, field = F.col, how.field
     reference = F.coalesce(field("reference"), field("transaction_id"))
-    key = F.coalesce(field("transaction_id"), reference, F.concat(F.lit(f"{source_id}-"), number.cast("string")))
-    description = F.when(field("counterparty").isNotNull(), F.trim(F.concat_ws(" ", F.coalesce(field("description"), F.lit("")), field("counterparty")))).otherwise(F.coalesce(field("description"), F.lit("")))
+    key = F.coalesce(field("transaction_id"), reference, F.concat(how.source_id, F.lit("-"), how.number.cast("string")))
+    text = F.coalesce(field("description"), F.lit(""))
+    description = F.when(field("counterparty").isNotNull(), F.trim(F.concat_ws(" ", text, field("counterparty")))).otherwise(text)
     currency = F.substring(F.upper(F.coalesce(field("currency"), F.lit("INR"))), 1, 8)
     said = F.lower(F.trim(F.coalesce(field("status"), F.lit(""))))
-    refund = F.least(F.when((F.col("_signed") < 0) & (F.col("_refund") == 0), F.col("_amount")).otherwise(F.col("_refund")), F.col("_amount"))
     provenance = F.struct(
-        F.lit(source_id).alias("source_id"), F.lit(filename).alias("filename"), F.lit(source_type).alias("source_type"), F.lit(role).alias("role"), number.alias("row"), (number + header_offset).alias("file_row")
+        how.source_id.alias("source_id"), how.filename.alias("filename"), how.source_type.alias("source_type"), F.lit(role).alias("role"), how.number.alias("row"), how.file_row.alias("file_row")
     ).alias("provenance")
-    good = base.filter("_error IS NULL").withColumn("_refund", refund)
-    c = F.col
+    good = base.filter("_error IS NULL")
     if role == "LEDGER":
-        records = good.select(
+        return good.select(
             key.alias("order_id"), reference.alias("reference_id"), c("_amount").alias("amount_minor"), currency.alias("currency"), c("_when").alias("order_date"),
             _status(LEDGER_STATUS, said, "captured").alias("status"), c("_refund").alias("refund_amount_minor"), description.alias("description"), provenance,
         )
+    fee, tax = (F.coalesce(how.minor(values.parse_amount(field(n))), F.lit(0)) for n in ("fee", "tax"))
+    net = F.coalesce(how.minor(values.parse_amount(field("net_amount"))), c("_amount") - fee - tax - c("_refund"))
+    return good.select(
+        key.alias("payment_id"), F.coalesce(reference, F.lit("")).alias("order_reference"), key.alias("settlement_id"), c("_amount").alias("gross_amount_minor"), fee.alias("fee_minor"), tax.alias("tax_minor"),
+        c("_refund").alias("refund_amount_minor"), net.alias("net_amount_minor"), c("_when").alias("order_date"), F.coalesce(values.parse_date(field("settlement_date")), c("_when")).alias("settlement_date"),
+        currency.alias("currency"), _status(SETTLEMENT_STATUS, said, "settled").alias("status"), description.alias("description"), provenance,
+    )
+
+
+def rejected_rows(base: DataFrame, how: Reading) -> DataFrame:
+    """The unreadable rows of ``read_amounts`` with the reason and their first raw values."""
+    return base.filter("_error IS NOT NULL").select(how.number.alias("row"), how.file_row.alias("file_row"), how.source_id.alias("source_id"), how.filename.alias("filename"), F.col("_error").alias("error"), how.raw.alias("raw"))
+
+
+def map_rows(rows: DataFrame, found: Detected, source_type: str, source_id: str, filename: str = "", row_number: str = "_row", header_offset: int = 1) -> Mapped:
+    """``rows`` are all strings, with their number in the file (from 1) in ``row_number``."""
+    role = role_of(source_type)
+    raw = lambda column: F.nullif(F.col(f"`{column}`").cast("string"), F.lit(""))
+    field = lambda name: raw(found.mapping[name]) if name in found.mapping else F.lit(None).cast("string")
+    if found.debit and found.credit:
+        signed = signed_amount(values.parse_amount(raw(found.credit)), values.parse_amount(raw(found.debit)))
     else:
-        fee, tax = (F.coalesce(minor(values.parse_amount(field(n))), F.lit(0)) for n in ("fee", "tax"))
-        net = F.coalesce(minor(values.parse_amount(field("net_amount"))), c("_amount") - fee - tax - c("_refund"))
-        records = good.select(
-            key.alias("payment_id"), F.coalesce(reference, F.lit("")).alias("order_reference"), key.alias("settlement_id"), c("_amount").alias("gross_amount_minor"), fee.alias("fee_minor"), tax.alias("tax_minor"),
-            c("_refund").alias("refund_amount_minor"), net.alias("net_amount_minor"), c("_when").alias("order_date"), F.coalesce(values.parse_date(field("settlement_date")), c("_when")).alias("settlement_date"),
-            currency.alias("currency"), _status(SETTLEMENT_STATUS, said, "settled").alias("status"), description.alias("description"), provenance,
-        )
-    head = F.create_map(*[x for column in found.columns[:6] for x in (F.lit(column), F.col(f"`{column}`").cast("string"))])
-    rejected = base.filter("_error IS NOT NULL").select(number.alias("row"), (number + header_offset).alias("file_row"), F.lit(source_id).alias("source_id"), F.lit(filename).alias("filename"), c("_error").alias("error"), head.alias("raw"))
-    return Mapped(role, records, rejected)
+        signed = values.parse_amount(field("amount"))
+    number = F.col(row_number).cast("bigint")
+    how = Reading(
+        field, signed, (lambda amount: F.rint(amount).cast("bigint")) if found.scale == "minor" else values.to_minor, number, number + header_offset, F.lit(source_id), F.lit(filename), F.lit(source_type),
+        F.create_map(*[x for column in found.columns[:6] for x in (F.lit(column), F.col(f"`{column}`").cast("string"))]),
+    )
+    base = read_amounts(rows, how)
+    return Mapped(role, canonical(base, how, role), rejected_rows(base, how))
 
 
 def _status(table: dict[str, str], said: Column, plain: str) -> Column:
