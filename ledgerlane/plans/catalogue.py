@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import investigations, queries, records, workspaces
+from . import investigations, queries, records, states, workspaces
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "investigations", "queries", "records", "workspaces"]
+__all__ = ["ORACLES", "QUERIES", "investigations", "queries", "records", "states", "workspaces"]

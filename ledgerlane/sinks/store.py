@@ -69,6 +69,19 @@ def read_records(spark: SparkSession, path: str, batch_id: str | None = None) ->
     return rows.join(versions, ["batch_id", "version"], "left_semi").drop("version")
 
 
+def version_of(spark: SparkSession, path: str, batch_id: str) -> int:
+    """The number of a batch's current version; 0 where nothing is stored."""
+    known = _versions(spark, path)
+    last = None if known is None else known.filter(F.col("batch_id") == batch_id).first()
+    return 0 if last is None else last.version
+
+
+def read_version(spark: SparkSession, path: str, batch_id: str, version: int) -> DataFrame:
+    """A batch's rows as one finished version left them."""
+    rows = spark.read.option("mergeSchema", True).parquet(f"{path}/rows").withColumn("batch_id", F.col("batch_id").cast("string"))
+    return rows.filter((F.col("batch_id") == batch_id) & (F.col("version") == version)).drop("version")
+
+
 def current_or_none(spark: SparkSession, path: str, batch_id: str) -> DataFrame | None:
     """The current rows of a batch, where something is stored."""
     return None if _versions(spark, path) is None else read_records(spark, path, batch_id)
