@@ -1,21 +1,23 @@
 """HTML extraction: the article of a page, without what its host repeats from page to page.
 
-1. One scan of the markup gives blocks of text. Elements that are never the article (menus, footers, asides, forms,
-   adverts, notices, comments, scripts and the like, by tag, role, class or id) are set apart; blocks inside an
-   article or main element are article blocks, all others are undecided.
-2. The token stream of each page - all its blocks - is searched per host: a suffix array over the streams' parts
-   (sharded by content, so a host may have any number of pages) finds long substrings that repeat across distinct
-   pages. In undecided blocks, tokens they cover are boilerplate. Most parts of a stream have a key that no other page
-   of the host has: batches of pages first send their distinct keys, as blocks of numbers, to the tasks of their hash
-   ranges and get back those that others have as well, so that only their parts become rows.
-3. Articles may quote each other. In article blocks, tokens are boilerplate only where they are in strings of the
-   searched length that are part of the host's template: on a share of ``many`` of the host's pages (half of them), and
-   on four at least. An article with nothing else is a copy, and stays.
+1. One scan of the markup, linear in its length, gives blocks of text. Elements that are never the article (menus, footers,
+   asides, forms, adverts, notices, comments, scripts and the like, by tag, role, class or id) are set apart; blocks inside
+   an article or main element are article blocks, all others are undecided.
+2. The token stream of each page - all its blocks, those set apart too, so that boilerplate that is marked on some pages
+   is known on those that don't mark it - is searched per host: a suffix array over the streams' parts (sharded by
+   content, so a host may have any number of pages) finds long substrings that are on a share of ``many`` of the host's
+   pages (half of them), and on ``least_pages`` at least. Most parts of a stream have a key that too few pages of the host
+   have: batches of pages first send their distinct keys, as blocks of numbers, to the tasks of their hash ranges and get back
+   those that enough pages have, so that only their parts become rows.
+3. What such substrings cover is boilerplate, the rest are unique runs. An undecided block is kept if at least half of it is
+   in unique runs, and then whole, so that no sentence is cut. Article blocks are kept whatever is found: stories that a host
+   tells again on other pages are still stories. A page without an article block of which nothing would be left is a copy,
+   and keeps its undecided blocks.
 
 Cases: null html is an empty page with empty text; a null url counts as its own host; empty tables give empty
 results; repeated rows are pages of their own (two equal pages without an article are each other's repeats only if
-their ids or urls differ); unclosed and stray tags are taken as they come; long pages are taken whole; other columns
-are passed by.
+their ids or urls differ); unclosed and stray tags are taken as they come; a tag's quotes count as long as all tags of the page
+end outside them; what follows the last ``>`` is text; long pages are taken whole; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, groupby
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +61,8 @@ APART_NAMES = {
     "notice", "notices", "popup", "modal", "overlay", "alert", "comment", "comments", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "newsletter",
     "subscribe", "subscription", "signup", "login", "widget", "hidden",
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.DOTALL)
+TAG_NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+TAG_MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -94,10 +98,55 @@ def _is_apart(tag: str, own: dict[str, str], in_article: bool) -> bool:
     return bool(names & (APART_NAMES - {"header"} if in_article else APART_NAMES))
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, name (after a slash for an end tag; empty for comments and declarations) and attributes of the tags in order.
+
+    Each character is looked at a bounded number of times: a tag is searched to its end once, the last places of ``>`` and of
+    both quotes tell that a search would find nothing, and once a tag has its end only inside quotes, quotes count no more.
+    """
+    last = {c: page.rfind(c) for c in ">\"'"}
+    quotes, at = True, 0
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start > last[">"]:
+            return
+        name = TAG_NAME.match(page, start + 1)
+        if name is None:
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                at = len(page) if close < 0 else close + 3
+            elif page.startswith(("<!", "<?"), start):
+                at = page.index(">", start) + 1
+            else:
+                at = start + 1
+                continue
+            yield start, at, "", ""
+            continue
+        end, place = -1, name.end()
+        while quotes and end < 0:
+            mark = TAG_MARK.search(page, place)
+            if mark is None:
+                quotes = False
+            elif mark[0] == ">":
+                end = mark.start()
+            else:
+                place = mark.end() if place > last[mark[0]] or mark.start() == last[mark[0]] else page.index(mark[0], mark.end()) + 1
+        if end < 0:
+            end = page.index(">", name.end())
+        at = end + 1
+        yield start, at, name[0].lower(), page[name.end() : end]
+        if name[0].lower() in RAW:
+            close = re.compile(rf"</{name[0]}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            after = len(page) if close is None else close.end()
+            yield at, after, "", ""
+            at = after
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; white space inside each is one space."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, in an article, apart
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     article = apart = False
 
@@ -108,30 +157,25 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, article, apart))
             pieces.clear()
 
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            pieces.append(html.unescape(page[at:]))
-            break
-        if m.start() > at:
-            pieces.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if not m[1] and tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(page, at)
-            at = close.end()
+    at = 0
+    for start, end, name, rest in tags(page):
+        if start > at:
+            pieces.append(html.unescape(page[at:start]))
+        at = end
+        tag = name.removeprefix("/")
+        if not tag or name in RAW:
             continue
         if tag in BLOCK:
             flush()
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if depth >= 0:
+        if name != tag:
+            if opened[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
                 outer = stack[depth - 1][1:] if depth else (False, False)
                 if outer != (article, apart):
                     flush()
+                opened.subtract(t for t, _, _ in stack[depth:])
                 del stack[depth:]
                 article, apart = outer
             continue
@@ -139,15 +183,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in CLOSES_P and stack and stack[-1][0] == "p":
             stack.pop()
+            opened["p"] -= 1
             article, apart = stack[-1][1:] if stack else (False, False)
-        own = _attributes(m[3])
+        own = _attributes(rest)
         now_article = article or tag in ("article", "main") or own.get("role", "").lower() in ("main", "article")
         now_apart = apart or _is_apart(tag, own, article)
-        if not m[3].endswith("/") or tag in BLOCK:
+        if not rest.endswith("/") or tag in BLOCK:
             if (now_article, now_apart) != (article, apart):
                 flush()
             stack.append((tag, now_article, now_apart))
+            opened[tag] += 1
             article, apart = now_article, now_apart
+    if at < len(page):
+        pieces.append(html.unescape(page[at:]))
     flush()
     return out
 
@@ -267,7 +315,7 @@ def shared_keys(blocks_of: DataFrame, ranges: int) -> DataFrame:
 
 
 def wanted_keys(parsed: DataFrame, shared: DataFrame, needs: DataFrame) -> DataFrame:
-    """page_id, row_key, need and keys of the pages with keys that open blocks share, or article blocks on as many pages as their host needs."""
+    """page_id, row_key, need and keys of the pages with keys that are in open blocks somewhere, and on as many pages as their host needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, need_of, infos, known = None, {}, (), []
@@ -277,7 +325,7 @@ def wanted_keys(parsed: DataFrame, shared: DataFrame, needs: DataFrame) -> DataF
                 return None
             key, place, total, bit = (np.concatenate(x) for x in zip(*known, strict=True))
             need = np.array([need_of[s] for s in infos[2]], dtype=np.int64)
-            kept = np.flatnonzero((bit & OPEN_BLOCK > 0) | (total >= need[place]))
+            kept = np.flatnonzero((bit & OPEN_BLOCK > 0) & (total >= need[place]))
             kept = kept[np.argsort(place[kept], kind="stable")]
             pages, head = np.unique(place[kept], return_index=True)
             parts = np.split(key[kept], head[1:]) if len(head) else []
@@ -350,22 +398,21 @@ def shared_segments(parsed: DataFrame, wanted: DataFrame, length: int, gram: int
     return map_batches(chosen, make, "doc_id long, row_key long, key long, seg_hash long, a int, b int, self boolean, need long, piece binary")
 
 
-def unique_tokens(data: bytes, places: list[tuple[int, int]], covered: list[tuple[int, int]]) -> Iterator[str]:
-    """Of the tokens in ``places``, those that no covered range holds whole."""
-    ranges, k = sorted(covered), 0
-    merged: list[list[int]] = []
-    for a, b in ranges:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    for start, end in places:
-        for m in re.finditer(rb"\S+", data[start:end]):
-            a, b = start + m.start(), start + m.end()
-            while k < len(merged) and merged[k][1] < b:
-                k += 1
-            if not (k < len(merged) and merged[k][0] <= a):
-                yield m[0].decode()
+def covered_bytes(places: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    """How many bytes of each place (start, end) lie in any of the ranges."""
+    if not ranges:
+        return np.zeros(len(places), np.int64)
+    own = np.array(sorted(ranges), np.int64)
+    reach = np.maximum.accumulate(own[:, 1])
+    head = np.flatnonzero(np.concatenate(([True], own[1:, 0] > reach[:-1])))
+    start, end = own[head, 0], reach[np.append(head[1:] - 1, len(own) - 1)]
+    before = np.concatenate([[0], np.cumsum(end - start)])
+
+    def upto(x: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(start, x, side="right")
+        return before[k] - np.where(k > 0, np.maximum(end[k - 1] - x, 0), 0)
+
+    return upto(places[:, 1]) - upto(places[:, 0])
 
 
 def _same_page(left: str, right: str) -> list:
@@ -373,7 +420,7 @@ def _same_page(left: str, right: str) -> list:
 
 
 def extract_articles(
-    pages: DataFrame, length: int = 64, gram: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: float = 0.5, least_pages: int = 4, ranges: int | None = None,
+    pages: DataFrame, length: int = 64, gram: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: float = 0.5, least_pages: int = 2, ranges: int | None = None,
 ) -> DataFrame:
     """One row per page: its id, url, main text and the text's code points. Substrings of ``length`` bytes count as long."""
     parsed = materialize(_parse(pages, id_col, url_col, html_col), "pages")
@@ -385,9 +432,8 @@ def extract_articles(
     wanted = materialize(wanted_keys(parsed, shared, needs), "wanted")
     rows = materialize(shared_segments(parsed, wanted, length, gram), "segments")
     # Repeated rows are found once each; what they cover is the same.
-    only = lambda often: F.collect_set(F.when(F.col("r.often") == often, F.struct("r.a", "r.b")))
-    covered = counted_ranges(rows, length).groupBy(F.col("doc_id").alias("page_id"), "row_key").agg(only(False).alias("ranges"), only(True).alias("often"))
-    covered = materialize(covered, "covered")
+    often = counted_ranges(rows, length).filter("r.often")
+    covered = materialize(often.groupBy(F.col("doc_id").alias("page_id"), "row_key").agg(F.collect_set(F.struct("r.a", "r.b")).alias("ranges")), "covered")
     joined = parsed.alias("l").join(covered.alias("r"), _same_page("l", "r"), "left")
 
     def make():
@@ -395,21 +441,18 @@ def extract_articles(
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for stream, starts, ends, kinds, own, often in zip(*(batch.column(c).to_pylist() for c in ("stream", "starts", "ends", "kinds", "ranges", "often")), strict=True):
+            for stream, starts, ends, kinds, own in zip(*(batch.column(c).to_pylist() for c in ("stream", "starts", "ends", "kinds", "ranges")), strict=True):
                 data = unpack(stream)
-                repeats, frequent = ([(r["a"], r["b"] - 1 + length) for r in some or ()] for some in (own, often))
-                marks = [p for p in zip(starts, ends, kinds, strict=True) if p[2] != APART_BLOCK]
-                places = [(a, b) for a, b, kind in marks if kind == ARTICLE_BLOCK]
-                if frequent and next(unique_tokens(data, places, frequent), None) is None:
-                    frequent = []
-                found = []
-                for kind, group in groupby(marks, key=lambda p: p[2]):
-                    covers = frequent if kind == ARTICLE_BLOCK else repeats
-                    found += unique_tokens(data, [(a, b) for a, b, _ in group], covers) if covers else (data[a:b].decode() for a, b, _ in group)
-                out.append(" ".join(found))
+                place, kind = np.column_stack([np.array(starts, np.int64), np.array(ends, np.int64)]), np.array(kinds, np.int64)
+                repeated = covered_bytes(place, [(r["a"], r["b"] - 1 + length) for r in own or ()])
+                unique = 2 * repeated <= place[:, 1] - place[:, 0]
+                chosen = (kind == ARTICLE_BLOCK) | ((kind == OPEN_BLOCK) & unique)
+                if not chosen.any():
+                    chosen = kind == OPEN_BLOCK
+                out.append(" ".join(data[a:b].decode() for a, b in place[chosen].tolist()))
             return columns(page_id=batch.column("page_id"), url=batch.column("url"), text=pa.array(out, pa.string()))
 
         return step
 
-    kept = map_batches(joined.select("l.page_id", "l.url", "l.stream", "l.starts", "l.ends", "l.kinds", "r.ranges", "r.often"), make, "page_id long, url string, text string")
+    kept = map_batches(joined.select("l.page_id", "l.url", "l.stream", "l.starts", "l.ends", "l.kinds", "r.ranges"), make, "page_id long, url string, text string")
     return kept.withColumn("n_chars", F.char_length("text").cast("long"))
