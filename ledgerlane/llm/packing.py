@@ -4,7 +4,8 @@ Lengths are at most ``capacity``, so the histogram of lengths has at most ``capa
 only it goes to the driver. There the plan is made on counts: for the longest length left, its gap is looked up
 among single lengths, pair sums and triple sums, and each combination found is consumed as often as the counts
 allow at once. What no combination fills exactly is placed by best fit (longest first, into the smallest gap that
-holds it), again in whole groups. A plan step empties a length or a group of equal sequences, so the plan has
+holds it), again in whole groups. Plans with fewer kinds of exact fills are made too, down to plain best fit, and the one with
+the fewest sequences is kept. A plan step empties a length or a group of equal sequences, so the plan has
 O(capacity) steps. The pieces are then ranked within their length in a distributed way, and a piece's rank gives its
 sequence and offset from the plan; no sequence is ever assembled in one task.
 
@@ -65,6 +66,9 @@ class Plan:
 
     groups: list[tuple[int, tuple[int, ...]]] = field(default_factory=list)
 
+    def sequences(self) -> int:
+        return sum(n for n, _ in self.groups)
+
     def segments(self) -> tuple[np.ndarray, ...]:
         """length, first rank, first sequence id and offset of every place in every group, by length and rank."""
         used: dict[int, int] = defaultdict(int)
@@ -80,7 +84,23 @@ class Plan:
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
-    """The plan for a histogram of lengths (1 to capacity)."""
+    """The plan for a histogram of lengths (1 to capacity): the best of those that look for exact fills of up to three, two, one or no further lengths.
+
+    Exact fills use up short pieces that others would need, so that fewer of them, or none (plain best fit), may come out ahead.
+    """
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best: Plan | None = None
+    for depth in (3, 2, 1, 0):
+        plan = filled_plan(counts, capacity, depth)
+        if best is None or plan.sequences() < best.sequences():
+            best = plan
+        if best.sequences() == least:
+            break
+    return best
+
+
+def filled_plan(counts: dict[int, int], capacity: int, depth: int) -> Plan:
+    """Exact fills of up to ``depth`` further lengths, then best fit."""
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -114,14 +134,14 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
                     return (a, *pair)
         return None
 
-    for length in range(capacity, 0, -1):
+    for length in range(capacity, 0, -1) if depth else ():
         while have[length] > 0:
             gap = capacity - length
             if gap == 0:
                 consume((length,))
                 continue
             have[length] -= 1
-            found = one(gap) or two(gap) or three(gap)
+            found = (one(gap) if depth >= 1 else None) or (two(gap) if depth >= 2 else None) or (three(gap) if depth >= 3 else None)
             have[length] += 1
             if not found:
                 break

@@ -2,7 +2,7 @@
 
 Line rules, on every line that has a word:
 navigation (parts between ``|``), symbols (too many marks among the characters), shouting (nearly all letters
-upper case), boilerplate (a rights, licence, cookie or menu phrase, in one of four languages, is in a short line), repetition (a few
+upper case), boilerplate (a short line has a phrase of rights, licences, cookies or menus in one of four languages, or is no more than such a word), repetition (a few
 words make up a long line) and punctuation (a short line without any sentence end).
 Document rules come first and only from the text itself: too few words, or too many words in repeated windows.
 
@@ -32,20 +32,17 @@ SCHEMA = (
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
+# Phrases that only stand in boilerplate, in English, German, French and Spanish: a short line with one goes. Single words that
+# prose uses as well (cookie, copyright, newsletter) aren't among them.
 BOILERPLATE = re.compile(
-    rb"all rights reserved|copyright|licensed under|is licensed|released under the|terms of (?:use|service)|privacy policy|"
-    rb"cookie|javascript|subscribe|sign (?:in|up)|log ?in\b|click here|read more|share this|lorem ipsum|powered by",
-    re.IGNORECASE,
-)
-# The same in German, French and Spanish, in lower case.
-BOILERPLATE_PHRASES = tuple(
-    phrase.encode()
-    for phrase in (
-        "alle rechte vorbehalten", "urheberrecht", "lizenziert unter", "nutzungsbedingungen", "datenschutz", "impressum", "hier klicken", "weiterlesen", "jetzt anmelden", "newsletter",
-        "tous droits réservés", "droit d'auteur", "sous licence", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "cliquez ici", "lire la suite", "abonnez-vous", "se connecter",
-        "todos los derechos reservados", "derechos de autor", "bajo licencia", "condiciones de uso", "política de privacidad", "aviso legal", "haga clic aquí", "haz clic aquí", "leer más", "suscríbete", "iniciar sesión",
-    )
+    r"all rights reserved|copyright\s*(?:©|\(c\)|\d{4})|©\s*\d{4}|licensed under|released under the|terms of (?:use|service)|privacy policy|(?:we|site|page|website) uses? cookies|accept (?:all |our )?cookies|cookie (?:policy|settings|preferences|notice)"
+    r"|enable javascript|javascript (?:is disabled|to view)|subscribe (?:to|now|for)|sign (?:in|up) (?:to|for|now|here|with)|log ?in (?:to|here|with)|click here|read more|share this|lorem ipsum|powered by|(?:our|the|free|weekly|daily) newsletter (?:sign|subscri)|newsletter sign-?up"
+    r"|alle rechte vorbehalten|lizenziert unter|steht unter (?:der|einer) .{0,30}lizenz|nutzungsbedingungen|datenschutzerklärung|(?:verwendet|nutzt|verwenden|nutzen) cookies|cookies? akzeptieren|hier klicken|jetzt anmelden|newsletter (?:abonnieren|bestellen)"
+    r"|tous droits réservés|sous licence|conditions d['’]utilisation|politique de confidentialité|mentions légales|(?:utilise|utilisons) des cookies|accepter les cookies|cliquez ici|lire la suite|abonnez-vous"
+    r"|todos los derechos reservados|bajo licencia|condiciones de uso|política de privacidad|aviso legal|(?:utiliza|usa|utilizamos|usamos) cookies|aceptar (?:las )?cookies|haga clic aquí|haz clic aquí|leer más|suscríbete"
 )
+# Words that are boilerplate where they are all that a line says.
+HEADINGS = re.compile(r"(?:impressum|datenschutz|urheberrecht|newsletter|copyright|cookies?|login|log ?in|sign ?in|sign ?up|subscribe|weiterlesen|se connecter|iniciar sesión|droits? d['’]auteur|derechos de autor)(?:\W+\w+)?\W*")
 SENTENCE_END = re.compile(rb"[.!?;:](?:[\"')\]]|\xe2\x80[\x99\x9d])*(?:\s|$)|\xe2\x80\xa6|[\xe3][\x80][\x82]|\xef\xbc[\x81\x9f]|\xd8\x9f|\xe0\xa5\xa4")
 ACCENTED_UPPER = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
 ACCENTED = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]")
@@ -112,8 +109,8 @@ def line_fails(line: bytes, limits: Limits) -> bool:
     if letters >= limits.min_letters and upper > limits.max_upper * letters:
         return True
     if len(words) <= limits.boilerplate_words:
-        lower = line.lower()
-        if BOILERPLATE.search(line) or any(phrase in lower for phrase in BOILERPLATE_PHRASES):
+        said = line.decode(errors="replace").strip().lower()
+        if BOILERPLATE.search(said) or HEADINGS.fullmatch(said):
             return True
     if len(words) >= limits.repeat_words and len(set(words)) < limits.min_distinct * len(words):
         return True

@@ -6,8 +6,8 @@ Base kinds (assign, access, hex) are reported as the patterns find them. Encoded
 exactly, at every depth, and whose fields are those of a PKCS#1, PKCS#8 or SEC1 key, or an OpenSSH key whose
 length-prefixed fields fill it exactly, down to its public keys and (where it isn't encrypted) its check numbers.
 
-Candidates are found in linear time: tokens in the runs between characters that no token has. A header is looked for at
-the first place of a run's part that can start one, and at those of its last ``HEADER_TAIL`` characters.
+Tokens are looked for in the runs between characters that no token has, headers at every place of a run's part that can
+start one: a part is decoded once for each of its four alignments, and objects are read in the decoded text.
 
 All work is within one document; nothing is shuffled. Null and empty texts have no spans; repeated rows are
 scanned alike; long texts are scanned whole; other columns are passed by.
@@ -37,7 +37,6 @@ ASSIGN_HINT = re.compile(r"passw|secret|token|api", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 TOKEN_RUN = re.compile(r"[A-Za-z0-9_.-]{10,}")
-HEADER_TAIL = 1024
 OBJECT_START = "eyJ"
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
@@ -149,6 +148,46 @@ def _object(part: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+#: What is read of an object before all of it is.
+GLANCE = 512
+
+
+def _may_be_object(text: str, place: int) -> bool:
+    """Whether the first characters at a place may begin an object: an error well inside them is one of the whole, and costs no look at the rest."""
+    head = text[place : place + GLANCE]
+    try:
+        json.JSONDecoder().raw_decode(head)
+    except json.JSONDecodeError as error:
+        return len(head) == GLANCE and (error.pos > GLANCE - 16 or error.msg.startswith("Unterminated string"))
+    except RecursionError:
+        return False
+    return True
+
+
+def header_start(part: str) -> int | None:
+    """The first place from which the rest of a part encodes an object that names its algorithm."""
+    first, read = None, json.JSONDecoder().raw_decode
+    for shift in range(4):
+        data = decode64(part[shift:]) if len(part) > shift else None
+        if not data:
+            continue
+        # One character for each byte: the bytes beyond ASCII only stand in strings, and what is found is read again as it is.
+        text, at = data.decode("latin-1"), part.find(OBJECT_START)
+        last = len(text.rstrip(" \t\n\r"))
+        while at >= 0 and (first is None or at < first):
+            place = (at - shift) // 4 * 3
+            if at % 4 == shift and _may_be_object(text, place):
+                try:
+                    value, end = read(text, place)
+                    if end >= last and isinstance(value, dict) and isinstance(value.get("alg"), str) and isinstance(json.loads(data[place:]), dict):
+                        first = at
+                        break
+                except (ValueError, RecursionError):
+                    pass
+            at = part.find(OBJECT_START, at + 1)
+    return first
+
+
 def signed_tokens(text: str) -> list[Span]:
     """Tokens of three parts: a header object that names its algorithm, a payload object, and a signature that may be empty."""
     out: list[Span] = []
@@ -159,16 +198,10 @@ def signed_tokens(text: str) -> list[Span]:
             starts.append(starts[-1] + len(part) + 1)
         k = 0
         while k + 2 < len(parts):
-            header, at = parts[k], parts[k].find(OBJECT_START)
-            if at < 0 or _object(parts[k + 1]) is None:
-                k += 1
-                continue
-            while at >= 0:
-                if isinstance((_object(header[at:]) or {}).get("alg"), str):
-                    out.append((starts[k] + at, starts[k + 2] + len(parts[k + 2]), "jwt"))
-                    k += 2
-                    break
-                at = header.find(OBJECT_START, max(at + 1, len(header) - HEADER_TAIL))
+            at = header_start(parts[k]) if OBJECT_START in parts[k] and _object(parts[k + 1]) is not None else None
+            if at is not None:
+                out.append((starts[k] + at, starts[k + 2] + len(parts[k + 2]), "jwt"))
+                k += 2
             k += 1
     return out
 

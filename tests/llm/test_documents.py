@@ -397,3 +397,103 @@ def test_sharding_keeps_groups_whole_beside_a_hot_one(spark, alone):
 def test_empty_tables(no_docs):
     for found in (packing.pack_documents, suffix_dedup.remove_repeats, tokens.count_tokens, quality_rules.quality_report, quality_rules.clean_documents, secret_scan.scan_secrets, secret_scan.redact_documents, jaccard_join.jaccard_components, jaccard_join.keep_one, sharding.shard_documents):
         assert found(no_docs).count() == 0
+
+
+def best_fit_decreasing(counts, capacity):
+    """Sequences that plain best fit needs, piece by piece."""
+    gaps, n = Counter(), 0
+    for length in sorted(Counter(counts).elements(), reverse=True):
+        gap = min((g for g in gaps if g >= length and gaps[g]), default=None)
+        if gap is None:
+            n, gap = n + 1, capacity
+        else:
+            gaps[gap] -= 1
+        gaps[gap - length] += 1
+    return n
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every place for every piece."""
+    best = len(lengths)
+
+    def put(k, open_ones):
+        nonlocal best
+        if len(open_ones) >= best:
+            return
+        if k == len(lengths):
+            best = len(open_ones)
+            return
+        for i, used in enumerate(open_ones):
+            if used + lengths[k] <= capacity and used not in open_ones[:i]:
+                put(k + 1, [*open_ones[:i], used + lengths[k], *open_ones[i + 1 :]])
+        put(k + 1, [*open_ones, lengths[k]])
+
+    put(0, [])
+    return best
+
+
+def test_packing_never_needs_more_sequences_than_best_fit():
+    rng = random.Random(21)
+    for case in range(60):
+        capacity = rng.choice([16, 64, 256, 2048])
+        draw = rng.choice([lambda: rng.randrange(1, capacity + 1), lambda: rng.randrange(1, capacity // 3 + 2), lambda: int(min(capacity, rng.paretovariate(0.7)))])
+        counts = Counter(draw() for _ in range(rng.randrange(0, 400)))
+        plan = packing.plan_packing(counts, capacity)
+        assert plan.sequences() <= best_fit_decreasing(counts, capacity), case
+        used = Counter()
+        for n, lengths in plan.groups:
+            assert sum(lengths) <= capacity and n > 0
+            for x in lengths:
+                used[x] += n
+        assert used == counts
+    for _ in range(40):
+        lengths = sorted((rng.randrange(1, 13) for _ in range(rng.randrange(1, 9))), reverse=True)
+        assert packing.plan_packing(Counter(lengths), 12).sequences() <= fewest(lengths, 12) + 1
+
+
+def test_packing_of_the_given_lengths(spark):
+    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 2048, "byte_bpe_50k.json", 0, "doc_id", "text", False)
+    counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
+    assert packing.plan_packing(counts, 2048).sequences() <= best_fit_decreasing(counts, 2048)
+
+
+def plain_header(part):
+    """The first suffix of a part that is an object with an algorithm, suffix by suffix."""
+    for at in range(len(part)):
+        if part.startswith("eyJ", at) and isinstance((secret_scan._object(part[at:]) or {}).get("alg"), str):
+            return at
+    return None
+
+
+def test_headers_of_any_length_are_found_at_any_place():
+    import base64
+
+    part = lambda value: base64.urlsafe_b64encode(json.dumps(value, ensure_ascii=False).encode()).decode().rstrip("=")
+    rng = random.Random(6)
+    for size in (1, 50, 2000, 9000):
+        token = part({"alg": "RS256", "x5c": ["é" + "A" * size], "in": {"alg": "x"}})
+        for before in ("", "id_", "eyJ_", "eyJhbG", "eyJ" * 50 + "_", "x" * 999):
+            text = f"{before}{token}.{part({'sub': 1})}.sig"
+            assert secret_scan.signed_tokens(text) == [(len(before), len(text), "jwt")], (size, before)
+    for _ in range(300):
+        pieces = [rng.choice(["eyJ", part({"alg": "a"}), part({"a": {"alg": "b"}}), part({"alg": 1}), "x", "_-", part({"k": "é", "alg": "c"})[: rng.randrange(30)]]) for _ in range(rng.randrange(1, 5))]
+        assert secret_scan.header_start("".join(pieces)) == plain_header("".join(pieces)), pieces
+    for long in (part([{"a": 1}] * 40_000), "eyJh" * 200_000, part({"a": "b" * 500_000}) * 2, part({"alg": "x"}) * 20_000 + "_"):
+        began = time.process_time()
+        secret_scan.signed_tokens(f"{long}.{part({'a': 1})}.s")
+        assert time.process_time() - began < 5
+
+
+KEPT_LINES = [
+    "She baked a cookie for her brother and he ate it.", "The newsletter of 1912 was printed in Leipzig.", "The judge ruled that copyright did not apply here.", "They log in the forest during winter, near the old mill.", "Der Datenschutz war das Thema der Sitzung am Montag.",
+    "Sous la pluie, le droit d'auteur fut longuement discuté.", "He wrote JavaScript for years before he turned to painting.",
+]
+GONE_LINES = [
+    "TOUS DROITS RÉSERVÉS pour tous les pays du monde.", "Copyright © 2021 The Company.", "We use cookies to give you the best experience.", "Impressum", "Datenschutz | AGB", "Licensed under CC BY-NC 4.0.", "Subscribe to our newsletter for more of this.", "Política de privacidad del sitio.",
+]
+
+
+def test_boilerplate_lines_and_lines_that_only_look_like_them():
+    limits = quality_rules.Limits()
+    assert [line for line in KEPT_LINES if quality_rules.line_fails(line.encode(), limits)] == []
+    assert [line for line in GONE_LINES if not quality_rules.line_fails(line.encode(), limits)] == []
