@@ -9,12 +9,14 @@
    has are left out, and a suffix array of the rest is induced; permuted common prefixes of ``length`` or more join
    neighbours into groups of equal windows, which repeat if the group has two places.
 4. A key whose representatives alone would overfill a shard (a passage in very many different contexts) is split
-   before: windows whose hash is met once go, and each run of the others is sent to the sub-shards of its windows'
-   hashes. Equal windows have equal hashes, so all places of a window meet in its sub-shard, which is searched as above.
+   before: windows whose two hashes are met once go, the runs of the others are cut anew by shorter substrings, and equal
+   parts are sent once. Parts whose shorter substring is the same make a sub-shard, which is searched as above. Where even
+   one of these would overfill a shard, its windows stand as repeated by their two hashes.
 5. The windows found go back to every place of their representative, and per document to byte ranges.
 
 Only totals reach the driver. Hashes only tell windows apart, and bring equal ones together; that two windows are equal
-is decided on bytes, in a suffix array. That two whole segments are equal is taken from two 64-bit hashes and their length.
+is decided on bytes, in a suffix array, but in the sub-shards that step 4 leaves too large. That two whole segments or
+parts are equal is taken from two 64-bit hashes and their length.
 
 Cases: null text counts as empty; texts shorter than ``length`` have no windows; repeated rows are places of their
 own; null ids are kept; empty tables give empty results; other columns are passed by; long texts are taken whole.
@@ -91,11 +93,6 @@ def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "row_key", "text"), make, SEGMENTS)
 
 
-def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    at = np.arange(len(data) - length + 1)
-    return range_hash(prefix_sums(data), at, at + length)
-
-
 def runs_of(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True values; no run goes past a place where ``first`` is True."""
     begin = mask.copy()
@@ -229,39 +226,82 @@ def search_shards(pieces: DataFrame, length: int, apart: bool, shard_bytes: int,
     return pieces.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
 
 
-def split_hot(reps: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """The pieces of hot keys for their sub-shards: the runs of windows with a hash that others have, once for each of their sub-shards."""
+def hot_windows(reps: DataFrame, length: int, apart: bool) -> DataFrame:
+    """key, seg_hash and, as w, the windows (at, often) of the pieces of hot keys that others have too, by two hashes of each window."""
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [window_hashes(np.frombuffer(p, dtype=np.uint8), length) for p in batch.column("piece").to_pylist()]
-        sizes = [len(h) for h in hashes]
+        own, other, ats, once, sizes = [], [], [], [], []
+        for piece in batch.column("piece").to_pylist():
+            data = np.frombuffer(piece, dtype=np.uint8)
+            at, sums = np.arange(len(data) - length + 1), prefix_sums(data)
+            hashes = range_hash(sums, at, at + length)
+            first = np.zeros(len(at), dtype=bool)
+            first[np.unique(hashes, return_index=True)[1]] = True
+            for part, values in ((own, hashes), (other, fold([range_hash(sums, at, at + length // 2), range_hash(sums, at + length // 2, at + length)])), (ats, at), (once, first)):
+                part.append(values)
+            sizes.append(len(at))
         rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        return columns(
-            key=batch.column("key").take(rows), seg_hash=batch.column("seg_hash").take(rows), own=np.concatenate(hashes).view(np.int64), at=pa.array(ranges_of(np.zeros(len(sizes), dtype=np.int64), np.array(sizes)).astype(np.int32))
-        )
+        kept = {c: batch.column(c).take(rows) for c in ("key", "seg_hash", "tag", "weight", "need")}
+        return columns(**kept, own=np.concatenate(own).view(np.int64), other=np.concatenate(other).view(np.int64), at=pa.array(np.concatenate(ats).astype(np.int32)), once=np.concatenate(once))
+
+    windows = map_batches(reps.select("key", "seg_hash", "tag", "weight", "need", "piece"), lambda: explode, "key long, seg_hash long, tag long, weight long, need long, own long, other long, at int, once boolean")
+    documents = F.sum(F.when(F.col("once"), F.greatest("weight", F.lit(1))).otherwise(0))
+    shared = windows.groupBy("key", "own", "other").agg(F.count(F.lit(1)).alias("n"), ((F.max("need") > 0) & (documents >= F.max("need"))).alias("often"), (F.min("tag") != F.max("tag")).alias("differ"), F.min(F.abs("tag")).alias("least"))
+    shared = shared.filter("differ OR least = 0 OR often" if apart else "n > 1").select("key", "own", "other", "often")
+    return windows.join(shared, ["key", "own", "other"]).groupBy("key", "seg_hash").agg(F.collect_list(F.struct("at", "often")).alias("w"))
+
+
+def hot_parts(reps: DataFrame, length: int, apart: bool) -> DataFrame:
+    """The runs of shared windows of hot keys, cut where the least hash of shorter substrings changes: equal windows are in parts with the same ``sub``."""
+    gram = max(1, min(32, length // 4))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, shards, bases, parts = [], [], [], []
-        for k, (key, n_bytes, piece, ats, owns) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "n_bytes", "piece", "ats", "owns")), strict=True)):
-            at = np.array(ats, dtype=np.int64)
+        out: list[tuple] = []
+        for k, (key, piece, windows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "w")), strict=True)):
+            at, often = np.array([w["at"] for w in windows], dtype=np.int64), np.array([w["often"] for w in windows], dtype=bool)
             order = np.argsort(at)
-            at, own = at[order], np.array(owns, dtype=np.int64)[order].view(np.uint64) % np.uint64(-(-n_bytes // shard_bytes))
-            edges = np.flatnonzero(np.diff(at) != 1) + 1
-            for a, part in zip((r[0] for r in np.split(at, edges)), np.split(own, edges), strict=True):
-                for bucket in np.unique(part):
-                    rows.append(k)
-                    shards.append(int(fold([np.array([key], dtype=np.int64).view(np.uint64), np.array([bucket], dtype=np.uint64)]).view(np.int64)[0]))
-                    bases.append(int(a))
-                    parts.append(piece[a : a + len(part) - 1 + length])
-        take = pa.array(rows, pa.int64())
+            at, often = at[order], often[order]
+            for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+                start = int(at[run[0]])
+                text = piece[start : start + len(run) - 1 + length]
+                subs, _, begins, ends, _ = segments(np.frombuffer(text, dtype=np.uint8), length, gram)
+                for sub, a, b in zip(fold([subs.view(np.uint64), np.full(len(subs), key, dtype=np.int64).view(np.uint64)]).view(np.int64).tolist(), begins.tolist(), ends.tolist(), strict=True):
+                    part = text[a : b - 1 + length]
+                    digest = hashlib.blake2b(part, digest_size=16).digest()
+                    first, last = runs_of(often[run[a:b]], np.arange(b - a) == 0)
+                    out.append((k, sub, start + a, b - a, part, *(int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8)), first.tolist(), last.tolist()))
+        types = {"sub": pa.int64(), "base": pa.int32(), "n": pa.int32(), "piece": pa.binary(), "d1": pa.int64(), "d2": pa.int64(), "often_starts": pa.list_(pa.int32()), "often_ends": pa.list_(pa.int32())}
+        take = pa.array([r[0] for r in out], pa.int64())
         kept = {c: batch.column(c).take(take) for c in ("key", "seg_hash", "tag", "weight", "need")}
-        return columns(shard=pa.array(shards, pa.int64()), base=pa.array(bases, pa.int32()), piece=pa.array(parts, pa.binary()), **kept)
+        return columns(**{c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(types.items(), start=1)}, **kept)
+
+    asked = reps.join(hot_windows(reps, length, apart), ["key", "seg_hash"]).select("key", "seg_hash", "tag", "weight", "need", "piece", "w")
+    return map_batches(asked, lambda: cut, "sub long, base int, n int, piece binary, d1 long, d2 long, often_starts array<int>, often_ends array<int>, key long, seg_hash long, tag long, weight long, need long")
+
+
+def hot_shards(parts: DataFrame, apart: bool, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """One piece for each different part of the sub-shards that are within ``shard_bytes``, and the ``sub`` of the others."""
+    of_class = parts.groupBy("sub", "d1", "d2", "seg_hash").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("low"), F.max("tag").alias("high"), F.max("weight").alias("weight"), F.max("need").alias("need"), F.min("piece").alias("piece"))
+    once = of_class.groupBy("sub", "d1", "d2").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.abs("low")).alias("least"), F.sum("weight").alias("weight"), F.max("need").alias("need"), F.min("piece").alias("piece"))
+    sizes = once.groupBy("sub").agg(F.sum(F.octet_length("piece")).alias("n_bytes"))
+    several = ((F.col("low") != F.col("high")) | (F.col("least") == 0)) if apart else (F.col("n") > 1) | (F.col("least") == 0)
+    small = once.join(sizes.filter(F.col("n_bytes") <= shard_bytes).select("sub"), "sub", "left_semi")
+    pieces = small.select(F.col("sub").alias("shard"), F.col("d1").alias("key"), F.col("d2").alias("seg_hash"), F.lit(0).alias("base"), F.when(several, 0).otherwise(F.col("low")).alias("tag"), "weight", "need", "piece")
+    return pieces, sizes.filter(F.col("n_bytes") > shard_bytes).select("sub")
+
 
-    windows = map_batches(reps.select("key", "seg_hash", "piece"), lambda: explode, "key long, seg_hash long, own long, at int")
-    shared = windows.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "own")
-    kept = windows.join(shared, ["key", "own"], "left_semi").groupBy("key", "seg_hash").agg(F.collect_list(F.struct("at", "own")).alias("w"))
-    asked = reps.join(kept, ["key", "seg_hash"]).select(*reps.columns, F.col("w.at").alias("ats"), F.col("w.own").alias("owns"))
-    return map_batches(asked, lambda: cut, "shard long, base int, piece binary, key long, seg_hash long, tag long, weight long, need long")
+def search_hot(reps: DataFrame, length: int, apart: bool, shard_bytes: int) -> DataFrame:
+    """FOUND for the pieces of hot keys: sub-shards are searched like others; one that is still too large has only windows that two hashes call equal to others', and they stand."""
+    parts = materialize(hot_parts(reps, length, apart), "hot-parts")
+    pieces, large = hot_shards(parts, apart, shard_bytes)
+    pieces = materialize(pieces, "hot-pieces")
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
+    searched = search_shards(pieces, length, apart, shard_bytes, total).select(F.col("key").alias("d1"), F.col("seg_hash").alias("d2"), "starts", "ends", "often_starts", "often_ends")
+    moved = lambda c: F.transform(c, lambda x: x + F.col("base")).alias(c)
+    lists = [moved(c) for c in ("starts", "ends", "often_starts", "often_ends")]
+    back = parts.select("key", "seg_hash", "base", "d1", "d2").join(searched, ["d1", "d2"]).select("key", "seg_hash", *lists)
+    rest = parts.join(large, "sub", "left_semi").withColumns({"starts": F.array(F.lit(0)), "ends": F.array("n")}).select("key", "seg_hash", *lists)
+    return back.unionByName(rest)
 
 
 def classes_of(rows: DataFrame, length: int) -> DataFrame:
@@ -296,7 +336,7 @@ def ranges_in(rows: DataFrame, classes: DataFrame, reps: DataFrame, length: int,
     hot = reps.filter(F.col("n_bytes") > shard_bytes)
     cool = reps.filter(F.col("n_bytes") <= shard_bytes).select("*", F.col("key").alias("shard"), F.lit(0).alias("base"))
     total = reps.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
-    searched = search_shards(cool.drop("n_bytes").unionByName(split_hot(hot, length, shard_bytes)), length, apart, shard_bytes, total)
+    searched = search_shards(cool.drop("n_bytes"), length, apart, shard_bytes, total).unionByName(search_hot(hot, length, apart, shard_bytes))
     # Segments that repeat as a whole, of keys that are not searched or were split.
     none = F.array().cast("array<int>")
     whole = classes.filter("NOT mixed AND NOT inside").select("key", "seg_hash", "several", "weight", "need", (F.col("place.b") - F.col("place.a")).alias("n"))

@@ -120,12 +120,34 @@ def test_suffix_dedup(docs, fixture_rows, length, gram):
 def test_suffix_dedup_splits_hot_keys(docs, fixture_rows):
     own = suffix_dedup.keyed(docs, "doc_id", "text")
     plain = suffix_dedup.repeated_ranges(own, 60, 16)[1]
-    split = suffix_dedup.repeated_ranges(own, 60, 16, shard_bytes=500)[1]
 
     def windows(ranges):
         return {(r.doc_id, r.row_key, w) for r in ranges.select("doc_id", "row_key", "r.*").collect() for w in range(r.a, r.b)}
 
-    assert windows(plain) == windows(split) != set()
+    want = windows(plain)
+    # With 90 bytes, most sub-shards are too large as well.
+    assert all(windows(suffix_dedup.repeated_ranges(own, 60, 16, shard_bytes=n)[1]) == want != set() for n in (500, 90))
+
+
+def test_hot_keys_are_split_within_bounds(spark):
+    """A passage in 600 contexts, some of which are met twice: not more is sent than the pieces have, and no sub-shard is over its bound."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).encode()
+    passage = letters(520)
+    contexts = [letters(300) + passage + letters(300) for _ in range(600)]
+    pieces = contexts + [c[:-1] + b"!" for c in contexts[:60]]
+    reps = spark.createDataFrame([(1, k, k + 1, 0, 0, 0, bytearray(p)) for k, p in enumerate(pieces)], "key long, seg_hash long, tag long, weight long, need long, n_bytes long, piece binary")
+    parts = suffix_dedup.hot_parts(reps, 400, False).cache()
+    seen = Counter(p[k : k + 400] for p in pieces for k in range(len(p) - 399))
+    got = Counter((r.seg_hash, r.base + k) for r in parts.collect() for k in range(r.n))
+    assert got == Counter((i, k) for i, p in enumerate(pieces) for k in range(len(p) - 399) if seen[p[k : k + 400]] > 1)
+    for bound in (40_000, 2_000_000):
+        sent, large = suffix_dedup.hot_shards(parts, False, bound)
+        sizes = Counter()
+        for r in sent.collect():
+            sizes[r.shard] += len(r.piece)
+        assert max(sizes.values()) <= bound
+        assert sum(sizes.values()) <= sum(map(len, pieces)) and (bound < 2_000_000 or large.count() == 0)
 
 
 def ascii_lower(text):
