@@ -178,8 +178,8 @@ def _settlement_columns(settlements: DataFrame) -> DataFrame:
     return settlements.select("pop_seq", *[F.col(n).alias(f"s_{n}") for n in names])
 
 
-def resolve(data: Prepared, policy: Policy, verifier: Verifier) -> DataFrame:
-    """seq, classification, pop_seq, n_exact and ai_*: exact hits first, the candidate search for what has none."""
+def resolve(data: Prepared, policy: Policy, verifier: Verifier, shortlists: DataFrame | None = None) -> DataFrame:
+    """seq, classification, pop_seq, n_exact and ai_*: exact hits first, the candidate search (or the ``shortlists`` of one) for what has none."""
     c = F.col
     exact = blocking.exact_summary(data.ledger, data.settlements, policy)
     state = data.ledger.select("seq").join(exact, "seq", "left").withColumn("n_exact", F.coalesce("n_exact", F.lit(0)))
@@ -189,7 +189,7 @@ def resolve(data: Prepared, policy: Policy, verifier: Verifier) -> DataFrame:
     rest = state.filter("n_exact = 0").select("seq", "n_exact")
     if policy.enable_fuzzy_matching:
         records = data.ledger.join(rest.select("seq"), "seq", "left_semi")
-        listed = scored_shortlist(data, records, policy)
+        listed = scored_shortlist(data, records, policy) if shortlists is None else shortlists
         listed = listed.join(_settlement_columns(data.settlements).drop("s_gross_amount_minor", "s_order_date"), "pop_seq")
         found = resolve_shortlist(listed, policy, verifier)
         rest = rest.join(found, "seq", "left").withColumns({"classification": F.coalesce("classification", F.lit("NO_CANDIDATES")), "ai_calls": F.coalesce("ai_calls", F.lit(0)), "ai_invoked": F.coalesce("ai_invoked", F.lit(False))})
@@ -198,10 +198,10 @@ def resolve(data: Prepared, policy: Policy, verifier: Verifier) -> DataFrame:
     return done.unionByName(rest)
 
 
-def decide(data: Prepared, policy: Policy = Policy(), verifier: Verifier | None = None, as_of: object = None) -> DataFrame:  # noqa: B008
+def decide(data: Prepared, policy: Policy = Policy(), verifier: Verifier | None = None, as_of: object = None, shortlists: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """One result row per record. ``as_of`` defaults to the last settlement date."""
     c = F.col
-    resolved = resolve(data, policy, verifier or HeuristicVerifier())
+    resolved = resolve(data, policy, verifier or HeuristicVerifier(), shortlists)
     rows = data.ledger.drop("ref_norm", "cores", "ref_cores", "tokens").join(resolved, "seq").join(_settlement_columns(data.settlements), "pop_seq", "left")
     moment = data.settlements.agg(F.max("settlement_date").alias("as_of")) if as_of is None else data.settlements.sparkSession.range(1).select(F.lit(as_of).cast("timestamp").alias("as_of"))
     rows = rows.join(F.broadcast(moment), how="cross")  # one row
@@ -259,3 +259,28 @@ def decide(data: Prepared, policy: Policy = Policy(), verifier: Verifier | None
         F.coalesce("considered_candidates", F.lit(None).cast(f"array<{CANDIDATE}>")).alias("considered_candidates"), c("s_payment_id").alias("matched_payment_id"), c("n_exact").cast("int").alias("candidate_count"),
         "ai_invoked", "ai_calls", "ai_confidence", "ai_backend", F.lit(policy.ai_confidence_threshold).alias("policy_threshold"), F.lit(None).cast("double").alias("latency_ms"),
     )
+
+
+#: What of a policy decides which candidates are found, and what is known of them.
+SEARCH = (
+    "amount_tolerance_minor", "candidate_search_window_days", "max_window_scan_candidates", "candidate_shortlist_size", "require_identity_evidence", "admissible_text_similarity", "treat_reference_contradiction_as_negative",
+)
+
+
+def decide_under(data: Prepared, policies: dict[str, Policy], verifier: Verifier | None = None, as_of: object = None) -> DataFrame:
+    """The decisions of all records under several policies, with ``policy``: candidates are searched for once, and one plan decides.
+
+    The policies may differ in tiers, thresholds and checks, but not in what the search depends on (``SEARCH``).
+    """
+    searching = [p for p in policies.values() if p.enable_fuzzy_matching]
+    if len({tuple(getattr(p, n) for n in SEARCH) for p in searching}) > 1:
+        raise ValueError("policies that search differently need searches of their own")
+    found = None
+    if searching:
+        exact = blocking.exact_hits(data.ledger, data.settlements).select("seq").distinct()
+        found = materialize(scored_shortlist(data, data.ledger.join(exact, "seq", "left_anti"), searching[0]), "shortlists")
+    out = None
+    for name, policy in policies.items():
+        rows = decide(data, policy, verifier, as_of, found if policy.enable_fuzzy_matching else None).withColumn("policy", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -49,6 +49,16 @@ def tier_ablation(runs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def by_variation(rows: DataFrame, *by: str) -> DataFrame:
+    """Per policy and variation (the columns ``by``): records, recall (of those to be reconciled), correct rejection (of the others), wrong matches, and records sent to a person."""
+    c = F.col
+    wanted, matched = c("expected") == "RECONCILED", c("outcome") == "RECONCILED"
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), _share(F.count_if(wanted & matched), F.count_if(wanted)).alias("recall"), _share(F.count_if(~wanted & ~matched), F.count_if(~wanted)).alias("correct_rejection"),
+        F.count_if(~wanted & matched).alias("wrong_matches"), F.count_if(c("outcome") == "HUMAN_REVIEW").alias("to_person"),
+    )
+
+
 def presence(rows: DataFrame, by: str) -> DataFrame:
     """Per value of ``by``: records, share judged well, matches to a wrong settlement, and outcomes, over truth and true_payment_id.
 

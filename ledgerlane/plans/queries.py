@@ -11,7 +11,7 @@ from ..functions import text, values
 from ..operators import blocking, claims, decisions, scoring, similarity
 from ..operators.verdicts import HeuristicVerifier
 from ..schemas import Policy
-from ..scratch import materialize
+from ..sinks import reuse
 from . import chain
 from .population import populations
 
@@ -19,7 +19,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 POLICY = Policy()
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MADE: dict[tuple, DataFrame] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -32,12 +31,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def once(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries start from: written once per application and input."""
-    key = (name, spark.sparkContext.applicationId, sf_dir)
-    if key not in _MADE:
-        _MADE[key] = materialize(make(), name)
-    return _MADE[key]
+def once(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame], source: str = "orders") -> DataFrame:
+    """A table that several queries start from: written once per application and content of the source table."""
+    return reuse.table(name, [spark.read.parquet(f"{sf_dir}/{source}.parquet")], make, spark.sparkContext.applicationId)
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> decisions.Prepared:

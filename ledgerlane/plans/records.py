@@ -307,7 +307,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("order"), F.col("ts").cast("string").alias("timestamp"), F.col("user_id").cast("string").alias("transaction_id"), F.upper("event_type").alias("event_type"), F.lit("").alias("prior_state"),
         F.lit("").alias("new_state"), F.lit("").alias("evidence_ref"), F.to_json(F.struct(F.col("value").cast("string").alias("value"))).alias("payload_json"),
     )
-    return once("audit", spark, sf_dir, lambda: audit.append(events))
+    return once("audit", spark, sf_dir, lambda: audit.append(events), "events")
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS reason WHERE false")
@@ -373,17 +373,33 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value")
 
 
+TIERS = {"exact": Policy(enable_fuzzy_matching=False), "corroborated": Policy(enable_semantic_matching=False), "all": Policy()}
+#: What the verifier settles goes unmatched without it; what the search settles, without the search.
+_UNDER_TIERS = """SELECT 'all' AS policy, record_id, case_name, outcome FROM decided
+    UNION ALL SELECT 'corroborated', record_id, case_name, CASE WHEN classification IN ('SEMANTIC_CONFIRMED', 'SEMANTIC_UNRESOLVED', 'PROVIDER_ERROR') THEN 'EXCEPTION' ELSE outcome END FROM decided
+    UNION ALL SELECT 'exact', record_id, case_name, CASE WHEN n_exact = 0 THEN 'EXCEPTION' ELSE outcome END FROM decided"""
+
+
+@query(
+    chain.sql(
+        "decided",
+        "SELECT policy, case_name, count(*) AS n, " + _R.format("count(*) FILTER (expected = 'RECONCILED' AND outcome = 'RECONCILED')", "count(*) FILTER (expected = 'RECONCILED')") + " AS recall, "
+        + _R.format("count(*) FILTER (expected <> 'RECONCILED' AND outcome <> 'RECONCILED')", "count(*) FILTER (expected <> 'RECONCILED')") + " AS correct_rejection, count(*) FILTER (expected <> 'RECONCILED' AND outcome = 'RECONCILED') AS wrong_matches,"
+        " count(*) FILTER (outcome = 'HUMAN_REVIEW') AS to_person FROM labelled GROUP BY policy, case_name",
+        under=_UNDER_TIERS, labelled=f"SELECT *, {_EXPECTED} AS expected FROM under",
+    )
+)
+def policy_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, rejections and wrong matches of three policies, by the case that each record was made for."""
+    rows = once("under_tiers", spark, sf_dir, lambda: decisions.decide_under(prepared(spark, sf_dir), TIERS)).withColumn("expected", F.expr(_EXPECTED))
+    return metrics.by_variation(rows, "policy", "case_name")
+
+
 @query()
 def tier_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact tier alone, without the verifier, and all tiers, over the same records."""
-    data = prepared(spark, sf_dir)
-    truth = F.expr(_EXPECTED)
-    runs = {
-        "exact": decisions.decide(data, Policy(enable_fuzzy_matching=False)).withColumn("expected", truth),
-        "corroborated": decisions.decide(data, Policy(enable_semantic_matching=False)).withColumn("expected", truth),
-        "all": decided(spark, sf_dir).withColumn("expected", truth),
-    }
-    return metrics.tier_ablation(runs)
+    """Exact tier alone, without the verifier, and all tiers, over the same records, whose candidates are searched for once."""
+    rows = once("under_tiers", spark, sf_dir, lambda: decisions.decide_under(prepared(spark, sf_dir), TIERS)).withColumn("expected", F.expr(_EXPECTED))
+    return metrics.tier_ablation({name: rows.filter(F.col("policy") == name).drop("policy") for name in TIERS})
 
 
 # Text functions on the corpus tables.

@@ -6,9 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlane.operators import changes, isolation
+from ledgerlane.operators import changes, decisions, evidence, isolation
 from ledgerlane.schemas import LEDGER, SETTLEMENT, Policy
-from ledgerlane.sinks import run_state
+from ledgerlane.sinks import reuse, run_state
+from ledgerlane.streaming import progress
 
 VERSION = "record_id string, seq bigint, outcome string, classification string, exception_type string, severity string, matched_payment_id string, review_state string, reason string"
 
@@ -117,3 +118,79 @@ def test_a_run_from_its_writes(spark):
     assert set(rows) == {"r1"} and rows["r1"].fields == {"status": "COMPLETED", "label": "March", "source": "upload", "total_records": "10"} and rows["r1"].counters == {"processed": 10} and rows["r1"].version == 3
     assert {(r.key, r.patch_id, r.version) for r in run_state.conflicts(log).collect()} == {("r1", 6, 3), ("r2", 6, 2)}
     assert run_state.states(log.limit(0)).count() == 0
+
+
+def plain_keys(items):
+    out = []
+    for key, text in items:
+        if any(k == key for k, _ in out):
+            key = f"{key}_{sum(k == key or k.startswith(key + '_') for k, _ in out) + 1}"
+        out.append((key, text))
+    return out
+
+
+def test_repeated_keys_are_numbered_in_order(spark):
+    rng = random.Random(4)
+    lists = [[(rng.choice(["A", "A_1", "A_2", "B", "B_X"]), str(k)) for k in range(rng.randrange(9))] for _ in range(60)]
+    rows = spark.createDataFrame([(k, items) for k, items in enumerate(lists)], f"k int, items array<{evidence.ITEM}>").repartition(3)
+    got = {r.k: [(e.key, e.text) for e in r.e] for r in rows.select("k", evidence.numbered_keys(F.col("items")).alias("e")).collect()}
+    assert got == {k: plain_keys(items) for k, items in enumerate(lists)}
+
+
+def test_answers_are_held_against_evidence(spark):
+    import json
+
+    base = {"evidence": [("ORDER_AMOUNT", "order O1 is over ₹1,234.56 of 2026-03-01"), ("ORDER_REFERENCE", "its reference is INV-20417")], "hypotheses": [("REFERENCE_MISMATCH", 0.5)]}
+    offer = lambda **more: {"label": "MERCHANT_ALIAS", "confidence": 0.4, "rationale": "The same payer.", "evidence_keys": ["ORDER_AMOUNT"]} | more
+    cases = {
+        "fine": (offer(rationale="1234.56 of INV-20417, and 12 more"), "MERCHANT_ALIAS", 0.4), "low": (offer(confidence=-3), "MERCHANT_ALIAS", 0.0), "word": (offer(confidence="high"), "MERCHANT_ALIAS", 0.5), "none": (offer(confidence=None), "MERCHANT_ALIAS", 0.5),
+        "number": (offer(rationale="It was 777.00"), None, None), "identifier": (offer(rationale="See INV-20418"), None, None), "label": (offer(label="SOMETHING"), None, None), "ruled": (offer(label="reference_mismatch"), None, None),
+        "no keys": (offer(evidence_keys=[]), None, None), "keys of another type": (offer(evidence_keys=7), None, None), "no object": ([1, 2], None, None), "text": ("x", None, None), "no rationale": (offer(rationale=None), None, None),
+    }
+    texts = [json.dumps({"hypotheses": [c[0]], "explanation": "All of 1,234.56." if k % 2 else "It was 9999."}) for k, c in enumerate(cases.values())] + ["not json", None, json.dumps({"hypotheses": [offer()] * 9})]
+    rows = spark.createDataFrame([(k, t, base["evidence"], base["hypotheses"]) for k, t in enumerate(texts)], f"k int, p string, evidence array<{evidence.ITEM}>, hypotheses array<struct<label:string,confidence:double>>")
+    got = {r.k: r for r in evidence.with_answer(rows, F.col("p")).collect()}
+    for k, (name, (_, label, sure)) in enumerate(cases.items()):
+        kept = [(a.label, a.confidence) for a in got[k].answer]
+        assert kept == ([(label, sure)] if label else []), name
+        assert got[k].answer_explanation == ("All of 1,234.56." if k % 2 else None) and got[k].dropped == (label is None) + (k % 2 == 0), name
+    n = len(cases)
+    assert [(len(got[k].answer), got[k].dropped) for k in (n, n + 1, n + 2)] == [(0, 0), (0, 0), (6, 0)]
+
+
+def test_tables_follow_the_content_of_their_sources(spark, tmp_path):
+    made = []
+    rows = spark.createDataFrame([(k, str(k), None if k % 3 else 1.5) for k in range(50)], "a int, b string, c double")
+
+    def make(source):
+        return reuse.table("t", [source], lambda: made.append(1) or source, folder=str(tmp_path))
+
+    assert make(rows).count() == 50 and make(rows.repartition(4).orderBy("b")).count() == 50 and made == [1]
+    assert make(rows.filter("a <> 7")).count() == 49 and made == [1, 1]
+    assert make(rows.union(rows.filter("a = 7"))).count() == 51 and len(made) == 3
+    assert make(rows.withColumnRenamed("c", "d")).columns == ["a", "b", "d"] and len(made) == 4
+    assert reuse.table_key("t", "1", [rows, rows.limit(3)]) == reuse.table_key("t", "1", [rows.limit(3), rows]) != reuse.table_key("t", "2", [rows, rows.limit(3)])
+    # A write that was cut off doesn't count.
+    path = tmp_path / f"t-{reuse.table_key('t', '1', [rows])}"
+    (path / "_SUCCESS").unlink()
+    assert make(rows).count() == 50 and len(made) == 5
+
+
+def test_observed_counters_are_the_final_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("RECONCILED", True), ("EXCEPTION", False), ("EXCEPTION", True)], "outcome string, ai_invoked boolean")
+    watched, seen = progress.watched(rows, progress.decision_counters())
+    watched.write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"decided": 3, "semantic_tier_invoked": 2, "reconciled": 1, "exception": 2, "human_review": 0}
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with progress.Totals("p") as totals:
+        run = progress.watched_stream(stream, {"n": F.count(F.lit(1)), "ids": F.sum("id")}, "p").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        totals.wait(str(run.runId))
+    assert dict(totals.sums[str(run.runId)]) == {"n": 30, "ids": 435} and totals.batches[str(run.runId)] == 3
+
+
+def test_policies_with_other_searches_are_refused(spark):
+    with pytest.raises(ValueError, match="search"):
+        decisions.decide_under(None, {"a": Policy(), "b": Policy(candidate_search_window_days=3)})
