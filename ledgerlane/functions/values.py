@@ -27,7 +27,7 @@ def amounts_match(a: Column, b: Column, tolerance: int) -> Column:
 
 def amount_plausible(ledger: Column, candidate: Column) -> Column:
     """Between half and twice the ledger amount; anything goes for amounts of zero or less."""
-    return (ledger <= 0) | (candidate / ledger).between(0.5, 2.0)
+    return (ledger <= 0) | F.coalesce(F.try_divide(candidate, ledger).between(0.5, 2.0), F.lit(False))
 
 
 def to_minor(major: Column) -> Column:

@@ -7,11 +7,12 @@ day has to look is known from the days' counts. Both day tables are bounded by t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
 from ..schemas import Policy
+from . import scoring
 
 #: Order of the sources of a candidate, which breaks ties of score.
 AMOUNT, CORE, WINDOW = 0, 1, 2
@@ -73,10 +74,10 @@ def core_candidates(ledger: DataFrame, settlements: DataFrame) -> DataFrame:
     return left.join(right, "core").select("seq", "pop_seq").distinct()
 
 
-def day_windows(days: DataFrame, settlements: DataFrame, window_days: int, cap: int) -> DataFrame:
-    """day, pop_seq, place: for each of ``days``, its nearest ``cap`` settlements (earlier day first at one distance, then by pop_seq)."""
+def day_windows(days: DataFrame, settlements: DataFrame, window_days: int, cap: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """day, pop_seq, place (and ``more`` columns): for each of ``days``, its nearest ``cap`` settlements (earlier day first at one distance, then by pop_seq)."""
     in_day = Window.partitionBy("order_day").orderBy("pop_seq")
-    first = settlements.select("order_day", "pop_seq").withColumn("rank", F.row_number().over(in_day)).filter(F.col("rank") <= cap)
+    first = settlements.select("order_day", "pop_seq", *more).withColumn("rank", F.row_number().over(in_day)).filter(F.col("rank") <= cap)
     counts = first.groupBy("order_day").agg(F.max("rank").alias("n"))
     offsets = F.explode(F.sequence(F.lit(-window_days), F.lit(window_days))).alias("offset")
     looks = days.select(F.col("order_day").alias("day"), offsets).withColumn("order_day", F.date_add("day", F.col("offset")))
@@ -85,7 +86,7 @@ def day_windows(days: DataFrame, settlements: DataFrame, window_days: int, cap:
     looks = looks.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).filter(F.col("before") < cap)
     joined = looks.select("day", "order_day", "far", "offset").join(first, "order_day")
     place = F.row_number().over(Window.partitionBy("day").orderBy("far", "offset", "pop_seq"))
-    return joined.withColumn("place", place).filter(F.col("place") <= cap).select("day", "pop_seq", "place")
+    return joined.withColumn("place", place).filter(F.col("place") <= cap).select("day", "pop_seq", "place", *more)
 
 
 def window_candidates(ledger: DataFrame, settlements: DataFrame, policy: Policy) -> DataFrame:
@@ -94,19 +95,56 @@ def window_candidates(ledger: DataFrame, settlements: DataFrame, policy: Policy)
     return ledger.select("seq", F.col("order_day").alias("day")).join(near, "day").select("seq", "pop_seq", "place")
 
 
-def candidate_pool(ledger: DataFrame, settlements: DataFrame, policy: Policy) -> DataFrame:
+def shared_payments(settlements: DataFrame) -> DataFrame:
+    """payment_id, pop_seq of the settlements whose payment_id others have too."""
+    return settlements.groupBy("payment_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("pop_seq").alias("pop_seq")).filter("n > 1").select("payment_id", F.explode("pop_seq").alias("pop_seq"))
+
+
+def promising_window_candidates(ledger: DataFrame, settlements: DataFrame, policy: Policy) -> DataFrame:
+    """The window candidates that may still be listed: seq, pop_seq, place.
+
+    Each day's nearest settlements are one array, so a record meets them in its own row: they are scored there without
+    wording and identifiers, and only those within wording's reach of the last place of a shortlist leave the row, instead of
+    up to ``max_window_scan_candidates`` rows a record. Implausible amounts stay only where a row has no plausible one.
+    Candidates that share a payment_id are merged later and so neither pruned nor counted. A candidate that another source
+    finds as well keeps that source.
+    """
+    doubled = shared_payments(settlements).select("pop_seq", F.lit(True).alias("doubled"))
+    marked = settlements.select("pop_seq", "order_day", "gross_amount_minor", "order_date").join(doubled, "pop_seq", "left").withColumn("doubled", F.coalesce("doubled", F.lit(False)))
+    near = day_windows(ledger.select("order_day").distinct(), marked, policy.candidate_search_window_days, policy.max_window_scan_candidates, ("gross_amount_minor", "order_date", "doubled"))
+    by_day = near.groupBy("day").agg(F.collect_list(F.struct("pop_seq", "place", "gross_amount_minor", "order_date", "doubled")).alias("near"))
+    rows = ledger.select("seq", "amount_minor", "order_date", F.col("order_day").alias("day")).join(by_day, "day")
+    amount = F.col("amount_minor")
+
+    def scored(x: Column) -> Column:
+        exact = values.amounts_match(amount, x.gross_amount_minor, policy.amount_tolerance_minor)
+        base = scoring.base_of(exact, F.lit(False), values.days_between(F.col("order_date"), x.order_date), amount, x.gross_amount_minor, policy)
+        return F.struct(base.alias("base"), values.amount_plausible(amount, x.gross_amount_minor).alias("plausible"), x.pop_seq.alias("pop_seq"), x.place.alias("place"), x.doubled.alias("doubled"))
+
+    rows = rows.select("seq", F.transform("near", scored).alias("near"))
+    rows = rows.select("seq", "near", F.exists("near", lambda x: x.plausible & ~x.doubled).alias("some"))
+    rows = rows.select("seq", F.filter("near", lambda x: x.doubled | x.plausible | ~F.col("some")).alias("near"))
+    bases = F.sort_array(F.transform(F.filter("near", lambda x: ~x.doubled), lambda x: x.base), asc=False)
+    rows = rows.select("seq", "near", F.coalesce(F.try_element_at(bases, F.lit(policy.candidate_shortlist_size)), F.lit(0.0)).alias("last"))
+    kept = F.filter("near", lambda x: x.doubled | (x.base + scoring.WORDING + 1e-6 >= F.col("last")))
+    return rows.select("seq", F.explode(kept).alias("x")).select("seq", "x.pop_seq", "x.place")
+
+
+def candidate_pool(ledger: DataFrame, settlements: DataFrame, policy: Policy, promising: bool = False) -> DataFrame:
     """seq, pop_seq, source (amount, core, window), place and has_core: each candidate once, by its first source.
 
-    Settlements that share a payment_id are one candidate: of amount hits the last, of others the first.
+    Settlements that share a payment_id are one candidate: of amount hits the last, of others the first. With ``promising``,
+    window candidates that can't be listed are left out.
     """
+    in_window = promising_window_candidates if promising else window_candidates
     hits = (
         amount_candidates(ledger, settlements).withColumns({"source": F.lit(AMOUNT), "place": F.lit(0)})
         .unionByName(core_candidates(ledger, settlements).withColumns({"source": F.lit(CORE), "place": F.lit(0)}))
-        .unionByName(window_candidates(ledger, settlements, policy).withColumn("source", F.lit(WINDOW)))
+        .unionByName(in_window(ledger, settlements, policy).withColumn("source", F.lit(WINDOW)))
     )
     # One exchange by record serves both groupings, and what ranks candidates later.
     hits = hits.repartition("seq").groupBy("seq", "pop_seq").agg(F.min(F.struct("source", "place")).alias("first"), F.max(F.col("source") == CORE).alias("has_core"))
-    shared = settlements.groupBy("payment_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("pop_seq").alias("pop_seq")).filter("n > 1").select("payment_id", F.explode("pop_seq").alias("pop_seq"))
+    shared = shared_payments(settlements)
     hits = hits.select("seq", "pop_seq", "first.*", "has_core").join(shared, "pop_seq", "left")
     order = F.struct("source", F.when(F.col("source") == WINDOW, F.col("place")).otherwise(-F.col("pop_seq")))
     one = F.min_by(F.struct("pop_seq", "source", "place", "has_core"), order)

@@ -50,8 +50,8 @@ def version_events(spark: SparkSession, path: str, batch_id: str, since: int = 0
     last = store.version_of(spark, path, batch_id)
     out = None
     for version in range(since + 1, last + 1):
-        before = store.read_version(spark, path, batch_id, version - 1) if version > 1 else None
-        part = decision_events(before, store.read_version(spark, path, batch_id, version)).withColumn("version", F.lit(version).cast("long"))
+        before = store.read_records(spark, path, batch_id, version - 1) if version > 1 else None
+        part = decision_events(before, store.read_records(spark, path, batch_id, version)).withColumn("version", F.lit(version).cast("long"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "transaction_id string, seq bigint, event_type string, prior_state string, new_state string, payload_json string, version bigint")

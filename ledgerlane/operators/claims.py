@@ -11,6 +11,10 @@ from ..scratch import materialize
 from .decisions import check
 
 
+#: Rival claims that a reason names.
+NAMED = 20
+
+
 def duplicate_claims(results: DataFrame) -> DataFrame:
     """payment_id, n, record_ids of payments matched more than once, whatever the outcome."""
     claimed = results.filter("matched_payment_id IS NOT NULL").groupBy(F.col("matched_payment_id").alias("payment_id"))
@@ -28,17 +32,21 @@ def resolve_claims(results: DataFrame) -> DataFrame:
     The claims of a payment are counted by aggregation before they are joined back, and only contested ones are.
     """
     claims = results.filter("matched_payment_id IS NOT NULL AND outcome <> 'EXCEPTION'").select("matched_payment_id", "record_id", _tier().alias("tier"))
-    best = claims.groupBy("matched_payment_id").agg(
-        F.count(F.lit(1)).alias("n_claims"), F.max("tier").alias("best"), F.array_sort(F.collect_list("record_id")).alias("claimants")
-    ).filter("n_claims > 1")
+    best = claims.groupBy("matched_payment_id").agg(F.count(F.lit(1)).alias("n_claims"), F.max("tier").alias("best")).filter("n_claims > 1")
+    # Of a payment that very many records claim, a few are named; no list grows with them.
+    first = F.row_number().over(Window.partitionBy("matched_payment_id").orderBy("record_id"))
+    named = claims.withColumn("_n", first).filter(F.col("_n") <= NAMED + 1).groupBy("matched_payment_id").agg(F.array_sort(F.collect_list("record_id")).alias("claimants"))
+    best = best.join(named, "matched_payment_id")
     at_best = claims.join(best.select("matched_payment_id", "best"), "matched_payment_id").filter("tier = best").groupBy("matched_payment_id").agg(F.count(F.lit(1)).alias("n_best"))
     joined = results.join(best.join(at_best, "matched_payment_id"), "matched_payment_id", "left")
     kept = (F.col("n_best") == 1) & (_tier() == F.col("best"))
     lost = F.col("n_claims").isNotNull() & (F.col("outcome") != "EXCEPTION") & ~kept
-    others = F.array_join(F.array_except("claimants", F.array("record_id")), ", ")
+    few = F.slice(F.array_except("claimants", F.array("record_id")), 1, NAMED)
+    rest = F.col("n_claims") - 1 - F.size(few)
+    others = F.concat(F.array_join(few, ", "), F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" more"))).otherwise(""))
     verdict = F.when(F.col("n_best") == 1, "a stronger claim exists").otherwise("no claim is better supported")
     reason = F.concat(F.lit("settlement "), F.col("matched_payment_id"), F.lit(" is also matched to "), others, F.lit("; "), verdict)
-    more = check("claim_uniqueness", F.lit(False), F.lit("1 record per payment"), F.concat(F.col("n_claims").cast("string"), F.lit(" records")), "", F.concat(F.lit("claimed by "), F.array_join("claimants", ", ")), warn=True)
+    more = check("claim_uniqueness", F.lit(False), F.lit("1 record per payment"), F.concat(F.col("n_claims").cast("string"), F.lit(" records")), "", F.concat(F.lit("also claimed by "), others), warn=True)
     return _revised(joined, results.columns, lost, {
         "outcome": F.lit("HUMAN_REVIEW"), "exception_type": F.lit("DUPLICATE_CLAIM"), "severity": F.lit("HIGH"), "reason": reason,
         "explanation": F.concat(F.lit("This payment is claimed by "), F.col("n_claims").cast("string"), F.lit(" records; counting it twice is held back.")),

@@ -125,7 +125,7 @@ def scored_shortlist(data: Prepared, records: DataFrame, policy: Policy) -> Data
     """The scored shortlist of ``records`` (prepared ledger rows)."""
     left = similarity.attach(records, "seq", data.frequencies, data.documents)
     right = similarity.attach(data.settlements, "pop_seq", data.frequencies, data.documents)
-    pool = scoring.promising_pool(blocking.candidate_pool(records, data.settlements, policy), records, data.settlements, policy)
+    pool = scoring.promising_pool(blocking.candidate_pool(records, data.settlements, policy, promising=True), records, data.settlements, policy)
     # A few rows for each record: all that follows starts from this table instead of from the search.
     listed = materialize(scoring.rank_by_score(pool, left, right, policy), "shortlist")
     return scoring.pair_signals(scoring.join_pairs(listed, left, right), policy)

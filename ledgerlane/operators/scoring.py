@@ -10,6 +10,8 @@ from ..schemas import Policy
 
 #: Scores are compared at this grain, so that sums in another order can't change a ranking.
 GRAIN = 1_000_000_000
+#: What wording can add to a score.
+WORDING = 0.20
 
 
 def pair_signals(pairs: DataFrame, policy: Policy) -> DataFrame:
@@ -38,8 +40,11 @@ def pair_signals(pairs: DataFrame, policy: Policy) -> DataFrame:
 
 def base_score(amount_exact: Column, shared_core: Column, days_apart: Column, policy: Policy) -> Column:
     """The score without its wording part (which adds 0.2 at most)."""
-    delta, amount = F.abs(F.col("s_gross_amount_minor") - F.col("l_amount_minor")), F.col("l_amount_minor")
-    agreed = F.when(amount_exact, F.lit(1.0)).when(amount > 0, F.greatest(F.lit(0.0), 1.0 - F.least(delta / amount, F.lit(1.0)) * 2.0)).otherwise(F.lit(0.0))
+    return base_of(amount_exact, shared_core, days_apart, F.col("l_amount_minor"), F.col("s_gross_amount_minor"), policy)
+
+
+def base_of(amount_exact: Column, shared_core: Column, days_apart: Column, amount: Column, gross: Column, policy: Policy) -> Column:
+    agreed = F.when(amount_exact, F.lit(1.0)).when(amount > 0, F.greatest(F.lit(0.0), 1.0 - F.least(F.abs(gross - amount) / amount, F.lit(1.0)) * 2.0)).otherwise(F.lit(0.0))
     date = F.greatest(F.lit(0.0), 1.0 - days_apart / max(policy.candidate_search_window_days, 1))
     return 0.45 * agreed + 0.25 * shared_core.cast("double") + 0.10 * date
 
@@ -118,7 +123,7 @@ def promising_pool(pool: DataFrame, ledger: DataFrame, settlements: DataFrame, p
     rows = rows.withColumn("some", F.max("plausible").over(own)).filter("plausible OR NOT some")
     rank = F.row_number().over(own.orderBy(F.desc("base")))
     last = F.min(F.when(F.col("rank") <= policy.candidate_shortlist_size, F.col("base"))).over(own)
-    return rows.withColumn("rank", rank).withColumn("last", last).filter(F.col("base") + 0.2 + 1e-6 >= F.col("last")).select("seq", "pop_seq", "source", "place", "has_core", "base")
+    return rows.withColumn("rank", rank).withColumn("last", last).filter(F.col("base") + WORDING + 1e-6 >= F.col("last")).select("seq", "pop_seq", "source", "place", "has_core", "base")
 
 
 def rank_by_score(pool: DataFrame, ledger: DataFrame, settlements: DataFrame, policy: Policy) -> DataFrame:

@@ -7,7 +7,7 @@ from pathlib import Path
 from xml.sax.saxutils import escape
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.review import carry_review_state
@@ -22,10 +22,16 @@ def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _versions(spark: SparkSession, path: str) -> DataFrame | None:
-    """The current version of each batch, from the log of finished writes."""
+def _versions(spark: SparkSession, path: str, as_of: int | None = None) -> DataFrame | None:
+    """The current version of each batch (or the one as of a number) and the last whole one up to it, from the log of finished writes."""
     log = _read_if_there(spark, f"{path}/versions")
-    return None if log is None else log.groupBy("batch_id").agg(F.max("version").alias("version"))
+    if log is not None and as_of is not None:
+        log = log.filter(F.col("version") <= as_of)
+    return None if log is None else log.groupBy("batch_id").agg(F.max("version").alias("version"), F.max(F.when(~_is_delta(log), F.col("version"))).alias("whole"))
+
+
+def _is_delta(log: DataFrame) -> Column:
+    return F.coalesce("delta", F.lit(False)) if "delta" in log.columns else F.lit(False)
 
 
 def save_records(results: DataFrame, path: str, batch_id: str) -> None:
@@ -45,9 +51,30 @@ def save_records(results: DataFrame, path: str, batch_id: str) -> None:
     write_version(carry_review_state(new, old), path, batch_id, 1 if last is None else last.version + 1)
 
 
-def write_version(rows: DataFrame, path: str, batch_id: str, version: int) -> None:
+def upsert_records(results: DataFrame, path: str, batch_id: str) -> None:
+    """Replace the decisions of some of a batch's records, carrying over their review states.
+
+    Only these rows are written, as a version that changes the one before it; reading takes each record's last row. ``compact``
+    writes the batch as a whole again. One writer a batch.
+    """
+    spark = results.sparkSession
+    last = version_of(spark, path, batch_id)
+    new = results.withColumns({"batch_id": F.lit(batch_id), "review_state": F.lit("OPEN"), "processed_at": F.current_timestamp()})
+    if last:
+        old = read_records(spark, path, batch_id).select("batch_id", "record_id", "review_state").join(results.select("record_id").distinct(), "record_id", "left_semi")
+    else:
+        old = spark.createDataFrame([], "batch_id string, record_id string, review_state string")
+    write_version(carry_review_state(new, old), path, batch_id, last + 1, delta=last > 0)
+
+
+def compact(spark: SparkSession, path: str, batch_id: str) -> None:
+    """A batch's current rows as one whole version."""
+    write_version(read_records(spark, path, batch_id), path, batch_id, version_of(spark, path, batch_id) + 1)
+
+
+def write_version(rows: DataFrame, path: str, batch_id: str, version: int, delta: bool = False) -> None:
     rows.withColumns({"batch_id": F.lit(batch_id), "version": F.lit(version).cast("long")}).write.mode("append").partitionBy("batch_id", "version").parquet(f"{path}/rows")
-    rows.sparkSession.createDataFrame([(batch_id, version)], "batch_id string, version long").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    rows.sparkSession.createDataFrame([(batch_id, version, delta)], "batch_id string, version long, delta boolean").coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
 def save_review_states(records: DataFrame, path: str, batch_id: str) -> None:
@@ -56,9 +83,9 @@ def save_review_states(records: DataFrame, path: str, batch_id: str) -> None:
     write_version(records, path, batch_id, last.version + 1)
 
 
-def read_records(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
-    """The current rows of all batches, or of one."""
-    versions = _versions(spark, path)
+def read_records(spark: SparkSession, path: str, batch_id: str | None = None, as_of: int | None = None) -> DataFrame:
+    """The current rows of all batches, or of one; or those as of a version's number."""
+    versions = _versions(spark, path, as_of)
     if versions is None:
         raise FileNotFoundError(f"no records at {path}")
     # The rows' folders are named by text, which Spark may read as numbers.
@@ -66,7 +93,13 @@ def read_records(spark: SparkSession, path: str, batch_id: str | None = None) ->
     if batch_id:
         versions = versions.filter(F.col("batch_id") == batch_id)
         rows = rows.filter(F.col("batch_id") == batch_id)
-    return rows.join(versions, ["batch_id", "version"], "left_semi").drop("version")
+    known = rows.join(F.broadcast(versions.withColumnRenamed("version", "_last")), "batch_id").filter((F.col("version") >= F.coalesce("whole", F.lit(0))) & (F.col("version") <= F.col("_last")))
+    if versions.filter(F.coalesce("whole", F.lit(0)) < F.col("version")).isEmpty():
+        return known.drop("version", "_last", "whole")
+    # Versions that change others: the last row of each record.
+    kept = [c for c in rows.columns if c not in ("batch_id", "record_id", "version")]
+    newest = known.groupBy("batch_id", "record_id").agg(F.max_by(F.struct(*kept), "version").alias("_r"))
+    return newest.select("batch_id", "record_id", "_r.*").select(*[c for c in rows.columns if c != "version"])
 
 
 def version_of(spark: SparkSession, path: str, batch_id: str) -> int:
@@ -76,17 +109,6 @@ def version_of(spark: SparkSession, path: str, batch_id: str) -> int:
     return 0 if last is None else last.version
 
 
-def read_version(spark: SparkSession, path: str, batch_id: str, version: int) -> DataFrame:
-    """A batch's rows as one finished version left them."""
-    rows = spark.read.option("mergeSchema", True).parquet(f"{path}/rows").withColumn("batch_id", F.col("batch_id").cast("string"))
-    return rows.filter((F.col("batch_id") == batch_id) & (F.col("version") == version)).drop("version")
-
-
-def current_or_none(spark: SparkSession, path: str, batch_id: str) -> DataFrame | None:
-    """The current rows of a batch, where something is stored."""
-    return None if _versions(spark, path) is None else read_records(spark, path, batch_id)
-
-
 def export_rows(results: DataFrame) -> DataFrame:
     """The flat export table of decisions, refused candidates as text."""
     refused = F.array_join(F.transform(F.filter("considered_candidates", lambda c: ~c.admissible), lambda c: F.concat(c.payment_id, F.lit(" ("), c.admissibility_reason, F.lit(")"))), "; ")

@@ -15,15 +15,16 @@ def tail(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 8
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def upsert_decisions(decisions: DataFrame, path: str, batch_id: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch of decisions over the stored ones; run again, it changes nothing and keeps review states."""
-
-    def write(rows: DataFrame, _: int) -> None:
-        old = store.current_or_none(rows.sparkSession, path, batch_id)
-        if old is not None:
-            old = old.drop("batch_id", "review_state", "processed_at")
-            rows = rows.unionByName(old.join(rows.select("record_id"), "record_id", "left_anti"), allowMissingColumns=True)
-        store.save_records(rows, path, batch_id)
+def upsert_decisions(decisions: DataFrame, path: str, batch_id: str, checkpoint: str, whole_every: int = 50) -> StreamingQuery:
+    """Write each micro-batch of decisions over the stored ones; run again, it changes nothing and keeps review states.
+
+    A micro-batch writes its own rows only; after every ``whole_every`` of them the batch is written as a whole once.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        store.upsert_records(rows, path, batch_id)
+        if number % whole_every == whole_every - 1:
+            store.compact(rows.sparkSession, path, batch_id)
 
     return decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

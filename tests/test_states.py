@@ -6,9 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlane.operators import changes, decisions, evidence, isolation
-from ledgerlane.schemas import LEDGER, SETTLEMENT, Policy
-from ledgerlane.sinks import reuse, run_state
+from ledgerlane.operators import blocking, changes, claims, decisions, evidence, isolation, scoring, similarity
+from ledgerlane.schemas import CHECK, LEDGER, SETTLEMENT, Policy
+from ledgerlane.sinks import reuse, run_state, store
 from ledgerlane.streaming import progress
 
 VERSION = "record_id string, seq bigint, outcome string, classification string, exception_type string, severity string, matched_payment_id string, review_state string, reason string"
@@ -194,3 +194,61 @@ def test_observed_counters_are_the_final_counts(spark, tmp_path):
 def test_policies_with_other_searches_are_refused(spark):
     with pytest.raises(ValueError, match="search"):
         decisions.decide_under(None, {"a": Policy(), "b": Policy(candidate_search_window_days=3)})
+
+
+def stored(spark, *rows):
+    return spark.createDataFrame([(k, i, o) for k, i, o in rows], "seq bigint, record_id string, outcome string").withColumns({n: F.lit(None).cast("string") for n in ("classification", "exception_type", "severity", "matched_payment_id")})
+
+
+def test_upserts_write_changed_rows_only(spark, tmp_path):
+    path = str(tmp_path / "records")
+    state = lambda: {(r.record_id, r.outcome, r.review_state) for r in store.read_records(spark, path, "b").collect()}
+    store.upsert_records(stored(spark, (1, "a", "EXCEPTION"), (2, "b", "EXCEPTION"), (3, "c", "RECONCILED")), path, "b")
+    store.save_review_states(store.read_records(spark, path, "b").withColumn("review_state", F.when(F.col("record_id") == "a", "APPROVED").otherwise(F.col("review_state"))), path, "b")
+    store.upsert_records(stored(spark, (1, "a", "RECONCILED"), (4, "d", "EXCEPTION")), path, "b")
+    want = {("a", "RECONCILED", "APPROVED"), ("b", "EXCEPTION", "OPEN"), ("c", "RECONCILED", "OPEN"), ("d", "EXCEPTION", "OPEN")}
+    assert state() == want and spark.read.parquet(f"{path}/rows").filter("version = 3").count() == 2
+    store.save_records(stored(spark, (1, "z", "EXCEPTION")), path, "other")
+    assert store.read_records(spark, path).count() == 5
+    events = {(r.version, r.event_type, r.transaction_id) for r in changes.version_events(spark, path, "b", 1).collect()}
+    assert events == {(2, "HUMAN_REVIEW_ACTION", "a"), (3, "RECORD_REVISED", "a"), (3, "RECORD_DECIDED", "d")}
+    store.compact(spark, path, "b")
+    store.upsert_records(stored(spark, (2, "b", "RECONCILED")), path, "b")
+    assert state() == want - {("b", "EXCEPTION", "OPEN")} | {("b", "RECONCILED", "OPEN")} and store.version_of(spark, path, "b") == 5
+    assert {r.record_id for r in store.read_records(spark, path, "b", as_of=1).collect()} == {"a", "b", "c"}
+
+
+def test_a_payment_that_very_many_claim(spark):
+    rows = spark.range(600).select(
+        F.col("id").alias("seq"), F.format_string("r%04d", "id").alias("record_id"), F.lit("p").alias("matched_payment_id"), F.lit("RECONCILED").alias("outcome"), F.lit("EXACT_REFERENCE").alias("classification"), F.lit(None).cast("string").alias("exception_type"),
+        F.lit(None).cast("string").alias("severity"), F.lit("").alias("reason"), F.lit("").alias("explanation"), F.lit("").alias("recommended_action"), F.array().cast(f"array<{CHECK}>").alias("checks"),
+    )
+    done = claims.resolve_claims(rows).collect()
+    assert {(r.outcome, r.exception_type) for r in done} == {("HUMAN_REVIEW", "DUPLICATE_CLAIM")} and len(done) == 600
+    by_id = {r.record_id: r for r in done}
+    assert "r0001, r0002" in by_id["r0000"].reason and "and 579 more" in by_id["r0000"].reason and "r0599" not in by_id["r0599"].reason
+    assert max(len(r.checks[0].detail) for r in done) < 250
+
+
+def test_frequent_tokens_are_found_like_others(spark):
+    spread = spark.createDataFrame([(k, t) for k in range(40) for t in ("the", "order", f"w{k % 7}", f"only{k}", "unknown")], "k int, token string")
+    frequencies = spread.filter("token <> 'unknown'").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    want = sorted((r.k, r.token, r.df) for r in spread.join(frequencies, "token", "left").fillna(-1).collect())
+    for n in (0, 2, 1000):
+        assert sorted((r.k, r.token, r.df) for r in similarity.with_frequency(spread, frequencies, n).fillna(-1).collect()) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_window_candidates_pruned_in_their_row_change_no_shortlist(spark, seed):
+    rng = random.Random(seed)
+    day = lambda: f"2026-03-{rng.randrange(1, 29):02d} {rng.randrange(24):02d}:00:00"
+    amounts = [1000, 1010, 1500, 5000, 90_000, 0]
+    left = spark.createDataFrame([(k, f"r{k}", f"ORD-{rng.randrange(5000, 5040)}", rng.choice(amounts), day(), f"order {rng.choice('abc')}") for k in range(40)], "seq bigint, record_id string, reference_id string, amount_minor bigint, d string, description string")
+    right = spark.createDataFrame([(k, f"p{rng.randrange(150)}", f"X-{rng.randrange(5000, 5040)}", rng.choice(amounts), day(), f"pay {rng.choice('abc')}") for k in range(200)], "pop_seq bigint, payment_id string, order_reference string, gross_amount_minor bigint, d string, description string")
+    dated = lambda rows: rows.withColumn("order_date", F.to_timestamp("d")).drop("d")
+    ledger, settlements = blocking.prepare_ledger(dated(left)), blocking.prepare_settlements(dated(right))
+    for policy in (Policy(), Policy(max_window_scan_candidates=30, candidate_shortlist_size=2, candidate_search_window_days=4)):
+        pools = [scoring.promising_pool(blocking.candidate_pool(ledger, settlements, policy, promising), ledger, settlements, policy) for promising in (False, True)]
+        plain, pruned = ({(r.seq, r.pop_seq, r.source, r.place, r.has_core, round(r.base, 9)) for r in p.collect()} for p in pools)
+        assert plain == pruned and len(plain) > 60
+        assert blocking.promising_window_candidates(ledger, settlements, policy).count() < blocking.window_candidates(ledger, settlements, policy).count()
