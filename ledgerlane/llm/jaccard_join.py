@@ -120,7 +120,7 @@ def token_blocks(docs: DataFrame, shingle: int, percent: int, ranges: int) -> Da
                 continue
             distinct, first, counts = np.unique(every, return_index=True, return_counts=True)
             # A token of one class is sent with a hash of the class: copies of it elsewhere don't make it shared.
-            owner = np.repeat(np.array(list(counted), dtype=np.int64).view(U64) & U64(0xFFFFFFFE), [len(t) for t in counted.values()])[first].astype(np.uint32)
+            owner = np.repeat(np.array(list(counted), dtype=np.int64).view(U64) & ~U64(1), [len(t) for t in counted.values()])[first]
             owner[counts > 1] = 1
             of = (splitmix(distinct ^ U64(0x9E6C63D0876A9A35)) % U64(ranges)).astype(np.int64)
             order = np.argsort(of, kind="stable")
@@ -146,7 +146,7 @@ def shared_tokens(blocks: DataFrame, ranges: int) -> DataFrame:
             return
         tokens = np.concatenate([np.frombuffer(t, dtype=U64) for _, _, t in rows])
         counts = np.concatenate([np.frombuffer(c, dtype=np.uint8, count=len(t) // 8) for _, c, t in rows]).astype(np.int64)
-        owners = np.concatenate([np.frombuffer(c, dtype=np.uint32, offset=len(t) // 8) for _, c, t in rows])
+        owners = np.concatenate([np.frombuffer(c, dtype=U64, offset=len(t) // 8) for _, c, t in rows])
         order = np.argsort(tokens)
         ordered = tokens[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))

@@ -1,7 +1,6 @@
 """URL filters: a trie over reversed host labels and path segments decides between allow and block rules.
 
-The rules are a stated list; the trie of them is sent to the tasks, so its size is the list's (checked against
-``max_rules``). Every url is judged on its own, so nothing is shuffled and no key can become hot.
+The rules are a stated list; they are sent to the tasks, at most ``max_rules`` at once. Every url is judged on its own, so nothing is shuffled and no key can become hot.
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits no rule; an empty rule list
 gives the default verdict everywhere; repeated rows are judged alike; other columns are passed by.
@@ -94,18 +93,29 @@ class RuleTrie:
 def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = 1_000_000) -> DataFrame:
     """One row per page: id, host, path, the text of the rule that decides (or null) and the verdict.
 
-    The rule list is broadcast; more than ``max_rules`` of them (some 200 MB) are refused rather than sent.
+    At most ``max_rules`` rules (some 200 MB) are broadcast at once; a longer list is applied in several passes, each of which
+    hands the best rule so far to the next.
     """
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules; at most {max_rules} are broadcast")
-    shared = pages.sparkSession.sparkContext.broadcast(list(rules))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), *[F.lit(None).cast("string").alias(c) for c in ("by", "rule_host", "rule_path")])
+    cuts = list(range(0, len(rules), max_rules)) or [0]
+    for k in cuts:
+        rows = _one_pass(rows, list(rules[k : k + max_rules]), default, k == cuts[-1])
+    return rows
+
+
+def _one_pass(rows: DataFrame, rules: list[Rule], default: str, last: bool) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(rules)
 
     def make():
         trie = RuleTrie(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             parts = [split_url(u) for u in batch.column("url").to_pylist()]
-            found = [trie.longest(*p) for p in parts]
+            known = [Rule(*r) if r[0] else None for r in zip(*(batch.column(c).to_pylist() for c in ("by", "rule_host", "rule_path")), strict=True)]
+            found = [max((r for r in (old, trie.longest(*p)) if r), key=RuleTrie._rank, default=None) for old, p in zip(known, parts, strict=True)]
+            if not last:
+                kept = {c: pa.array([r and getattr(r, n) for r in found], pa.string()) for c, n in (("by", "verdict"), ("rule_host", "host"), ("rule_path", "path"))}
+                return columns(page_id=batch.column("page_id"), url=batch.column("url"), **kept)
             return columns(
                 page_id=batch.column("page_id"),
                 host=pa.array([p[0] for p in parts], pa.string()),
@@ -116,4 +126,4 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_
 
         return step
 
-    return map_batches(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), make, SCHEMA)
+    return map_batches(rows, make, SCHEMA if last else "page_id long, url string, by string, rule_host string, rule_path string")

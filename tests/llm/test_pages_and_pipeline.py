@@ -41,6 +41,8 @@ def test_url_filter(spark):
     rows = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id int, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(rows, queries.URL_RULES).collect()}
     assert got == {k: brute_verdict(u, queries.URL_RULES) for k, u in enumerate(urls)}
+    for n in (1, 2, 4):
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(rows.union(rows), queries.URL_RULES, max_rules=n).collect()} == got
     assert url_filter.filter_urls(rows.limit(0), queries.URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(rows, []).collect()} == {"allow"}
 
