@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import shared_dir
-from ..sources import workspace
+from ..sources import plan, workspace
 from .queries import query
 
 # The layouts, by an order's key modulo 8: file name, delimiter, header and cells. Ten-digit seconds begin in 2001, hence the 4000 days.
@@ -20,7 +20,7 @@ _LAYOUTS = (
     ("web_orders.csv", ",", {"order_id": f"'O-' || {_K}", "invoice_ref": f"'INV/' || {_K}", "amount": _MAJOR, "currency": "'usd'", "order_date": _DAY.format("dd/MM/yyyy"), "status": "'Paid'", "quantity": "'1'", "sku": "'S1'"}),
     ("invoices.csv", ";", {"Invoice No": f"'IN' || {_K}", "Customer Name": "'Ann; \"A\" & Co'", "Invoice Date": _DAY.format("dd-MM-yyyy"), "Amount": f"'₹' || {_MAJOR}", "Currency": "'INR'", "Status": "CASE WHEN o_orderkey % 3 = 0 THEN 'Returned' ELSE 'odd' END"}),
     ("sales_register.csv", ",", {"Date": _DAY.format("yyyy/MM/dd"), "Voucher No": f"'V' || {_K}", "Voucher Type": "'Sales'", "Bill Ref No": f"'B-' || {_K}", "Particulars": "'goods'", "Debit": f"CASE WHEN o_orderkey % 3 = 0 THEN {_MAJOR} ELSE '' END", "Credit": f"CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE {_MAJOR} END"}),
-    ("payouts.csv", ",", {"payment_id": f"'pay_' || {_K}", "order_id": f"'O-' || {_K}", "settlement_id": "'setl_1'", "amount": _MINOR, "fee": "'200'", "tax": "'36'", "currency": "'INR'", "created_at": "CAST(unix_timestamp(o_orderdate) + 4000 * 86400 AS STRING)", "settlement_date": _DAY.format("yyyy-MM-dd"), "status": "'processed'"}),
+    ("payouts.csv", ",", {"payment_id": f"'pay_' || {_K}", "order_id": "'O-' || CAST(o_orderkey - 3 AS STRING)", "settlement_id": "'setl_1'", "amount": _MINOR, "fee": "'200'", "tax": "'36'", "currency": "'INR'", "created_at": "CAST(unix_timestamp(o_orderdate) + 4000 * 86400 AS STRING)", "settlement_date": _DAY.format("yyyy-MM-dd"), "status": "'processed'"}),
     ("bank_statement.tsv", "\t", {"Txn Date": _DAY.format("dd-MMM-yyyy"), "Value Date": _DAY.format("dd-MMM-yyyy"), "Narration": f"'NEFT/' || {_K}", "Ref No": f"'N' || {_K}", "Withdrawal": "''", "Deposit": _MAJOR, "Closing Balance": "'1,000.00'"}),
     ("advice.txt", "|", {"Payout Id": f"'P' || {_K}", "Merchant Ref No": f"'O-' || {_K}", "Gross Amount": f"'(' || {_MAJOR} || ')'", "Charges": "'1.50'", "GST": "'0.27'", "Payout Amount": "'5.00'", "Currency": "'INR'", "Payment Date": _DAY.format("yyyy-MM-dd HH:mm:ss"), "Payout Date": _DAY.format("yyyy-MM-dd")}),
     ("shop_orders.csv", ",", {"Order Number": f"'S-' || {_K}", "Order Date": _DAY.format("MMM d, yyyy"), "Product Name": "'tea \"green\", loose'", "Total": _MAJOR, "Quantity": "'2'", "SKU": "'T1'"}),
@@ -58,7 +58,7 @@ _RECORDS = _O + " UNION ALL ".join(
         _expected(0, "'O-' || k", "'INV/' || k", currency="'USD'"),
         _expected(1, "'IN' || k", "'IN' || k", status="CASE WHEN o_orderkey % 3 = 0 THEN 'refunded' ELSE 'captured' END", text="'Ann; \"A\" & Co'"),
         _expected(2, "'B-' || k", "'B-' || k", refund="CASE WHEN o_orderkey % 3 = 0 THEN m ELSE 0 END", status="CASE WHEN o_orderkey % 3 = 0 THEN 'refunded' ELSE 'captured' END", text="'goods'"),
-        _expected(3, "'pay_' || k", "'O-' || k", role="SETTLEMENT", fee="200", tax="36", net="m - 236", status="'settled'", day="CAST(o_orderdate AS DATE) + 4000"),
+        _expected(3, "'pay_' || k", "'O-' || CAST(o_orderkey - 3 AS VARCHAR)", role="SETTLEMENT", fee="200", tax="36", net="m - 236", status="'settled'", day="CAST(o_orderdate AS DATE) + 4000"),
         _expected(4, "'N' || k", "'N' || k", role="SETTLEMENT", fee="0", tax="0", net="m", status="'settled'", text="'NEFT/' || k"),
         _expected(5, "'P' || k", "'O-' || k", role="SETTLEMENT", fee="150", tax="27", net="500", refund="m", status="'refunded'"),
         _expected(6, "'S-' || k", "'S-' || k"),
@@ -104,3 +104,22 @@ def workspace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each readable file is taken for."""
     found = workspace.ingest(spark, render(spark, sf_dir)).files
     return found.select("source", "source_type", "scale", F.when(F.col("delimiter") == "\t", "tab").otherwise(F.col("delimiter")).alias("delimiter"), "n_rows")
+
+
+@query("SELECT 'web_orders.csv' AS left_id, 'payouts.csv' AS right_id, count(*) AS shared FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey - 3 WHERE a.o_orderkey % 8 = 0 HAVING count(*) > 0")
+def workspace_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files of neighbouring stages name the same payments, over all rows of all files."""
+    found = workspace.ingest(spark, render(spark, sf_dir))
+    ids = [(found.ledger, ("order_id", "reference_id")), (found.settlements, ("payment_id", "order_reference"))]
+    rows = None
+    for records, columns in ids:
+        part = records.select(F.col("provenance.source_id").alias("source_id"), F.explode(F.array(*columns)).alias("id"))
+        rows = part if rows is None else rows.unionByName(part)
+    return plan.exact_relationships(rows.join(found.files.select(F.col("source").alias("source_id"), "stage"), "source_id"))
+
+
+@query("SELECT code, subject FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey % 8 = 1) CROSS JOIN (VALUES ('UNCONFIRMED_ROLE', 'invoices.csv')) t(code, subject) WHERE n > 0")
+def workspace_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands against a run over the rendered files: the one whose type isn't sure enough."""
+    files = workspace.ingest(spark, render(spark, sf_dir)).files
+    return plan.blockers(files.select(F.col("source").alias("source_id"), F.col("source").alias("filename"), "needs_confirmation", "missing", "role"))

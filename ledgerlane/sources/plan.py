@@ -34,6 +34,18 @@ def relationships(sources: DataFrame) -> DataFrame:
     return pairs.orderBy("left_id", "right_id").limit(MAX_RELATIONSHIPS)
 
 
+def exact_relationships(identifiers: DataFrame) -> DataFrame:
+    """left_id, right_id, shared: as ``relationships``, over all identifiers (source_id, stage, id) instead of a sample; pairs that share none are left out.
+
+    Each source has an identifier once, so a common one meets itself only in as many rows as there are sources.
+    """
+    own = identifiers.filter(F.col("stage").isin(*STAGES)).select("source_id", _order().alias("at"), F.upper(F.trim("id")).alias("id")).filter("id <> ''").distinct()
+    ahead = own.select("at").distinct().withColumn("next_at", F.lead("at").over(Window.orderBy("at"))).filter("next_at IS NOT NULL")  # at most five rows
+    left = own.join(F.broadcast(ahead), "at").select(F.col("source_id").alias("left_id"), "id", "next_at")
+    right = own.select(F.col("source_id").alias("right_id"), "id", F.col("at").alias("next_at"))
+    return left.join(right, ["id", "next_at"]).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def stage_coverage(records: DataFrame, sources: DataFrame) -> DataFrame:
     """Per stage: its files, and the decided records that come from them or are matched to them."""
     files = sources.groupBy("stage").agg(F.count(F.lit(1)).alias("files"), F.sum("n_rows").alias("n_rows"))
