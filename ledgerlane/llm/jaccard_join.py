@@ -449,7 +449,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str =
     label = F.when(F.col("n_shingles") > 0, F.struct(F.col("component_id").isNull().alias("none"), F.coalesce("component_id", "cid").alias("label")))
     kept = found.filter("n_shingles > 0").groupBy(label.alias("label")).agg(F.min(rank).alias("kept")).select("kept.doc_id", "kept.row_key")
     empty = found.filter("n_shingles = 0").select("doc_id", "row_key").distinct().withColumn("every", F.lit(True))
-    chosen = kept.withColumn("every", F.lit(False)).unionByName(empty).alias("r")
+    # Only rows that are there twice, by id and text, are shuffled to be told apart; the others' texts aren't.
+    twice = found.filter("n_shingles > 0").groupBy("doc_id", "row_key").agg((F.count(F.lit(1)) > 1).alias("again")).alias("t")
+    kept = kept.alias("k").join(twice, F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.row_key") == F.col("t.row_key"))).select("k.doc_id", "k.row_key", "t.again")
+    chosen = kept.withColumn("every", ~F.col("again")).drop("again").unionByName(empty).alias("r")
     # The row stays in one struct, so that no name of the caller's clashes with ours.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     keyed = docs.select(row, F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("own_key"))
