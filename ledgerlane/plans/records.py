@@ -133,7 +133,15 @@ def decide_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _investigated(spark, sf_dir).select("record_id", "action")
 
 
-@query()
+_CONTRADICTED = "seq IN (SELECT seq FROM seen WHERE contradiction)"
+# In the order of their confidence, then of the rules.
+_HYPOTHESES = f"""concat_ws(',', CASE WHEN classification = 'PENDING_SETTLEMENT_WINDOW' THEN 'PENDING_SETTLEMENT=0.95' END, CASE WHEN exception_type IN ('DUPLICATE_CLAIM', 'DUPLICATE_REFERENCE') THEN 'DUPLICATE_TRANSACTION=0.85' END,
+    CASE WHEN {_CONTRADICTED} AND classification <> 'PENDING_SETTLEMENT_WINDOW' THEN 'CONFLICTING_IDENTITY=0.85' END, CASE WHEN payment_id IS NOT NULL AND NOT refund_ok THEN 'REFUND_OFFSET=0.7' END,
+    CASE WHEN payment_id IS NULL AND classification = 'NO_CANDIDATES' THEN 'GENUINELY_MISSING=0.7' END, CASE WHEN payment_id IS NOT NULL AND NOT net_ok THEN 'GATEWAY_FEE_DEDUCTION=0.65' END,
+    CASE WHEN payment_id IS NULL AND classification IN ('NO_ADMISSIBLE_CANDIDATE', 'ALL_CANDIDATES_REJECTED') THEN 'MISSING_SETTLEMENT=0.65' END, CASE WHEN seq IN (SELECT seq FROM amount_only) AND NOT {_CONTRADICTED} THEN 'REFERENCE_MISMATCH=0.55' END)"""
+
+
+@query(_final(f"SELECT record_id, {_HYPOTHESES} AS hypotheses FROM broken", seen=_SEEN, traced=_TRACED, broken=_BROKEN, amount_only=_AMOUNT_ONLY))
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _investigated(spark, sf_dir).select("record_id", F.array_join(F.transform("hypotheses", lambda h: F.concat(h.label, F.lit("="), h.confidence.cast("string"))), ",").alias("hypotheses"))
 
@@ -350,15 +358,15 @@ def _share(part: str, whole: str = _N) -> str:
     return _R.format(part, whole)
 
 
-@query(
-    _final(
-        "SELECT count(*) AS record_count, " + _share("count(*) FILTER (outcome = expected)") + " AS accuracy, " + _share("count(*) FILTER (outcome = 'EXCEPTION' AND expected = 'EXCEPTION')", "count(*) FILTER (outcome = 'EXCEPTION')") + " AS exception_precision, "
+_EVALUATION = (
+        "count(*) AS record_count, " + _share("count(*) FILTER (outcome = expected)") + " AS accuracy, " + _share("count(*) FILTER (outcome = 'EXCEPTION' AND expected = 'EXCEPTION')", "count(*) FILTER (outcome = 'EXCEPTION')") + " AS exception_precision, "
         + _share("count(*) FILTER (outcome = 'EXCEPTION' AND expected = 'EXCEPTION')", "count(*) FILTER (expected = 'EXCEPTION')") + " AS exception_recall, " + _share("count(*) FILTER (outcome = 'RECONCILED' AND expected <> 'RECONCILED')", "count(*) FILTER (outcome = 'RECONCILED')") + " AS false_auto_reconciliation, "
         + _share("count(*) FILTER (outcome = 'EXCEPTION' AND expected = 'RECONCILED')", "count(*) FILTER (expected = 'RECONCILED')") + " AS false_exception, " + ", ".join(_share(f"count(*) FILTER (outcome = '{o}')") + f" AS share_{o.lower()}" for o in metrics.OUTCOMES)
-        + ", " + _share("count(*) FILTER (ai_calls > 0)") + " AS semantic_rate, sum(ai_calls)::BIGINT AS ai_calls_total, " + _share("sum(ai_calls) * 1000") + " AS ai_calls_per_1000, 0::BIGINT AS provider_errors FROM labelled",
-        labelled=f"SELECT *, {_EXPECTED} AS expected FROM final",
-    )
-)
+        + ", " + _share("count(*) FILTER (ai_calls > 0)") + " AS semantic_rate, sum(ai_calls)::BIGINT AS ai_calls_total, " + _share("sum(ai_calls) * 1000") + " AS ai_calls_per_1000, 0::BIGINT AS provider_errors"
+)
+
+
+@query(_final(f"SELECT {_EVALUATION} FROM labelled", labelled=f"SELECT *, {_EXPECTED} AS expected FROM final"))
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.evaluation(_labelled(spark, sf_dir))
 
@@ -375,9 +383,9 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TIERS = {"exact": Policy(enable_fuzzy_matching=False), "corroborated": Policy(enable_semantic_matching=False), "all": Policy()}
 #: What the verifier settles goes unmatched without it; what the search settles, without the search.
-_UNDER_TIERS = """SELECT 'all' AS policy, record_id, case_name, outcome FROM decided
-    UNION ALL SELECT 'corroborated', record_id, case_name, CASE WHEN classification IN ('SEMANTIC_CONFIRMED', 'SEMANTIC_UNRESOLVED', 'PROVIDER_ERROR') THEN 'EXCEPTION' ELSE outcome END FROM decided
-    UNION ALL SELECT 'exact', record_id, case_name, CASE WHEN n_exact = 0 THEN 'EXCEPTION' ELSE outcome END FROM decided"""
+_UNDER_TIERS = """SELECT 'all' AS policy, record_id, case_name, ai_calls, outcome FROM decided
+    UNION ALL SELECT 'corroborated', record_id, case_name, 0, CASE WHEN classification IN ('SEMANTIC_CONFIRMED', 'SEMANTIC_UNRESOLVED', 'PROVIDER_ERROR') THEN 'EXCEPTION' ELSE outcome END FROM decided
+    UNION ALL SELECT 'exact', record_id, case_name, 0, CASE WHEN n_exact = 0 THEN 'EXCEPTION' ELSE outcome END FROM decided"""
 
 
 @query(
@@ -395,7 +403,7 @@ def policy_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.by_variation(rows, "policy", "case_name")
 
 
-@query()
+@query(chain.sql("decided", f"SELECT policy AS tier, {_EVALUATION} FROM labelled GROUP BY policy", under=_UNDER_TIERS, labelled=f"SELECT *, {_EXPECTED} AS expected FROM under"))
 def tier_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact tier alone, without the verifier, and all tiers, over the same records, whose candidates are searched for once."""
     rows = once("under_tiers", spark, sf_dir, lambda: decisions.decide_under(prepared(spark, sf_dir), TIERS)).withColumn("expected", F.expr(_EXPECTED))
@@ -405,7 +413,12 @@ def tier_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text functions on the corpus tables.
 
 
-@query()
+_SCRUBBED = "text"
+for _pattern in text.CREDENTIALS:
+    _SCRUBBED = f"regexp_replace({_SCRUBBED}, '{_pattern}', '<redacted>', 'g')"
+
+
+@query(f"SELECT conv_id, turn, md5({_SCRUBBED}) AS scrubbed_md5 FROM conversations")
 def scrub_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return rows.select("conv_id", "turn", F.md5(text.scrub_secrets(F.col("text"))).alias("scrubbed_md5"))
