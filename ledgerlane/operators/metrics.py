@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 OUTCOMES = ("RECONCILED", "EXCEPTION", "HUMAN_REVIEW")
 
 
@@ -36,8 +38,25 @@ def confusion_by_case(rows: DataFrame, case: str = "case_name") -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles with linear interpolation, and the maximum."""
-    return rows.agg(*[F.round(F.percentile(value, p), 6).alias(f"p{round(p * 100)}") for p in at], F.max(value).alias("max"))
+    """Exact percentiles with linear interpolation, and the maximum; nulls are no values, and without values all are null.
+
+    The values are sorted in ranges, in parallel, and ranked by the ranges' sizes; only the two neighbours of each percentile leave
+    their range, so no task holds all different values.
+    """
+    own = rows.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    ordered = materialize(own.repartitionByRange("v").sortWithinPartitions("v").withColumns({"_range": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}), "percentiles")
+    sizes = ordered.groupBy("_range").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # A row for each range.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"_before": before, "_all": F.sum("_n").over(Window.partitionBy())}).drop("_n")
+    ranked = ordered.join(F.broadcast(sizes), "_range").withColumn("rank", F.col("_id") - F.col("_first") + F.col("_before"))
+    place = {p: (F.col("_all") - 1) * F.lit(p) for p in at}
+    near = F.lit(False)
+    for x in place.values():
+        near = near | (F.col("rank") == F.floor(x)) | (F.col("rank") == F.ceil(x))
+    picked = ranked.filter(near | (F.col("rank") == F.col("_all") - 1))
+    sides = {p: (F.max(F.when(F.col("rank") == F.floor(x), F.col("v"))), F.max(F.when(F.col("rank") == F.ceil(x), F.col("v"))), F.max(x - F.floor(x))) for p, x in place.items()}
+    return picked.agg(*[F.round(low + (high - low) * part, 6).alias(f"p{round(p * 100)}") for p, (low, high, part) in sides.items()], F.max("v").alias("max"))
 
 
 def tier_ablation(runs: dict[str, DataFrame]) -> DataFrame:

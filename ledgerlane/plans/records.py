@@ -111,6 +111,18 @@ def money_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _investigated(spark, sf_dir).select("record_id", F.array_join(F.transform("trace", lambda s: F.concat(s.stage, F.lit(":"), s.status)), ",").alias("trace"))
 
 
+_AT_BANK = "'ORDER:FOUND,PAYMENT:NOT_EVALUATED,SETTLEMENT:NOT_EVALUATED,BANK:' || payment_status || ',BOOKS:' || CASE WHEN payment_status = 'FOUND' THEN 'FOUND' ELSE 'NOT_EVALUATED' END"
+_AT_GATEWAY = "'ORDER:FOUND,PAYMENT:' || payment_status || ',SETTLEMENT:' || settlement_status || ',BANK:NOT_EVALUATED,BOOKS:' || CASE WHEN payment_status = 'FOUND' AND settlement_status = 'FOUND' THEN 'FOUND' ELSE 'NOT_EVALUATED' END"
+
+
+@query(_final(f"SELECT record_id, CASE WHEN seq % 2 = 1 THEN {_AT_BANK} ELSE {_AT_GATEWAY} END AS trace FROM traced", seen=_SEEN, traced=_TRACED))
+def money_trace_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of accounting exports against both gateway and bank files: each record is traced where its counterpart comes from."""
+    rows = results(spark, sf_dir).withColumn("origin", F.when(F.col("seq") % 2 == 1, "BANK_STATEMENT").otherwise("PAYMENT_GATEWAY"))
+    traced = trace.with_trace(rows, trace.Roles(gateway=True, bank=True, orders=False, books=True), "origin")
+    return traced.select("record_id", F.array_join(F.transform("trace", lambda s: F.concat(s.stage, F.lit(":"), s.status)), ",").alias("trace"))
+
+
 @query(_final("SELECT record_id, break_stage, break_kind FROM broken", seen=_SEEN, traced=_TRACED, broken=_BROKEN))
 def breakpoint(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: A001
     return _investigated(spark, sf_dir).select("record_id", "break_stage", "break_kind")

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlane.operators import blocking, changes, claims, decisions, evidence, isolation, scoring, similarity
+from ledgerlane.operators import audit, blocking, changes, claims, decisions, evidence, isolation, metrics, scoring, similarity
 from ledgerlane.schemas import CHECK, LEDGER, SETTLEMENT, Policy
 from ledgerlane.sinks import reuse, run_state, store
 from ledgerlane.streaming import progress
@@ -252,3 +252,31 @@ def test_window_candidates_pruned_in_their_row_change_no_shortlist(spark, seed):
         plain, pruned = ({(r.seq, r.pop_seq, r.source, r.place, r.has_core, round(r.base, 9)) for r in p.collect()} for p in pools)
         assert plain == pruned and len(plain) > 60
         assert blocking.promising_window_candidates(ledger, settlements, policy).count() < blocking.window_candidates(ledger, settlements, policy).count()
+
+
+def test_percentiles_are_exact_over_ranges(spark):
+    rng = random.Random(3)
+    for values in ([rng.gauss(0, 100) for _ in range(501)], [5.0] * 300 + [None, None, 7.0], [1.0], [], [None]):
+        row = metrics.percentiles(spark.createDataFrame([(v,) for v in values], "x double").repartition(7), "x").first()
+        real = sorted(v for v in values if v is not None)
+        for p, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+            at = p * (len(real) - 1)
+            want = real[int(at)] + (real[min(int(at) + 1, len(real) - 1)] - real[int(at)]) * (at - int(at)) if real else None
+            assert row[name] == (pytest.approx(want, abs=2e-6) if real else None)
+        assert row["max"] == (max(real) if real else None)
+
+
+def test_segments_are_chained_and_linked(spark):
+    events = spark.range(250).select(F.col("id").alias("order"), F.lit("t").alias("timestamp"), F.col("id").cast("string").alias("transaction_id"), *[F.lit("x").alias(n) for n in ("event_type", "prior_state", "new_state", "evidence_ref")], F.to_json(F.struct("id")).alias("payload_json")).repartition(5)
+    log, links = audit.append_segments(events, size=100)
+    assert [(r.segment, r.first_seq, r.last_seq) for r in links.orderBy("segment").collect()] == [(0, 1, 100), (1, 101, 200), (2, 201, 250)]
+    assert [(r.seq, int(r.transaction_id)) for r in log.orderBy("seq").collect()] == [(k + 1, k) for k in range(250)] and audit.verify_segments(log, links).count() == 0
+    breaks = lambda rows, of: {(r.seq, r.reason) for r in audit.verify_segments(rows, of).collect()}
+    assert (151, "doesn't follow its predecessor") in breaks(log.filter("seq <> 150"), links)
+    assert breaks(log.filter("segment <> 1"), links.filter("segment <> 1")) == {(201, "the segment doesn't follow the one before")}
+    assert {s for s, _ in breaks(log, links.withColumn("tail", F.when(F.col("segment") == 1, F.lit("0")).otherwise(F.col("tail"))))} == {101}
+    # More events later: the heads are all that is needed.
+    head = links.orderBy(F.desc("segment")).first()
+    more, more_links = audit.append_segments(events, head.last_seq, head.segment, head.link, size=100)
+    assert audit.verify_segments(log.unionByName(more), links.unionByName(more_links)).count() == 0 and more_links.agg(F.max("last_seq")).first()[0] == 500
+    assert audit.append_segments(events.limit(0))[1].count() == 0
