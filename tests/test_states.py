@@ -2,11 +2,15 @@
 
 import random
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerlane.operators import audit, blocking, changes, claims, decisions, evidence, isolation, metrics, scoring, similarity
+from ledgerlane.plans import states
 from ledgerlane.schemas import CHECK, LEDGER, SETTLEMENT, Policy
 from ledgerlane.sinks import reuse, run_state, store
 from ledgerlane.streaming import progress
@@ -191,6 +195,41 @@ def test_observed_counters_are_the_final_counts(spark, tmp_path):
     assert dict(totals.sums[str(run.runId)]) == {"n": 30, "ids": 435} and totals.batches[str(run.runId)] == 3
 
 
+def test_streams_of_a_session_that_is_not_the_active_one_are_counted(spark, tmp_path):
+    other = spark.newSession()
+    events = spark.createDataFrame([(k, None if k == 3 else k, "click") for k in range(20)], "event_id bigint, user_id bigint, event_type string")
+    (tmp_path / "events.parquet").mkdir()
+    for part in range(10):
+        events.filter(F.col("event_id") % 10 == part).coalesce(1).write.parquet(str(tmp_path / "events.parquet"), mode="append")
+    # Ten files are two micro-batches. Creating rows made the first session the active one; a new thread has none.
+    assert [tuple(r) for r in states.observed_stream(other, str(tmp_path)).collect()] == [(20, True, 187)]
+    spark.createDataFrame([(1,)], "a int")
+    with ThreadPoolExecutor(1) as pool:
+        assert [tuple(r) for r in pool.submit(lambda: states.observed_stream(other, str(tmp_path)).collect()).result()] == [(20, True, 187)]
+    events.limit(2).select("event_id", F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("event_type")).write.parquet(str(tmp_path / "nulls" / "events.parquet"))
+    assert [tuple(r) for r in states.observed_stream(spark, str(tmp_path / "nulls")).collect()] == [(2, False, None)]
+
+
+def test_missed_batches_are_an_error():
+    step = lambda batch, **m: SimpleNamespace(runId="r", batchId=batch, observedMetrics={"progress": Row(**m)} if m else {})
+    query = lambda *steps: SimpleNamespace(runId="r", recentProgress=list(steps))
+    totals = progress.Totals()
+    for p in (step(0, n=1), step(1, n=2), step(1, n=2), step(2)):
+        totals.add(p)
+    # What was heard of isn't counted again, what wasn't yet is taken from the query; idle progress has no counters.
+    assert totals.of(query(step(1, n=2), step(2), step(2, n=4), step(3, n=8)), seconds=0.1) == {"n": 15} and totals.batches["r"] == 4
+    with pytest.raises(TimeoutError):
+        totals.of(query(step(6, n=16)), seconds=0.1)
+    totals.add(step(6, n=16))
+    totals.ended.add("r")
+    with pytest.raises(RuntimeError, match="not heard"):
+        totals.of(query(step(6, n=16)))
+    late = progress.Totals()
+    late.add(step(1, n=2))
+    with pytest.raises(RuntimeError, match="not heard"):
+        late.of(query(step(0, n=1), step(1, n=2)), seconds=0.1)
+
+
 def test_policies_with_other_searches_are_refused(spark):
     with pytest.raises(ValueError, match="search"):
         decisions.decide_under(None, {"a": Policy(), "b": Policy(candidate_search_window_days=3)})
