@@ -2,9 +2,12 @@
 
 import html
 import random
+import sys
 import time
+from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from ledgerlane.llm import html_extract, packing, queries, url_filter
@@ -26,6 +29,31 @@ def test_suffix_array_and_prefixes():
             assert prefix[want[k]] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def test_suffix_array_takes_few_passes_whatever_repeats():
+    """Each round is a few calls over whole arrays, so their number doesn't grow with the text; long repeats included."""
+    rng = np.random.default_rng(5)
+    passages = [rng.integers(97, 123, 900).astype(np.uint8) for _ in range(40)]
+    text = np.concatenate([passages[k] for k in rng.integers(0, 40, 130)])
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        sa = suffix_array(text)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 1000
+    ranks = np.append(np.argsort(sa), -1)
+    assert (np.diff(text[sa] * np.int64(len(text) + 1) + ranks[sa + 1] + 1) > 0).all() and len(sa) == len(text)
+
+
+@pytest.mark.parametrize("text", [np.tile(np.arange(7, dtype=np.uint8), 300_001), np.array([70_000, 3, 70_000, 3, 3, 0, 70_000, 3]), np.zeros(20, dtype=np.uint8)])
+def test_suffix_array_orders_neighbours(text):
+    """Ranks of over 21 bits, symbols beyond bytes, and zeros at the end: by first symbols, then by the ranks of the rest."""
+    sa = suffix_array(text)
+    ranks = np.full(len(text) + 1, -1)
+    ranks[sa] = np.arange(len(text))
+    assert (np.diff(text[sa] * np.int64(len(text) + 1) + ranks[sa + 1] + 1) > 0).all() and (ranks[:-1] >= 0).all()
+
+
 def brute_verdict(url, rules):
     _, found, rest = (url or "").partition("://")
     end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)]) if found else 0
