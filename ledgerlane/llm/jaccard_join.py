@@ -7,13 +7,15 @@ candidates must share prefix tokens under each of ``orders`` orders, and the fil
 1. The tokens whose hash is below a fixed share come first in every order; only these are counted. Each batch of
    documents sends its distinct tokens of that kind, as blocks of numbers, to the task of their hash range and gets
    back how often they occur, where more than one class has them. No token is a row, and one that is in a third of
-   all documents is one number a batch.
+   all documents is one number a batch. A batch is as many documents as have ``BATCH_TOKENS``, as there is a block for
+   each batch and range.
 2. An order puts tokens by that count, rare ones first, and then by a hash of the order's own; tokens outside the
    counted share (needed by short texts only) follow by hash. Tokens met once have no partner, so a document whose
    prefix is full of them is done; all others send the prefix tokens that others have, too.
 3. For every order, the classes with a prefix token in common have a hub, the one with the most such tokens. A group
    is the classes with the same hub under the first and the same hub under the second order (and so on): each linking
-   pair is together in a group, and a chance hit under one order finds no partner under the other.
+   pair is together in a group, and a chance hit under one order finds no partner under the other. A group is cut
+   where its sets' sizes are too far apart to link, which most chance hits are, and equal groups are kept once.
 4. One text of each class is sent, packed, to each of the class's groups; sets are made there and pairs verified exactly.
    A group beyond ``block`` classes or ``block_tokens`` tokens is dealt into blocks, each with the group's hub. First every
    block is searched by itself. What a block's members join to the hub is one component over all blocks, so only the
@@ -37,36 +39,74 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import U64, fold, prefix_sums, range_hash, spans, splitmix
-from .common import columns, map_batches, materialize, sliced, utf8
+from .common import SLICE, columns, map_batches, materialize, utf8, weighed
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 
-def shingle_set(data: bytes, shingle: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    text = np.frombuffer(data.translate(_LOWER), dtype=np.uint8)
-    if not len(text):
-        return np.zeros(0, dtype=U64)
-    start, end = spans(_IS_WORD[text])
+#: Counted tokens, and documents, after which a batch is sent.
+BATCH_TOKENS, BATCH_DOCS = 1 << 19, 65_535
+
+
+def joined_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles, one text's after the other's, and how many each has."""
+    text = np.frombuffer(b" ".join(texts).translate(_LOWER), dtype=np.uint8)
+    start, end = spans(_IS_WORD[text]) if len(text) else (np.zeros(0, dtype=np.int64),) * 2
     if not len(start):
-        return np.zeros(0, dtype=U64)
+        return np.zeros(0, dtype=U64), np.zeros(len(texts), dtype=np.int64)
     words = range_hash(prefix_sums(text), start, end)
-    n = len(words) - shingle + 1
-    if n < 1:
-        return fold([words[k : k + 1] for k in range(len(words))])
-    return np.unique(fold([words[k : k + n] for k in range(shingle)]))
+    last = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]) - 1)
+    n_words = np.diff(last, prepend=0)
+    short = (n_words > 0) & (n_words < shingle)
+    counts = np.where(short, 1, np.maximum(n_words - shingle + 1, 0))
+    ends = np.cumsum(counts)
+    tokens, whole = np.empty(ends[-1], dtype=U64), np.ones(ends[-1], dtype=bool)
+    for k in np.flatnonzero(short):
+        whole[ends[k] - 1] = False
+        tokens[ends[k] - 1] = fold([words[w : w + 1] for w in range(last[k] - n_words[k], last[k])])[0]
+    if (n := len(words) - shingle + 1) > 0:
+        inside = np.repeat(last, n_words)[:n] - np.arange(n) >= shingle
+        tokens[whole] = fold([words[k : k + n] for k in range(shingle)])[inside]
+    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        tokens[a:b].sort()
+    new = np.append(True, tokens[1:] != tokens[:-1])
+    new[(ends - counts)[counts > 0]] = True
+    upto = np.append(0, np.cumsum(new))
+    return tokens[new], upto[ends] - upto[ends - counts]
+
+
+def shingle_sets(texts: list[bytes], shingle: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """As ``joined_sets``, with some ``most`` bytes at once; a longer text is taken by itself."""
+    found, at = [], 0
+    while at < len(texts):
+        stop, total = at + 1, len(texts[at])
+        while stop < len(texts) and total + len(texts[stop]) < most:
+            total += len(texts[stop]) + 1
+            stop += 1
+        found.append(joined_sets(texts[at:stop], shingle))
+        at = stop
+    return np.concatenate([np.zeros(0, dtype=U64), *(t for t, _ in found)]), np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in found)])
+
+
+def shingle_set(data: bytes, shingle: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles."""
+    return joined_sets([data], shingle)[0]
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A 64-bit hash of a set, from its sorted token hashes."""
-    mixed = splitmix(tokens + U64(len(tokens)))
-    return int((splitmix(np.add.reduce(mixed, keepdims=True)) ^ np.bitwise_xor.reduce(splitmix(mixed ^ U64(0x5851F42D4C957F2D)), keepdims=True)).view(np.int64)[0])
+def set_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set, from its sorted token hashes; 0 for an empty one."""
+    out, some = np.zeros(len(sizes), dtype=U64), sizes > 0
+    if some.any():
+        first = (np.cumsum(sizes) - sizes)[some]
+        mixed = splitmix(tokens + np.repeat(sizes, sizes).astype(U64))
+        out[some] = splitmix(np.add.reduceat(mixed, first)) ^ np.bitwise_xor.reduceat(splitmix(mixed ^ U64(0x5851F42D4C957F2D)), first)
+    return out.view(np.int64)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -90,49 +130,61 @@ def token_blocks(docs: DataFrame, shingle: int, percent: int, ranges: int) -> Da
     share = counted_share(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(part for batch in batches for part in sliced(batch)):
-            number = (TaskContext.get().partitionId() << 32) + k
-            cids, sizes, held, counted = [], [], [], {}
-            for data in utf8(batch):
-                tokens = shingle_set(data, shingle)
-                n = len(tokens)
-                cid = set_id(tokens) if n else 0
+        number = TaskContext.get().partitionId() << 32
+        ids, keys, cids, sizes, held, counted, total = [], [], [], [], [], {}, 0
+        for batch in (part for batch in batches for part in weighed(batch, "text")):
+            tokens, lengths = shingle_sets(utf8(batch), shingle)
+            at = place(tokens)
+            inside = at < share
+            end = 0
+            for cid, n in zip(set_ids(tokens, lengths).tolist(), lengths.tolist(), strict=True):
+                start, end = end, end + n
                 cids.append(cid)
                 sizes.append(n)
                 if not n or cid in counted:
                     held.append(tokens[:0])
                     continue
-                at = place(tokens)
-                inside = at < share
-                counted[cid] = tokens[inside]
-                short = prefix_size(n, percent) - int(inside.sum())
-                if short > 0:
-                    outside = np.flatnonzero(~inside)
-                    inside[outside[np.argsort(at[outside], kind="stable")[:short]]] = True
-                held.append(tokens[inside])
-            yield columns(
-                batch=pa.array([number], pa.int64()), part=pa.array([-1], pa.int32()), doc_ids=pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                row_keys=pa.array([batch.column("row_key").to_pylist()], pa.list_(pa.int64())), cids=pa.array([cids], pa.list_(pa.int64())), sizes=pa.array([sizes], pa.list_(pa.int64())),
-                kept=pa.array([np.array([len(h) for h in held], dtype=np.int32).tobytes()], pa.binary()), tokens=pa.array([np.concatenate(held).tobytes()], pa.binary()),
-            )
-            every = np.concatenate([*counted.values(), np.zeros(0, dtype=U64)])
-            if not len(every):
-                continue
-            distinct, first, counts = np.unique(every, return_index=True, return_counts=True)
-            # A token of one class is sent with a hash of the class: copies of it elsewhere don't make it shared.
-            owner = np.repeat(np.array(list(counted), dtype=np.int64).view(U64) & U64(0xFFFFFFFE), [len(t) for t in counted.values()])[first].astype(np.uint32)
-            owner[counts > 1] = 1
-            of = (splitmix(distinct ^ U64(0x9E6C63D0876A9A35)) % U64(ranges)).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            ends = np.cumsum(np.bincount(of, minlength=ranges))
-            parts = [(r, order[(ends[r - 1] if r else 0) : ends[r]]) for r in range(ranges)]
-            parts = [(r, p) for r, p in parts if len(p)]
-            none = lambda kind: pa.array([None] * len(parts), kind)
-            yield columns(
-                batch=pa.array([number] * len(parts), pa.int64()), part=pa.array([r for r, _ in parts], pa.int32()), doc_ids=none(pa.list_(pa.int64())), row_keys=none(pa.list_(pa.int64())),
-                cids=none(pa.list_(pa.int64())), sizes=none(pa.list_(pa.int64())), kept=pa.array([np.minimum(counts[p], 255).astype(np.uint8).tobytes() + owner[p].tobytes() for _, p in parts], pa.binary()),
-                tokens=pa.array([distinct[p].tobytes() for _, p in parts], pa.binary()),
-            )
+                chosen = inside[start:end]
+                own = counted[cid] = tokens[start:end][chosen]
+                if (short := prefix_size(n, percent) - len(own)) > 0:
+                    outside = np.flatnonzero(~chosen)
+                    chosen[outside[np.argsort(at[start:end][outside], kind="stable")[:short]]] = True
+                    own = tokens[start:end][chosen]
+                held.append(own)
+                total += len(own)
+            ids += batch.column("doc_id").to_pylist()
+            keys += batch.column("row_key").to_pylist()
+            if total >= BATCH_TOKENS or len(cids) > BATCH_DOCS - SLICE:
+                yield from sent(number, ids, keys, cids, sizes, held, counted)
+                number += 1
+                ids, keys, cids, sizes, held, counted, total = [], [], [], [], [], {}, 0
+        if cids:
+            yield from sent(number, ids, keys, cids, sizes, held, counted)
+
+    def sent(number: int, ids: list, keys: list, cids: list, sizes: list, held: list, counted: dict) -> Iterator[pa.RecordBatch]:
+        yield columns(
+            batch=pa.array([number], pa.int64()), part=pa.array([-1], pa.int32()), doc_ids=pa.array([ids], pa.list_(pa.int64())),
+            row_keys=pa.array([keys], pa.list_(pa.int64())), cids=pa.array([cids], pa.list_(pa.int64())), sizes=pa.array([sizes], pa.list_(pa.int64())),
+            kept=pa.array([np.array([len(h) for h in held], dtype=np.int32).tobytes()], pa.binary()), tokens=pa.array([np.concatenate(held).tobytes()], pa.binary()),
+        )
+        every = np.concatenate([*counted.values(), np.zeros(0, dtype=U64)])
+        if not len(every):
+            return
+        distinct, first, counts = np.unique(every, return_index=True, return_counts=True)
+        # A token of one class is sent with a hash of the class: copies of it elsewhere don't make it shared.
+        owner = np.repeat(np.array(list(counted), dtype=np.int64).view(U64) & U64(0xFFFFFFFE), [len(t) for t in counted.values()])[first].astype(np.uint32)
+        owner[counts > 1] = 1
+        of = (splitmix(distinct ^ U64(0x9E6C63D0876A9A35)) % U64(ranges)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        ends = np.cumsum(np.bincount(of, minlength=ranges))
+        parts = [(r, order[(ends[r - 1] if r else 0) : ends[r]]) for r in range(ranges)]
+        parts = [(r, p) for r, p in parts if len(p)]
+        none = lambda kind: pa.array([None] * len(parts), kind)
+        yield columns(
+            batch=pa.array([number] * len(parts), pa.int64()), part=pa.array([r for r, _ in parts], pa.int32()), doc_ids=none(pa.list_(pa.int64())), row_keys=none(pa.list_(pa.int64())),
+            cids=none(pa.list_(pa.int64())), sizes=none(pa.list_(pa.int64())), kept=pa.array([np.minimum(counts[p], 65_535).astype(np.uint16).tobytes() + owner[p].tobytes() for _, p in parts], pa.binary()),
+            tokens=pa.array([distinct[p].tobytes() for _, p in parts], pa.binary()),
+        )
 
     return docs.select("doc_id", "row_key", "text").mapInArrow(run, "batch long, part int, doc_ids array<long>, row_keys array<long>, cids array<long>, sizes array<long>, kept binary, tokens binary")
 
@@ -145,8 +197,8 @@ def shared_tokens(blocks: DataFrame, ranges: int) -> DataFrame:
         if not rows:
             return
         tokens = np.concatenate([np.frombuffer(t, dtype=U64) for _, _, t in rows])
-        counts = np.concatenate([np.frombuffer(c, dtype=np.uint8, count=len(t) // 8) for _, c, t in rows]).astype(np.int64)
-        owners = np.concatenate([np.frombuffer(c, dtype=np.uint32, offset=len(t) // 8) for _, c, t in rows])
+        counts = np.concatenate([np.frombuffer(c, dtype=np.uint16, count=len(t) // 8) for _, c, t in rows]).astype(np.int64)
+        owners = np.concatenate([np.frombuffer(c, dtype=np.uint32, offset=len(t) // 4) for _, c, t in rows])
         order = np.argsort(tokens)
         ordered = tokens[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -156,13 +208,22 @@ def shared_tokens(blocks: DataFrame, ranges: int) -> DataFrame:
         levels = np.where((low == 1) | (low != high), np.maximum(np.ceil(np.log2(totals)), 1), 0).astype(np.uint8)
         level = np.empty(len(tokens), dtype=np.uint8)
         level[order] = np.repeat(levels, np.diff(np.append(first, len(tokens))))
-        at = 0
+        at, out, total = 0, [], 0
         for number, _, block in rows:
             end = at + len(block) // 8
             chosen = np.flatnonzero(level[at:end]) + at
             if len(chosen):
-                yield columns(batch=pa.array([number], pa.int64()), tokens=pa.array([tokens[chosen].tobytes()], pa.binary()), levels=pa.array([level[chosen].tobytes()], pa.binary()))
+                out.append((number, tokens[chosen].tobytes(), level[chosen].tobytes()))
+                total += len(chosen)
+            if total >= BATCH_TOKENS:
+                yield blocks_of(out)
+                out, total = [], 0
             at = end
+        if out:
+            yield blocks_of(out)
+
+    def blocks_of(out: list[tuple]) -> pa.RecordBatch:
+        return columns(batch=pa.array([o[0] for o in out], pa.int64()), tokens=pa.array([o[1] for o in out], pa.binary()), levels=pa.array([o[2] for o in out], pa.binary()))
 
     return blocks.filter("part >= 0").select("batch", "part", "kept", "tokens").repartition(ranges, "part").mapInArrow(run, "batch long, tokens binary, levels binary")
 
@@ -237,7 +298,7 @@ def hubs(rows: DataFrame, order: int, name: str) -> DataFrame:
     return tokens.select("token", "cid").join(shared, "token").select("cid", name).distinct()
 
 
-def candidate_groups(rows: DataFrame, orders: int, block: int, block_tokens: int) -> DataFrame:
+def candidate_groups(rows: DataFrame, percent: int, orders: int, block: int, block_tokens: int) -> DataFrame:
     """cid and the groups (k: key) where it meets its candidates: its block i of ``blocks``, and whether it is the group's hub.
 
     The hub is in each of its group's blocks.
@@ -245,16 +306,33 @@ def candidate_groups(rows: DataFrame, orders: int, block: int, block_tokens: int
     found = hubs(rows, 0, "h0")
     for k in range(1, orders):
         found = found.join(hubs(rows, k, f"h{k}"), "cid")
-    keys = [f"h{k}" for k in range(orders)]
     found = found.join(rows.filter("order = 0").groupBy("cid").agg(F.max("n").alias("n")), "cid")
-    sizes = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), F.min(F.struct(F.col("cid") != F.col("h0"), F.col("cid"))).alias("first")).filter("size > 1")
-    found = found.join(sizes, keys).withColumn("k", F.xxhash64(*keys))
+    found = found.select(F.xxhash64(*[f"h{k}" for k in range(orders)]).alias("met"), "cid", "n", (F.col("cid") != F.col("h0")).alias("other"))
+    found = by_size(materialize(found, "met"), percent)
+    first = F.min(F.struct("other", "cid")).alias("first")
+    same = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"same{k}") for k in range(2)]
+    sizes = found.groupBy("met", "low").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), first, *same).filter("size > 1")
+    # Equal groups, told by two 64-bit hashes of their members, are searched once.
+    sizes = sizes.groupBy("size", "tokens", "same0", "same1").agg(F.min(F.struct("met", "low", "first.cid")).alias("one")).select("size", "tokens", "one.met", "one.low", F.col("one.cid").alias("first"))
+    found = found.join(sizes, ["met", "low"]).withColumn("k", F.xxhash64("met", "low"))
     blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("tokens") / block_tokens)).cast("int")
-    found = found.select("cid", "k", "n", blocks.alias("blocks"), (F.col("cid") == F.col("first.cid")).alias("hub"))
+    found = found.select("cid", "k", "n", blocks.alias("blocks"), (F.col("cid") == F.col("first")).alias("hub"))
     own = F.array(F.pmod(F.xxhash64("cid", "k"), F.col("blocks")).cast("int"))
     return found.select("cid", "k", "n", "blocks", "hub", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("i"))
 
 
+def by_size(found: DataFrame, percent: int) -> DataFrame:
+    """Members (met: key, n: size) with the least size of their part (low): a key's sizes are cut where the next is too large to link with the one before.
+
+    Only distinct sizes are sorted, not members.
+    """
+    order = Window.partitionBy("met").orderBy("n")
+    sizes = found.select("met", "n").distinct().withColumn("before", F.lag("n").over(order))
+    begins = F.when(F.col("before").isNull() | (100 * F.col("before") < percent * F.col("n")), F.col("n"))
+    sizes = sizes.select("met", "n", F.max(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("low"))
+    return found.join(sizes, ["met", "n"])
+
+
 def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Labels (the least member of each component) once the given pairs are joined too."""
     while True:
@@ -274,6 +352,10 @@ def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def verified_labels(sets: list[np.ndarray], percent: int, asking: np.ndarray | None = None) -> np.ndarray:
     """The least member that each set of a group is joined to by its verified pairs; with ``asking`` only pairs with one of these sets count."""
     count = len(sets)
+    if count == 2:
+        both = np.sort(np.concatenate(sets))
+        overlap = int((both[1:] == both[:-1]).sum())
+        return np.array([0, 0 if 100 * overlap >= percent * (len(both) - overlap) else 1])
     sizes = np.array([len(s) for s in sets])
     label = np.arange(count)
     tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -313,7 +395,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     """doc_id, row_key and the text as compressed UTF-8: hashes of a set don't compress, the words do."""
 
     def make():
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             return columns(doc_id=batch.column("doc_id"), row_key=batch.column("row_key"), packed=pa.array([pack(d) for d in utf8(batch)], pa.binary()))
@@ -350,13 +432,15 @@ def links_in_groups(members: DataFrame, shingle: int, percent: int) -> DataFrame
         def send(out: list[tuple]) -> pa.RecordBatch:
             return columns(**{c: pa.array([r[x] for r in out], t) for x, (c, t) in enumerate({"k": pa.int64(), "i": pa.int32(), "a": pa.int64(), "b": pa.int64()}.items())})
 
-        for batch in (part for batch in batches for part in sliced(batch)):
+        for batch in (part for batch in batches for part in weighed(batch, "packed", 1 << 20)):
             out: list[tuple] = []
-            for *own, cid, hub, asks, blocks, packed in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            tokens, lengths = shingle_sets([unpack(p) for p in batch.column("packed").to_pylist()], shingle)
+            sets = np.split(tokens, np.cumsum(lengths)[:-1])
+            for *own, cid, hub, asks, blocks, held_set in zip(*(batch.column(c).to_pylist() for c in names[:-1]), sets, strict=True):
                 if own != key:
                     out += flush()
                     key, held = own, {}
-                held[cid] = shingle_set(unpack(packed), shingle), hub, asks, blocks
+                held[cid] = held_set, hub, asks, blocks
             if out:
                 yield send(out)
         if out := flush():
@@ -432,7 +516,7 @@ def jaccard_components(
     rows = rows.select(F.col("d.doc_ids").alias("doc_id"), F.col("d.row_keys").alias("row_key"), F.col("d.cids").alias("cid"), F.col("d.sizes").alias("n"))
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("first"), F.min("doc_id").alias("least"))
     prefixes = materialize(prefix_rows(blocks, shared_tokens(blocks, ranges), percent, orders), "prefixes")
-    groups = materialize(candidate_groups(prefixes, orders, block, block_tokens), "groups")
+    groups = materialize(candidate_groups(prefixes, percent, orders, block, block_tokens), "groups")
     found = components(group_links(groups, classes, own, shingle, percent, block, block_tokens))
     labelled = classes.select("cid", "least").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -197,6 +197,41 @@ def test_hot_group_of_near_copies_in_blocks(spark):
     same(jaccard_join.jaccard_components(own, 3, 90, block_tokens=900), brute_components(rows, 3, 90), ["doc_id", "n_shingles", "component_id"])
 
 
+def test_join_sends_few_blocks(spark):
+    """Short documents of one task are one batch, so that blocks (one for a batch and a range) don't grow with the square of the table."""
+    rows = [(k, k, " ".join(f"w{k * i % 997}" for i in range(1, 12))) for k in range(3000)]
+    own = spark.createDataFrame(rows, "doc_id long, row_key long, text string").coalesce(1)
+    blocks = jaccard_join.token_blocks(own, 3, 90, 50)
+    assert blocks.filter("part < 0").count() == 1 and blocks.filter("part >= 0").count() <= 50
+
+
+def test_sets_of_joined_texts():
+    """Texts in one array: no shingle crosses from a text to the next one, and short and empty ones keep their places."""
+    rng = random.Random(3)
+    texts = [b" ".join(rng.choice([b"a", b"B", b"b", "é".encode()]) for _ in range(rng.randrange(9))) + rng.choice([b"", b" ", b"\n"]) for _ in range(300)] + [b"", b"a b a b a b", b""]
+    found, sizes = jaccard_join.shingle_sets(texts, 3, most=100)
+    ends = sizes.cumsum().tolist()
+    sets = [found[b - n : b].tolist() for b, n in zip(ends, sizes.tolist(), strict=True)]
+    assert sets == [jaccard_join.shingle_set(t, 3).tolist() for t in texts]
+    assert [(k, len(s)) for k, s in enumerate(sets)] == [r[:2] for r in brute_components([(k, t.decode()) for k, t in enumerate(texts)], 3, 90)]
+
+
+def test_groups_hold_only_sizes_that_can_link(spark):
+    """Classes 1 and 2 can link, and 3 with 2; 5 is too small and 4 too large; without 3 and 5 both tokens' groups are the same."""
+    sizes, weights = {1: 100, 2: 90, 3: 89, 4: 1000, 5: 80}, {1: 2, 2: 2, 3: 5, 4: 9, 5: 1}
+    tokens_of = {1: (7, 8), 2: (7, 8), 3: (7,), 4: (8,), 5: (8,)}
+    rows = [(c, o, t, weights[c], sizes[c]) for c in sizes for o in range(2) for t in tokens_of[c]]
+    rows = spark.createDataFrame(rows, "cid long, order int, token long, weight int, n long")
+    got = jaccard_join.candidate_groups(rows.filter("cid NOT IN (3, 5)"), 90, 2, 2048, 4_000_000).collect()
+    assert sorted((r.cid, r.n, r.blocks, r.i) for r in got) == [(1, 100, 1, 0), (2, 90, 1, 0)] and len({r.k for r in got}) == 1 and sum(r.hub for r in got) == 1
+    # 89 can link with 90, so the part is cut only at gaps.
+    got = jaccard_join.candidate_groups(rows, 90, 2, 2048, 4_000_000).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.k].add(r.cid)
+    assert sorted(map(sorted, groups.values())) == [[1, 2], [1, 2, 3]]
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(5)
     names = list(range(1, 1201))
